@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ def byte_alphabet() -> dict[int, str]:
 class TrieBpe:
     """A word-end BPE vocabulary (model part of a ``tokenizers`` file) encoded through a trie."""
 
-    def __init__(self, path: str, most_nodes: int = 400_000) -> None:
+    def __init__(self, path: str, most_nodes: int = 250_000) -> None:
         import regex
 
         self.most_nodes = most_nodes
@@ -54,6 +54,7 @@ class TrieBpe:
         self.pair_rank: dict[tuple[int, int], int] = {}
         self.rank = {i: -1 for i in vocab.values()}
         self.parts: dict[int, tuple[int, int]] = {}
+        self.texts = [self.strings.get(i, "").encode() for i in range(max(self.strings) + 1)]
         for r, (a, b) in enumerate(merges):
             t = vocab[a + b]
             self.pair_rank[vocab[a], vocab[b]] = r
@@ -190,9 +191,6 @@ class TrieBpe:
         known = dict(zip(words, self.encode_pretokens(words)))
         return [[i for p in row for i in ([p] if isinstance(p, int) else known[p])] for row in pieces]
 
-    def decoded(self) -> list[bytes]:
-        return [self.strings.get(i, "").encode() for i in range(max(self.strings) + 1)]
-
 
 _models: dict[str, tuple[TrieBpe, ChunkCache]] = {}
 
@@ -210,38 +208,47 @@ def packed(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([a.astype("<u4", copy=False).tobytes() for a in arrays], pa.binary())
 
 
-def encode(df: DataFrame, tokenizer_path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """Add ``out``: the ids of ``text`` packed as little-endian unsigned 32-bit integers."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.BinaryType())])
-    keep = [f.name for f in schema.fields[:-1]]
+def decoded(ids: pa.Array, strings: list[bytes]) -> pa.Array:
+    """The texts of packed ids: their tokens with a space between them, special tokens kept."""
+    get = strings.__getitem__
+    return pa.array([b" ".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in binary_values(ids)], pa.binary()).cast(pa.string())
+
+
+def _mapped(df: DataFrame, column: str, added: list[T.StructField], make: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    names = {f.name for f in added}
+    schema = T.StructType([f for f in df.schema.fields if f.name not in names] + added)
+    keep = [f.name for f in schema.fields[: -len(added)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, cache = trie_cache(tokenizer_path)
-        for batch in slices(batches, column=text):
-            ids = packed(cache.encode(batch.column(batch.schema.get_field_index(text))))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [ids], names=[*keep, out])
+        for batch in slices(batches, column=column):
+            of = dict(zip(batch.schema.names, batch.columns))
+            yield pa.RecordBatch.from_arrays([of[c] for c in keep] + make(of[column]), names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, tokenizer_path: str, ids: str = "token_ids", out: str = "decoded", drop: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``out``: the text of packed ids, special tokens kept; ``drop`` names columns left out."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != out and f.name not in drop] + [T.StructField(out, T.StringType())])
-    keep = [f.name for f in schema.fields[:-1]]
+def encode(df: DataFrame, tokenizer_path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
+    """Add ``out``: the ids of ``text`` packed as little-endian unsigned 32-bit integers."""
+    return _mapped(df, text, [T.StructField(out, T.BinaryType())], lambda texts: [packed(trie_cache(tokenizer_path)[1].encode(texts))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, _ = trie_cache(tokenizer_path)
-        strings = model.decoded()
-        get = strings.__getitem__
-        for batch in slices(batches, column=ids):
-            packed_ids = binary_values(batch.column(batch.schema.get_field_index(ids)))
-            texts = pa.array([b" ".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in packed_ids], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [texts], names=[*keep, out])
 
-    return df.mapInArrow(run, schema)
+def decode(df: DataFrame, tokenizer_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """Add ``out``: the text of packed ids, special tokens kept."""
+    return _mapped(df, ids, [T.StructField(out, T.StringType())], lambda x: [decoded(x, trie_cache(tokenizer_path)[0].texts)])
+
+
+def round_trip(df: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
+    """Add ``token_ids`` and ``decoded``, as ``encode`` and then ``decode`` do, in one pass through Python."""
+
+    def both(texts: pa.Array) -> list[pa.Array]:
+        model, cache = trie_cache(tokenizer_path)
+        ids = packed(cache.encode(texts))
+        return [ids, decoded(ids, model.texts)]
+
+    return _mapped(df, text, [T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.StringType())], both)
 
 
 def digests(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the text decoded from them."""
-    rows = decode(encode(documents.select("doc_id", "text"), tokenizer_path).drop("text"), tokenizer_path)
+    rows = round_trip(documents.select("doc_id", "text"), tokenizer_path)
     return rows.select("doc_id", (F.length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, orc_tokens
+from . import bpe_trie, neardup, orc_tokens
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op2_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -30,6 +34,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hyperminhash": op1_hyperminhash,
         "op2_orc_tokens": op2_orc_tokens,
         "op10_bpe_codec": op10_bpe_codec,
     }

@@ -77,7 +77,7 @@ class ChunkCache:
     is dropped when it holds ``most`` chunks, so memory is bounded whatever the corpus' vocabulary.
     """
 
-    def __init__(self, pretokens: Encoder, general: Encoder, most: int = 900_000) -> None:
+    def __init__(self, pretokens: Encoder, general: Encoder, most: int = 500_000) -> None:
         self.pretokens, self.general, self.most = pretokens, general, most
         self.clear()
 
