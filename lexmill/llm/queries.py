@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, neardup, orc_tokens
+from . import bpe_trie, gam_quality, neardup, orc_tokens, pivot_search, warc
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -28,6 +28,19 @@ def op2_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op4_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam_quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = pivot_search.quantised(table(spark, sf_dir, "embeddings"))
+    return pivot_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digests(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -36,9 +49,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hyperminhash": op1_hyperminhash,
         "op2_orc_tokens": op2_orc_tokens,
+        "op4_gam_quality": op4_gam_quality,
+        "op7_pivot_topk": op7_pivot_topk,
+        "op9_warc": op9_warc,
         "op10_bpe_codec": op10_bpe_codec,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_pivot_topk": pivot_search.ORACLE, "op9_warc": warc.ORACLE}
