@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, gam_quality, neardup, orc_tokens, pivot_search, warc
+from . import bpe_trie, gam_quality, imatch, neardup, orc_tokens, pivot_search, warc
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -32,6 +32,10 @@ def op4_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam_quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = pivot_search.quantised(table(spark, sf_dir, "embeddings"))
     return pivot_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_hyperminhash": op1_hyperminhash,
         "op2_orc_tokens": op2_orc_tokens,
         "op4_gam_quality": op4_gam_quality,
+        "op5_imatch": op5_imatch,
         "op7_pivot_topk": op7_pivot_topk,
         "op9_warc": op9_warc,
         "op10_bpe_codec": op10_bpe_codec,
