@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, gam_quality, imatch, neardup, orc_tokens, pivot_search, warc
+from . import bpe_trie, gam_quality, imatch, mixing, neardup, orc_tokens, pivot_search, trie_counts, warc
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -36,6 +36,14 @@ def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op8_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_counts.counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op7_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = pivot_search.quantised(table(spark, sf_dir, "embeddings"))
     return pivot_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -55,11 +63,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_orc_tokens": op2_orc_tokens,
         "op4_gam_quality": op4_gam_quality,
         "op5_imatch": op5_imatch,
+        "op6_mixing": op6_mixing,
         "op7_pivot_topk": op7_pivot_topk,
+        "op8_trie_counts": op8_trie_counts,
         "op9_warc": op9_warc,
         "op10_bpe_codec": op10_bpe_codec,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_pivot_topk": pivot_search.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op6_mixing": mixing.oracle(), "op7_pivot_topk": pivot_search.ORACLE, "op9_warc": warc.ORACLE}
