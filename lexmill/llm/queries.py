@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, gam_quality, imatch, mixing, neardup, orc_tokens, pivot_search, trie_counts, warc
+from . import attention_lm, bpe_trie, gam_quality, imatch, mixing, neardup, orc_tokens, pivot_search, trie_counts, warc
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -28,6 +28,10 @@ def op2_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.scores(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op4_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam_quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hyperminhash": op1_hyperminhash,
         "op2_orc_tokens": op2_orc_tokens,
+        "op3_attention_lm": op3_attention_lm,
         "op4_gam_quality": op4_gam_quality,
         "op5_imatch": op5_imatch,
         "op6_mixing": op6_mixing,
