@@ -20,10 +20,12 @@ from . import hyperminhash as H
 from .common import cut, slices
 from .components import connected_components
 
-#: How far below the threshold a pair's estimate may lie before it is left unconfirmed: eight standard errors.
-MARGIN = 0.2
+#: How far below the threshold a pair's estimate may lie before it is left unconfirmed: six standard errors.
+MARGIN = 0.15
 #: Sides of the blocks in which a bucket's remaining pairs are compared.
-BLOCK = 256
+BLOCK = 1024
+#: Nodes of a part in which their sets meet.
+PART = 2048
 #: Most candidate ids that are sent to all executors (16 bytes each); beyond it they are joined by a shuffle.
 MOST_SENT = 1_000_000
 
@@ -86,11 +88,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
-def block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of one bucket but of different components.
+def likely_pairs(members: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Likely pairs of one bucket but of different components, packed: (x, y, a array, b array).
 
     ``members`` has bucket, node, root, sketch.  Members get a block by their hash (about BLOCK to one), and
-    each pair of blocks is one group, so no group holds more than two blocks however large the bucket.
+    each pair of blocks is one group, so no group holds more than two blocks however large the bucket.  Of the
+    buckets that two nodes share only that of the first band counts.  ``x`` and ``y`` say in which of ``parts``
+    parts the nodes of a pair are; a row packs all pairs of two parts that a group has found.
     """
     least = percent / 100 - MARGIN
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -99,19 +103,67 @@ def block_pairs(members: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "sketch")
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        low, high = key[1].as_py(), key[2].as_py()
+        bucket, low, high = (k.as_py() for k in key)
         block, node, root = (group.column(c).to_numpy() for c in ("block", "node", "root"))
         rows = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, H.BUCKETS)
-        found = []
+        band = int(np.flatnonzero(H.band_keys(rows[0]) == bucket)[0])
+        before = rows[:, : band * H.BAND_ROWS].reshape(len(rows), band, H.BAND_ROWS)
+        left, right = [], []
         for i in np.flatnonzero(block == low).tolist():
-            with_ = (block == high) & (root != root[i]) & ((node > node[i]) if low == high else True)
-            j = np.flatnonzero(with_)
-            # agreement is at least the estimate, so comparing it with the bound loses nothing
-            j = j[(rows[i] == rows[j]).mean(axis=1) >= least]
-            found += [(node[i], node[k]) for k in j]
-        return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+            j = np.flatnonzero((block == high) & (root != root[i]) & ((node > node[i]) if low == high else True))
+            # agreement is at least the corrected estimate, so holding it against the bound loses nothing
+            j = j[(rows[j] == rows[i]).mean(axis=1) >= least]
+            j = j[~(before[j] == before[i]).all(axis=2).any(axis=1)]
+            left.append(np.full(len(j), node[i]))
+            right.append(node[j])
+        one = np.concatenate([*left, np.zeros(0, np.int64)])
+        two = np.concatenate([*right, np.zeros(0, np.int64)])
+        x, y = one.astype(np.uint64) % np.uint64(parts), two.astype(np.uint64) % np.uint64(parts)
+        swap = x > y
+        one, two = np.where(swap, two, one), np.where(swap, one, two)
+        x, y = np.minimum(x, y).astype(np.int64), np.maximum(x, y).astype(np.int64)
+        order = np.lexsort((y, x))
+        cuts = np.flatnonzero(np.diff(x[order] * parts + y[order], prepend=-1))
+        bounds = pa.array([*cuts.tolist(), len(order)], pa.int32())
+        first = order[cuts]
+        return pa.table({"x": pa.array(x[first]), "y": pa.array(y[first]), "a": pa.ListArray.from_arrays(bounds, pa.array(one[order])), "b": pa.ListArray.from_arrays(bounds, pa.array(two[order]))})
+
+    return dealt.groupBy("bucket", "low", "high").applyInArrow(run, "x long, y long, a array<long>, b array<long>")
+
+
+def confirmed_in_parts(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among packed pairs that join what was not yet joined, confirmed on full sets.
+
+    ``sets`` has node, root, shingles.  Two parts meet in one group, with the sets of just those nodes that
+    have a pair there; a pair whose nodes the group has already joined needs no confirmation.
+    """
+    wanted = pairs.select("x", "y", F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")).distinct().join(sets, "node")
+    wanted = wanted.withColumnsRenamed({"x": "of_x", "y": "of_y"})
+
+    def run(key: tuple[pa.Scalar, ...], packed: pa.Table, held: pa.Table) -> pa.Table:
+        of = dict(zip(held.column("node").to_pylist(), (np.frombuffer(s.as_buffer(), np.uint64) for s in held.column("shingles"))))
+        up = {n: ("root", r) for n, r in zip(held.column("node").to_pylist(), held.column("root").to_pylist())}
+
+        def find(n: object) -> object:
+            while (to := up.get(n, n)) != n:
+                up[n] = up.get(to, to)
+                n = to
+            return n
+
+        found = []
+        for a, b in zip(packed.column("a").combine_chunks().flatten().to_pylist(), packed.column("b").combine_chunks().flatten().to_pylist()):
+            one, two = find(a), find(b)
+            if one != two:
+                n, m = len(of[a]), len(of[b])
+                if 100 * min(n, m) < percent * max(n, m):
+                    continue
+                same, union = H.jaccard(of[a], of[b])
+                if 100 * same >= percent * union:
+                    up[one] = two
+                    found.append((a, b))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-    return dealt.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
+    return pairs.groupBy("x", "y").cogroup(wanted.groupBy("of_x", "of_y")).applyInArrow(run, "a long, b long")
 
 
 def classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -132,8 +184,11 @@ def classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     known = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     # of three nodes or more, not all in one component: pairs without the pivot are still to be compared
     open_ = known.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("two"), F.count("*").alias("n")).where("one <> two and n > 2").select("bucket")
-    rest = cut(block_pairs(known.join(open_, "bucket").join(sets.select("node", "sketch"), "node"), percent), "rest")
-    more = cut(confirmed(rest, sets, percent), "links")
+    open_ = cut(known.join(open_, "bucket"), "open")
+    parts = max(1, -(-open_.select("node").distinct().count() // PART))
+    rest = cut(likely_pairs(open_.join(sets.select("node", "sketch"), "node"), percent, parts), "rest")
+    held = sets.select("node", "shingles").join(open_.select("node", "root").distinct(), "node")
+    more = cut(confirmed_in_parts(rest, held, percent), "links")
     roots = cut(connected_components(links.union(more)), "roots")
 
     named = reps.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
@@ -145,6 +200,7 @@ def classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFram
 
 
 def deduplicate(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose doc_id is that of their near-duplicate class, all columns kept."""
-    gone = classes(documents, width, percent).where("not kept").select(F.col("doc_id").alias("__gone"))
+    """The documents whose doc_id is that of their near-duplicate class, all columns kept; rows without an id stay."""
+    decided = classes(documents, width, percent).groupBy("doc_id").agg(F.max("kept").alias("stays"))
+    gone = decided.where("not stays and doc_id is not null").select(F.col("doc_id").alias("__gone"))
     return documents.join(gone, documents["doc_id"].cast("long") == gone["__gone"], "left_anti")
