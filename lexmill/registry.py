@@ -1,4 +1,4 @@
-"""All registered queries outside the llm subpackage."""
+"""All registered queries outside the llm subpackage, with their DuckDB SQL where SQL expresses them."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexmill.plans import text_queries
+
+MODULES = [text_queries]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for m in MODULES for name, (f, _) in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.Q.items() if sql}
