@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import graph_queries, memory_queries, retrieval_queries, text_queries
+from lexmill.plans import graph_queries, memory_queries, relational_queries, retrieval_queries, text_queries
 
-MODULES = [text_queries, memory_queries, retrieval_queries, graph_queries]
+MODULES = [text_queries, memory_queries, retrieval_queries, graph_queries, relational_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
