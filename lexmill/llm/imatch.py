@@ -2,8 +2,8 @@
 
 A term's document frequency is counted over the whole corpus; terms whose frequency lies in a band (the
 same as a band of inverse document frequencies) form the lexicon.  A text's distinct lexicon terms, in
-order, are hashed once for the lexicon and for each of 55 random subsets of it.  These take from one in
-eight to one in 1024 terms, so that for a text of any length some hang on only a few of its terms and
+order, are hashed once for the lexicon and for each of 48 random subsets of it.  These take from one in
+16 to one in 1024 terms, so that for a text of any length some hang on only a few of its terms and
 outlive an edit of the rest.  Likeness is the share of agreeing subset hashes among those not empty on both sides.
 
 A term in at least a share ``low`` of the documents counts against every one of these, so the lexicon has
@@ -17,15 +17,19 @@ text; the next one of the last is the first, and a lone document is its own next
 
 from __future__ import annotations
 
+import contextlib
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 #: Subset k takes one term in RATES[k]; the first is the whole lexicon.
-RATES = [1] + 3 * [8] + 8 * [32] + 12 * [64, 128, 256] + 8 * [1024]
+RATES = [1] + 4 * [16] + 12 * [64, 128, 256] + 8 * [1024]
+#: Runs of subsets that are looked for together, among the terms that are in any of them.
+TIERS = [range(0, 1), range(1, 5), range(5, len(RATES))]
 SUBSETS = len(RATES)
 #: What ``hash`` gives for an empty array.
 EMPTY = 42
@@ -89,7 +93,15 @@ def with_next(documents: DataFrame, rows: int = 1000, most: int = 4096) -> DataF
 
 def subset_hashes(found: Column) -> Column:
     """One hash for each subset of the sorted distinct (id, mask) of a text's lexicon terms."""
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.hash(F.transform(F.filter(found, lambda t: F.call_function("shiftright", t["mask"], k).bitwiseAND(F.lit(1).cast("long")) == 1), lambda t: t["id"])))
+
+    def tier(ks: range) -> Column:
+        any_ = F.lit(sum(1 << k for k in ks)).cast("long")
+        held = F.filter(found, lambda t: t["mask"].bitwiseAND(any_) != 0)
+        one = lambda h, k: F.hash(F.transform(F.filter(h, lambda t: F.call_function("shiftright", t["mask"], k).bitwiseAND(F.lit(1).cast("long")) == 1), lambda t: t["id"]))
+        # going over an array of one binds ``held``, which inside the inner function would be made anew for each subset
+        return F.get(F.transform(F.array(held), lambda h: F.transform(F.sequence(F.lit(ks.start), F.lit(ks.stop - 1)), lambda k: one(h, k))), F.lit(0))
+
+    return F.concat(*[tier(ks) for ks in TIERS])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -104,6 +116,18 @@ def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.when(h == EMPTY, "-").otherwise(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))))), ".")
 
 
+@contextlib.contextmanager
+def _larger_hash_tables(spark: SparkSession, groups: int = 20_000) -> Iterator[None]:
+    """While a table is written, sets are gathered by hash for as many groups as a task's ranges hold, then by sorting as ever."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, groups)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fingerprints(documents: DataFrame, low: float = 0.001, high: float = 0.2) -> DataFrame:
     """Per document its fingerprint, that of its text edited with the next one's beginning, and their likeness."""
     known = cut(lexicon(documents, low, high), "lexicon")
@@ -116,15 +140,20 @@ def fingerprints(documents: DataFrame, low: float = 0.001, high: float = 0.2) ->
     rows = rows.select("bucket", "place", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), whole.alias("whole"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("one"))
     rows = rows.select("bucket", "place", "doc_id", "n_chars", "edited_sha256", "whole.text_hash", "whole.edited_hash", "one.side", F.explode(F.concat(F.array(F.lit("")), terms(F.col("one.text")))).alias("term"))
     rows = rows.join(F.broadcast(known.union(mark)), "term")
-    keys = ["bucket", "place", "doc_id", "n_chars", "edited_sha256", "text_hash", "edited_hash"]
-    rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("side", "id", "mask"))).alias("found"))
+    info = ["doc_id", "n_chars", "edited_sha256", "text_hash", "edited_hash"]
+    rows = rows.select("bucket", "place", F.struct(*info).alias("info"), F.struct("side", "id", "mask").alias("t"))
+    rows = rows.groupBy("bucket", "place").agg(F.first("info").alias("info"), F.collect_set("t").alias("found")).select("bucket", "place", "info.*", "found")
+    mine = lambda which: F.array_sort(F.filter("found", lambda t: (t["side"] == which) & (t["id"] != 0)))
+    rows = rows.withColumns({"found_0": mine(0), "found_1": mine(1)})
 
     def side(which: int, whole_hash: str) -> Column:
-        mine = F.filter("found", lambda t: (t["side"] == which) & (t["id"] != 0))
+        mine = F.col(f"found_{which}")
         of_text = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.hash(F.lit("whole"), whole_hash, k))
         return F.when(F.size(mine) > 0, subset_hashes(mine)).otherwise(of_text)
 
-    made = cut(rows.select("bucket", "place", "doc_id", "n_chars", "edited_sha256", side(0, "text_hash").alias("own"), side(1, "edited_hash").alias("changed")), "fingerprints")
+    made = rows.select("bucket", "place", "doc_id", "n_chars", "edited_sha256", side(0, "text_hash").alias("own"), side(1, "edited_hash").alias("changed"))
+    with _larger_hash_tables(documents.sparkSession):
+        made = cut(made, "fingerprints")
     order = Window.partitionBy("bucket").orderBy("place")
     heads = _follows(made.where("place = 1").select("bucket", F.col("own").alias("head"))).withColumnRenamed("of", "bucket")
     made = made.withColumn("following", F.lead("own").over(order)).join(heads, "bucket", "left").withColumn("following", F.coalesce("following", "head"))
