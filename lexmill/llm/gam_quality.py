@@ -204,7 +204,7 @@ def with_features(documents: DataFrame, keep: list[str]) -> DataFrame:
     schema = T.StructType([documents.schema[c] for c in keep] + [T.StructField("features", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 256, 1 << 20):
             of = dict(zip(batch.schema.names, batch.columns))
             x = features(of["text"])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
@@ -230,7 +230,7 @@ def score(documents: DataFrame, model: Gam, out: str = "score") -> DataFrame:
     schema = T.StructType([documents.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 256, 1 << 20):
             of = dict(zip(batch.schema.names, batch.columns))
             yield pa.RecordBatch.from_arrays([of[c] for c in keep] + [pa.array(model.score(features(of["text"])))], names=schema.names)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hyperminhash as H
-from .common import cut, slices
+from .common import cut, slices, small_batches
 from .components import connected_components
 
 #: How far below the threshold a pair's estimate may lie before it is left unconfirmed: six standard errors.
@@ -34,7 +34,7 @@ def sketches(documents: DataFrame, width: int) -> DataFrame:
     """doc_id, set size, 64-bit id of the set and the band keys of its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 512, 2 << 20):
             sets = H.shingle_sets(batch.column(1), width)
             ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             keys = np.concatenate([H.band_keys(H.registers(s)) if len(s) else np.zeros(0, np.int64) for s in sets])
@@ -52,7 +52,7 @@ def full_sets(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 512, 2 << 20):
             sets = H.shingle_sets(batch.column(1), width)
             # a repeated doc_id may bring another text of the same id: only the node's own set counts
             own = [(node, s) for node, s in zip(batch.column(0).to_pylist(), sets) if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) == node]
@@ -176,10 +176,12 @@ def classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     # the members of every bucket that holds more than one node
     members = cut(banded.join(pivots, "bucket").distinct(), "members")
     ids = cut(members.select("node").distinct().join(reps, "node").where("doc_id is not null"), "candidates")
-    sets = cut(full_sets(documents, ids, width), "sets")
+    with small_batches(documents.sparkSession):
+        sets = cut(full_sets(documents, ids, width), "sets")
 
     stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(confirmed(stars, sets, percent), "links")
+    with small_batches(documents.sparkSession):
+        links = cut(confirmed(stars, sets, percent), "links")
     roots = cut(connected_components(links), "roots")
     known = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     # of three nodes or more, not all in one component: pairs without the pivot are still to be compared
