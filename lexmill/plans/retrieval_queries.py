@@ -48,10 +48,10 @@ def _(s, d):
     return V.knn(table(s, d, "embeddings"), asked(s, d), 10, least=0.2)
 
 
-@add("similarity_scales", f"SELECT query_id, vec_id, round(greatest(0, least(1, (score + 1) / 2)), 5) AS document_scale, round(greatest(0, least(1, score)), 6) AS memory_scale FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({KNN})) WHERE rank <= 10")
+@add("similarity_scales", f"SELECT query_id, vec_id, greatest(0, least(1, (score + 1) / 2)) AS document_scale, greatest(0, least(1, score)) AS memory_scale FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({KNN})) WHERE rank <= 10")
 def _(s, d):
     k = V.knn(table(s, d, "embeddings"), asked(s, d), 10)
-    return k.select("query_id", "vec_id", F.round(T.similarity_of(C("score"), "ip"), 5).alias("document_scale"), F.round(T.similarity_of(C("score"), "memory"), 6).alias("memory_scale"))
+    return k.select("query_id", "vec_id", T.similarity_of(C("score"), "ip").alias("document_scale"), T.similarity_of(C("score"), "memory").alias("memory_scale"))
 
 
 @add("ivf_knn", None)
