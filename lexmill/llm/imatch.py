@@ -1,7 +1,9 @@
 """Document fingerprints by I-Match over several randomised lexicon subsets, in DataFrame functions only.
 
 A term's document frequency is counted over the whole corpus; terms whose frequency lies in a band (the
-same as a band of inverse document frequencies) form the lexicon.  A text's distinct lexicon terms, in
+same as a band of inverse document frequencies) form the lexicon.  For the upper end of the band the rows of a
+large group of near copies count as one document together, so that such a group does not push its own terms
+out; for the lower end every row counts.  The groups are those rows that share a sketch.  A text's distinct lexicon terms, in
 order, are hashed once for the lexicon and for each of 48 random subsets of it.  These take from one in
 16 to one in 1024 terms, so that for a text of any length some hang on only a few of its terms and
 outlive an edit of the rest.  Likeness is the share of agreeing subset hashes among those not empty on both sides.
@@ -31,6 +33,12 @@ RATES = [1] + 4 * [16] + 12 * [64, 128, 256] + 8 * [1024]
 #: Runs of subsets that are looked for together, among the terms that are in any of them.
 TIERS = [range(0, 1), range(1, 5), range(5, len(RATES))]
 SUBSETS = len(RATES)
+#: Pairs of constants; a sketch is the two least hashes of a text's terms after exclusive or with these.
+SKETCHES = [(0x1B873593CC9E2D51, 0x2545F4914F6CDD1D), (0x369DEA0F31A53F85, 0x5851F42D4C957F2D), (0x14057B7EF767814F, 0x6A09E667F3BCC908), (0x3C6EF372FE94F82B, 0x510E527FADE682D1)]
+#: Rows of a sketch that at least this share of all rows (and three) have are a large group: at most len(SKETCHES) / HOT of these.
+HOT = 0.01
+#: What a row that is in no large group weighs.
+WHOLE = 1 << 32
 #: What ``hash`` gives for an empty array.
 EMPTY = 42
 
@@ -40,11 +48,33 @@ def terms(text: Column) -> Column:
     return F.split(F.lower(text), r"[\s\p{Punct}]+")
 
 
+def sketches(text: Column) -> Column:
+    """A hash for each of SKETCHES; two texts that share a share s of their terms have one in common with probability 1 - (1 - s^2)^4."""
+    least = lambda hs, c: F.array_min(F.transform(hs, lambda h: h.bitwiseXOR(F.lit(c).cast("long"))))
+    # going over an array of one binds the hashes, which would otherwise be made anew for each constant
+    hashes = F.array(F.transform(terms(text), lambda t: F.xxhash64(t)))
+    return F.get(F.transform(hashes, lambda hs: F.array(*[F.xxhash64(F.lit(k), least(hs, a), least(hs, b)) for k, (a, b) in enumerate(SKETCHES)])), F.lit(0))
+
+
+def weighted(documents: DataFrame, n: int) -> DataFrame:
+    """text and weight: WHOLE, or its share of that for each row of a large group (the largest that it is in)."""
+    docs = documents.select(F.coalesce("text", F.lit("")).alias("text"))
+    found = docs.select(F.explode(sketches(F.col("text"))).alias("sketch")).groupBy("sketch").agg(F.count("*").alias("size"))
+    hot = found.where(F.col("size") >= max(3, math.ceil(HOT * n))).collect()
+    if not hot:
+        return docs.withColumn("weight", F.lit(WHOLE))
+    sizes = F.create_map(*[F.lit(x).cast("long") for r in hot for x in (r["sketch"], r["size"])])
+    largest = F.array_max(F.transform(sketches(F.col("text")), lambda k: F.coalesce(F.element_at(sizes, k), F.lit(1).cast("long"))))
+    return docs.withColumn("weight", F.floor(F.lit(WHOLE) / largest).cast("long"))
+
+
 def lexicon(documents: DataFrame, low: float = 0.001, high: float = 0.2) -> DataFrame:
     """term, id (a hash of the term) and mask (the subsets it is in) of the terms in the band."""
     n = documents.count()
-    counted = documents.select(F.explode(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    band = counted.where((F.col("df") >= max(2, math.ceil(low * n))) & (F.col("df") <= max(2, math.floor(high * n))) & (F.col("term") != ""))
+    docs = weighted(documents, n)
+    apart = (docs.agg(F.sum("weight")).first()[0] or 0) / WHOLE
+    counted = docs.select("weight", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("weight").alias("mass"))
+    band = counted.where((F.col("df") >= max(2, math.ceil(low * n))) & (F.col("mass") <= max(2, math.floor(high * apart)) * WHOLE) & (F.col("term") != ""))
     mask = F.lit(0).cast("long")
     for k in range(SUBSETS):
         mask = mask + F.when(F.pmod(F.xxhash64("term", F.lit(k)), F.lit(RATES[k])) == 0, F.lit(1 << k)).otherwise(0)
