@@ -1,7 +1,7 @@
 """Language-model scoring with a causal self-attention model trained in numpy on subword ids.
 
 Three passes over the corpus.  The first counts words and subword ids of all training documents.  The second
-trains: a warm start on the driver is sent to every task, each goes on over stretches of all its training documents, and
+trains: a warm start on the driver is sent to every task, each goes on over all windows of its training documents, and
 the weights are averaged by the windows seen.  The third scores every document.
 
 The model reads windows of 48 ids, the last 32 of which are predicted; windows overlap by 16, so each id is
@@ -34,8 +34,6 @@ WINDOW = CONTEXT + SCORED
 CLASSES, SINGLE = 96, 80
 INPUTS, SINGLE_INPUTS = 1024, 960
 DIM = 16
-#: Of every so many characters of each training document the first so many are trained on; counts cover all.
-TRAIN_EVERY, TRAIN_STRETCH = 8192, 512
 #: Share of the corpus' word counts in a word's probability; the attention model has the rest.
 COUNTS_SHARE = 0.8
 #: Documents of the warm start.
@@ -137,19 +135,6 @@ def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first + number * SCORED, first, np.repeat(bounds[1:], n)
 
 
-def stretches(texts: pa.Array, every: int = TRAIN_EVERY, size: int = TRAIN_STRETCH) -> tuple[list[str], np.ndarray]:
-    """The pieces of the texts that are trained on, cut at spaces, and whether each ends its text."""
-    pieces, last = [], []
-    for text in texts.to_pylist():
-        text = text or ""
-        for start in range(0, max(len(text), 1), every):
-            piece = text[start : start + size]
-            ends = start + size >= len(text)
-            pieces.append((piece if not start else piece.partition(" ")[2]) if ends else (piece if not start else piece.partition(" ")[2]).rpartition(" ")[0])
-            last.append(ends)
-    return pieces, np.array(last, bool)
-
-
 class AttentionLm:
     """One causal self-attention layer over id groups, predicting classes of ids."""
 
@@ -280,10 +265,9 @@ class Adam:
             self.model.w[n] = self.model.w[n] - np.float32(rate) * (self.m[n] / (1 - 0.9**self.t)) / (np.sqrt(self.s[n] / (1 - 0.99**self.t)) + 1e-8)
         return loss
 
-    def run(self, ids: np.ndarray, bounds: np.ndarray, ends: np.ndarray, batch: int = 64) -> int:
-        """Steps over the windows of the pieces, spread over all of these; how many windows.  Only where ``ends`` is true the end token counts."""
+    def run(self, ids: np.ndarray, bounds: np.ndarray, batch: int = 64) -> int:
+        """Steps over all windows of the documents, each step spread over all of these; how many windows."""
         at, low, high = windows(bounds)
-        high = high - np.repeat(~ends, -(-np.diff(bounds) // SCORED))
         n = -(-len(at) // batch)
         for i in range(n):
             self.step(ids, at[i::n], low[i::n], high[i::n])
@@ -346,7 +330,7 @@ def trained(documents: DataFrame, path: str, counts: np.ndarray, warm_documents:
     ids, bounds = words.documents(*words.rows_of(pa.array([r["text"] for r in first], pa.string())))
     adam = Adam(model, 0.02)
     for _ in range(3):
-        adam.run(ids, bounds, np.ones(len(bounds) - 1, bool))
+        adam.run(ids, bounds)
     sent = documents.sparkSession.sparkContext.broadcast((counts, model.pack()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,8 +342,7 @@ def trained(documents: DataFrame, path: str, counts: np.ndarray, warm_documents:
         for batch in slices(batches):
             if own.full():
                 own.clear()
-            pieces, ends = stretches(batch.column(0))
-            seen += adam.run(*own.documents(*own.rows_of(pa.array(pieces, pa.string()))), ends)
+            seen += adam.run(*own.documents(*own.rows_of(batch.column(0))))
         if seen:
             packed = local.pack().astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([packed.tolist()], pa.list_(pa.float64())), pa.array([float(seen)])], names=["weights", "seen"])
