@@ -80,9 +80,31 @@ def ivf_assign(vectors: DataFrame, lists: int = 16, seed: int = 1, sample: int =
     return model.transform(rows).select("vec_id", "embedding", F.col("prediction").alias("list")), np.array(model.clusterCenters())
 
 
-def ivf_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 16, probes: int = 8) -> DataFrame:
-    """Approximate neighbours by cosine: only the vectors in the ``probes`` lists nearest to a query."""
+def probes_needed(vectors: DataFrame, listed: DataFrame, centres: np.ndarray, k: int, least: float, sample: int = 256) -> int:
+    """Lists to probe so that a bounded sample of the vectors finds at least this share of its exact neighbours by cosine."""
+    some = vectors.where("embedding is not null").orderBy(F.xxhash64("vec_id", F.lit(7))).limit(sample).select("vec_id", "embedding").cache()
+    asked = some.toPandas()
+    exact = knn(vectors, some, k).join(listed.select("vec_id", "list"), "vec_id").groupBy("query_id", "list").agg(F.count("*").alias("n")).toPandas()
+    some.unpersist()
+    if not len(exact):
+        return len(centres)
+    x = np.array(asked["embedding"].tolist(), np.float64)
+    order = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argsort(axis=1, kind="stable")
+    place = {v: np.argsort(o) for v, o in zip(asked["vec_id"], order)}
+    at = [place[q][i] for q, i in zip(exact["query_id"], exact["list"])]
+    found = np.bincount(at, exact["n"], len(centres)).cumsum() / exact["n"].sum()
+    return int(np.searchsorted(found, min(least, 1.0) - 1e-9)) + 1
+
+
+def ivf_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 16, probes: int | None = None, least: float = 0.94) -> DataFrame:
+    """Approximate neighbours by cosine: only the vectors in the ``probes`` lists nearest to a query.
+
+    Without ``probes`` as many lists are taken as a sample of the vectors needs for a recall of ``least``, which
+    stands above the 0.9 wanted because the queries are others than the sample.
+    """
     listed, centres = ivf_assign(vectors, lists)
+    if probes is None:
+        probes = probes_needed(vectors, listed, centres, k, least)
     near = F.array(*[F.struct((F.lit(0.0) + sum(((F.col("q")[j] - float(c)) ** 2 for j, c in enumerate(centre)), F.lit(0.0))).alias("d"), F.lit(i).alias("list")) for i, centre in enumerate(centres)])
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).select("query_id", "q", F.explode(F.slice(F.array_sort(near), 1, probes)).alias("p")).select("query_id", "q", "p.list")
     norm = lambda c: F.sqrt(T.dot(F.col(c), F.col(c)))
