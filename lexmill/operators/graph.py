@@ -61,7 +61,8 @@ def edge_degrees(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(name, component): the least name reachable.  Labels spread along edges and jump to their label's label.
 
-    Each round is checkpointed reliably where a checkpoint folder is set, so lineage stays short.
+    Each round is checkpointed reliably where a checkpoint folder is set, so lineage stays short.  It is an error
+    if the labels have not settled after ``rounds`` rounds.
     """
     both = edges.select(F.col("src").alias("name"), F.col("tgt").alias("other")).union(edges.select("tgt", "src")).distinct()
     labels = both.groupBy("name").agg(F.least(F.min("other"), F.min("name")).alias("component"))
@@ -75,7 +76,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         labels = new.select("name", F.col("new").alias("component"))
         if not changed:
             return labels
-    return labels
+    raise RuntimeError(f"components: labels have not settled after {rounds} rounds")
 
 
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:

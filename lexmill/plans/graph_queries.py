@@ -73,6 +73,25 @@ def _(s, d):
     return G.components(sparse(s, d))
 
 
+def cooccurrence(s, d):
+    """All words of the documents that stand side by side: one row an undirected pair, without a list of its documents."""
+    t = table(s, d, "documents").select(T.tokens(C("text")).alias("t"))
+    n = F.greatest(F.size("t") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("t", 1, n), F.slice("t", 2, n), lambda a, b: F.struct(F.upper(a).alias("a"), F.upper(b).alias("b")))
+    r = t.select(F.explode(pairs).alias("p"))
+    return r.groupBy(F.least("p.a", "p.b").alias("src"), F.greatest("p.a", "p.b").alias("tgt")).agg(F.count("*").cast("double").alias("weight"))
+
+
+@add("document_components", None)
+def _(s, d):
+    return G.components(cooccurrence(s, d))
+
+
+@add("document_communities", None)
+def _(s, d):
+    return G.communities(cooccurrence(s, d))
+
+
 @add("communities", None)
 def _(s, d):
     return G.communities(G.merge_edges(triples(s, d)[1]))
