@@ -135,6 +135,14 @@ def _(s, d):
     return U.lexical_overlap(pages.join(F.broadcast(q))).select("page_id", "score")
 
 
+@add("lexical_relevance_all", f"""SELECT item_id, page_id, round(0.65 * len(list_intersect(q, list_distinct({TOKENS.replace('(text)', '(title)')}))) / greatest(len(q), 1) + 0.35 * len(list_intersect(q, list_distinct({TOKENS.replace('(text)', '(url)')}))) / greatest(len(q), 1) + CASE WHEN contains(lower(title || ' ' || url), lower(text)) THEN 0.2 ELSE 0 END, 6) AS score
+FROM (SELECT item_id, page_id, url, {TITLE} AS title, text, list_distinct({TOKENS}) AS q FROM pages, (SELECT item_id, text FROM benchmark))""")
+def _(s, d):
+    q = table(s, d, "benchmark").select("item_id", C("text").alias("query"))
+    pages = table(s, d, "pages").select("page_id", T.html_title(C("html")).alias("title"), C("url").alias("body"))
+    return U.lexical_overlap(pages.join(F.broadcast(q))).select("item_id", "page_id", "score")
+
+
 def chunks(s, d):
     """Chunks of 1000 characters with the page each is on, three chunks to a page."""
     w = K.token_windows(table(s, d, "documents").select("doc_id", "text"), 1000, 100)
