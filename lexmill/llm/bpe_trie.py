@@ -11,6 +11,7 @@ length are read whole; other columns pass through untouched.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_values, slices
+from .common import binary_values, slices, text_batches
 from .subword import ChunkCache, flat
 
 _FOREVER = 1 << 40
@@ -38,7 +39,7 @@ def byte_alphabet() -> dict[int, str]:
 class TrieBpe:
     """A word-end BPE vocabulary (model part of a ``tokenizers`` file) encoded through a trie."""
 
-    def __init__(self, path: str, most_nodes: int = 250_000) -> None:
+    def __init__(self, path: str, most_nodes: int = 120_000) -> None:
         import regex
 
         self.most_nodes = most_nodes
@@ -214,17 +215,19 @@ def decoded(ids: pa.Array, strings: list[bytes]) -> pa.Array:
     return pa.array([b" ".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in binary_values(ids)], pa.binary()).cast(pa.string())
 
 
-def _mapped(df: DataFrame, column: str, added: list[T.StructField], make: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+def _mapped(df: DataFrame, column: str, added: list[T.StructField], make: Callable[[pa.Array], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
+    """``df``'s columns in ``keep`` (all, if not given) and ``added``, which win over clashing names."""
+    text_batches(df.sparkSession)
     names = {f.name for f in added}
-    schema = T.StructType([f for f in df.schema.fields if f.name not in names] + added)
-    keep = [f.name for f in schema.fields[: -len(added)]]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in names]
+    schema = T.StructType([df.schema[c] for c in keep] + added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, column=column):
+        for batch in slices(batches, 1024, 2 << 20, column):
             of = dict(zip(batch.schema.names, batch.columns))
             yield pa.RecordBatch.from_arrays([of[c] for c in keep] + make(of[column]), names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.select(*{*keep, column}).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
@@ -248,7 +251,29 @@ def round_trip(df: DataFrame, tokenizer_path: str, text: str = "text") -> DataFr
     return _mapped(df, text, [T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.StringType())], both)
 
 
+def coded(df: DataFrame, tokenizer_path: str, text: str = "text", keep: list[str] | None = None, ids: bool = True) -> DataFrame:
+    """Add n_tokens, ids_sha256 and decoded_sha256, and with ``ids`` the packed token_ids.
+
+    Texts are decoded from their ids and hashed where they are encoded, so decoded texts are never sent.
+    """
+
+    def digest(texts: pa.Array) -> list[pa.Array]:
+        model, cache = trie_cache(tokenizer_path)
+        get, n, of_ids, of_text, packed_ids = model.texts.__getitem__, [], [], [], []
+        for a in cache.encode(texts):
+            raw = a.astype("<u4", copy=False).tobytes()
+            n.append(len(a))
+            of_ids.append(hashlib.sha256(raw).hexdigest())
+            of_text.append(hashlib.sha256(b" ".join(map(get, a.tolist()))).hexdigest())
+            if ids:
+                packed_ids.append(raw)
+        out = [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+        return [*out, pa.array(packed_ids, pa.binary())] if ids else out
+
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return _mapped(df, text, [*added, T.StructField("token_ids", T.BinaryType())] if ids else added, digest, keep)
+
+
 def digests(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the text decoded from them."""
-    rows = round_trip(documents.select("doc_id", "text"), tokenizer_path)
-    return rows.select("doc_id", (F.length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return coded(documents, tokenizer_path, keep=["doc_id"], ids=False)

@@ -7,7 +7,6 @@ Intermediate results are written as Parquet in the folder named by
 from __future__ import annotations
 
 import atexit
-import contextlib
 import shutil
 import tempfile
 import uuid
@@ -44,16 +43,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """While a table is written, wide rows go to Python in batches of a few MB."""
+#: Rows of a batch that goes to Python, where rows hold whole texts or sets.
+BATCH_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let batches of texts that go to Python hold a few MB: no more than ``BATCH_ROWS`` rows, in this session from now on."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def release(spark: SparkSession) -> None:
@@ -88,3 +86,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048, most_bytes: int
             held += n
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_mod, slices
+from .common import crc32_mod, slices, text_batches
 
 #: Bound of the labelled sample that a model is fitted on.
 MOST_ROWS = 20_000
@@ -227,6 +227,7 @@ def fit(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) ->
 def score(documents: DataFrame, model: Gam, out: str = "score") -> DataFrame:
     """Add ``out``, the probability that a document is good; all other columns are kept."""
     keep = [c for c in documents.columns if c != out]
+    text_batches(documents.sparkSession)
     schema = T.StructType([documents.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

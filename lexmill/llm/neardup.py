@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hyperminhash as H
-from .common import cut, slices, small_batches
+from .common import cut, slices, text_batches
 from .components import connected_components
 
 #: How far below the threshold a pair's estimate may lie before it is left unconfirmed: six standard errors.
@@ -168,6 +168,7 @@ def confirmed_in_parts(pairs: DataFrame, sets: DataFrame, percent: int) -> DataF
 
 def classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per document doc_id, n_shingles, component_id and kept (whether its id is its class's)."""
+    text_batches(documents.sparkSession)
     rows = cut(sketches(documents, width), "sketches")
     nodes = rows.where("node is not null")
     reps = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -176,12 +177,10 @@ def classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     # the members of every bucket that holds more than one node
     members = cut(banded.join(pivots, "bucket").distinct(), "members")
     ids = cut(members.select("node").distinct().join(reps, "node").where("doc_id is not null"), "candidates")
-    with small_batches(documents.sparkSession):
-        sets = cut(full_sets(documents, ids, width), "sets")
+    sets = cut(full_sets(documents, ids, width), "sets")
 
     stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    with small_batches(documents.sparkSession):
-        links = cut(confirmed(stars, sets, percent), "links")
+    links = cut(confirmed(stars, sets, percent), "links")
     roots = cut(connected_components(links), "roots")
     known = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     # of three nodes or more, not all in one component: pairs without the pivot are still to be compared

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, slices
+from .common import cut, scratch, slices, text_batches
 from .subword import lengths_to_bounds, library_cache
 
 SCHEMA = "doc_id long, n_tokens int, token_ids array<int>"
@@ -40,6 +40,7 @@ def encode(df: DataFrame, tokenizer_path: str, end_id: int | None = 1) -> DataFr
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds).astype(np.int32)), lists], names=["doc_id", "n_tokens", "token_ids"])
 
+    text_batches(df.sparkSession)
     return df.mapInArrow(run, SCHEMA)
 
 

@@ -74,21 +74,30 @@ class ChunkCache:
     """Encodes texts by their white-space chunks, and those by their pre-tokens.
 
     ``pretokens`` encodes pre-tokens, ``general`` whole chunks that are not plain Latin-1.  The cache
-    is dropped when it holds ``most`` chunks, so memory is bounded whatever the corpus' vocabulary.
+    is dropped when what it holds comes to ``most_bytes``, whatever the corpus' vocabulary; one batch
+    of texts more than that is the most it ever takes.
     """
 
-    def __init__(self, pretokens: Encoder, general: Encoder, most: int = 500_000) -> None:
-        self.pretokens, self.general, self.most = pretokens, general, most
+    #: About what a key takes beside its own bytes: its objects, and its entries in dictionary and stores.
+    PER_KEY = 160
+
+    def __init__(self, pretokens: Encoder, general: Encoder, most_bytes: int = 64 << 20) -> None:
+        self.pretokens, self.general, self.most_bytes = pretokens, general, most_bytes
         self.clear()
 
+    def held(self) -> int:
+        return self.PER_KEY * (len(self.rows) + len(self.parts)) + self.key_bytes + 4 * (self.chunk_store.used + self.id_store.used)
+
     def clear(self) -> None:
         self.rows, self.parts = _Rows(), _Rows()
         self.chunk_store, self.id_store = _Store(np.int32), _Store(np.uint32)
+        self.key_bytes = 0
 
     def _resolve(self) -> None:
         pending = self.rows.taken()
         if not pending:
             return
+        self.key_bytes += 2 * sum(map(len, pending))  # its pre-tokens are about as long again
         joined = b"\n".join(pending).decode("utf-8", "replace")
         if _LATIN.fullmatch(joined) and "<|" not in joined:
             tokens = LATIN_PRETOKENS.findall(joined.lower())
@@ -121,7 +130,7 @@ class ChunkCache:
         Arrow cuts the texts and numbers the distinct chunks of the batch, so Python sees each once.
         A text that is empty or begins or ends with white space also has empty chunks, which have no ids.
         """
-        if len(self.rows) > self.most:
+        if self.held() > self.most_bytes:
             self.clear()
         words = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
         distinct = pc.dictionary_encode(words.flatten())

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, text_batches
 
 MARK = "▁"
 
@@ -144,4 +144,5 @@ def counts(documents: DataFrame, model_path: str) -> DataFrame:
                 [batch.column(0), pa.array(sums(real), pa.int64()), pa.array(sums(counter.counts[rows].astype(np.int64)), pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "n_words", "n_tokens", "log_prob"]
             )
 
+    text_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long, log_prob double")
