@@ -1,18 +1,28 @@
 """Language-model scoring with a causal self-attention model trained in numpy on subword ids.
 
-Three passes over the corpus.  The first counts words and subword ids of all training documents.  The second
-trains: a warm start on the driver is sent to every task, each goes on over all windows of its training documents, and
-the weights are averaged by the windows seen.  The third scores every document.
-
-The model reads windows of 48 ids, the last 32 of which are predicted; windows overlap by 16, so each id is
-predicted once, with 16 to 47 ids of context (fewer at a document's start).  An id is predicted as its class,
-by the attention layer, times its share of the class by smoothed corpus counts.  The ids of a word give its
-probability (from one word start to the next); the score of a token is that, interpolated with the token's
-share of the training tokens with one added to each count.  ``attention_score`` is the attention model's alone.
+Three passes over the corpus.  The first turns every text into subword ids, written once and read by the
+others, and counts words and ids of the training documents.  The second trains: a warm start on the driver is
+sent to every task; documents are dealt by a hash into buckets of about a million ids, each bucket's learner
+goes on from the warm start over all its windows, and the weights are averaged by the windows seen.  Neither
+buckets nor the order within them hang on how the table is partitioned, so the model does not either.  The
+third scores every document.
+
+The model reads windows of 32 ids, the last 28 of which are predicted; windows overlap by 4, so each id is
+predicted once, with 4 to 31 ids of context (fewer at a document's start).  One layer of causal attention with a
+learned bias for each distance gives the state from which an id's class and its place in the class are
+predicted, two softmaxes of 32; ids beyond the 992 most frequent share a place, by their smoothed counts.  Keys and
+values are the inputs themselves: their matrices are taken in by those of queries and outputs.
+
+``attention_score`` is the log10 probability of a document's ids under this layer.  ``score`` adds a memory of
+the training documents in stretches of two windows, which a passage that occurs elsewhere in the corpus is known by:
+where the eight ids before a stretch stand before one in n other training documents, m of which go on with the very
+same ids, the stretch's probability is n / (n + 1) * m / n + 1 / (n + 1) times that of the layer.  A training
+document's own stretches are left out.  Where nothing else in the corpus agrees, the two scores are the same.
 
 Contract: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and every document ends with one end token; null
-and empty texts are that token alone.  Without training documents all counts are 0 and the model is the warm
-start's.  Repeated rows are scored each.  Other columns are ignored.
+and empty texts are that token alone.  A null doc_id is in no training set and its held_out is null.  Without
+training documents all counts are 0 and the model is the one that training starts from.  Repeated rows are
+scored each.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,25 +32,97 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, cut, slices
+from .common import crc32_mod, cut, keep_freed_memory, slices, text_batches
 from .subword import _Rows, _Store, flat, lengths_to_bounds
 
-CONTEXT, SCORED = 16, 32
+CONTEXT, SCORED = 4, 28
 WINDOW = CONTEXT + SCORED
-CLASSES, SINGLE = 96, 80
-INPUTS, SINGLE_INPUTS = 1024, 960
+CLASSES = MEMBERS = 32
+SLOTS = CLASSES * MEMBERS
 DIM = 16
-#: Share of the corpus' word counts in a word's probability; the attention model has the rest.
-COUNTS_SHARE = 0.8
-#: Documents of the warm start.
-WARM_DOCUMENTS = 400
+#: Ids of a stretch that is remembered, and of what comes before it.
+STRETCH, BEFORE = 2 * SCORED, 8
+#: Documents of the warm start, and how often it goes over them.
+WARM_DOCUMENTS, WARM_ROUNDS = 400, 3
+#: Ids of a bucket that one learner goes over.
+BUCKET_IDS = 1_000_000
+#: Most tasks that buckets are dealt to; beyond it a task has several.
+MOST_TASKS = 8192
+#: Windows of a training step and of a scoring step.
+STEP, BATCH = 512, 512
 #: Words whose counts are sent to all executors (16 bytes each); rarer words' counts are joined by a shuffle.
 MOST_SENT = 500_000
-SHAPES = {"e": (INPUTS, DIM), "p": (WINDOW, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "u": (CLASSES, DIM), "b": (CLASSES,)}
+SHAPES = {
+    "e": (SLOTS, DIM), "p": (WINDOW, DIM), "q": (DIM, DIM), "o": (DIM, DIM), "r": (WINDOW,), "u": (CLASSES, DIM), "b": (CLASSES,), "m": (CLASSES, MEMBERS, DIM), "c": (CLASSES, MEMBERS),
+}
+_SCALE = np.float32(DIM**-0.5)
+_CAUSAL = np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None]
+_CAUSAL_WEIGHT = _CAUSAL.astype(np.float32)
+_DISTANCE = np.maximum(np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0)
+_U = np.uint64
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective finalizer of 64-bit integers."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+class RunHashes:
+    """64-bit hashes of runs of ids, all from one running sum of powers: a run costs a difference and a product.
+
+    Powers of an odd number have inverses modulo 2^64, so a run's hash does not hang on where it stands.
+    """
+
+    POWER = 0x9E3779B97F4A7C15
+    INVERSE = pow(POWER, -1, 1 << 64)
+    _powers = [np.ones(1, _U), np.ones(1, _U)]
+
+    def __init__(self, ids: np.ndarray) -> None:
+        while len(self._powers[0]) < len(ids) + 1:
+            for i, r in enumerate((self.POWER, self.INVERSE)):
+                held = self._powers[i]
+                self._powers[i] = np.concatenate([held, held * _U(pow(r, len(held), 1 << 64))])
+        self.inverse = self._powers[1]
+        mixed = _mixed(np.arange(1, int(ids.max(initial=0)) + 2, dtype=_U))
+        self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(mixed[ids] * self._powers[0][: len(ids)], dtype=_U)])
+
+    def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[stops] - self.sums[starts]) * self.inverse[starts] + (stops - starts).astype(_U)).view(np.int64)
+
+
+class Counts:
+    """Counts by 64-bit hash: sorted, and looked up from where the hash's first bits say."""
+
+    def __init__(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.numbers = hashes[order], numbers[order]
+        self.bits = max(1, len(hashes).bit_length())
+        edges = (np.arange(1 << self.bits) - (1 << (self.bits - 1))) << (64 - self.bits)
+        self.first = np.append(np.searchsorted(self.hashes, edges), len(hashes))
+        self.most = int(np.diff(self.first).max(initial=0))
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The count of each hash, -1 where there is none."""
+        out = np.full(len(h), -1, np.int64)
+        if not len(self.hashes):
+            return out
+        part = (h >> (64 - self.bits)) + (1 << (self.bits - 1))
+        at, stop = self.first[part], self.first[part + 1]
+        left = np.arange(len(h))
+        for _ in range(self.most):
+            some = at[left] < stop[left]
+            left = left[some]
+            place = at[left]
+            hit = self.hashes[place] == h[left]
+            out[left[hit]] = self.numbers[place[hit]]
+            left = left[~hit]
+            at[left] += 1
+        return out
 
 
 class WordIds:
@@ -55,7 +137,9 @@ class WordIds:
         self.tokenizer.no_padding()
         vocab = self.tokenizer.get_vocab()
         self.size = max(vocab.values()) + 1
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.end = vocab["<|endoftext|>"]
+        #: ids that begin with the space before a word: just the first id of every word is one
         self.starts = np.zeros(self.size, bool)
         for token, i in vocab.items():
             self.starts[i] = token.startswith("Ġ")
@@ -115,18 +199,6 @@ def word_ids(path: str) -> WordIds:
     return _words[path]
 
 
-def grouping(counts: np.ndarray, starts: np.ndarray, groups: int, single: int) -> np.ndarray:
-    """Group of each id: the most frequent have their own, the rest share groups of like weight, word starts apart."""
-    order = np.argsort(-counts, kind="stable")
-    out = np.empty(len(counts), np.int32)
-    out[order[:single]] = np.arange(min(single, len(order)))
-    shared = (groups - single) // 2
-    for i, some in enumerate((order[single:][starts[order[single:]]], order[single:][~starts[order[single:]]])):
-        mass = np.cumsum(counts[some] + 0.1)
-        out[some] = single + i * shared + np.minimum((mass - mass[0]) / max(mass[-1] - mass[0], 1e-9) * shared, shared - 1).astype(np.int32) if len(some) else 0
-    return out
-
-
 def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each window the position of its first predicted id and the bounds of its document."""
     n = -(-np.diff(bounds) // SCORED)
@@ -135,104 +207,164 @@ def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first + number * SCORED, first, np.repeat(bounds[1:], n)
 
 
+def slots_of(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Slot (class * MEMBERS + member) of each id.
+
+    The most frequent ids have one of their own, ids that start a word and others in classes apart; the last
+    member of every class stands for a share of all other ids.
+    """
+    own = SLOTS - CLASSES
+    order = np.argsort(-counts, kind="stable")
+    top, rest = order[:own], order[own:]
+    lined = np.concatenate([top[starts[top]], top[~starts[top]]])
+    place = np.arange(len(lined))
+    out = np.empty(len(counts), np.int32)
+    out[lined] = place // (MEMBERS - 1) * MEMBERS + place % (MEMBERS - 1)
+    out[rest] = np.arange(len(rest)) % CLASSES * MEMBERS + MEMBERS - 1
+    return out
+
+
+def _by_class(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by class, and where each class begins in it."""
+    order = np.argsort(classes.astype(np.uint8), kind="stable")
+    return order, np.searchsorted(classes[order], np.arange(CLASSES + 1))
+
+
 class AttentionLm:
-    """One causal self-attention layer over id groups, predicting classes of ids."""
+    """One causal self-attention layer over id slots, predicting an id's class and its member there."""
 
     def __init__(self, counts: np.ndarray, starts: np.ndarray, end: int, seed: int = 3) -> None:
-        self.end = end
-        self.of_class = grouping(counts, starts, CLASSES, SINGLE)
-        self.of_input = grouping(counts, starts, INPUTS, SINGLE_INPUTS)
-        mass = np.maximum(np.bincount(self.of_class, counts + 0.1, CLASSES), 1e-9)
-        self.within = (np.log(counts + 0.1) - np.log(mass[self.of_class])).astype(np.float32)
-        begins = starts.copy()
-        begins[end] = True
-        self.start_shares = np.column_stack([np.ones(CLASSES), np.bincount(self.of_class, (counts + 0.1) * begins, CLASSES) / mass]).astype(np.float32)
+        self.slot = slots_of(counts, starts)
+        self.end_slot = int(self.slot[end])
+        mass = np.bincount(self.slot, counts + 0.1, SLOTS) + 1e-9
+        #: log share of an id in its slot
+        self.within = np.log((counts + 0.1) / mass[self.slot]).astype(np.float32)
         rng = np.random.default_rng(seed)
-        scale = {"e": 0.3, "p": 0.1, "u": 0.3}
+        scale = {"e": 0.3, "p": 0.1, "u": 0.3, "m": 0.3, "o": 0.3 * DIM**-0.5, "r": 0.0}
         self.w = {n: (rng.standard_normal(s) * scale.get(n, DIM**-0.5)).astype(np.float32) for n, s in SHAPES.items()}
-        self.w["b"] = np.log(np.maximum(mass, 0.1) / max(mass.sum(), 1)).astype(np.float32)
-        self.w["o"] *= 0.1
+        of_class = mass.reshape(CLASSES, MEMBERS).sum(axis=1)
+        self.w["b"] = np.log(of_class / of_class.sum()).astype(np.float32)
+        self.w["c"] = np.log(mass.reshape(CLASSES, MEMBERS) / of_class[:, None]).astype(np.float32)
 
-    def gathered(self, ids: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs and their validity (B, 48); targets and their validity (B, 32).  The input before an id is the id before it, an end at the start."""
+    def gathered(self, slots: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs (B, WINDOW), their validity, and of the ids predicted the places in (B, SCORED) and the slots.
+
+        The input before an id is the id before it, an end at the start.
+        """
         place = at[:, None] + np.arange(-CONTEXT, SCORED)
         valid = (place >= low[:, None]) & (place < high[:, None])
-        before = np.clip(place - 1, 0, len(ids) - 1)
-        inputs = np.where(place == low[:, None], self.of_input[self.end], self.of_input[ids[before]])
-        target = place[:, CONTEXT:]
-        return inputs, valid, ids[np.minimum(target, len(ids) - 1)], valid[:, CONTEXT:]
+        inputs = slots[np.clip(place - 1, 0, max(len(slots) - 1, 0))]
+        inputs[place == low[:, None]] = self.end_slot
+        real = np.flatnonzero(valid[:, CONTEXT:])
+        return inputs, valid, real, slots[place[:, CONTEXT:].ravel()[real]]
 
     def forward(self, inputs: np.ndarray, valid: np.ndarray) -> tuple:
-        w = self.w
-        x = w["e"][inputs] + w["p"]
-        xs = x[:, CONTEXT:]
-        q, k, v = xs @ w["q"], x @ w["k"], x @ w["v"]
-        s = q @ k.transpose(0, 2, 1) * np.float32(DIM**-0.5)
-        np.clip(s, -30, 30, out=s)  # exp stays finite without a row maximum
+        w, n = self.w, len(inputs)
+        x = np.take(w["e"], inputs, axis=0)
+        x += w["p"]
+        xs = np.ascontiguousarray(x[:, CONTEXT:])
+        q = (xs.reshape(-1, DIM) @ (w["q"] * _SCALE)).reshape(n, SCORED, DIM)
+        s = q @ x.transpose(0, 2, 1)
+        s += w["r"][_DISTANCE]
+        np.minimum(s, 30, out=s)  # exp stays finite without a row maximum
         np.exp(s, out=s)
-        s *= valid[:, None, :] & _CAUSAL
-        s /= np.maximum(s.sum(axis=-1, keepdims=True), np.float32(1e-20))
-        a = s @ v
-        h = xs + a @ w["o"]
-        z = h.reshape(-1, DIM) @ w["u"].T + w["b"]
-        return x, xs, q, k, v, s, a, h, z
-
-    def log_probs(self, ids: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions predicted in these windows, the natural log probability of each id there, and that of a word start or end there."""
-        inputs, valid, target, real = self.gathered(ids, at, low, high)
-        z = self.forward(inputs, valid)[-1]
-        wanted = target.ravel()
-        picked = z[np.arange(len(z)), self.of_class[wanted]]
-        with np.errstate(over="ignore"):
-            sums = np.exp(z) @ self.start_shares
-        if not np.isfinite(sums).all():  # logits beyond what exp takes: go by differences from the greatest
-            z = z - z.max(axis=-1, keepdims=True)
-            picked = z[np.arange(len(z)), self.of_class[wanted]]
-            sums = np.exp(z) @ self.start_shares
-        sums = np.log(sums)
-        place = (at[:, None] + np.arange(SCORED))[real]
-        real = real.ravel()
-        return place, (picked - sums[:, 0] + self.within[wanted])[real], (sums[:, 1] - sums[:, 0])[real]
-
-    def log_probs_of(self, ids: np.ndarray, bounds: np.ndarray, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """For every id of the documents the two log probabilities of ``log_probs``."""
+        s *= _CAUSAL_WEIGHT if valid.all() else valid[:, None, :] & _CAUSAL
+        s *= 1 / np.maximum(s @ np.ones((WINDOW, 1), np.float32), np.float32(1e-20))
+        a = s @ x
+        h = xs.reshape(-1, DIM) + a.reshape(-1, DIM) @ w["o"]
+        return x, xs, q, s, a, h
+
+    def log_probs(self, slots: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions predicted in these windows, and the natural log probability of the slot at each."""
+        inputs, valid, real, wanted = self.gathered(slots, at, low, high)
+        h = self.forward(inputs, valid)[-1]
+        h = h if len(real) == len(h) else h[real]
+        of_class, member = np.divmod(wanted, MEMBERS)
+        one = np.ones(CLASSES, np.float32)
+        z = h @ self.w["u"].T
+        z += self.w["b"]
+        np.minimum(z, 80, out=z)
+        out = z[np.arange(len(z)), of_class]
+        out -= np.log(np.exp(z, out=z) @ one)
+        order, first = _by_class(of_class)
+        hs, members, more = h[order], member[order], np.empty(len(h), np.float32)
+        for i in range(CLASSES):
+            a, b = first[i], first[i + 1]
+            if a < b:
+                z = hs[a:b] @ self.w["m"][i].T
+                z += self.w["c"][i]
+                np.minimum(z, 80, out=z)
+                more[a:b] = z[np.arange(b - a), members[a:b]]
+                more[a:b] -= np.log(np.exp(z, out=z) @ one)
+        out[order] += more
+        return (at[:, None] + np.arange(SCORED)).ravel()[real], out
+
+    def log_probs_of(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """For every id of the documents its natural log probability."""
         at, low, high = windows(bounds)
-        own, start = np.zeros(len(ids), np.float32), np.zeros(len(ids), np.float32)
-        for i in range(0, len(at), batch):
-            place, own_, start_ = self.log_probs(ids, at[i : i + batch], low[i : i + batch], high[i : i + batch])
-            own[place], start[place] = own_, start_
-        return own, start
-
-    def gradients(self, ids: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        slots, out = self.slot[ids], np.zeros(len(ids), np.float32)
+        for i in range(0, len(at), BATCH):
+            place, values = self.log_probs(slots, at[i : i + BATCH], low[i : i + BATCH], high[i : i + BATCH])
+            out[place] = values
+        return out + self.within[ids]
+
+    def gradients(self, slots: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """Of the mean loss over the ids predicted in these windows."""
         w = self.w
-        inputs, valid, target, real = self.gathered(ids, at, low, high)
-        x, xs, q, k, v, s, a, h, z = self.forward(inputs, valid)
-        n = max(int(real.sum()), 1)
-        np.exp(np.clip(z, -60, 60), out=z)
-        z /= z.sum(axis=-1, keepdims=True)
-        rows, want = np.arange(len(z)), self.of_class[target.ravel()]
-        loss = float(-(np.log(z[rows, want] + 1e-30) * real.ravel()).sum() / n)
-        z[rows, want] -= 1
-        z *= (real.ravel() / np.float32(n))[:, None]
-        g = {"u": z.T @ h.reshape(-1, DIM), "b": z.sum(axis=0)}
-        dh = (z @ w["u"]).reshape(h.shape)
-        g["o"] = a.reshape(-1, DIM).T @ dh.reshape(-1, DIM)
-        da = dh @ w["o"].T
-        ds = da @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ da
-        ds = s * (ds - (ds * s).sum(axis=-1, keepdims=True)) * np.float32(DIM**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        two = lambda t: t.reshape(-1, DIM)
-        g["q"], g["k"], g["v"] = two(xs).T @ two(dq), two(x).T @ two(dk), two(x).T @ two(dv)
-        dx = dk @ w["k"].T + dv @ w["v"].T
-        dx[:, CONTEXT:] += dh + dq @ w["q"].T
-        dx *= valid[:, :, None]
+        inputs, valid, real, wanted = self.gathered(slots, at, low, high)
+        x, xs, q, s, a, h = self.forward(inputs, valid)
+        whole = len(real) == len(h)
+        hr = h if whole else h[real]
+        of_class, member = np.divmod(wanted, MEMBERS)
+        n = max(len(real), 1)
+        loss = 0.0
+
+        def slopes(z: np.ndarray, want: np.ndarray) -> np.ndarray:
+            nonlocal loss
+            np.minimum(z, 60, out=z)
+            np.exp(z, out=z)
+            z *= 1 / (n * (z @ np.ones((z.shape[1], 1), z.dtype)))
+            rows = np.arange(len(z))
+            loss -= float(np.log(n * z[rows, want] + 1e-30).sum()) / n
+            z[rows, want] -= 1 / n
+            return z
+
+        z = slopes(hr @ w["u"].T + w["b"], of_class)
+        g = {"u": z.T @ hr, "b": z.sum(axis=0), "m": np.zeros_like(w["m"]), "c": np.zeros_like(w["c"])}
+        dh = z @ w["u"]
+        order, first = _by_class(of_class)
+        hs, members, more = hr[order], member[order], np.empty_like(hr)
+        for i in range(CLASSES):
+            lo, hi = first[i], first[i + 1]
+            if lo < hi:
+                z = slopes(hs[lo:hi] @ w["m"][i].T + w["c"][i], members[lo:hi])
+                g["m"][i], g["c"][i] = z.T @ hs[lo:hi], z.sum(axis=0)
+                more[lo:hi] = z @ w["m"][i]
+        dh[order] += more
+        if not whole:
+            spread = np.zeros_like(h)
+            spread[real] = dh
+            dh = spread
+        two = lambda t: t.reshape(-1, t.shape[-1])
+        g["o"] = two(a).T @ dh
+        da = (dh @ w["o"].T).reshape(a.shape)
+        ds = da @ x.transpose(0, 2, 1)
+        dx = s.transpose(0, 2, 1) @ da
+        ds -= (da * a).sum(axis=-1, keepdims=True)  # the mean of ds under s
+        ds *= s
+        g["r"] = np.bincount(_DISTANCE.ravel(), ds.sum(axis=0).ravel(), WINDOW).astype(ds.dtype)
+        dq = ds @ x
+        dx += ds.transpose(0, 2, 1) @ q
+        g["q"] = two(xs).T @ two(dq) * _SCALE
+        dx[:, CONTEXT:] += (dh + two(dq) @ (w["q"].T * _SCALE)).reshape(xs.shape)
+        if not valid.all():
+            dx *= valid[:, :, None]
         g["p"] = dx.sum(axis=0)
-        order = np.argsort(inputs, axis=None, kind="stable")
-        sorted_ = inputs.ravel()[order]
-        first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+        by_input = np.argsort(inputs.ravel().astype(np.uint16), kind="stable")
+        inputs = inputs.ravel()[by_input]
+        first = np.flatnonzero(np.diff(inputs, prepend=-1))
         g["e"] = np.zeros_like(w["e"])
-        g["e"][sorted_[first]] = np.add.reduceat(two(dx)[order], first, axis=0)
+        g["e"][inputs[first]] = np.add.reduceat(two(dx)[by_input], first, axis=0)
         return g, loss
 
     def pack(self) -> np.ndarray:
@@ -246,186 +378,246 @@ class AttentionLm:
             at += size
 
 
-_CAUSAL = np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None]
+class Learner:
+    """Adam steps over windows of documents that arrive piece by piece, STEP windows to a step."""
 
-
-class Adam:
     def __init__(self, model: AttentionLm, rate: float) -> None:
-        self.model, self.rate, self.t = model, rate, 0
+        self.model, self.rate, self.t, self.seen = model, rate, 0, 0
         self.m = {n: np.zeros(s, np.float32) for n, s in SHAPES.items()}
         self.s = {n: np.zeros(s, np.float32) for n, s in SHAPES.items()}
+        self.slots, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def step(self, ids: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> float:
-        g, loss = self.model.gradients(ids, at, low, high)
+    def step(self, slots: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        g, _ = self.model.gradients(slots, at, low, high)
         self.t += 1
-        rate = self.rate / (1 + self.t / 400)
+        self.seen += len(at)
+        rate = self.rate / (1 + self.t / 400) * len(at) / STEP
         for n, v in g.items():
             self.m[n] += 0.1 * (v - self.m[n])
             self.s[n] += 0.01 * (v * v - self.s[n])
-            self.model.w[n] = self.model.w[n] - np.float32(rate) * (self.m[n] / (1 - 0.9**self.t)) / (np.sqrt(self.s[n] / (1 - 0.99**self.t)) + 1e-8)
-        return loss
+            self.model.w[n] -= np.float32(rate) * (self.m[n] / (1 - 0.9**self.t)) / (np.sqrt(self.s[n] / (1 - 0.99**self.t)) + np.float32(1e-8))
 
-    def run(self, ids: np.ndarray, bounds: np.ndarray, batch: int = 64) -> int:
-        """Steps over all windows of the documents, each step spread over all of these; how many windows."""
+    def run(self, ids: np.ndarray, bounds: np.ndarray) -> None:
+        """Steps over all windows of the documents, each step spread over all of these."""
         at, low, high = windows(bounds)
-        n = -(-len(at) // batch)
+        slots, n = self.model.slot[ids], -(-len(at) // STEP)
         for i in range(n):
-            self.step(ids, at[i::n], low[i::n], high[i::n])
-        return len(at)
+            self.step(slots, at[i::n], low[i::n], high[i::n])
 
 
 def training(documents: DataFrame) -> DataFrame:
     return documents.where(crc32_mod("doc_id", 7) != 2)
 
 
-def counted(documents: DataFrame, path: str) -> DataFrame:
-    """Counts over training documents: rows (word, null, n), (null, id, n); id -1 counts the documents.
+def encoded(documents: DataFrame, path: str) -> DataFrame:
+    """Rows (doc_id, learn, ids) of all documents; of training documents also counts (h, n) by word and (id, n) by id.
 
-    Each task adds up what it has read in a bounded cache and hands on one row for each entry.
+    Each task adds up what it has read in a bounded cache and hands on one row for each entry; id -1 counts
+    documents.  ``h`` is the hash of a word's ids.
     """
+    text_batches(documents.sparkSession)
+    id_type = documents.schema["doc_id"].dataType
+    arrow = {"learn": pa.bool_(), "ids": pa.binary(), "h": pa.int64(), "id": pa.int32(), "n": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(path)
+        keep_freed_memory()
+        words = word_ids(path)  # kept from task to task; only the counts begin anew
         seen, ids_seen, n_documents = np.zeros(1024, np.int64), np.zeros(words.size, np.int64), 0
 
-        def emit() -> pa.RecordBatch:
-            n = seen[: len(words.rows)]
-            some = np.flatnonzero(n)
-            names = pa.array(list(words.rows), pa.binary()).take(pa.array(some)).cast(pa.string())
-            return pa.RecordBatch.from_arrays([names, pa.nulls(len(some), pa.int32()), pa.array(n[some])], names=["word", "id", "n"])
+        def rows(id_kind: pa.DataType, size: int, **columns: pa.Array) -> pa.RecordBatch:
+            columns.setdefault("doc_id", pa.nulls(size, id_kind))
+            names = ["doc_id", *arrow]
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, arrow[c]) for c in names], names=names)
+
+        def words_seen(id_kind: pa.DataType) -> pa.RecordBatch:
+            some = np.flatnonzero(seen[: len(words.rows)])
+            ids, lengths = words.store.gather(some)
+            stops = np.cumsum(lengths)
+            return rows(id_kind, len(some), h=pa.array(RunHashes(ids).of(stops - lengths, stops)), n=pa.array(seen[some]))
 
-        for batch in slices(batches):
+        kind = None
+        for batch in slices(batches, 1024, 2 << 20):
+            kind = batch.column(0).type
             if words.full():
-                yield emit()
+                yield words_seen(kind)
                 words.clear()
                 seen[:] = 0
-            rows, counts = words.rows_of(batch.column(0))
+            of_words, counts = words.rows_of(batch.column(2))
             while len(seen) < len(words.rows):
                 seen = np.concatenate([seen, np.zeros_like(seen)])
-            got = np.bincount(rows, minlength=1)
+            ids, bounds = words.documents(of_words, counts)
+            learn = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            taken = of_words if learn.all() else of_words[np.repeat(learn, counts)]
+            got = np.bincount(taken, minlength=1)
             seen[: len(got)] += got
-            ids, _ = words.documents(rows, counts)
-            ids_seen += np.bincount(ids, minlength=words.size)
-            n_documents += len(counts)
+            ids_seen += np.bincount(ids[np.repeat(learn, np.diff(bounds))], minlength=words.size)
+            n_documents += int(learn.sum())
+            raw, wide = memoryview(ids.astype(words.dtype)).cast("B"), words.dtype.itemsize
+            cuts = (bounds * wide).tolist()
+            packed = pa.array([bytes(raw[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())
+            yield rows(kind, len(learn), doc_id=batch.column(0), learn=batch.column(1), ids=packed)
         if n_documents:
-            yield emit()
-            some = np.flatnonzero(ids_seen)
-            pairs = [*zip(some.tolist(), ids_seen[some].tolist()), (-1, n_documents)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.string()), pa.array([i for i, _ in pairs], pa.int32()), pa.array([n for _, n in pairs], pa.int64())], names=["word", "id", "n"])
+            yield words_seen(kind)
+            some = np.append(np.flatnonzero(ids_seen), -1)
+            yield rows(kind, len(some), id=pa.array(some.astype(np.int32)), n=pa.array(np.append(ids_seen[some[:-1]], n_documents)))
+
+    learn = F.coalesce(crc32_mod("doc_id", 7) != 2, F.lit(False)).alias("learn")
+    return documents.select("doc_id", learn, "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, learn boolean, ids binary, h long, id int, n long")
+
 
-    rows = training(documents).select("text").mapInArrow(run, "word string, id int, n long")
-    return rows.groupBy("word", "id").agg(F.sum("n").alias("n")).withColumn("h", F.when(F.col("word").isNotNull(), F.xxhash64("word")))
+def _documents(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of packed documents one after the other, and their bounds."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), dtype).astype(np.int64), lengths_to_bounds([len(x) // dtype.itemsize for x in values])
 
 
-def trained(documents: DataFrame, path: str, counts: np.ndarray, warm_documents: int = WARM_DOCUMENTS) -> AttentionLm:
-    """The model after the warm start and one averaged pass over all training documents."""
+def trained(documents: DataFrame, path: str, counts: np.ndarray, warm_documents: int = WARM_DOCUMENTS, bucket_ids: int = BUCKET_IDS) -> AttentionLm:
+    """The model after the warm start and one pass over all training documents; ``documents`` as ``encoded`` gives them."""
     words = word_ids(path)
     model = AttentionLm(counts, words.starts, words.end)
-    learn = training(documents)
-    # ids alone are ordered, so that tasks do not send texts that the driver then drops
-    ids_first = learn.select(F.xxhash64("doc_id", F.lit(3)).alias("h"), "doc_id").orderBy("h", "doc_id").limit(warm_documents).select("h", "doc_id").distinct()
-    first = sorted(learn.select("doc_id", "text").join(F.broadcast(ids_first), "doc_id").collect(), key=lambda r: (r["h"], r["text"] or ""))
+    learn = documents.where("learn").select("doc_id", "ids", F.xxhash64("doc_id", "ids", F.lit(3)).alias("h"))
+    # hashes alone are ordered, so that tasks do not send ids that the driver then drops
+    chosen = learn.select("h").orderBy("h").limit(warm_documents).distinct()
+    rows = learn.join(F.broadcast(chosen), "h").select("h", "ids").collect()
+    first = [ids for _, ids in sorted((r["h"], bytes(r["ids"])) for r in rows)]
     if not first:
         return model
-    ids, bounds = words.documents(*words.rows_of(pa.array([r["text"] for r in first], pa.string())))
-    adam = Adam(model, 0.02)
-    for _ in range(3):
-        adam.run(ids, bounds)
+    ids, bounds = _documents(pa.array(first, pa.binary()), words.dtype)
+    learner = Learner(model, 0.02)
+    for _ in range(WARM_ROUNDS):
+        learner.run(ids, bounds)
     sent = documents.sparkSession.sparkContext.broadcast((counts, model.pack()))
+    buckets = max(1, -(-int(counts.sum()) // bucket_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         own = word_ids(path)
         start_counts, start = sent.value
-        local = AttentionLm(start_counts, own.starts, own.end)
-        local.unpack(start)
-        adam, seen = Adam(local, 0.003), 0
-        for batch in slices(batches):
-            if own.full():
-                own.clear()
-            seen += adam.run(*own.documents(*own.rows_of(batch.column(0))))
+        total, seen, bucket, held = np.zeros(len(start)), 0, None, []
+        learner = None
+
+        def learn_held() -> None:
+            """Steps over what is held of the bucket: whole documents, a step's windows spread over them."""
+            if held:
+                learner.run(*_documents(pa.array(held, pa.binary()), own.dtype))
+                held.clear()
+
+        def close() -> None:
+            nonlocal total, seen
+            if learner is not None:
+                learn_held()
+                total += learner.model.pack().astype(np.float64) * learner.seen
+                seen += learner.seen
+
+        size = 0
+        for batch in slices(batches, column="ids"):
+            for b, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if b != bucket:
+                    close()
+                    bucket, size = b, 0
+                    model = AttentionLm(start_counts, own.starts, own.end)
+                    model.unpack(start)
+                    learner = Learner(model, 0.004)
+                held.append(packed)
+                size += len(packed)
+                if size >= 1 << 18:
+                    learn_held()
+                    size = 0
+        close()
         if seen:
-            packed = local.pack().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([packed.tolist()], pa.list_(pa.float64())), pa.array([float(seen)])], names=["weights", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([float(seen)])], names=["weights", "seen"])
 
-    tasks = learn.select("text").mapInArrow(run, "weights array<double>, seen double")
-    sums = tasks.select("seen", F.posexplode("weights").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("seen")) / F.sum("seen")).alias("w")).toPandas()
+    dealt = learn.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket", "h", "doc_id", "ids").select("bucket", "ids")
+    tasks = cut(dealt.mapInArrow(run, "weights array<double>, seen double"), "weights")
+    sums = tasks.select("seen", F.posexplode("weights").alias("i", "w")).groupBy("i").agg((F.sum("w") / F.sum("seen")).alias("w")).toPandas()
     if len(sums):
         model.unpack(sums.sort_values("i")["w"].to_numpy())
     return model
 
 
-def scores(documents: DataFrame, path: str) -> DataFrame:
+def _remembered(scored: DataFrame) -> DataFrame:
+    """(row, gain): what the memory of training documents adds to the natural log probability of a document."""
+    all_ = scored.where(F.size("stretches") > 0).select("row", F.col("learn").cast("int").alias("own"), F.explode("stretches").alias("w")).select("row", "own", "w.before", "w.whole", "w.p")
+    seen = cut(all_.where("own = 1").groupBy("before", "whole").agg(F.count("*").alias("m")), "stretches")
+    contexts = cut(seen.groupBy("before").agg(F.sum("m").alias("n")), "contexts")
+    # only where other documents have the context
+    met = all_.join(contexts, "before").where(F.col("n") > F.col("own"))
+    met = met.join(seen.select("whole", "m"), "whole", "left")
+    n, m = F.col("n") - F.col("own"), F.coalesce(F.col("m") - F.col("own"), F.lit(0))
+    gain = F.log((m + F.exp("p")) / (n + 1)) - F.col("p")
+    return met.groupBy("row").agg(F.sum(gain).alias("gain"))
+
+
+def scores(documents: DataFrame, path: str, **options: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and attention_score of every document."""
     spark = documents.sparkSession
-    table = cut(counted(documents, path), "counts")
-    id_rows = table.where("id is not null").select("id", "n").toPandas()  # one row for each id of the vocabulary
+    tokens = cut(encoded(documents, path), "tokens")
+    id_rows = tokens.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # one row for each id of the vocabulary
     n_docs = int(id_rows.loc[id_rows["id"] == -1, "n"].sum())
     ids = id_rows[id_rows["id"] >= 0]
-    counts = np.bincount(ids["id"].to_numpy(), ids["n"].to_numpy(), word_ids(path).size) if len(ids) else np.zeros(word_ids(path).size)
-    words = table.where("word is not null").select("h", "n")
-    stats = words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.col("n").desc()).toPandas()
-    n_words, distinct = int((stats["n"] * stats["words"]).sum()), int(stats["words"].sum())
+    size = word_ids(path).size
+    counts = np.bincount(ids["id"].to_numpy(), ids["n"].to_numpy(), size) if len(ids) else np.zeros(size)
+    words = cut(tokens.where("h is not null").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    # how many words are at least so frequent, by powers of two: the least power that few enough reach is the bound
+    powers = [F.count(F.when(F.col("n") >= 1 << j, 1)).alias(f"p{j}") for j in range(48)]
+    found = words.agg(F.sum("n").alias("words"), F.count("*").alias("distinct"), *powers).first()
+    n_words, distinct = int(found["words"] or 0), int(found["distinct"])
+    least = 1 << next(j for j in range(48) if found[f"p{j}"] <= MOST_SENT)
     total, vocabulary = n_words + n_docs, distinct + (n_docs > 0)
-    bulk = stats[stats["words"].cumsum() <= MOST_SENT]
-    least = int(bulk["n"].min()) if len(bulk) else (1 << 62)
-    common = words.where(F.col("n") >= least).toPandas().sort_values("h")
-    model = trained(documents, path, counts)
+    common = words.where(F.col("n") >= least).toPandas()
+    docs = tokens.where("ids is not null").select("doc_id", "learn", "ids")
+    model = trained(docs, path, counts, **options)
     divisor = float(total + vocabulary + 1)
     sent = spark.sparkContext.broadcast((counts, model.pack(), common["h"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         own = word_ids(path)
         id_counts, weights, hashes, numbers = sent.value
+        common_counts = Counts(hashes, numbers)
         lm = AttentionLm(id_counts, own.starts, own.end)
         lm.unpack(weights)
-        own.clear()
-        of_word, word_hash = np.zeros(1, np.int64), np.zeros(1, np.int64)  # by row: count (-1: not among the common ones), hash
-        for batch in slices(batches):
-            if own.full():
-                own.clear()
-                of_word, word_hash = np.zeros(1, np.int64), np.zeros(1, np.int64)
-            rows, per_text = own.rows_of(batch.column(1))
-            if len(own.rows) > len(of_word):
-                fresh = list(own.rows)[len(of_word) :]
-                h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in fresh), np.uint64, len(fresh)).view(np.int64)
-                at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
-                found = np.where(hashes[at] == h, numbers[at], -1) if len(hashes) else np.full(len(h), -1)
-                of_word, word_hash = np.concatenate([of_word, found]), np.concatenate([word_hash, h])
-            c = of_word[rows]
-            known = c >= 0
-            text_bounds = lengths_to_bounds(per_text)
+        for batch in slices(batches, 1024, 1 << 20, "ids"):
+            ids, bounds = _documents(batch.column(2), own.dtype)
+            log_p = lm.log_probs_of(ids, bounds)
+            summed = np.concatenate([[0.0], np.cumsum(log_p, dtype=np.float64)])
+            # a word runs from its first id to the next one's, or to its document's end
+            begins, ends = own.starts[ids], np.zeros(len(ids), bool)
+            begins[bounds[1:] - 1] = ends[bounds[1:] - 1] = True
+            first = np.flatnonzero(begins)
+            per_text = np.diff(np.searchsorted(first, bounds)) - 1
+            hashes_of = RunHashes(ids)
+            own_words = np.flatnonzero(~ends[first])
+            h = hashes_of.of(first[own_words], first[own_words + 1])
+            c = common_counts.of(h)
+            known, text_bounds = c >= 0, lengths_to_bounds(per_text)
             sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[text_bounds])
             base = [np.log10((c[a:b][known[a:b]] + 1) / divisor).sum() for a, b in zip(text_bounds.tolist(), text_bounds[1:].tolist())]
-            doc_ids, bounds = own.documents(rows, per_text)
-            log_p, log_start = lm.log_probs_of(doc_ids, bounds)
-            # a word runs from its first id to the next word start: given the one before, and with the one after
-            lengths = own.store.lengths[rows].astype(np.int64)
-            first = np.cumsum(lengths) - lengths + np.repeat(np.arange(len(per_text)), per_text)
-            summed = np.concatenate([[0.0], np.cumsum(log_p, dtype=np.float64)])
-            word_p = summed[first + lengths] - summed[first] - log_start[first] + log_start[first + lengths]
-            ends = bounds[1:] - 1
-            of_end = np.logaddexp(np.log1p(-COUNTS_SHARE) + log_p[ends] - log_start[ends], np.log(COUNTS_SHARE * (n_docs + 1) / divisor))
-            mixed_p = np.logaddexp(np.log1p(-COUNTS_SHARE) + word_p, np.log(COUNTS_SHARE * (np.maximum(c, 0) + 1) / divisor))
-            score = (sums(np.where(known, mixed_p, 0.0)) + of_end) / np.log(10)
-            alone = np.diff(summed[bounds]) / np.log(10)
-            tail = ~known
-            entries = pa.StructArray.from_arrays([pa.array(word_hash[rows[tail]]), pa.array(word_p[tail])], names=["h", "p"])
-            tails = pa.ListArray.from_arrays(pa.array(lengths_to_bounds(sums(tail)), pa.int32()), entries)
+            tails = pa.ListArray.from_arrays(pa.array(lengths_to_bounds(sums(~known)), pa.int32()), pa.array(h[~known]))
+            # stretches but the first, which has nothing before it
+            n = -(-np.diff(bounds) // STRETCH)
+            low = np.repeat(bounds[:-1], n)
+            at = low + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STRETCH
+            later = np.flatnonzero(at > low)
+            at, stop = at[later], np.append(at[1:], len(ids))[later]
+            p = summed[stop] - summed[at]
+            before, whole = hashes_of.of(at - BEFORE, at), hashes_of.of(at - BEFORE, stop)
+            per_document = np.maximum(n - 1, 0)
+            entries = pa.StructArray.from_arrays([pa.array(before), pa.array(whole), pa.array(p)], names=["before", "whole", "p"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(per_text + 1), pa.array(sums(known & (c > 0)), pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(alone), tails],
-                names=["doc_id", "n_tokens", "known", "base", "score", "attention_score", "tail"],
-            )
+                [batch.column(0), batch.column(1), pa.array(per_text + 1), pa.array(sums(known & (c > 0)), pa.int64()), pa.array(base, pa.float64()), pa.array(np.diff(summed[bounds]) / np.log(10)), tails,
+                 pa.ListArray.from_arrays(pa.array(lengths_to_bounds(per_document), pa.int32()), entries)],
+                names=["doc_id", "learn", "n_tokens", "known", "base", "attention_score", "tail", "stretches"],
+            )
 
-    scored = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, base double, score double, attention_score double, tail array<struct<h: long, p: double>>")
-    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, learn boolean, n_tokens long, known long, base double, attention_score double, tail array<long>, stretches array<struct<before: long, whole: long, p: double>>"
+    scored = cut(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = words.where(F.col("n") < least)
-    tails = scored.where(F.size("tail") > 0).select("row", F.explode("tail").alias("t")).select("row", "t.h", "t.p").join(rare, "h", "left")
-    alone = (F.col("p") + float(np.log1p(-COUNTS_SHARE))) / float(np.log(10))
-    with_counts = F.when(F.col("n").isNull(), alone).otherwise(F.log10(F.exp("p") * (1 - COUNTS_SHARE) + (F.col("n") + 1) * (COUNTS_SHARE / divisor)))
-    tails = tails.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / divisor)).alias("rest"), F.sum(with_counts).alias("rest_score"))
-    end = float(np.log10((n_docs + 1) / divisor))
-    zero = F.lit(0.0)
-    return scored.join(tails, "row", "left").select(
+    tails = scored.where(F.size("tail") > 0).select("row", F.explode("tail").alias("h")).join(rare, "h", "left")
+    tails = tails.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / divisor)).alias("rest"))
+    rows = scored.drop("tail", "stretches", "learn").join(tails, "row", "left").join(_remembered(scored), "row", "left")
+    zero, end = F.lit(0.0), float(np.log10((n_docs + 1) / divisor))
+    return rows.select(
         "doc_id", (crc32_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0)) + int(n_docs > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest", zero) + end).alias("base_score"), (F.col("score") + F.coalesce("rest_score", zero)).alias("score"), "attention_score",
+        (F.col("base") + F.coalesce("rest", zero) + end).alias("base_score"), (F.col("attention_score") + F.coalesce("gain", zero) / float(np.log(10))).alias("score"), "attention_score",
     )

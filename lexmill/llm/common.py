@@ -7,6 +7,7 @@ Intermediate results are written as Parquet in the folder named by
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,10 +22,16 @@ _session = uuid.uuid4().hex[:12]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Only a local session may do without, as in tests, and gets a temporary one: on a cluster a machine's own folder
+    would be read by others, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="lexmill-")
         atexit.register(shutil.rmtree, _own["dir"], True)
@@ -43,19 +50,42 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a batch that goes to Python, where rows hold whole texts or sets.
-BATCH_ROWS = 1000
+#: Most rows and bytes of a batch that goes to Python, where rows hold whole texts, sets or blocks.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Let batches of texts that go to Python hold a few MB: no more than ``BATCH_ROWS`` rows, in this session from now on."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Let batches of texts that go to Python hold a few MB, in this session from now on."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    # Spark gives its default in bytes, with their unit; another unit is somebody's choice
+    held = spark.conf.get(size).removesuffix("b")
+    if held.isdigit() and int(held) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
+def keep_freed_memory() -> None:
+    """Let this worker's allocator keep what numpy frees for the next arrays of the size, up to 256 MB.
+
+    Handing pages of short-lived arrays back to the system and getting them again, zeroed, takes half the time of a
+    numpy loop where many workers share a machine.  Where the C library has no such setting nothing changes.
+    """
+    import ctypes
+
+    try:
+        options = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):
+        return
+    options(-3, 32 << 20)  # from which size on arrays are mapped apart
+    options(-1, 256 << 20)  # how much may stay free at the end of the heap
 
 
 def release(spark: SparkSession) -> None:
-    """Delete what this process has written to the shared folder."""
+    """Delete what this process has written to the shared folder.
+
+    Frames that a query has returned still read from there, so that is the caller's to say, once they are written.
+    """
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/lexmill-{_session}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

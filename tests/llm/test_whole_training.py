@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 
 from lexmill.llm import attention_lm
+from lexmill.llm.common import cut
 from lexmill.llm.queries import tokenizer_file
 
 
@@ -16,10 +17,8 @@ def test_op3_trains_past_the_beginning(spark):
 
     def weights(rest):
         rows = [(i, begin + rest) for i in ids]
-        # the same document is the warm start
-        first = spark.createDataFrame([(i,) for i in ids], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id, 3) AS h").orderBy("h").first()["doc_id"]
-        rows = [(i, begin if i == first else t) for i, t in rows]
         table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-        return attention_lm.trained(table, path, counts, 1).pack()
+        tokens = cut(attention_lm.encoded(table, path), "tokens").where("ids is not null")
+        return attention_lm.trained(tokens.select("doc_id", "learn", "ids"), path, counts, 1).pack()
 
     assert np.abs(weights("river stone " * 60) - weights("seven green lamps " * 40)).max() > 1e-3
