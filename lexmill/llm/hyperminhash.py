@@ -57,7 +57,7 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     words, counts = word_hashes(texts)
     n = len(words)
     shingles = np.full(n, width, _U)
-    for j in range(width):
+    for j in range(min(width, n)):  # a batch may hold fewer words than a shingle
         shingles[: n - j] = mixed(shingles[: n - j] * _ODD[0] + words[j:])
     out, start = [], 0
     for count in counts.tolist():

@@ -3,7 +3,9 @@
 Contract: documents without words (null, empty, white space) have no shingles and are linked with
 nothing; a document with fewer words than a shingle has its whole word sequence as one.  Rows are told
 apart by their sets, so repeated rows fall into one class; its id is the least doc_id in it, null ids
-left out.  Other columns are ignored by ``classes`` and kept by ``deduplicate``.
+left out.  ``deduplicate`` keeps one row of a class: of the rows that repeat its id and belong to it, the one
+of least hash; rows without an id stay, and so do texts that only these have.  Other columns are ignored by
+``classes`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import hyperminhash as H
-from .common import cut, slices, text_batches
+from .common import cut, slices, text_batches, unused
 from .components import connected_components
 
 #: How far below the threshold a pair's estimate may lie before it is left unconfirmed: six standard errors.
@@ -36,7 +39,7 @@ def sketches(documents: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512, 2 << 20):
             sets = H.shingle_sets(batch.column(1), width)
-            ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
+            ids = [set_id(s) for s in sets]
             keys = np.concatenate([H.band_keys(H.registers(s)) if len(s) else np.zeros(0, np.int64) for s in sets])
             bounds = np.cumsum([0] + [H.BANDS * (len(s) > 0) for s in sets])
             bands = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys))
@@ -45,6 +48,24 @@ def sketches(documents: DataFrame, width: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>")
 
 
+def set_id(s: np.ndarray) -> int | None:
+    """64-bit id of a set, null for the empty one."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
+
+
+def with_nodes(documents: DataFrame, width: int, out: str) -> DataFrame:
+    """All columns and ``out``, the id of a row's set."""
+    schema = T.StructType([*documents.schema.fields, T.StructField(out, T.LongType())])
+    text = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512, 2 << 20):
+            ids = [set_id(s) for s in H.shingle_sets(batch.column(text), width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], names=schema.names)
+
+    return documents.mapInArrow(run, schema)
+
+
 def full_sets(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """node, registers and whole sets of the documents in ``ids`` (doc_id, node)."""
     if ids.count() <= MOST_SENT:
@@ -55,7 +76,7 @@ def full_sets(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         for batch in slices(batches, 512, 2 << 20):
             sets = H.shingle_sets(batch.column(1), width)
             # a repeated doc_id may bring another text of the same id: only the node's own set counts
-            own = [(node, s) for node, s in zip(batch.column(0).to_pylist(), sets) if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) == node]
+            own = [(node, s) for node, s in zip(batch.column(0).to_pylist(), sets) if len(s) and set_id(s) == node]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([n for n, _ in own], pa.int64()), pa.array([H.registers(s).tobytes() for _, s in own], pa.binary()), pa.array([s.tobytes() for _, s in own], pa.binary())], names=["node", "sketch", "shingles"]
             )
@@ -97,10 +118,15 @@ def likely_pairs(members: DataFrame, percent: int, parts: int) -> DataFrame:
     parts the nodes of a pair are; a row packs all pairs of two parts that a group has found.
     """
     least = percent / 100 - MARGIN
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = cut(members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "sizes")
+    # few buckets have more than one block; where they are many, a join of two written tables splits a hot bucket
+    sizes = F.broadcast(sizes) if sizes.count() <= MOST_SENT else sizes
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = members.join(sizes, "bucket", "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "sketch")
+    # by all three, so that the pairs of blocks of one bucket go to different tasks
+    dealt = dealt.repartition("bucket", "low", "high")
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         bucket, low, high = (k.as_py() for k in key)
@@ -168,6 +194,11 @@ def confirmed_in_parts(pairs: DataFrame, sets: DataFrame, percent: int) -> DataF
 
 def classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per document doc_id, n_shingles, component_id and kept (whether its id is its class's)."""
+    return labelled(documents, width, percent).drop("node")
+
+
+def labelled(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """``classes`` with the node, the id of a row's set (null without shingles)."""
     text_batches(documents.sparkSession)
     rows = cut(sketches(documents, width), "sketches")
     nodes = rows.where("node is not null")
@@ -195,13 +226,25 @@ def classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     named = reps.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = named.join(least, "root").select("node", "component_id")
-    linked = nodes.select("doc_id", "n_shingles", "node").join(of, "node").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = nodes.select("doc_id", "n_shingles", "node").join(of, "node").select("doc_id", "n_shingles", "component_id", "node")
+    alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node")
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose doc_id is that of their near-duplicate class, all columns kept; rows without an id stay."""
-    decided = classes(documents, width, percent).groupBy("doc_id").agg(F.max("kept").alias("stays"))
-    gone = decided.where("not stays and doc_id is not null").select(F.col("doc_id").alias("__gone"))
-    return documents.join(gone, documents["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """One row of each near-duplicate class, that of its id, all columns kept; rows without an id stay."""
+    rows = cut(labelled(documents, width, percent).where("doc_id is not null"), "classes")
+    of_id = rows.groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    gone = of_id.where("not stays or n > 1").select(F.col("doc_id").alias("__gone"))
+    out = documents.join(gone, documents["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    twice = of_id.where("stays and n > 1").select(F.col("doc_id").alias("__id"))
+    if twice.isEmpty():
+        return out
+    node = unused(documents, "node")
+    repeated = with_nodes(documents.join(twice, documents["doc_id"].cast("long") == twice["__id"], "left_semi"), width, node)
+    own = rows.where("kept").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
+    repeated = repeated.join(own, (repeated["doc_id"].cast("long") == own["__id"]) & repeated[node].eqNullSafe(own["__node"]), "left_semi")
+    # the least of each id, first in every task, so that an id with many rows is no group
+    row = F.struct(*documents.columns)
+    least = repeated.groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(row, F.struct(node, F.xxhash64(F.to_json(row)))).alias("__row"))
+    return out.unionByName(least.select("__row.*"))
