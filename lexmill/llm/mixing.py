@@ -1,21 +1,29 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Token counts are summed over cells (source, language, topic).  Raking multiplies the cells' weights, one
-margin after the other, until the weighted tokens of every source, language and topic meet their target
-shares.  A cell's weight over its tokens, scaled to the token budget and held to at most 1, is the
-probability with which each of its documents is kept; a hash of the id decides.
-
-Contract: null values of a margin are the value ''; null and empty texts have no tokens and the probability
-of their cell; values without a target, or with a target of 0, get weight 0; targets of values that do not
-occur are shared out among the others; rows that repeat a doc_id are drawn alike.  A budget beyond what
-there is keeps everything of positive weight.  All columns are kept; those added win over clashing names.
+Token counts are summed over cells (source, language, topic).  Raking multiplies the cells' rates, one
+margin after the other, until the expected tokens of every source, language and topic meet their targets.  A rate of
+one is all of a cell, so each step holds rates beyond one at one and finds the factor by which the rest meet the target:
+the bound is in the raking, not put on what comes of it.  A cell's rate is the probability with which each of its
+documents is kept; a hash of the id decides.
+
+Targets are the margins' token shares to a power below one, times the budget.  A value that does not hold its
+target is taken whole, and what it lacks is shared out among the others.
+
+A document's topic is one of eight, by a hash of its most frequent term of five letters or more (the least of equals).
+
+Contract: null values of a margin are the value ''; null and empty texts have no tokens, no topic (``none``) and the
+probability of their cell; explicit targets may be given as token shares, and a value without one, or with one of 0,
+gets rate 0; targets of values that do not occur are shared out among the others; rows that repeat a doc_id are drawn
+alike.  A budget beyond what there is keeps everything of positive target.  All columns are kept; those added win over
+clashing names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -23,16 +31,29 @@ from .common import cut
 MARGINS = ("source", "lang", "topic")
 #: Cells that are raked on the driver and sent to all executors (about 100 bytes each); more are raked in DataFrames.
 MOST_CELLS = 200_000
-SWEEPS = 12
+SWEEPS = 20
 #: Exponents that temper the token shares of each margin into its targets.
 TEMPER = {"source": 0.7, "lang": 0.5, "topic": 0.8}
 BUDGET = 0.5
 WORD = "[^\\x20\\x09-\\x0D]+"
+TOPICS, TERM_LENGTH = 8, 5
 
 
 def topic_of(text: Column) -> Column:
-    """The form of a text, which stands for its topic: table, formula, listing or prose."""
-    return F.when(text.contains("|"), "table").when(text.contains("$"), "formula").when(text.contains("\n"), "listing").otherwise("prose")
+    """One of TOPICS, by a hash of the most frequent term of five letters or more; ``none`` without one.
+
+    The terms in order, equal ones stand together, so one pass finds the longest run.
+    """
+    terms = F.array_sort(F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda t: F.length(t) >= TERM_LENGTH))
+    start = F.struct(F.lit("").alias("now"), F.lit(0).alias("k"), F.lit("").alias("best"), F.lit(0).alias("n"))
+
+    def step(acc: Column, t: Column) -> Column:
+        k = F.when(acc["now"] == t, acc["k"] + 1).otherwise(1)
+        return F.struct(t.alias("now"), k.alias("k"), F.when(k > acc["n"], t).otherwise(acc["best"]).alias("best"), F.greatest(k, acc["n"]).alias("n"))
+
+    best = F.aggregate(terms, start, step, lambda a: a["best"])
+    number = F.conv(F.substring(F.md5(best), 1, 8), 16, 10).cast("long") % TOPICS
+    return F.when(best == "", "none").otherwise(F.concat(F.lit("topic-"), number.cast("string")))
 
 
 def _prepared(documents: DataFrame) -> DataFrame:
@@ -47,84 +68,112 @@ def cells(documents: DataFrame) -> DataFrame:
     return rows.groupBy(*MARGINS).agg(F.sum("n").cast("double").alias("tokens"))
 
 
-def tempered(shares: dict, exponent: float) -> dict:
-    """Targets in proportion to the shares to the power of ``exponent``."""
-    powers = {k: v**exponent if v > 0 else 0.0 for k, v in shares.items()}
-    total = sum(powers.values()) or 1.0
-    return {k: v / total for k, v in powers.items()}
+def filled(group: np.ndarray, tokens: np.ndarray, rates: np.ndarray, goals: np.ndarray) -> np.ndarray:
+    """Rates times a factor for each group such that its cells' tokens times min(1, rate) come to its goal; rates of 0 stay, others are 1 at least where that cannot be."""
+    if not len(tokens):
+        return rates
+    order = np.lexsort((-rates, group))
+    g, t, u = group[order], tokens[order], rates[order]
+    first = np.flatnonzero(np.diff(g, prepend=-1))
+    size = np.diff(first, append=len(g))
+    within = lambda x: np.cumsum(x) - np.repeat((np.cumsum(x) - x)[first], size)
+    held = within(t) - t  # tokens of the cells before, taken whole
+    rest = np.repeat(np.add.reduceat(t * u, first), size) - within(t * u) + t * u
+    factor = np.divide(goals[g] - held, rest, out=np.zeros(len(g)), where=rest > 0)
+    fits = np.where((rest > 0) & (factor * u <= 1), np.arange(len(g)), len(g))
+    at = np.minimum.reduceat(fits, first)
+    found = np.repeat(at < len(g), size)
+    new = np.where(found, u * np.maximum(factor[np.minimum(np.repeat(at, size), len(g) - 1)], 0), np.where((goals[g] > 0) & (u > 0), np.maximum(u, 1), 0))
+    out = np.empty(len(new))
+    out[order] = new
+    return out
+
+
+def goals_of(sums: np.ndarray, exponent: float, budget: float) -> np.ndarray:
+    """Tokens of each value in proportion to its own to the power of ``exponent``, no more than it has, ``budget`` in all."""
+    rates = np.where(sums > 0, np.where(sums > 0, sums, 1.0) ** (exponent - 1), 0.0)
+    return sums * np.minimum(1, filled(np.zeros(len(sums), int), sums, rates, np.array([budget])))
+
+
+def shared_goals(sums: np.ndarray, shares: np.ndarray, budget: float) -> np.ndarray:
+    """Tokens of each value by explicit shares, no more than it has, ``budget`` in all as far as that goes."""
+    rates = np.where(sums > 0, shares / np.where(sums > 0, sums, 1.0), 0.0)
+    return sums * np.minimum(1, filled(np.zeros(len(sums), int), sums, rates, np.array([budget])))
 
 
-def rake(tokens: np.ndarray, margins: list[np.ndarray], targets: list[np.ndarray], sweeps: int = SWEEPS) -> np.ndarray:
-    """Weights of cells whose sums over each margin's groups meet the targets; ``margins`` number the groups."""
-    weights = tokens / max(tokens.sum(), 1e-300)
+def rake(tokens: np.ndarray, margins: list[np.ndarray], goals: list[np.ndarray], sweeps: int = SWEEPS) -> np.ndarray:
+    """Rates of cells such that their tokens times min(1, rate) sum to the goals of each margin's groups; ``margins`` number these."""
+    rates = np.ones(len(tokens))
     for _ in range(sweeps):
-        for group, target in zip(margins, targets):
-            now = np.bincount(group, weights, len(target))
-            weights = weights * np.where(now > 0, target / np.where(now > 0, now, 1), 0)[group]
-    return weights
-
-
-def probabilities(tokens: np.ndarray, weights: np.ndarray, budget: float) -> np.ndarray:
-    """min(1, s * weight / tokens) with s such that the expected tokens are ``budget``."""
-    rate = np.where(tokens > 0, weights / np.where(tokens > 0, tokens, 1), 0)
-    order = np.argsort(-rate, kind="stable")
-    held = np.concatenate([[0], np.cumsum(tokens[order])])[:-1]  # tokens of the cells before, kept whole
-    left = np.cumsum(weights[order][::-1])[::-1]
-    scale = np.where(left > 0, (budget - held) / np.where(left > 0, left, 1), 0)
-    fits = np.flatnonzero((left > 0) & (scale * rate[order] <= 1))
-    if not len(fits):
-        return (rate > 0).astype(float)
-    return np.clip(rate * max(float(scale[fits[0]]), 0.0), 0, 1)
-
-
-def _targets_in_frames(table: DataFrame, temper: dict[str, float]) -> dict[str, DataFrame]:
-    out = {}
-    for m in MARGINS:
-        sums = table.groupBy(m).agg(F.sum("tokens").alias("t")).withColumn("p", F.when(F.col("t") > 0, F.pow("t", F.lit(temper[m]))).otherwise(0.0))
-        out[m] = cut(sums.crossJoin(sums.agg(F.sum("p").alias("all"))).select(m, (F.col("p") / F.col("all")).alias("target")), "targets")
-    return out
+        for group, goal in zip(margins, goals):
+            rates = filled(group, tokens, rates, goal)
+    return rates
+
+
+def gaps(tokens: np.ndarray, margins: list[np.ndarray], goals: list[np.ndarray], rates: np.ndarray) -> list[float]:
+    """Of each margin the greatest difference between expected tokens and goal, as a share of all expected tokens."""
+    expected = tokens * np.minimum(rates, 1)
+    total = max(expected.sum(), 1e-300)
+    return [float(np.abs(np.bincount(g, expected, len(goal)) - goal).max(initial=0) / total) for g, goal in zip(margins, goals)]
 
 
-def _calibrated_in_frames(table: DataFrame, temper: dict[str, float], budget: float, sweeps: int) -> DataFrame:
-    """What ``calibrated`` gives, for any number of cells: every step is an aggregation and a join."""
-    targets = _targets_in_frames(table, temper)
+def _filled_in_frames(rows: DataFrame, by: str) -> DataFrame:
+    """``filled`` over rows with tokens, u and goal."""
+    w = Window.partitionBy(by).orderBy(F.col("u").desc(), *MARGINS)
+    held = F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum(F.col("tokens") * F.col("u")).over(w.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumns({"held": held, "rest": rest, "at": F.row_number().over(w)})
+    factor = F.when(F.col("rest") > 0, (F.col("goal") - F.col("held")) / F.col("rest"))
+    fits = F.when(factor * F.col("u") <= 1, F.struct("at", factor.alias("f")))
+    found = F.min(fits).over(Window.partitionBy(by))["f"]
+    new = F.when(found.isNotNull(), F.col("u") * F.greatest(found, F.lit(0.0))).when((F.col("goal") > 0) & (F.col("u") > 0), F.greatest("u", F.lit(1.0))).otherwise(0.0)
+    return rows.withColumn("u", new).drop("held", "rest", "at")
+
+
+def _calibrated_in_frames(table: DataFrame, temper: Mapping[str, float], budget: float, sweeps: int) -> DataFrame:
+    """What ``calibrated`` gives, for any number of cells: every step is windows over a margin's values."""
     total = table.agg(F.sum("tokens")).first()[0] or 0.0
-    table = table.withColumn("w", F.col("tokens") / max(total, 1e-300))
+    goals = {}
+    for m in MARGINS:
+        sums = table.groupBy(m).agg(F.sum("tokens").alias("tokens"))
+        u = F.when(F.col("tokens") > 0, F.pow("tokens", F.lit(temper[m] - 1))).otherwise(0.0)
+        others = {x: F.lit("") for x in MARGINS if x != m}
+        rows = _filled_in_frames(sums.withColumns({"u": u, "goal": F.lit(budget * total), "all": F.lit(0)} | others), "all")
+        goals[m] = cut(rows.select(m, (F.col("tokens") * F.least(F.lit(1.0), "u")).alias("goal")), "targets")
+    table = table.withColumn("u", F.lit(1.0))
     for _ in range(sweeps):
         for m in MARGINS:
-            now = table.groupBy(m).agg(F.sum("w").alias("now")).join(targets[m], m)
-            table = table.join(now, m).withColumn("w", F.when(F.col("now") > 0, F.col("w") * F.col("target") / F.col("now")).otherwise(0.0)).drop("now", "target")
+            table = _filled_in_frames(table.join(goals[m], m), m).drop("goal")
         table = cut(table, "raked")
-    rate = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0)
-    low, high = 0.0, total * 1e9 + 1
-    for _ in range(100):
-        s = (low + high) / 2
-        got = table.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), rate * s))).first()[0] or 0.0
-        low, high = (s, high) if got < budget * total else (low, s)
-    return table.select(*MARGINS, rate.alias("rate"), F.least(F.lit(1.0), rate * high).alias("probability")).withColumn("weight", F.col("rate") * total).drop("rate")
+    return table.select(*MARGINS, F.col("u").alias("weight"), F.least(F.lit(1.0), "u").alias("probability"))
+
 
+def calibrated(documents: DataFrame, temper: Mapping[str, float] = TEMPER, budget: float = BUDGET, sweeps: int = SWEEPS, most_cells: int = MOST_CELLS, targets: Mapping[str, Mapping[str, float]] | None = None) -> tuple[DataFrame, bool]:
+    """weight (the raked rate) and probability of each cell, and whether the table is bounded by ``most_cells``.
 
-def calibrated(documents: DataFrame, temper: dict[str, float] = TEMPER, budget: float = BUDGET, sweeps: int = SWEEPS, most_cells: int = MOST_CELLS) -> tuple[DataFrame, bool]:
-    """weight and probability of each cell, and whether the table is bounded by ``most_cells``."""
+    ``targets`` has explicit shares by margin and value, in place of the tempered ones; these need a bounded table.
+    """
     spark = documents.sparkSession
     table = cut(cells(documents), "cells")
     if table.count() > most_cells:
+        if targets:
+            raise ValueError(f"explicit targets take at most {most_cells} cells")
         return cut(_calibrated_in_frames(table, temper, budget, sweeps), "calibrated"), False
     rows = sorted(table.collect(), key=lambda r: tuple(r[m] for m in MARGINS))
     tokens = np.array([r["tokens"] for r in rows], float)
-    groups, targets = [], []
+    groups, goals = [], []
     for m in MARGINS:
         values = sorted({r[m] for r in rows})
         number = {v: i for i, v in enumerate(values)}
         group = np.array([number[r[m]] for r in rows], int)
         sums = np.bincount(group, tokens, len(values)) if len(rows) else np.zeros(0)
-        goal = tempered(dict(enumerate(sums.tolist())), temper[m])
         groups.append(group)
-        targets.append(np.array([goal[i] for i in range(len(values))]))
-    weights = rake(tokens, groups, targets, sweeps)
-    chance = probabilities(tokens, weights, budget * tokens.sum())
-    weight = np.where(tokens > 0, weights * tokens.sum() / np.where(tokens > 0, tokens, 1), 0)
-    data = [(*(r[m] for m in MARGINS), float(w), float(p)) for r, w, p in zip(rows, weight, chance)]
+        if targets and m in targets:
+            goals.append(shared_goals(sums, np.array([float(targets[m].get(v, 0.0)) for v in values]), budget * tokens.sum()))
+        else:
+            goals.append(goals_of(sums, temper[m], budget * tokens.sum()))
+    rates = rake(tokens, groups, goals, sweeps)
+    data = [(*(r[m] for m in MARGINS), float(u), float(min(u, 1.0))) for r, u in zip(rows, rates)]
     return spark.createDataFrame(data, "source string, lang string, topic string, weight double, probability double"), True
 
 
@@ -158,26 +207,31 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def oracle(documents: str = "documents") -> str:
-    """DuckDB SQL for ``report``: one common table expression for each raking step."""
-    ctes = [f"""d AS (SELECT doc_id, source, lang, coalesce(source, '') AS s, coalesce(lang, '') AS l,
-      CASE WHEN contains(coalesce(text, ''), '|') THEN 'table' WHEN contains(coalesce(text, ''), '$') THEN 'formula' WHEN contains(coalesce(text, ''), chr(10)) THEN 'listing' ELSE 'prose' END AS topic,
-      len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM {documents})""",
-      "c AS (SELECT s, l, topic AS t, sum(n_tokens)::DOUBLE AS n FROM d GROUP BY ALL)"]
+    """DuckDB SQL for ``report``: two common table expressions for each raking step."""
+    before, on = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING", "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+
+    def fill(source: str, keys: str, by: str, goal: str, out: str) -> list[str]:
+        over = f"PARTITION BY {by} ORDER BY u DESC, {keys}" if by else f"ORDER BY u DESC, {keys}"
+        part = f"PARTITION BY {by}" if by else ""
+        return [
+            f"{out}a AS MATERIALIZED (SELECT *, {goal} AS goal, coalesce(sum(n) OVER ({over} {before}), 0) AS held, sum(n * u) OVER ({over} {on}) AS rest, row_number() OVER ({over}) AS place FROM {source})",
+            f"{out}b AS (SELECT *, min(CASE WHEN rest > 0 AND (goal - held) / rest * u <= 1 THEN place END) OVER ({part}) AS k FROM {out}a)",
+            f"""{out} AS MATERIALIZED (SELECT * EXCLUDE (u, goal, held, rest, place, k), CASE WHEN k IS NOT NULL THEN u * greatest(0, max(CASE WHEN place = k THEN (goal - held) / rest END) OVER ({part})) WHEN goal > 0 AND u > 0 THEN greatest(u, 1) ELSE 0 END AS u FROM {out}b)""",
+        ]
+
+    ctes = [f"""w AS (SELECT doc_id, t FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+')) AS t FROM (SELECT DISTINCT doc_id, text FROM {documents})) WHERE length(t) >= {TERM_LENGTH})""",
+      "b AS (SELECT doc_id, t FROM w GROUP BY doc_id, t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, t) = 1)",
+      f"""d AS (SELECT d.doc_id, source, lang, coalesce(source, '') AS s, coalesce(lang, '') AS l, CASE WHEN t IS NULL THEN 'none' ELSE 'topic-' || ('0x' || substr(md5(t), 1, 8))::BIGINT % {TOPICS} END AS topic,
+      len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM {documents} d LEFT JOIN b ON b.doc_id = d.doc_id)""",
+      f"c AS MATERIALIZED (SELECT s, l, topic AS t, sum(n_tokens)::DOUBLE AS n, {BUDGET} * sum(sum(n_tokens)) OVER () AS budget FROM d GROUP BY s, l, topic)"]
     for key, m in zip("slt", MARGINS):
-        ctes.append(f"g{key} AS (SELECT {key}, p / sum(p) OVER () AS target FROM (SELECT {key}, CASE WHEN sum(n) > 0 THEN pow(sum(n), {TEMPER[m]}) ELSE 0 END AS p FROM c GROUP BY {key}))")
-    ctes.append("w0 AS (SELECT s, l, t, n, gs.target AS ts, gl.target AS tl, gt.target AS tt, n / sum(n) OVER () AS w FROM c JOIN gs USING (s) JOIN gl USING (l) JOIN gt USING (t))")
-    step = 0
-    for _ in range(SWEEPS):
-        for key in "slt":
-            ctes.append(f"w{step + 1} AS MATERIALIZED (SELECT s, l, t, n, ts, tl, tt, CASE WHEN sum(w) OVER (PARTITION BY {key}) > 0 THEN w * t{key} / sum(w) OVER (PARTITION BY {key}) ELSE 0 END AS w FROM w{step})")
-            step += 1
-    ctes += [
-        f"r AS (SELECT *, CASE WHEN n > 0 THEN w / n ELSE 0 END AS rate, sum(n) OVER () AS total FROM w{step})",
-        "o AS (SELECT *, coalesce(sum(n) OVER (ORDER BY rate DESC, s, l, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(w) OVER (ORDER BY rate DESC, s, l, t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM r)",
-        f"f AS (SELECT max_by(({BUDGET} * total - held) / rest, rate) AS scale FROM o WHERE rest > 0 AND ({BUDGET} * total - held) / rest * rate <= 1)",
-        "p AS (SELECT s, l, t, rate * total AS weight, CASE WHEN scale IS NULL THEN (rate > 0)::INT::DOUBLE ELSE greatest(0, least(1, rate * scale)) END AS prob FROM o, f)",
-    ]
+        ctes.append(f"m{key} AS (SELECT {key}, sum(n) AS n, any_value(budget) AS budget, CASE WHEN sum(n) > 0 THEN pow(sum(n), {TEMPER[m] - 1}) ELSE 0 END AS u FROM c GROUP BY {key})")
+        ctes += fill(f"m{key}", key, "", "budget", f"g{key}")
+    ctes.append("w0 AS MATERIALIZED (SELECT s, l, t, c.n, gs.n * least(1, gs.u) AS ts, gl.n * least(1, gl.u) AS tl, gt.n * least(1, gt.u) AS tt, 1.0::DOUBLE AS u FROM c JOIN gs USING (s) JOIN gl USING (l) JOIN gt USING (t))")
+    for step in range(3 * SWEEPS):
+        key = "slt"[step % 3]
+        ctes += fill(f"w{step}", "s, l, t", key, f"t{key}", f"w{step + 1}")
     return f"""WITH {", ".join(ctes)}
-    SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(prob, 6) AS probability,
-      coalesce(('0x' || substr(md5('mix:' || doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < prob, prob >= 1) AS kept
-    FROM d JOIN p ON d.s = p.s AND d.l = p.l AND d.topic = p.t"""
+    SELECT doc_id, source, lang, topic, n_tokens, round(u, 6) AS weight, round(least(1, u), 6) AS probability,
+      coalesce(('0x' || substr(md5('mix:' || doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < least(1, u), u >= 1) AS kept
+    FROM d JOIN w{3 * SWEEPS} p ON d.s = p.s AND d.l = p.l AND d.topic = p.t"""
