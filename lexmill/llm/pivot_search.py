@@ -1,13 +1,14 @@
 """Exact top-k by inner product with a pivot table.
 
-Vectors get one more component so that all have the same norm; then a larger inner product is a smaller
-distance.  Distances from every vector to many pivots are laid down once per block; the greatest
-difference between a query's and a candidate's pivot distances bounds their distance from below.  A
-query takes candidates in the order of that bound and stops when the bound passes its k-th result, so
-nothing that could enter is left out.
+Vectors get one more component so that all of a block have the same norm; then a larger inner product is a smaller
+distance.  Each block of candidates is packed into one row once, with pivots far from each other and the distances from
+all its vectors to these; the greatest difference between a query's and a candidate's pivot distances bounds their
+distance from below.  A query takes a block's candidates in the order of that bound and stops when the bound passes its
+k-th result, so nothing that could enter is left out.
 
-Queries and candidates meet in blocks, each pair of blocks one group of fixed size, on any number of
-machines.
+A query does not begin a block with nothing: its scores with a bounded sample of all candidates give it a k-th score
+that is already reached, and what cannot come to that is left out of every block.  Blocks of candidates and blocks of
+queries meet in pairs of fixed size, on any number of machines.
 
 Contract: components become floor(256 * x).  Vectors null or holding null or non-finite components take
 no part; vectors of unequal length are not compared; a query's own row is every row of its id; equal
@@ -18,19 +19,28 @@ ranked; repeated query rows are one query; empty tables give no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, text_batches
 
 #: Rows of a candidate block and of a query block.
 CANDIDATES, QUERIES = 2048, 512
 PIVOTS = 32
 #: Candidates evaluated at a step.
-STEP = 128
+STEP = 64
+#: Candidates of the sample that gives queries a first k-th score.
+SEEDS = 4096
+#: Most queries whose blocks are sent to all executors; more meet the candidates in a shuffle.
+MOST_SENT = 20_000
+#: Most tasks that blocks are dealt to.
+MOST_TASKS = 8192
+BLOCK = "dim int, n int, ids binary, vectors binary, pivots binary, distances binary"
+ASKED = "dim int, asked int, query_ids binary, queries binary, reached binary"
 
 
 def quantised(embeddings: DataFrame, scale: int = 256) -> DataFrame:
@@ -48,26 +58,57 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(whole(a) @ whole(b).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
-def pivot_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list[tuple[int, int, int]], int]:
-    """(query, candidate, score) of each query's k best among one block's candidates; and how many scores were computed."""
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
+
+
+def _lifted(x: np.ndarray, top: float) -> np.ndarray:
+    return np.column_stack([x, np.sqrt(np.maximum(top - (x * x).sum(axis=1), 0))])
+
+
+def pivot_table(x: np.ndarray, pivots: int = PIVOTS) -> tuple[np.ndarray, np.ndarray]:
+    """Pivots, lifted, and the distances of all rows to them.  Each is the row furthest from those before it."""
+    lifted = _lifted(x, (x * x).sum(axis=1).max(initial=0.0))
+    if not len(x):
+        return lifted, np.zeros((0, 0))
+    chosen, columns = [], []
+    near = _distances(lifted, lifted.mean(axis=0, keepdims=True))[:, 0]
+    for _ in range(min(pivots, len(x))):
+        chosen.append(int(near.argmax()))
+        columns.append(_distances(lifted, lifted[chosen[-1:]])[:, 0])
+        near = columns[0].copy() if len(columns) == 1 else np.minimum(near, columns[-1])
+    return lifted[chosen], np.column_stack(columns)
+
+
+def reached_scores(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query among some candidates other than itself, -inf if there are fewer."""
+    out = np.full(len(q), -np.inf)
+    if len(x) and len(q):
+        scores = np.where(ids[None, :] == query_ids[:, None], -np.inf, _exact(q, x).astype(float))
+        if scores.shape[1] >= k:
+            out = np.partition(scores, -k, axis=1)[:, -k]
+    return out
+
+
+def pivot_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, table: tuple[np.ndarray, np.ndarray] | None = None, reached: np.ndarray | None = None) -> tuple[list[tuple[int, int, int]], int]:
+    """(query, candidate, score) of each query's k best among one block's candidates; and how many scores were computed.
+
+    Where ``reached`` says that a query has k scores of at least so much elsewhere, those below are left out.
+    """
     out: list[tuple[int, int, int]] = []
-    norms = (x * x).sum(axis=1)
-    top = norms.max(initial=0.0)
-    lifted = np.column_stack([x, np.sqrt(top - norms)])
-    chosen = np.linspace(0, len(x) - 1, min(PIVOTS, len(x))).astype(int)
-    pivots = lifted[chosen]
-    distance = lambda a, b: np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
-    table = distance(lifted, pivots)
+    top = (x * x).sum(axis=1).max(initial=0.0)
+    pivots, distances = pivot_table(x) if table is None else table
     q_norms = (q * q).sum(axis=1)
-    q_table = distance(np.column_stack([q, np.zeros(len(q))]), pivots)
+    q_table = _distances(np.column_stack([q, np.zeros(len(q))]), pivots) if len(pivots) else np.zeros((len(q), 0))
     computed = 0
     for i, query in enumerate(query_ids.tolist()):
-        bound = np.abs(table - q_table[i]).max(axis=1)
+        bound = np.abs(distances - q_table[i]).max(axis=1, initial=0.0)
         # the inner product that a distance of the bound would give, with room for rounding
         most = (q_norms[i] + top - bound * bound) / 2
         most += 1e-9 * (q_norms[i] + top) + 1e-6
-        order = np.argsort(-most, kind="stable")
-        order = order[ids[order] != query]
+        floor = -np.inf if reached is None else reached[i]
+        some = np.flatnonzero((most >= floor) & (ids != query))
+        order = some[np.argsort(-most[some], kind="stable")]
         best_s, best_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for at in range(0, len(order), STEP):
             if len(best_s) == k and most[order[at]] < best_s[-1]:
@@ -82,24 +123,75 @@ def pivot_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     return out, computed
 
 
+def _matrix(t: pa.Table) -> np.ndarray:
+    return np.array(t.column("vector").combine_chunks().flatten().to_numpy(), np.float64).reshape(t.num_rows, -1)
+
+
+def _unpacked(value: bytes, rows: int, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(value, kind).reshape(rows, -1) if rows else np.zeros((0, 0), kind)
+
+
+def candidate_blocks(vectors: DataFrame, blocks: int) -> DataFrame:
+    """One row a block and length of vectors: its ids and vectors, its pivots, and the distances to them."""
+
+    def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        x, ids = _matrix(t), t.column("vec_id").to_numpy()
+        pivots, distances = pivot_table(x)
+        row = [key[1].as_py(), len(x), ids.tobytes(), x.tobytes(), pivots.tobytes(), distances.tobytes()]
+        return pa.table({n.split()[0]: [v] for n, v in zip(BLOCK.split(", "), row)}, schema=pa.schema([("dim", pa.int32()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("ids", "vectors", "pivots", "distances")]]))
+
+    dealt = vectors.withColumn("c", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id(), F.lit(1)), F.lit(blocks)).cast("int"))
+    return dealt.groupBy("c", "dim").applyInArrow(pack, BLOCK)
+
+
+def query_blocks(queries: DataFrame, blocks: int, seeds: DataFrame, k: int) -> DataFrame:
+    """One row a block and length of queries: ids, vectors, and the k-th scores that they reach among the seeds."""
+    known: dict[int, tuple[list, list]] = {}
+    for r in seeds.collect():
+        ids, x = known.setdefault(r["dim"], ([], []))
+        ids.append(r["vec_id"])
+        x.append(r["vector"])
+    sent = queries.sparkSession.sparkContext.broadcast({d: (np.array(i, np.int64), np.array(x, np.float64).reshape(len(i), -1)) for d, (i, x) in known.items()})
+
+    def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        q, ids, dim = _matrix(t), t.column("vec_id").to_numpy(), key[1].as_py()
+        seed_ids, x = sent.value.get(dim, (np.zeros(0, np.int64), np.zeros((0, q.shape[1]))))
+        row = [dim, len(q), ids.tobytes(), q.tobytes(), reached_scores(seed_ids, x, ids, q, k).tobytes()]
+        return pa.table({n.split()[0]: [v] for n, v in zip(ASKED.split(", "), row)}, schema=pa.schema([("dim", pa.int32()), ("asked", pa.int32()), *[(c, pa.binary()) for c in ("query_ids", "queries", "reached")]]))
+
+    dealt = queries.withColumn("q", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id(), F.lit(2)), F.lit(blocks)).cast("int"))
+    return dealt.groupBy("q", "dim").applyInArrow(pack, ASKED)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score of each query's ``k`` best; both tables as ``quantised`` gives them."""
+    text_batches(vectors.sparkSession)
     vectors, queries = cut(vectors, "vectors"), cut(queries.dropDuplicates(["vec_id", "vector"]), "queries")
     n, m = vectors.count(), queries.count()
     rows, columns = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES))
-    dealt = lambda salt, parts: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id(), F.lit(salt)), F.lit(parts)).cast("int")
-    other = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = vectors.withColumn("c", dealt(1, rows)).withColumn("q", other(columns))
-    right = queries.withColumn("q", dealt(2, columns)).withColumn("c", other(rows))
-
-    def run(key: tuple[pa.Scalar, ...], block: pa.Table, asked: pa.Table) -> pa.Table:
-        matrix = lambda t: np.array(t.column("vector").combine_chunks().flatten().to_numpy(), np.float64).reshape(t.num_rows, -1)
-        found: list[tuple[int, int, int]] = []
-        if block.num_rows and asked.num_rows:
-            found, _ = pivot_search(block.column("vec_id").to_numpy(), matrix(block), asked.column("vec_id").to_numpy(), matrix(asked), k)
-        return pa.table({c: pa.array([r[i] for r in found], pa.int64()) for i, c in enumerate(("query_id", "vec_id", "score"))})
-
-    best = left.groupBy("c", "q", "dim").cogroup(right.groupBy("c", "q", "dim")).applyInArrow(run, "query_id long, vec_id long, score long")
+    # rows of one id count once, so that a seed is not a query's own row and its double
+    seeds = vectors.dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(SEEDS)
+    blocks, asked = cut(candidate_blocks(vectors, rows), "blocks"), cut(query_blocks(queries, columns, seeds, k), "asked")
+    if m <= MOST_SENT:
+        pairs = blocks.repartition(min(rows, MOST_TASKS)).join(F.broadcast(asked), "dim")
+    else:
+        # every candidate block goes once to each of a number of tasks, which hold a part of the query blocks
+        parts = columns
+        dealt = asked.withColumn("part", F.pmod(F.xxhash64("query_ids"), F.lit(parts)))
+        pairs = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(dealt, ["part", "dim"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int, int]] = []
+            for r in range(batch.num_rows):
+                at = {c: batch.column(i)[r].as_py() for i, c in enumerate(batch.schema.names)}
+                ids, x = np.frombuffer(at["ids"], np.int64), _unpacked(at["vectors"], at["n"])
+                pivots = np.frombuffer(at["pivots"]).reshape(-1, x.shape[1] + 1)
+                table = pivots, _unpacked(at["distances"], at["n"])
+                found += pivot_search(ids, x, np.frombuffer(at["query_ids"], np.int64), _unpacked(at["queries"], at["asked"]), k, table, np.frombuffer(at["reached"]))[0]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
+
+    best = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
