@@ -39,7 +39,7 @@ SKETCHES = [(0x1B873593CC9E2D51, 0x2545F4914F6CDD1D), (0x369DEA0F31A53F85, 0x585
 HOT = 0.01
 #: What a row that is in no large group weighs.
 WHOLE = 1 << 32
-#: What ``hash`` gives for an empty array.
+#: What ``xxhash64`` gives for an empty array: its seed, which 64 bits keep apart from all others.
 EMPTY = 42
 
 
@@ -127,7 +127,7 @@ def subset_hashes(found: Column) -> Column:
     def tier(ks: range) -> Column:
         any_ = F.lit(sum(1 << k for k in ks)).cast("long")
         held = F.filter(found, lambda t: t["mask"].bitwiseAND(any_) != 0)
-        one = lambda h, k: F.hash(F.transform(F.filter(h, lambda t: F.call_function("shiftright", t["mask"], k).bitwiseAND(F.lit(1).cast("long")) == 1), lambda t: t["id"]))
+        one = lambda h, k: F.xxhash64(F.transform(F.filter(h, lambda t: F.call_function("shiftright", t["mask"], k).bitwiseAND(F.lit(1).cast("long")) == 1), lambda t: t["id"]))
         # going over an array of one binds ``held``, which inside the inner function would be made anew for each subset
         return F.get(F.transform(F.array(held), lambda h: F.transform(F.sequence(F.lit(ks.start), F.lit(ks.stop - 1)), lambda k: one(h, k))), F.lit(0))
 
@@ -143,7 +143,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.when(h == EMPTY, "-").otherwise(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))))), ".")
+    return F.array_join(F.transform(hashes, lambda h: F.when(h == EMPTY, "-").otherwise(F.lower(F.hex(h)))), ".")
 
 
 @contextlib.contextmanager
@@ -178,7 +178,7 @@ def fingerprints(documents: DataFrame, low: float = 0.001, high: float = 0.2) ->
 
     def side(which: int, whole_hash: str) -> Column:
         mine = F.col(f"found_{which}")
-        of_text = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.hash(F.lit("whole"), whole_hash, k))
+        of_text = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.xxhash64(F.lit("whole"), whole_hash, k))
         return F.when(F.size(mine) > 0, subset_hashes(mine)).otherwise(of_text)
 
     made = rows.select("bucket", "place", "doc_id", "n_chars", "edited_sha256", side(0, "text_hash").alias("own"), side(1, "edited_hash").alias("changed"))
