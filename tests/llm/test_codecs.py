@@ -100,8 +100,27 @@ def test_captures_hold_payloads(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a.example/x", "<p>\r\n\r\nhello</p>")], "page_id long, url string, html string")
     warc.write_warc(pages, f"file://{tmp_path}/w")
     row = warc.captures(warc.read_warc(spark, f"file://{tmp_path}/w")).first()
-    assert bytes(row["response"]["payload"]).decode() == "<p>\r\n\r\nhello</p>"
-    assert row["request"]["target_uri"] == "http://a.example/x" and row["metadata"]["id"] == "<urn:capture:1:metadata>"
+    assert bytes(row["response"]["payload"]).decode() == "<p>\r\n\r\nhello</p>" and row["page_id"] == 1
+    assert row["request"]["target_uri"] == "http://a.example/x" and row["metadata"]["id"] == row["capture_id"].replace(":main>", ":metadata>")
+
+
+def test_captures_keep_their_own_requests(spark, tmp_path):
+    """Rows that repeat a page_id, with other URLs, other payloads or nothing else, are captures with requests of their own."""
+    big = "z" * 1500
+    rows = [(1, "http://a/x", "one"), (1, "http://b/y", "one"), (1, "http://b/y", "two"), (1, "http://b/y", "two"), (1, "http://b/y", "two"), (2, "http://c/", big), (2, "http://d/", big), (3, "http://e/", big), (3, "http://e/", big), (None, "http://f/", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warc.write_warc(pages, f"file://{tmp_path}/w")
+    records = warc.read_warc(spark, f"file://{tmp_path}/w").cache()
+    assert records.select("id").distinct().count() == 3 * len(rows)
+    out = warc.captures(records).collect()
+    assert sorted((str(r["page_id"]), r["response"]["target_uri"]) for r in out) == sorted((str(i), u) for i, u, _ in rows)
+    assert all(r["request"]["target_uri"] == r["metadata"]["target_uri"] == r["response"]["target_uri"] for r in out)
+    ids = {r["capture_id"]: r for r in out}
+    revisits = [r for r in out if r["response"]["type"] == "revisit"]
+    assert len(revisits) == 3 and all(ids[r["response"]["refers_to"]]["page_id"] == 3 for r in revisits)
+    lost = records.where("not (type = 'response' and page_id = 3)")
+    with pytest.raises(Exception, match="no such payload"):
+        warc.resolved(lost).collect()
 
 
 def viterbi(text, pieces, byte_score):
@@ -158,3 +177,25 @@ def test_pivots_leave_candidates_out():
     scores = x @ x[5]
     scores[5] = -np.inf
     assert [v for _, v, _ in found] == np.lexsort((np.arange(600), -scores))[:3].tolist() and computed < 600
+
+
+def test_seeds_leave_candidates_out(spark):
+    """On the embeddings themselves: what a sample has reached spares scores in every block, and loses nothing."""
+    table = pivot_search.quantised(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in table]), np.array([r["vector"] for r in table])
+    asked = np.flatnonzero(ids % 50 == 0)
+    q, q_ids = x[asked], ids[asked]
+    reached = pivot_search.reached_scores(ids[::2], x[::2], q_ids, q, 5)
+    alone, n_alone = pivot_search.pivot_search(ids, x, q_ids, q, 5)
+    seeded, n_seeded = pivot_search.pivot_search(ids, x, q_ids, q, 5, None, reached)
+    print("scores computed:", n_alone / (len(q) * len(x)), "seeded", n_seeded / (len(q) * len(x)))
+    assert seeded == alone and n_seeded <= n_alone < len(q) * len(x)
+    scores = x @ x.T
+    for i, v in zip(asked, q_ids):
+        row = scores[i].copy()
+        row[i] = -np.inf
+        assert [b for a, b, _ in seeded if a == v] == ids[np.lexsort((ids, -row))[:5]].tolist()
+    pivots, _ = pivot_search.pivot_table(x)
+    far = lambda p: pivot_search._distances(p, p)[~np.eye(len(p), dtype=bool)].min()
+    spaced = pivot_search._lifted(x, (x * x).sum(1).max())[np.linspace(0, len(x) - 1, len(pivots)).astype(int)]
+    assert far(pivots) > far(spaced)

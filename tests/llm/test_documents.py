@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexmill.llm import attention_lm, gam_quality, hyperminhash, imatch, mixing, neardup
@@ -76,6 +77,24 @@ def test_classes_of_odd_rows(odd, none):
     assert kept.columns == odd.columns and 13 not in {r["doc_id"] for r in kept.collect()}
 
 
+@pytest.mark.parametrize("width", [2, 5])
+def test_batches_of_few_words(width):
+    for texts in (["a b"], ["", None], ["a", ""], ["a b c"], [], ["A b c d e f"]):
+        got = hyperminhash.shingle_sets(pa.array(texts, pa.string()), width)
+        assert [len(s) for s in got] == [len(shingles(t, width)) for t in texts]
+
+
+def test_one_row_of_a_class_stays(spark):
+    """Rows that repeat an id, with the same text or another, and rows without one."""
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w30", "x30")
+    rows = [(1, text, "a"), (1, text, "a"), (1, near, "b"), (1, "quite other words stand here " * 4, "c"), (2, near, "d"), (3, "quite other words stand here " * 4, "e"), (4, "alone and short", "f"), (5, "", "g"), (5, "", "g"), (6, None, "h"), (None, text, "i"), (None, "only rows without an id have this text here", "j"), (7, "", "k")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    out = [tuple(r) for r in neardup.deduplicate(table, 5).collect()]
+    assert sorted(map(str, (r[0] for r in out))) == sorted(map(str, [1, 4, 5, 6, 7, None, None]))
+    assert len([r for r in out if r[0] == 1]) == 1 and not {r[0] for r in out} & {2, 3}
+
+
 def test_estimates():
     rng = np.random.default_rng(3)
     for n in (10, 100, 5000):
@@ -112,16 +131,29 @@ def test_ranges_meet(docs):
     assert {r["doc_id"]: r["next_text"] for r in out} == after and len({r["bucket"] for r in out}) > 10
 
 
-def test_op6(docs, odd, none):
+def test_raking_meets_targets_under_the_bound():
     rng = np.random.default_rng(5)
     tokens = rng.integers(1, 100, 60).astype(float)
+    tokens[3] = 4000.0
     groups = [rng.integers(0, n, 60) for n in (6, 3)]
-    targets = [np.full(6, 1 / 6), np.array([0.5, 0.3, 0.2])]
-    w = mixing.rake(tokens, groups, targets, 200)
-    for g, t in zip(groups, targets):
-        assert np.allclose(np.bincount(g, w), t, atol=1e-6)
-    p = mixing.probabilities(tokens, w, 0.5 * tokens.sum())
-    assert math.isclose((p * tokens).sum(), 0.5 * tokens.sum(), rel_tol=1e-9) and p.max() <= 1
+    total = 0.5 * tokens.sum()
+    goals = [mixing.goals_of(np.bincount(g, tokens, n), e, total) for g, n, e in zip(groups, (6, 3), (0.5, 0.7))]
+    assert all(math.isclose(g.sum(), total, rel_tol=1e-9) for g in goals)
+    u = mixing.rake(tokens, groups, goals, 300)
+    assert (u > 1).any() and max(mixing.gaps(tokens, groups, goals, u)) < 1e-6
+    # one group's factor by bisection
+    one = np.zeros(60, int)
+    for goal in (10.0, 0.3 * tokens.sum(), 0.99 * tokens.sum()):
+        rates = rng.random(60) + 0.01
+        low, high = 0.0, 1e9
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (tokens * np.minimum(1, rates * mid)).sum() < goal else (low, mid)
+        assert np.allclose(np.minimum(mixing.filled(one, tokens, rates, np.array([goal])), 1), np.minimum(rates * low, 1), rtol=1e-6)
+    assert (mixing.filled(one, tokens, rates, np.array([0.0])) == 0).all() and (mixing.filled(one, tokens, rates, np.array([tokens.sum() * 2])) >= 1).all()
+
+
+def test_op6(spark, docs, odd, none):
     assert mixing.with_probabilities(odd).count() == odd.count() and mixing.with_probabilities(none).count() == 0
     assert mixing.sample(odd).columns == odd.columns
     big, _ = mixing.calibrated(docs)
@@ -129,6 +161,29 @@ def test_op6(docs, odd, none):
     one = {tuple(r[m] for m in mixing.MARGINS): r["probability"] for r in big.collect()}
     two = {tuple(r[m] for m in mixing.MARGINS): r["probability"] for r in by_frames.collect()}
     assert not bounded and one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-6 for k in one)
+    # explicit targets: nothing of what has none, and the shares asked for
+    aimed, _ = mixing.calibrated(docs, budget=0.2, sweeps=60, targets={"source": {"src0": 0.6, "src1": 0.4, "nowhere": 0.5}})
+    tokens = {tuple(r[m] for m in mixing.MARGINS): r["tokens"] for r in mixing.cells(docs).collect()}
+    by_source = Counter()
+    for r in aimed.collect():
+        by_source[r["source"]] += r["probability"] * tokens[tuple(r[m] for m in mixing.MARGINS)]
+    assert {s for s, n in by_source.items() if n > 0} <= {"src0", "src1"}
+
+
+def test_sample_comes_to_its_margins(spark):
+    """On real cells the expected shares of the sample are the targets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(tuple(r[m] for m in mixing.MARGINS), r["tokens"]) for r in mixing.cells(docs).collect()]
+    chance = {tuple(r[m] for m in mixing.MARGINS): r["probability"] for r in mixing.calibrated(docs)[0].collect()}
+    total = sum(n for _, n in rows)
+    for i, m in enumerate(mixing.MARGINS):
+        sums, got = Counter(), Counter()
+        for k, n in rows:
+            sums[k[i]] += n
+            got[k[i]] += n * chance[k]
+        values = sorted(sums)
+        want = mixing.goals_of(np.array([sums[v] for v in values]), mixing.TEMPER[m], mixing.BUDGET * total)
+        assert np.abs(np.array([got[v] for v in values]) - want).max() / want.sum() < 0.005, m
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
@@ -187,7 +242,7 @@ def test_gradients():
     ids = rng.integers(0, 300, 90)
     at, low, high = attention_lm.windows(np.array([0, 50, 90]))
     grads, _ = model.gradients(ids, at, low, high)
-    for n in ("q", "k", "v", "o", "u", "b", "p", "e"):
+    for n in attention_lm.SHAPES:
         i = np.unravel_index(np.abs(grads[n]).argmax(), grads[n].shape)
         was, losses = model.w[n][i], []
         for step in (1e-4, -1e-4):
@@ -220,3 +275,23 @@ def test_pipeline(spark):
         before = spark.createDataFrame(after.collect(), documents.schema)
     out = corpus_pipeline.run(spark, DIR)
     assert {r["doc_id"] for r in out.select("doc_id").collect()} == ids
+
+
+def test_pipeline_stages_take_odd_rows(spark, odd, none, tmp_path):
+    """Nulls, empty and very long texts, repeats, an empty table and clashing names, stage by stage."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    clash = odd.selectExpr("*", "1 AS n_tokens", "'x' AS token_ids", "2 AS decoded_sha256", "3.5D AS __score", "4 AS score", "'t' AS topic", "true AS kept", "5 AS node", "6 AS weight")
+    for table in (clash, none):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            if name == "subword_ids":
+                added = ["n_tokens", "ids_sha256", "decoded_sha256", "token_ids"]
+                assert out.columns == [c for c in table.columns if c not in added] + added
+                got = sorted((str(r["doc_id"]), r["n_tokens"], hashlib.sha256(bytes(r["token_ids"])).hexdigest() == r["ids_sha256"]) for r in out.collect())
+                assert len(got) == table.count() and all(fine for _, _, fine in got)
+            else:
+                assert out.columns == table.columns
+                rows = sorted(map(str, out.collect()))
+                assert set(rows) <= set(map(str, table.collect()))
