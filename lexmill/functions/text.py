@@ -56,9 +56,19 @@ def cjk_ngrams(run: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lexical tokens: ASCII runs of two characters or more; CJK runs as their n-grams."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[一-鿿]"), cjk_ngrams(r)).when(F.length(r) > 1, F.array(r)).otherwise(F.array().cast("array<string>"))))
+    """Lexical tokens: ASCII runs of two characters or more; CJK runs as their n-grams.
+
+    Texts without CJK, nearly all, take one regular expression and no function over its matches.
+    """
+    low = F.lower(text)
+    runs = F.regexp_extract_all(low, F.lit(f"({TOKEN})"), 1)
+    mixed = F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[一-鿿]"), cjk_ngrams(r)).when(F.length(r) > 1, F.array(r)).otherwise(F.array().cast("array<string>"))))
+    return F.when(text.rlike("[一-鿿]"), mixed).otherwise(F.regexp_extract_all(low, F.lit("([a-z0-9]{2,})"), 1))
+
+
+def token_count(text: Column) -> Column:
+    """How many tokens a text has, without listing them where it has no CJK."""
+    return F.when(text.rlike("[一-鿿]"), F.size(tokens(text))).otherwise(F.regexp_count(F.lower(text), F.lit("[a-z0-9]{2,}")))
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -93,7 +103,10 @@ def is_reference_query(query: Column) -> Column:
 
 
 def is_reference_like(text: Column, most: int = 1200) -> Column:
-    """Whether a text reads like a list of references: a keyword, or two of five signals at its start."""
+    """Whether a text reads like a list of references: a keyword, or two of five signals at its start.
+
+    The patterns and thresholds are fixed values.
+    """
     sample = F.substring(text, 1, most)
     low = F.lower(sample)
     hits = lambda t, p: F.regexp_count(t, F.lit(p))
@@ -111,7 +124,10 @@ def is_reference_like(text: Column, most: int = 1200) -> Column:
 
 
 def is_table_fragment(text: Column) -> Column:
-    """Loose numbers without a sentence: over a quarter numeric words and no stretch of 30 characters, or over half."""
+    """Loose numbers without a sentence: over a quarter numeric words and no stretch of 30 characters, or over half.
+
+    The patterns and thresholds are fixed values.
+    """
     words = F.filter(F.split(text, r"\s+"), lambda t: t != "")
     core = F.transform(words, lambda t: F.regexp_replace(t, r"^[(),%↑↓·-]+|[(),%↑↓·-]+$", ""))
     ratio = F.size(F.filter(core, lambda t: t.rlike(r"^-?[0-9]+\.?[0-9]*[a-zA-Z]?$"))) / F.greatest(F.size(words), F.lit(1))
@@ -120,10 +136,11 @@ def is_table_fragment(text: Column) -> Column:
 
 
 def is_likely_table(text: Column) -> Column:
-    """Four pipes, or four tabs, or of three lines or more at least half with a digit-led or digit-only look."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    numeric = F.size(F.filter(lines, lambda x: x.rlike("[0-9]")))
-    return (F.regexp_count(text, F.lit(r"\|")) >= 4) | (F.regexp_count(text, F.lit("\t")) >= 4) | ((F.size(lines) >= 3) & (numeric / F.greatest(F.size(lines), F.lit(1)) >= 0.5))
+    """Of two lines or more: four pipes, or four tabs, or of three lines or more at least half with three digits."""
+    lines = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n")
+    numeric = F.size(F.filter(lines, lambda x: F.length(F.regexp_replace(x, "[^0-9]", "")) >= 3))
+    many = (F.regexp_count(text, F.lit(r"\|")) >= 4) | (F.regexp_count(text, F.lit("\t")) >= 4) | ((F.size(lines) >= 3) & (numeric >= 0.5 * F.size(lines)))
+    return (F.size(lines) >= 2) & many
 
 
 def auto_tags(content: Column) -> Column:
@@ -155,13 +172,17 @@ def is_garbage_line(line: Column) -> Column:
     return (F.length(line) >= 2) & ~good & (bad / F.greatest(F.length(line), F.lit(1)) > 0.3)
 
 
+#: Replacement and private-use characters.
+ODD = r"[\x{FFFD}\x{E000}-\x{F8FF}]"
+
+
 def page_score(text: Column, blocks: Column) -> Column:
     """0 to 100: full marks less penalties for NUL, odd characters, characters not usual in prose, and thin blocks."""
     n = F.greatest(F.length(text), F.lit(1))
-    nul = count_of(text, r"\x00") / n
-    weird = count_of(text, "[�-]") / n
-    valid = count_of(text, r"[\p{L}\p{N} \t\n.,;:!?()\[\]{}\"'-]") / n
-    score = F.lit(100.0) - nul * 200 - weird * 150 - (F.lit(1.0) - valid) * 50 - F.when((blocks > 0) & (F.length(text) / blocks < 10), 20.0).otherwise(0.0)
+    nul = F.when(F.contains(text, F.lit("\x00")), count_of(text, r"\x00")).otherwise(0) / n
+    weird = F.when(text.rlike(ODD), count_of(text, ODD)).otherwise(0) / n
+    odd = F.length(F.regexp_replace(text, r"[\p{L}\p{N} \t\n.,;:!?()\[\]{}\"'-]", ""))
+    score = F.lit(100.0) - nul * 200 - weird * 150 - (odd / n) * 50 - F.when((blocks > 0) & (F.length(text) / blocks < 10), 20.0).otherwise(0.0)
     return F.when(F.length(text) > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))).otherwise(0.0)
 
 
@@ -183,8 +204,27 @@ def html_title(html: Column) -> Column:
 
 
 def domain(url: Column) -> Column:
-    """Lower-case host of a URL, a leading www. left out."""
-    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), r"^www\.", "")
+    """Lower-case network location of a URL, with user and port where it has them."""
+    return F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
+
+
+def is_blocked(host: Column, blocked: Column) -> Column:
+    """Whether a host is the blocked domain or under it."""
+    return (host == blocked) | F.endswith(host, F.concat(F.lit("."), blocked))
+
+
+#: XML's entities, in capitals where HTML has them so too; the ampersand comes last, so that nothing is decoded twice.
+ENTITIES = [("&lt;", "<"), ("&LT;", "<"), ("&gt;", ">"), ("&GT;", ">"), ("&quot;", '"'), ("&QUOT;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"), ("&AMP;", "&")]
+
+
+def unescaped(text: Column) -> Column:
+    for entity, c in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(c))
+    return text
+
+
+def is_number(text: Column) -> Column:
+    return text.rlike(r"^[-+]?[0-9]*\.?[0-9]+$")
 
 
 def mdhash(text: Column, prefix: str = "") -> Column:
@@ -224,8 +264,9 @@ def inline_refs(answer: Column) -> Column:
 
 
 def keyword_list(text: Column, most: int = 6) -> Column:
-    """Keywords of a list in prose: cut at commas and line ends, numbering and blanks stripped."""
-    parts = F.transform(F.split(text, "[,，、\n]+"), lambda x: F.trim(F.regexp_replace(x, r"^\s*[0-9]+[.)、]\s*", "")))
+    """Keywords of a list in prose: cut at commas and line ends, numbering, bullets and blanks stripped."""
+    stripped = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    parts = F.transform(F.split(text, "[,，、\n]+"), lambda x: stripped(F.regexp_replace(F.regexp_replace(stripped(x), r"^[0-9]+[.)、]\s*", ""), r"^[-•]\s*", "")))
     return F.slice(F.filter(parts, lambda x: x != ""), 1, most)
 
 

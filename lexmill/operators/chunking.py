@@ -7,46 +7,46 @@ is one row, so no group is gathered.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators.rows import per_row
 
-#: Largest input of the default embedding model, and what its chunk sizes come to.
+#: Chunk size and overlap, and the bounds that a model's input sets them.
 DEFAULT_SIZE, DEFAULT_OVERLAP = 1200, 200
-HEADING = re.compile(r"#{1,6}\s+\S|\d+(?:\.\d+)*[.)]?\s+[A-Z一-鿿]")
+LEAST_ROOM, MOST_SIZE = 128, 2500
+#: What a heading looks like, and spans that are never cut.
+MARKED_HEADING = re.compile(r"#{1,6}\s+\S|\d+(?:\.\d+)*\.?\s+\S")
+PROTECTED = [re.compile(r"(?m)(?:^[ \t]*\|.+\|[ \t]*$\n?){2,}"), re.compile(r"\$\$[\s\S]+?\$\$"), re.compile(r"\\\[[\s\S]+?\\\]")]
 
 
 def chunk_params(max_tokens: Column, size: int = DEFAULT_SIZE, overlap: int = DEFAULT_OVERLAP) -> tuple[Column, Column]:
-    """Chunk size and overlap for a model's input: at most three fifths of its tokens, overlap at most a quarter of that."""
-    room = F.floor(max_tokens * 0.6)
-    chunk = F.least(F.lit(size), room)
-    return chunk.cast("int"), F.least(F.lit(overlap), F.floor(chunk / 4)).cast("int")
+    """Chunk size and overlap for a model's input of so many tokens (null: not known).
+
+    The size is at most three fifths of the input, but 128 at least; a fifth of the input, from 200 to 1000, is
+    its floor as far as that room allows.  The overlap is 15 % of the size at least and 25 % at most.
+    """
+    room = F.greatest(F.lit(LEAST_ROOM), F.floor(max_tokens * 0.6))
+    floor = F.least(F.lit(1000), F.greatest(F.lit(200), F.floor(max_tokens * 0.2)))
+    chunk = F.when(max_tokens.isNull() | (max_tokens == 0), F.lit(size)).otherwise(F.least(F.greatest(floor, F.least(F.lit(size), room, F.lit(MOST_SIZE))), room))
+    share = lambda x: F.floor(chunk * x)
+    return chunk.cast("int"), F.least(F.greatest(F.lit(overlap), share(0.15)), share(0.25)).cast("int")
 
 
 def is_heading(line: str) -> bool:
+    """A Markdown or numbered heading of any length, or a line of under 100 characters whose ASCII letters (two at least) are capitals."""
     line = line.strip()
-    return bool(line) and len(line) < 100 and (bool(HEADING.match(line)) or (line.isupper() and len(line) > 1))
+    letters = "".join(c for c in line if c.isascii() and c.isalpha())
+    return bool(line) and (bool(MARKED_HEADING.match(line)) or (len(letters) >= 2 and letters.isupper() and len(line) < 100))
 
 
 def protected_regions(text: str) -> list[tuple[int, int]]:
-    """Spans that are never cut: two or more table lines, $$ formulas and bracketed formulas; overlapping ones merged."""
-    spans, start, n, at = [], 0, 0, 0
-    for line in [*text.split("\n"), ""]:
-        if line.count("|") >= 2:
-            start = at if not n else start
-            n += 1
-        else:
-            if n >= 2:
-                spans.append((start, at - 1))
-            n = 0
-        at += len(line) + 1
-    spans += [m.span() for m in re.finditer(r"(?s)\$\$.+?\$\$|\\\[.+?\\\]", text)]
+    """Spans that are never cut: two or more lines that begin and end with a pipe, $$ formulas and bracketed formulas; those that overlap or touch merged."""
     merged: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
+    for a, b in sorted((m.span() for p in PROTECTED for m in p.finditer(text)), key=lambda s: s[0]):
         if merged and a <= merged[-1][1]:
             merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
         else:
@@ -54,70 +54,84 @@ def protected_regions(text: str) -> list[tuple[int, int]]:
     return merged
 
 
+def headed(text: str) -> list[tuple[str, bool, str]]:
+    """Pieces of plain text, each begun by a heading and named by it; without headings its paragraphs, unnamed."""
+    cuts: list[tuple[str, list[str]]] = [("", [])]
+    for line in text.split("\n"):
+        found = is_heading(line)
+        if found and cuts[-1][1]:
+            cuts.append((line.strip(), []))
+        elif found and not cuts[-1][0]:
+            cuts[-1] = (line.strip(), cuts[-1][1])
+        cuts[-1][1].append(line)
+    out = [(piece, False, name) for name, lines in cuts if (piece := "\n".join(lines).strip())]
+    if len(out) > 1:
+        return out
+    return [(p.strip(), False, "") for p in re.split(r"\n\n+", text) if p.strip()]
+
+
 def segments(text: str) -> list[tuple[str, bool, str]]:
     """(text, protected, heading) pieces in order: protected spans as they are, the rest cut at headings or blank lines."""
     out: list[tuple[str, bool, str]] = []
-    heading = ""
-
-    def plain(part: str) -> None:
-        nonlocal heading
-        lines, held, found = part.split("\n"), [], []
-        for line in lines:
-            if is_heading(line) and any(x.strip() for x in held):
-                found.append((heading, "\n".join(held)))
-                held = []
-            if is_heading(line):
-                heading = line.strip().lstrip("#").strip()
-            held.append(line)
-        found.append((heading, "\n".join(held)))
-        pieces = found if len(found) > 1 else [(heading, p) for p in re.split(r"\n\n+", part)]
-        out.extend((p.strip(), False, h) for h, p in pieces if p.strip())
-
     at = 0
-    for a, b in protected_regions(text):
-        plain(text[at:a])
+    for a, b in [*protected_regions(text), (len(text), len(text))]:
+        out += headed(text[at:a])
         if text[a:b].strip():
-            out.append((text[a:b].strip(), True, heading))
+            out.append((text[a:b].strip(), True, ""))
         at = b
-    plain(text[at:])
+    return out
+
+
+def overlap_tail(parts: list[str], size: int) -> list[str]:
+    """The last pieces, the last one whatever its length, the others while they come to ``size`` characters at most."""
+    out: list[str] = []
+    for piece in reversed(parts) if size > 0 else []:
+        if out and sum(map(len, out)) + len(piece) > size:
+            break
+        out.insert(0, piece)
     return out
 
 
 def packed(parts: list[tuple[str, bool, str]], size: int, overlap: int = 0) -> list[tuple[str, str]]:
     """(chunk, heading): pieces joined by blank lines while they fit.
 
-    A piece longer than ``size`` stays whole; a protected piece counts two characters more even in an empty chunk;
-    a chunk closed by overflow carries the heading of the piece that closed it.  ``overlap`` takes that many
-    characters of whole pieces from the end of the chunk before (0: none, the default of the pipelines).
+    Every piece is taken to need two characters more.  A plain piece longer than ``size`` stays whole; a protected one
+    is a chunk of its own.  A protected piece that joins a chunk adds two characters even to an empty one; a chunk closed
+    by overflow carries the heading of the piece that closed it.  ``overlap`` takes ``overlap_tail`` of the chunk before
+    where plain text overflows (0: none, the default of the pipelines).
     """
-    chunks, held, length, heading = [], [], 0, ""
+    chunks: list[tuple[str, str]] = []
+    held: list[str] = []
+    length, heading = 0, ""
+
+    def close() -> list[str]:
+        nonlocal held, length
+        before, held, length = held, [], 0
+        if before:
+            chunks.append(("\n\n".join(before), heading))
+        return before
+
     for piece, protected, name in parts:
         heading = name or heading
-        cost = len(piece) + (2 if protected or held else 0)
-        if held and length + cost > size:
-            chunks.append(("\n\n".join(held), heading))
-            tail: list[str] = []
-            while overlap and held and sum(map(len, tail)) + len(held[-1]) <= overlap:
-                tail.insert(0, held.pop())
-            held, length = tail, sum(len(t) + 2 for t in tail)
-            cost = len(piece) + (2 if protected or held else 0)
+        if protected and len(piece) > size:
+            close()
+            chunks.append((piece, heading))
+            continue
+        if length + len(piece) + 2 > size and (held or protected):
+            before = close()
+            if protected:
+                held, length = [piece], len(piece)
+                continue
+            held = overlap_tail(before, overlap)
+            length = sum(map(len, held)) + 2 * max(len(held) - 1, 0)
         held.append(piece)
-        length += cost
-    if held:
-        chunks.append(("\n\n".join(held), heading))
-    return chunks
-
-
-def _per_text(df: DataFrame, key: str, fields: str, make) -> DataFrame:
-    kind = df.schema[key].dataType.simpleString()
-    names = [f.split()[0] for f in fields.split(", ")]
+        length += len(piece) + (2 if protected or len(held) > 1 else 0)
+    close()
+    return [c for c in chunks if c[0].strip()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, i, *row) for k, t in zip(pdf[key], pdf["text"]) for i, row in enumerate(make(t or ""))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_idx", *names])
 
-    return df.select(key, "text").mapInPandas(run, f"{key} {kind}, chunk_idx int, {fields}")
+def _per_text(df: DataFrame, key: str, fields: str, make: Callable[[str], Iterable[tuple]]) -> DataFrame:
+    return per_row(df, [key], ["text"], fields, make, "chunk_idx")
 
 
 def structure_split(docs: DataFrame, size: int = DEFAULT_SIZE, overlap: int = 0, key: str = "doc_id") -> DataFrame:
@@ -125,20 +139,22 @@ def structure_split(docs: DataFrame, size: int = DEFAULT_SIZE, overlap: int = 0,
     return _per_text(docs, key, "chunk string, heading string", lambda t: packed(segments(t), size, overlap))
 
 
-def pseudo_pages(docs: DataFrame, size: int = 3000, key: str = "doc_id") -> DataFrame:
-    """(key, page, content): paragraphs packed greedily into pages of about ``size`` characters."""
+def pages_of(text: str, size: int = 3000) -> list[str]:
+    """Paragraphs packed greedily into pages of about ``size`` characters, two more for each; an empty text is one empty page."""
+    pages, page = [], ""
+    for paragraph in text.split("\n\n"):
+        if page and len(page) + len(paragraph) > size:
+            pages.append(page.strip())
+            page = ""
+        page += paragraph + "\n\n"
+    if page.strip():
+        pages.append(page.strip())
+    return pages or [text]
 
-    def make(text: str) -> list[tuple[str]]:
-        pages, held, length = [], [], 0
-        for paragraph in text.split("\n"):
-            if held and length + len(paragraph) > size:
-                pages.append(("\n".join(held),))
-                held, length = [], 0
-            held.append(paragraph)
-            length += len(paragraph) + 1
-        return [*pages, ("\n".join(held),)] if any(h.strip() for h in held) else pages
 
-    return _per_text(docs, key, "content string", make).select(key, (F.col("chunk_idx") + 1).alias("page"), "content")
+def pseudo_pages(docs: DataFrame, size: int = 3000, key: str = "doc_id") -> DataFrame:
+    """(key, page, content): paragraphs, between blank lines, packed greedily into pages of about ``size`` characters."""
+    return _per_text(docs, key, "content string", lambda t: [(p,) for p in pages_of(t, size)]).select(key, (F.col("chunk_idx") + 1).alias("page"), "content")
 
 
 def sentence_windows(docs: DataFrame, around: int = 3, least: int = 5, key: str = "doc_id") -> DataFrame:
@@ -184,15 +200,91 @@ def expand_to_parents(hits: DataFrame, placed: DataFrame, key: str = "doc_id") -
     return rows.withColumn("n", first).where("n = 1").drop("n")
 
 
-def page_of_chunk(chunks: DataFrame, pages: DataFrame, size: int = 80, key: str = "doc_id") -> DataFrame:
-    """The first page that holds a chunk's first ``size`` characters, else the document's first page."""
-    probe = chunks.withColumn("probe", F.trim(F.substring("chunk", 1, size)))
-    found = probe.join(pages.select(key, "page", "content"), key).where(F.contains("content", "probe")).groupBy(key, "chunk_idx").agg(F.min("page").alias("page"))
+def page_of_chunk(chunks: DataFrame, pages: DataFrame, window: int = 80, step: int = 40, loose: int = 60, key: str = "doc_id") -> DataFrame:
+    """The page each chunk is on: the first of these that finds one.
+
+    1. The page whose window of 80 characters, taken every 40, is just the chunk's beginning.
+    2. The first window, by page and place, that holds the chunk's first 60 characters, letter case ignored.
+    3. The first page that holds the chunk's first 80 characters, or its first 60 with case ignored.
+    4. The document's first page.
+
+    The first tier is an equi-join on the window's text; only chunks that it leaves meet their own document's
+    windows and pages.
+    """
+    last = F.greatest(F.length("content") - (window - 1), F.lit(1)) - 1
+    starts = F.sequence(F.lit(0), F.floor(last / step).cast("int") * step, F.lit(step))
+    full = pages.where(F.length("content") > 0)
+    windows = full.select(key, "page", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("content"), i + 1, F.lit(window)))).alias("place", "key"))
+    begins = chunks.select(key, "chunk_idx", F.substring("chunk", 1, window).alias("prefix"), F.lower(F.substring("chunk", 1, loose)).alias("probe"))
+    exact = windows.groupBy(key, "key").agg(F.min(F.struct("page", "place")).alias("first"))
+    sure = begins.join(exact, (begins[key] == exact[key]) & (F.col("prefix") == F.col("key")), "left").select(begins[key], "chunk_idx", "prefix", "probe", F.col("first.page").alias("sure"))
+    left = sure.where("sure is null").select(F.col(key).alias("__d"), F.col("chunk_idx").alias("__c"), "prefix", "probe")
+    of_document = left["__d"] == F.col(key)
+    near = windows.join(left, of_document & F.contains(F.lower("key"), F.col("probe"))).groupBy("__d", "__c").agg(F.min(F.struct("page", "place"))["page"].alias("near"))
+    whole = full.join(left, of_document & (F.contains("content", F.col("prefix")) | F.contains(F.lower("content"), F.col("probe")))).groupBy("__d", "__c").agg(F.min("page").alias("whole"))
     first = pages.groupBy(key).agg(F.min("page").alias("first_page"))
-    return chunks.join(found, [key, "chunk_idx"], "left").join(first, key, "left").withColumn("page", F.coalesce("page", "first_page")).drop("first_page")
+    found = sure.join(near, (sure[key] == near["__d"]) & (F.col("chunk_idx") == near["__c"]), "left").drop("__d", "__c")
+    found = found.join(whole, (F.col(key) == whole["__d"]) & (F.col("chunk_idx") == whole["__c"]), "left").join(first, key, "left")
+    found = found.select(key, "chunk_idx", F.coalesce("sure", "near", "whole", "first_page", F.lit(1)).alias("page"))
+    return chunks.drop("page").join(found, [key, "chunk_idx"])
+
+
+def with_heading(chunk: Column, heading: Column) -> Column:
+    """What is embedded in a chunk's place: its section's heading before it, if it has one."""
+    return F.when(F.coalesce(heading, F.lit("")) != "", F.concat(F.lit("[章节: "), heading, F.lit("]\n"), chunk)).otherwise(chunk)
+
+
+#: Rows of tables, beginnings of their titles, lines that may stand between parts of one, and rows that make one.
+TABLE_ROW = re.compile(r"^\s*\|.*\|\s*$")
+TABLE_TITLES, TABLE_NOTES, TABLE_ROWS, TABLE_GAP = ("TABLE", "Table", "表"), ("^", "*", "[^"), 3, 2
+
+
+def table_spans(lines: list[str]) -> list[tuple[int, int]]:
+    """(first, last) lines of tables: three rows or more, with a title right before; those at most two blank or note lines apart as one."""
+    is_row = [bool(TABLE_ROW.match(x)) for x in lines]
+    runs = [(a, b) for a in range(len(lines)) if is_row[a] and (a == 0 or not is_row[a - 1]) for b in [next((i for i in range(a, len(lines)) if not is_row[i]), len(lines)) - 1]]
+    spans: list[tuple[int, int]] = []
+    for a, b in runs:
+        if b - a + 1 < TABLE_ROWS:
+            continue
+        a = a - 1 if a and lines[a - 1].strip().startswith(TABLE_TITLES) else a
+        before = spans[-1][1] if spans else -TABLE_GAP - 2
+        between = (x.strip() for x in lines[before + 1 : a])
+        if a - before <= TABLE_GAP and all(not x or x.startswith(TABLE_NOTES) for x in between):
+            spans[-1] = (spans[-1][0], b)
+        else:
+            spans.append((a, b))
+    return spans
+
+
+def protect_tables(docs: DataFrame, key: str = "doc_id", mark: str = "__TABLE_PLACEHOLDER_") -> DataFrame:
+    """(key, text, tables): tables give way to marks, numbered from the last one; ``tables`` is the array of what they were."""
+
+    def make(text: str) -> list[tuple[str, list[str]]]:
+        lines, tables = text.replace("\r\n", "\n").split("\n"), []
+        for a, b in reversed(table_spans(lines)):
+            tables.append("\n".join(lines[a : b + 1]))
+            lines[a : b + 1] = [f"{mark}{len(tables) - 1}__"]
+        return [("\n".join(lines), tables)]
+
+    return per_row(docs, [key], ["text"], "text string, tables array<string>", make)
+
+
+def restored(text: Column, tables: Column, mark: str = "__TABLE_PLACEHOLDER_") -> Column:
+    """The text with its tables where their marks are."""
+    numbered = F.transform(tables, lambda t, i: F.struct(F.concat(F.lit(mark), i.cast("string"), F.lit("__")).alias("mark"), t.alias("table")))
+    return F.aggregate(numbered, text, lambda acc, t: F.replace(acc, t["mark"], t["table"]))
 
 
-def fit_table(rows: Column) -> Column:
-    """Table rows (arrays of cells) padded or cut to the width of the first."""
-    width = F.size(F.get(rows, F.lit(0)))
-    return F.transform(rows, lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), F.greatest(width - F.size(r), F.lit(0)))), F.lit(1), width))
+def mended_table(table: Column) -> Column:
+    """A Markdown table with a rule below its header and as many cells in every row as that has; under three lines as it is."""
+    trim = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    lines = F.filter(F.transform(F.split(table, "\n"), trim), lambda x: x != "")
+    cells = lambda x: F.filter(F.transform(F.split(x, r"\|"), trim), lambda c: c != "")
+    width = F.size(cells(F.get(lines, F.lit(0))))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
+    second = F.get(lines, F.lit(1))
+    fits = F.contains(second, F.lit("-")) & F.contains(second, F.lit("|")) & (F.size(cells(second)) == width)
+    row = lambda x: F.concat(F.lit("| "), F.array_join(F.slice(F.concat(cells(x), F.array_repeat(F.lit(""), width)), F.lit(1), width), " | "), F.lit(" |"))
+    rest = F.transform(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), lambda x: F.when(F.size(cells(x)) == width, x).otherwise(row(x)))
+    return F.when(F.size(lines) < 3, table).otherwise(F.array_join(F.concat(F.slice(lines, 1, 1), F.array(F.when(fits, second).otherwise(rule)), rest), "\n"))

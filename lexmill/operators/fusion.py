@@ -6,7 +6,7 @@ texts merge and their reciprocal ranks add up.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +16,8 @@ from lexmill.functions import text as T
 from lexmill.operators.lexical import top_k
 
 K = 60
+#: Most blocked domains, which are sent to all executors.
+MOST_BLOCKED = 100_000
 
 
 def rrf(lists: list[DataFrame], weights: list[Column | float] | None = None, top: int | None = None, k: int = K) -> DataFrame:
@@ -31,18 +33,22 @@ def rrf(lists: list[DataFrame], weights: list[Column | float] | None = None, top
     return top_k(fused, top or (1 << 30), ["query_id"], order).select("query_id", "chunk", "rrf_score", "rank")
 
 
-def hybrid_merge(vector: DataFrame, lexical: DataFrame, kinds: DataFrame, top: int = 10) -> DataFrame:
+def hybrid_merge(vector: DataFrame, lexical: DataFrame, kinds: DataFrame, top: int = 10, k: int = K) -> DataFrame:
     """Weighted fusion, the vector list's weight by the query's kind (query_id, query_type).
 
-    A query with one list empty keeps the other as it stands, cut to ``top``.
+    A query with one list empty keeps the other as it stands, cut to ``top``.  Both lists go through one shuffle:
+    whether a query has both is a flag over its rows.
     """
-    alpha = T.by_key(F.col("query_type"), T.ALPHA, 0.5)
-    with_kind = lambda x: x.join(kinds.select("query_id", "query_type"), "query_id", "left").withColumn("a", F.coalesce(alpha, F.lit(0.5)))
-    v, b = with_kind(vector), with_kind(lexical)
-    both = v.select("query_id").distinct().join(b.select("query_id").distinct(), "query_id")
-    fused = rrf([v.join(both, "query_id", "left_semi"), b.join(both, "query_id", "left_semi")], [F.col("a"), 1 - F.col("a")], top)
-    alone = vector.unionByName(lexical).join(both, "query_id", "left_anti").where(F.col("rank") < top).select("query_id", "chunk", F.lit(None).cast("double").alias("rrf_score"), (F.col("rank") + 1).alias("rank"))
-    return fused.unionByName(alone)
+    part = lambda x, i: x.select("query_id", "chunk", "rank", F.lit(i).alias("list"))
+    rows = part(vector, 0).unionByName(part(lexical, 1)).join(kinds.select("query_id", "query_type"), "query_id", "left")
+    weight = F.coalesce(T.by_key(F.col("query_type"), T.ALPHA, 0.5), F.lit(0.5))
+    gain = F.when(F.col("list") == 0, weight).otherwise(1 - weight) / (k + F.col("rank") + 1)
+    per = rows.groupBy("query_id", "chunk").agg(F.sum(gain).alias("s"), F.min(F.struct("list", "rank")).alias("first"), F.min("list").alias("low"), F.max("list").alias("high"))
+    every = Window.partitionBy("query_id")
+    both = (F.min("low").over(every) == 0) & (F.max("high").over(every) == 1)
+    fused = per.withColumn("rrf_score", F.when(both, F.round("s", 9)))
+    order = every.orderBy(F.col("rrf_score").desc(), "first.list", "first.rank", "chunk")
+    return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "chunk", "rrf_score", "rank")
 
 
 def phrase_boost(hits: DataFrame, boost: float = 1.2) -> DataFrame:
@@ -65,32 +71,41 @@ def phrase_boost(hits: DataFrame, boost: float = 1.2) -> DataFrame:
 
 
 def mmr(hits: DataFrame, k: int = 5, weight: float = 0.5, most: int = 600) -> DataFrame:
-    """Greedy diversity per query over (query_id, chunk, similarity): relevance less likeness to what is chosen.
+    """(query_id, place, chunk, similarity): greedy diversity over (query_id, chunk, similarity, rank), relevance less likeness to what is chosen.
 
-    Likeness is the Jaccard similarity of white-space words in the first ``most`` characters.  Candidates of a
+    Likeness is the Jaccard similarity of white-space words in the first ``most`` characters.  The first of the
+    ranked list comes first, the earlier of equals next; a list of at most ``k`` stays as it is.  Candidates of a
     query are a ranked list cut to a few dozen, so a group is small.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["similarity", "chunk"], ascending=[False, True]).to_dict("records")
-        words = [set(r["chunk"][:most].lower().split()) for r in rows]
-        left, chosen = list(range(len(rows))), []
+        rows = pdf.sort_values("rank").to_dict("records")
+        words = [set(r["chunk"][:most].split()) for r in rows]
+        like, left, chosen = [0.0] * len(rows), list(range(len(rows))), []
         while left and len(chosen) < k:
-            like = lambda i: max((len(words[i] & words[j]) / max(len(words[i] | words[j]), 1) for j in chosen), default=0.0)
-            best = max(left, key=lambda i: (weight * rows[i]["similarity"] - (1 - weight) * like(i), -i))
+            best = max(left, key=lambda i: (weight * rows[i]["similarity"] - (1 - weight) * like[i], -i)) if chosen else left[0]
             chosen.append(best)
             left.remove(best)
+            for i in left:
+                like[i] = max(like[i], len(words[i] & words[best]) / max(len(words[i] | words[best]), 1))
+        chosen = chosen if len(rows) > k else list(range(len(rows)))
         return pd.DataFrame({"query_id": [key[0]] * len(chosen), "place": range(1, len(chosen) + 1), "chunk": [rows[i]["chunk"] for i in chosen], "similarity": [rows[i]["similarity"] for i in chosen]})
 
     kind = hits.schema["query_id"].dataType.simpleString()
-    return hits.select("query_id", "chunk", "similarity").groupBy("query_id").applyInPandas(run, f"query_id {kind}, place int, chunk string, similarity double")
+    return hits.select("query_id", "chunk", "similarity", "rank").groupBy("query_id").applyInPandas(run, f"query_id {kind}, place int, chunk string, similarity double")
 
 
 def rerank_normalised(hits: DataFrame) -> DataFrame:
-    """Scores of each query stretched to 40 to 99; a lone score, or equal ones, give 99."""
+    """Scores of each query stretched to 40 to 99; a lone score, or equal ones, give 40."""
     w = Window.partitionBy("query_id")
     low, high = F.min("score").over(w), F.max("score").over(w)
-    return hits.withColumn("percent", F.round(F.when(high > low, 40 + (F.col("score") - low) / (high - low) * 59).otherwise(99.0), 2))
+    return hits.withColumn("percent", F.round(40 + (F.col("score") - low) / F.when(high > low, high - low).otherwise(1.0) * 59, 2))
+
+
+def by_similarity(hits: DataFrame) -> DataFrame:
+    """The order where no reranker answers: by similarity, the earlier of equals first."""
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "rank")
+    return hits.withColumn("rank", F.row_number().over(order) - 1)
 
 
 def adaptive_filter(scored: DataFrame, floor: float = 0.08, share: float = 0.35, none: float = 0.02) -> DataFrame:
@@ -112,8 +127,75 @@ def group_fusion(chunk_hits: DataFrame, group_hits: DataFrame, members: DataFram
     return top_k(kept.drop("rank", "in_group"), top, ["query_id"], [F.col("rrf_score").desc(), "chunk"])
 
 
-def lexical_overlap(pairs: DataFrame) -> DataFrame:
-    """Relevance of (query, title, body): 0.65 of the title's and 0.35 of the body's token overlap, 0.2 more for the phrase."""
-    share = lambda c: F.size(F.array_intersect(F.array_distinct(T.tokens(F.col("query"))), F.array_distinct(T.tokens(F.col(c))))) / F.greatest(F.size(F.array_distinct(T.tokens(F.col("query")))), F.lit(1))
-    phrase = F.when(F.contains(F.lower(F.concat_ws(" ", "title", "body")), F.lower("query")), 0.2).otherwise(0.0)
-    return pairs.withColumn("score", F.round(0.65 * share("title") + 0.35 * share("body") + phrase, 6))
+#: Words of technical questions, and hosts that are noise for these.
+TECHNICAL_WORDS = ["论文", "方法", "模型", "算法", "攻击", "防御", "鲁棒", "公式", "实验", "asr", "adversarial", "model", "method", "algorithm", "benchmark", "loss", "dataset"]
+NOISY_HOSTS = ["instagram.com", "ameblo.jp", "weibo.com", "x.com", "twitter.com", "facebook.com"]
+CJK, KANA = "[一-鿿]", "[぀-ヿ]"
+
+
+def relevance_tokens(text: Column) -> Column:
+    """Distinct ASCII runs of two or more characters, and CJK runs of two or more with their pairs."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    ascii_ = F.regexp_extract_all(low, F.lit("([a-z0-9]{2,})"), 1)
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
+    runs = F.regexp_extract_all(low, F.lit(f"({CJK}{{2,}})"), 1)
+    return F.array_distinct(F.concat(ascii_, runs, F.flatten(F.transform(runs, pairs))))
+
+
+def lexical_relevance(pairs: DataFrame) -> DataFrame:
+    """``score`` of (query, title, snippet, url): 0.65 of the query's tokens in the title and 0.35 of those in title and snippet.
+
+    The query as it stands there adds 0.2; kana results of a CJK query count 0.45, noisy hosts of a technical one
+    a half.  Queries without tokens score 0.
+    """
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("snippet", F.lit("")))
+    rows = pairs.withColumns({"__q": relevance_tokens(F.col("query")), "__t": relevance_tokens(F.col("title")), "__b": relevance_tokens(text), "__all": text})
+    n = F.greatest(F.size("__q"), F.lit(1))
+    share = lambda c: F.size(F.array_intersect("__q", c)) / n
+    score = share("__t") * 0.65 + share("__b") * 0.35 + F.when((F.col("query") != "") & F.contains(F.lower("__all"), F.lower("query")), 0.2).otherwise(0.0)
+    kana = F.when(F.col("query").rlike(CJK) & F.col("__all").rlike(KANA), 0.45).otherwise(1.0)
+    host = T.domain(F.coalesce("url", F.lit("")))
+    noisy = reduce(Column.__or__, [T.is_blocked(host, F.lit(h)) for h in NOISY_HOSTS])
+    noise = F.when(T.contains_any(F.lower("query"), TECHNICAL_WORDS) & noisy, 0.5).otherwise(1.0)
+    return rows.withColumn("score", F.round(F.when(F.size("__q") > 0, score * kana * noise).otherwise(0.0), 12)).drop("__q", "__t", "__b", "__all")
+
+
+def distinct_results(results: DataFrame) -> DataFrame:
+    """Web results (query_id, rank, title, url, snippet) trimmed, without those that have neither title nor URL, the first of equal ones (case ignored)."""
+    trim = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    rows = results.withColumns({c: trim(c) for c in ("title", "url", "snippet")}).where("title <> '' or url <> ''")
+    first = Window.partitionBy("query_id", F.lower("title"), F.lower("url")).orderBy("rank")
+    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+
+
+def web_results(queries: DataFrame, results: DataFrame, blocked: DataFrame | None = None, top: int = 5) -> DataFrame:
+    """What is left of (query_id, rank, title, url, snippet) for (query_id, query): distinct, not blocked (b), relevant enough, best first."""
+    rows = distinct_results(results)
+    if blocked is not None:
+        rows = rows.withColumn("__h", T.domain(F.col("url"))).join(F.broadcast(blocked.limit(MOST_BLOCKED)), T.is_blocked(F.col("__h"), F.col("b")), "left_anti").drop("__h")
+    scored = adaptive_filter(lexical_relevance(rows.join(queries, "query_id")))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rank")
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+
+
+def semantic_rerank(results: DataFrame, top: int = 5, least: float = 0.2, none: float = 0.05, share: float = 0.5) -> DataFrame:
+    """(query_id, place, ...) of (query_id, place, vector, embedding, ...): by cosine, those of at least ``least`` and half the best.
+
+    A query whose best is under ``none``, or with a single result, keeps its order; the best stays in any case.
+    """
+    every = Window.partitionBy("query_id")
+    cos = F.round(T.dot(T.normalised(F.col("vector")), T.normalised(F.col("embedding"))), 9)
+    rows = results.withColumn("cos", cos).withColumns({"best": F.max("cos").over(every), "n": F.count("*").over(every)})
+    as_is = (F.col("n") == 1) | (F.col("best") < none)
+    order = every.orderBy(F.when(as_is, F.lit(0.0)).otherwise(-F.col("cos")), "place")
+    ranked = rows.withColumn("new", F.row_number().over(order))
+    kept = ranked.where(as_is | (F.col("new") == 1) | (F.col("cos") >= F.greatest(F.lit(least), share * F.col("best"))))
+    return kept.where(F.col("new") <= top).withColumn("place", F.col("new")).drop("cos", "best", "n", "new")
+
+
+def formatted_results(ranked: DataFrame, most: int = 400) -> DataFrame:
+    """(query_id, context): numbered titles with their URLs, and snippets below, cut at ``most`` characters."""
+    cut = F.when(F.length("snippet") > most, F.concat(F.substring("snippet", 1, most), F.lit("…"))).otherwise(F.nullif("snippet", F.lit("")))
+    head = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), "title", F.when(F.col("url") != "", F.concat(F.lit(" - "), "url")).otherwise(""))
+    entry = F.concat_ws("\n", head, cut)
+    return ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", entry.alias("entry")))).alias("e")).select("query_id", F.array_join("e.entry", "\n\n").alias("context"))

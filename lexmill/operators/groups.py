@@ -12,10 +12,15 @@ LARGEST, TARGET = 6000, 5000
 SUMMARY, DIGEST = 80, 1000
 
 
+#: First lines that begin a block: numbered and Markdown headings, code fences, table rows.
+BLOCK_START = r"^\d+(\.\d+)*\.?\s+\S|^#{1,6}\s+\S|^```|^.*\|.*\|"
+
+
 def starts_block(text: Column) -> Column:
-    """Whether a chunk begins with a heading, a table or code."""
-    line = F.trim(F.split(text, "\n")[0])
-    return line.rlike(r"^#{1,6}\s|^\d+(\.\d+)*[.)]?\s+[A-Z]|^\||^```|^(def|class|import)\s") | ((line == F.upper(line)) & (line != F.lower(line)) & (F.length(line) < 100))
+    """Whether a chunk's first line is a heading (its ASCII letters, two at least, all capitals will do), a table row or a code fence."""
+    line = F.regexp_replace(F.split(text, "\n")[0], r"^\s+|\s+$", "")
+    letters = F.regexp_replace(line, "[^a-zA-Z]", "")
+    return line.rlike(BLOCK_START) | ((F.length(letters) >= 2) & (letters == F.upper(letters)))
 
 
 def boundaries(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -57,9 +62,10 @@ def granularity_mixed(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("granularity", F.when(F.col("rank") == 0, "full").when(F.col("rank") <= 2, "digest").otherwise("summary"))
 
 
-def rank_groups(hits: DataFrame, members: DataFrame) -> DataFrame:
-    """Groups by the best place of their chunks; those under half the best similarity go where that exceeds a half."""
-    g = hits.join(members, "chunk").groupBy("query_id", "group_id").agg(F.min("rank").alias("rank"), F.max("similarity").alias("similarity"), F.max_by("chunk", "similarity").alias("best_chunk"))
+def rank_groups(hits: DataFrame, members: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """(query_id, group_id, rank, similarity, best_chunk): groups by the best place of their chunks; those under half the best similarity go where that exceeds a half."""
+    best_chunk = F.min_by("chunk", F.struct(-F.col("similarity"), "rank"))
+    g = hits.join(members, on or ["chunk"]).groupBy("query_id", "group_id").agg(F.min("rank").alias("rank"), F.max("similarity").alias("similarity"), best_chunk.alias("best_chunk"))
     best = F.max("similarity").over(Window.partitionBy("query_id"))
     return g.withColumn("best", best).where((F.col("best") <= 0.5) | (F.col("similarity") >= 0.5 * F.col("best"))).drop("best")
 
@@ -92,5 +98,31 @@ def fit_within_budget(selected: DataFrame, budget: int = 6500) -> DataFrame:
     return need.groupBy("query_id").applyInPandas(run, f"query_id {kind}, rank int, granularity string, tokens long")
 
 
-def dynamic_budget(window: Column, ratio: float, reserve: int = 1500, least: int = 2000) -> Column:
+def granularity_dynamic(ranked: DataFrame, budget: int = 6500) -> DataFrame:
+    """(query_id, rank, granularity, tokens) of (query_id, rank, query_type, char_count, full_text, digest, summary).
+
+    As many groups as the kind of question takes; the first in full (an overview's as a digest), two in the kind's
+    own granularity, the rest as summaries, as are groups of under 500 characters.  What does not fit steps down.
+    """
+    kind, rank = F.col("query_type"), F.col("rank")
+    most = T.by_key(kind, {k: v[1] for k, v in T.GRANULARITY.items()}, 5)
+    base = T.by_key(kind, {k: v[0] for k, v in T.GRANULARITY.items()}, "digest")
+    wanted = F.when(F.col("char_count") < 500, "summary").when(rank == 0, F.when(kind == "overview", "digest").otherwise("full")).when(rank < 3, base).otherwise("summary")
+    return fit_within_budget(ranked.where(rank < most).withColumn("granularity", wanted), budget)
+
+
+def document_map(groups: DataFrame, most: int = 50, key: str = "doc_id") -> DataFrame:
+    """(key, group_no, char_count, keywords, summary, page_start, page_end): a document's first groups, summaries cut at 200 characters."""
+    return groups.where(F.col("group_no") < most).select(key, "group_no", "char_count", "keywords", F.substring("summary", 1, 200).alias("summary"), "page_start", "page_end")
+
+
+def fetched(granularity: Column, most: int = 8000) -> Column:
+    """A group's text of a granularity; where that is empty the full text, digest or summary, whichever is not."""
+    asked = T.by_key(granularity, {"full": F.col("full_text"), "digest": F.col("digest")}, F.col("summary"))
+    filled = lambda c: F.nullif(c, F.lit(""))
+    return F.substring(F.coalesce(filled(asked), filled(F.col("full_text")), filled(F.col("digest")), filled(F.col("summary")), F.lit("")), 1, most)
+
+
+def dynamic_budget(window: Column, ratio: float, reserve: Column | int = 1500, least: int = 2000) -> Column:
+    """Tokens for the context: a share of the model's window less what the answer needs."""
     return F.greatest(F.floor(window * ratio) - reserve, F.lit(least))

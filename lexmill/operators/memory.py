@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators import fusion as U
+from lexmill.operators import lexical as L
 
 HALF_LIFE_DAYS = 30
 #: The order of tiers in injected context.
@@ -82,22 +84,119 @@ def record_hits(memories: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
 
 
 def compressed(memories: DataFrame, into: int = 5, over: int = 20) -> DataFrame:
-    """Documents with more than ``over`` memories get them merged, oldest first, into ``into`` runs of equal size."""
+    """(doc_id, bucket, content, importance): documents with more than ``over`` memories get them merged, oldest first, into ``into`` runs of equal size.
+
+    Blank contents are left out, and a run of nothing else is none; every run has the document's greatest importance.
+    """
     by_doc = Window.partitionBy("doc_id")
-    rows = memories.withColumn("n", F.count("*").over(by_doc)).where(F.col("n") > over)
+    rows = memories.withColumns({"n": F.count("*").over(by_doc), "importance": F.max("importance").over(by_doc)}).where(F.col("n") > over)
     place = F.row_number().over(by_doc.orderBy("created_at", "id")) - 1
     rows = rows.withColumn("bucket", F.floor(place / F.ceil(F.col("n") / into)).cast("int")).withColumn("place", place)
     parts = F.array_sort(F.collect_list(F.struct("place", "content")))
-    merged = rows.groupBy("doc_id", "bucket").agg(parts.alias("p"), F.max("importance").alias("importance"))
+    merged = rows.where(F.regexp_replace("content", r"\s", "") != "").groupBy("doc_id", "bucket").agg(parts.alias("p"), F.max("importance").alias("importance"))
     return merged.select("doc_id", "bucket", F.array_join(F.col("p.content"), " ").alias("content"), "importance")
 
 
+def _cost(content: Column) -> Column:
+    """Half a token a character, one at least; none for nothing."""
+    return F.when(F.length(content) > 0, F.greatest(F.floor(F.length(content) / 2), F.lit(1))).otherwise(0)
+
+
 def injected(memories: DataFrame, budget: int = 800, by: str = "conv_id") -> DataFrame:
     """Most important first, half a token a character, as long as the budget lasts; tiers in their fixed order."""
     order = Window.partitionBy(by).orderBy(F.col("importance").desc(), "id")
-    used = F.sum(F.floor(F.length("content") / 2)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    used = F.sum(_cost(F.col("content"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     tier = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, TIERS)), F.col("memory_tier")), F.lit(0)), F.lit(len(TIERS) + 1))
-    return memories.withColumn("used", used).where(F.col("used") <= budget).withColumn("tier_place", tier)
+    return memories.withColumns({"used": used, "place": F.row_number().over(order)}).where(F.col("used") <= budget).withColumn("tier_place", tier)
+
+
+#: How tiers and sources are named in contexts and logs, and the heads of these.
+TIER_LABELS = {"long_term": "[长期记忆]", "short_term": "[文档记忆]", "working": "[工作记忆]", "archived": "[归档记忆]"}
+SOURCE_LABELS = {"auto_qa": "自动摘要", "manual": "手动记忆", "liked": "点赞记忆", "keyword": "关键词", "llm_distilled": "LLM 提炼"}
+CONTEXT_HEAD, SUMMARY_HEAD = "用户历史记忆：", "## 记忆摘要\n"
+
+
+def memory_block(chosen: DataFrame, by: str = "conv_id", most: int = 10) -> DataFrame:
+    """(by, context) of ``injected`` rows: a list for each known tier, or beyond ``most`` memories one sentence of their beginnings."""
+    trimmed_ = F.regexp_replace("content", r"^\s+|\s+$", "")
+    label = T.by_key(F.col("memory_tier"), TIER_LABELS, "")
+    rows = chosen.withColumns({"t": trimmed_, "label": label})
+    n = rows.groupBy(by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("place", "t")))).alias("all"))
+    short = F.transform("all.t", lambda t: F.concat(F.substring(t, 1, 20), F.when(F.length(t) > 20, "...").otherwise("")))
+    more = F.when(F.size("all") > 5, F.concat(F.lit(" 等 "), F.size("all").cast("string"), F.lit(" 项"))).otherwise("")
+    told = F.when(F.size("all") > 0, F.concat(F.lit("共 "), F.col("n").cast("string"), F.lit(" 条记忆，涵盖："), F.array_join(F.slice(short, 1, 5), "；"), more)).otherwise("无可用记忆")
+    lines = F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("place", F.concat(F.lit("- "), "label", F.lit(" "), "t").alias("line")))))
+    tiers = rows.where(F.col("label") != "").groupBy(by, "tier_place", "label").agg(lines.alias("l"))
+    block = F.concat_ws("\n", F.concat(F.lit("## "), "label"), F.nullif(F.array_join("l.line", "\n"), F.lit("")))
+    lists = tiers.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("tier_place", block.alias("block")))).alias("b"))
+    return n.join(lists, by, "left").select(by, F.when(F.col("n") > most, F.concat(F.lit(SUMMARY_HEAD), told)).otherwise(F.coalesce(F.array_join("b.block", "\n\n"), F.lit(""))).alias("context"))
+
+
+def retrieve(queries: DataFrame, memories: DataFrame, now: Column, top: int = 3) -> DataFrame:
+    """(query_id, id, content, source_type, doc_id, score, rank) for (query_id, query, vector, doc_id) over (id, content, embedding, ...).
+
+    The best by cosine and the best by BM25 are fused, half and half, and ordered by the dynamic score; memories of
+    equal content are one hit, told by the least id.  Filters on memories belong before the call.
+    """
+    keyed = memories.groupBy("content").agg(F.min("id").alias("id"))
+    held = memories.join(keyed, ["content", "id"])
+    unit = held.select("content", "id", T.normalised(F.col("embedding")).alias("e"))
+    asked = queries.select("query_id", T.normalised(F.col("vector")).alias("v"))
+    near = unit.join(F.broadcast(asked)).withColumn("similarity", F.round(T.dot(F.col("v"), F.col("e")), 9))
+    by_vector = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
+    vectors = near.withColumn("rank", F.row_number().over(by_vector) - 1).where(F.col("rank") < top).select("query_id", F.col("content").alias("chunk"), "rank")
+    words = L.term_hits(queries.select("query_id", F.col("query").alias("text")), held.select("id", F.col("content").alias("text")), "query_id", "id")
+    by_words = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "id")
+    words = words.where(F.round("score", 6) > 0).withColumn("rank", F.row_number().over(by_words) - 1).where(F.col("rank") < top).join(held.select("id", "content"), "id").select("query_id", F.col("content").alias("chunk"), "rank")
+    fused = U.hybrid_merge(vectors, words, queries.select("query_id", F.lit("specific").alias("query_type")), top)
+    # a list alone has no fused score: its order stays
+    rows = fused.withColumn("rrf", F.coalesce("rrf_score", F.lit(0.0))).select("query_id", F.col("chunk").alias("content"), "rrf", F.col("rank").alias("place"))
+    rows = rows.join(held.drop("embedding"), "content").join(queries.select("query_id", F.col("doc_id").alias("asked_doc")), "query_id")
+    rows = rows.withColumn("score", F.round(dynamic_score(rows, now, F.col("asked_doc")), 9))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "place")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "id", "content", "source_type", "doc_id", "score", "rank")
+
+
+def memory_context(hits: DataFrame) -> DataFrame:
+    """(query_id, context) of retrieved memories: a line for each, with its source."""
+    line = F.concat(F.lit("- ["), F.coalesce("source_type", F.lit("unknown")), F.lit("] "), "content")
+    made = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
+    return made.select("query_id", F.concat(F.lit(CONTEXT_HEAD + "\n"), F.array_join("l.line", "\n")).alias("context"))
+
+
+def important_memories(marked: DataFrame) -> DataFrame:
+    """Memories of marked answers (id, question, answer, source_type, created_at, doc_id): of full importance, long-term at once."""
+    content = F.concat(F.lit("Q: "), "question", F.lit("\nA: "), "answer")
+    return marked.select("id", content.alias("content"), "source_type", "created_at", "doc_id", F.lit(1.0).alias("importance"), F.lit("long_term").alias("memory_tier"))
+
+
+def qa_summaries(turns: DataFrame, n: int = 3) -> DataFrame:
+    """(conv_id, turn, content, source_type, importance): the last pairs of each conversation, cut, as memories."""
+    p = last_pairs(turns, n)
+    content = F.concat(F.lit("Q: "), "question", F.lit("\nA: "), "answer")
+    return p.select("conv_id", "turn", content.alias("content"), F.lit("auto_qa").alias("source_type"), F.lit(0.5).alias("importance"))
+
+
+def log_entries(memories: DataFrame) -> DataFrame:
+    """(day, created_at, entry): Markdown entries of a memory log, one file a day; long-term ones stand in a file of their own."""
+    long_term = F.col("memory_tier") == "long_term"
+    label = T.by_key(F.col("source_type"), SOURCE_LABELS, F.col("source_type"))
+    at = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")
+    entry = F.concat(F.when(long_term, "##").otherwise("###"), F.lit(" ["), label, F.lit("] "), at, F.lit("\n\n"), "content", F.lit("\n\n---\n"))
+    return memories.select(F.when(long_term, "MEMORY").otherwise(F.date_format("created_at", "yyyy-MM-dd")).alias("day"), "created_at", "id", entry.alias("entry"))
+
+
+def status(memories: DataFrame) -> DataFrame:
+    """(memory_tier, n, indexed): memories of each tier, and how many of them have a vector."""
+    return memories.groupBy("memory_tier").agg(F.count("*").alias("n"), F.count("embedding").alias("indexed"))
+
+
+def with_tag(tags: Column, tag: str) -> Column:
+    return F.array_sort(F.array_union(tags, F.array(F.lit(tag))))
+
+
+def without_tag(tags: Column, tag: str) -> Column:
+    return F.array_remove(tags, tag)
 
 
 def trimmed(memories: DataFrame, limit: int = 50, by: str = "doc_id") -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators.lexical import top_k
+from lexmill.operators.rows import per_row
 
 #: Queries that are sent to all executors at a time (512 kB at 64 components).
 BLOCK = 1024
@@ -119,3 +120,39 @@ def pca_projection(vectors: DataFrame, components: int = 2) -> DataFrame:
 
     rows = vectors.where("embedding is not null").select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
     return PCA(k=components, inputCol="v", outputCol="p").fit(rows).transform(rows).select("vec_id", vector_to_array("p").alias("projection"))
+
+
+def embedding_batches(texts: DataFrame, budget: int, by: str, order: str) -> DataFrame:
+    """(by, order, text, tokens, batch): texts packed in order into batches of up to ``budget`` estimated tokens; longer ones are cut to it.
+
+    A group's texts are folded by their sizes alone; the estimate of a cut text is the most that fits.
+    """
+    cut = per_row(texts, [by, order], ["text"], "text string, tokens long", lambda t: [fitted(t, budget)])
+    rows = cut.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, "tokens"))).alias("t"))
+    kind = texts.schema[order].dataType.simpleString()
+    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<{order}:{kind},batch:int>>").alias("out"))
+
+    def step(acc: Column, t: Column) -> Column:
+        full = (acc["used"] > 0) & (acc["used"] + t["tokens"] > budget)
+        batch = acc["batch"] + full.cast("int")
+        return F.struct(batch.alias("batch"), (F.when(full, 0).otherwise(acc["used"]) + t["tokens"]).cast("long").alias("used"), F.array_append(acc["out"], F.struct(t[order].alias(order), batch.alias("batch"))).alias("out"))
+
+    placed = rows.select(by, F.explode(F.aggregate("t", start, step, lambda a: a["out"])).alias("p")).select(by, f"p.{order}", "p.batch")
+    return cut.join(placed, [by, order])
+
+
+def fitted(text: str, budget: int) -> tuple[str, int]:
+    """A text's beginning whose estimated tokens come to the budget, found by halving, and the estimate."""
+
+    def tokens(t: str) -> int:
+        t = t.strip()
+        plain = sum(map(str.isascii, t))
+        return max(1, int(plain / 3.5 + (len(t) - plain) * 1.1))
+
+    low, high = 1, len(text)
+    if tokens(text) > budget:
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if tokens(text[:middle]) <= budget else (low, middle - 1)
+        text = text[:low]
+    return text, tokens(text)

@@ -96,17 +96,104 @@ def _(s, d):
 
 
 @add("compress_buckets", f"""
-SELECT doc_id, bucket::INT AS bucket, md5(string_agg(content, ' ' ORDER BY place)) AS content, max(importance)::DOUBLE AS importance FROM (
-SELECT *, place // ceil(n / 5.0)::BIGINT AS bucket FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY created_at, id) - 1 AS place, count(*) OVER (PARTITION BY doc_id) AS n FROM ({MEMORIES}))) WHERE n > 20 GROUP BY ALL""")
+SELECT doc_id, bucket::INT AS bucket, md5(string_agg(content, ' ' ORDER BY place)) AS content, any_value(most)::DOUBLE AS importance FROM (
+SELECT *, place // ceil(n / 5.0)::BIGINT AS bucket FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY created_at, id) - 1 AS place, count(*) OVER (PARTITION BY doc_id) AS n, max(importance) OVER (PARTITION BY doc_id) AS most FROM ({MEMORIES}))) WHERE n > 20 AND trim(content) <> '' GROUP BY ALL""")
 def _(s, d):
     return M.compressed(memories(s, d)).withColumn("content", F.md5("content")).withColumn("importance", C("importance").cast("double"))
 
 
-@add("memory_injection", f"SELECT doc_id, id, used::BIGINT AS used FROM (SELECT *, sum(length(content) // 2) OVER (PARTITION BY doc_id ORDER BY importance DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM ({MEMORIES})) WHERE used <= 800")
+COST = "CASE WHEN length(content) > 0 THEN greatest(length(content) // 2, 1) ELSE 0 END"
+CHOSEN = f"SELECT * FROM (SELECT *, sum({COST}) OVER w AS used, row_number() OVER (PARTITION BY doc_id ORDER BY importance DESC, id) AS place FROM ({MEMORIES}) WINDOW w AS (PARTITION BY doc_id ORDER BY importance DESC, id ROWS UNBOUNDED PRECEDING))"
+
+
+@add("memory_injection", f"SELECT doc_id, id, used::BIGINT AS used FROM ({CHOSEN}) WHERE used <= 800")
 def _(s, d):
     return M.injected(memories(s, d), 800, "doc_id").select("doc_id", "id", "used")
 
 
+def _tier_block(tier: str) -> str:
+    label = M.TIER_LABELS[tier]
+    return f"CASE WHEN count(*) FILTER (memory_tier = '{tier}') > 0 THEN '## {label}' || chr(10) || string_agg('- {label} ' || content, chr(10) ORDER BY place) FILTER (memory_tier = '{tier}') END"
+
+
+@add("memory_block", f"""WITH c AS (SELECT doc_id, id, content, memory_tier, place FROM ({CHOSEN}) WHERE used <= CASE WHEN doc_id % 2 = 0 THEN 90 ELSE 400 END)
+SELECT doc_id, md5(CASE WHEN count(*) > 10 THEN '## 记忆摘要' || chr(10) || '共 ' || count(*) || ' 条记忆，涵盖：' || array_to_string(list(substr(content, 1, 20) || CASE WHEN length(content) > 20 THEN '...' ELSE '' END ORDER BY place)[1:5], '；') || ' 等 ' || count(*) || ' 项'
+ ELSE concat_ws(chr(10) || chr(10), {", ".join(map(_tier_block, M.TIERS))}) END) AS context FROM c GROUP BY doc_id""")
+def _(s, d):
+    m = memories(s, d)
+    few, many = (M.injected(m.where(f"doc_id % 2 = {k}"), b, "doc_id") for k, b in ((0, 90), (1, 400)))
+    return M.memory_block(few.unionByName(many), "doc_id").withColumn("context", F.md5("context"))
+
+
+@add("memory_log", f"SELECT CASE WHEN memory_tier = 'long_term' THEN 'MEMORY' ELSE strftime(created_at, '%Y-%m-%d') END AS day, id, md5(CASE WHEN memory_tier = 'long_term' THEN '##' ELSE '###' END || ' [' || CASE doc_id % 3 WHEN 0 THEN '手动记忆' WHEN 1 THEN '自动摘要' ELSE 'other' END || '] ' || strftime(created_at, '%Y-%m-%dT%H:%M:%S') || chr(10) || chr(10) || content || chr(10) || chr(10) || '---' || chr(10)) AS entry FROM ({MEMORIES})")
+def _(s, d):
+    m = memories(s, d).withColumn("source_type", T.by_key(C("doc_id") % 3, {0: "manual", 1: "auto_qa"}, "other"))
+    return M.log_entries(m).select("day", "id", F.md5("entry").alias("entry"))
+
+
+@add("memory_status", f"SELECT memory_tier, count(*) AS n, count(*) FILTER (doc_id <> 1) AS indexed FROM ({MEMORIES}) GROUP BY memory_tier")
+def _(s, d):
+    return M.status(memories(s, d).withColumn("embedding", F.when(C("doc_id") != 1, F.array(F.lit(1.0)))))
+
+
+@add("memory_tags", "SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN turn % 2 = 0 THEN ['fact', role] ELSE [role] END, ['fact']))), ',') AS added, CASE WHEN turn % 2 = 0 THEN role ELSE role END AS removed FROM conversations")
+def _(s, d):
+    tags = F.when(C("turn") % 2 == 0, F.array(F.lit("fact"), "role")).otherwise(F.array("role"))
+    return table(s, d, "conversations").select("conv_id", "turn", F.array_join(M.with_tag(tags, "fact"), ",").alias("added"), F.array_join(M.without_tag(tags, "fact"), ",").alias("removed"))
+
+
+@add("important_memories", f"SELECT conv_id, turn, md5('Q: ' || question || chr(10) || 'A: ' || answer) AS content, 1.0 AS importance, 'long_term' AS memory_tier FROM ({PAIRS})")
+def _(s, d):
+    p = M.qa_pairs(table(s, d, "conversations")).withColumns({"id": F.concat_ws(":", "conv_id", "turn"), "source_type": F.lit("liked"), "created_at": now(), "doc_id": C("conv_id")})
+    m = M.important_memories(p)
+    return m.select(F.split("id", ":")[0].cast("long").alias("conv_id"), F.split("id", ":")[1].cast("long").alias("turn"), F.md5("content").alias("content"), "importance", "memory_tier")
+
+
+@add("qa_summaries", f"SELECT conv_id, turn, md5('Q: ' || substr(question, 1, 100) || chr(10) || 'A: ' || substr(answer, 1, 200)) AS content, 0.5 AS importance FROM ({PAIRS}) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
+def _(s, d):
+    return M.qa_summaries(table(s, d, "conversations")).select("conv_id", "turn", F.md5("content").alias("content"), "importance")
+
+
+#: A stand-in for an embedding model: counts of tokens by a hash of sixteen values.  The fixtures have no vectors of texts.
+WIDTH = 16
+
+
+def hashed_embedding(text):
+    place = F.transform(T.tokens(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % WIDTH).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda j: F.size(F.filter(place, lambda p: p == j)).cast("double"))
+
+
+EMBEDDED = f"list_transform(range({WIDTH}), lambda j: len(list_filter({TOKENS}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {WIDTH} = j))::DOUBLE)"
+ANSWERS = f"""SELECT min(id) AS id, content, any_value(e) AS e, min_by(conv_id, id) AS conv_id FROM (SELECT conv_id || ':' || turn AS id, text AS content, conv_id, {EMBEDDED} AS e FROM conversations WHERE role = 'assistant') GROUP BY content"""
+REMEMBERED = f"""WITH m AS MATERIALIZED (SELECT id, content, e, conv_id, {TOKENS.replace('text', 'content')} AS toks FROM ({ANSWERS})), q AS MATERIALIZED (SELECT conv_id * 100 + turn AS query_id, text AS query, conv_id, {EMBEDDED} AS v, {TOKENS} AS toks FROM conversations WHERE role = 'user' AND conv_id % 20 = 0),
+v AS (SELECT query_id, content, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) - 1 AS rank FROM (SELECT query_id, content, id, round(coalesce(list_inner_product(v, e) / nullif(sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(e, e)), 0), 0), 9) AS s FROM q, m) QUALIFY rank < 3),
+tf AS (SELECT id, len(any_value(toks)) AS dl, term, count(*) AS tf FROM (SELECT id, toks, unnest(toks) AS term FROM m) GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), qt AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest(toks) AS term FROM q) GROUP BY ALL), st AS (SELECT count(*) AS n, greatest(avg(len(toks)), 1.0) AS avgdl FROM m),
+w AS (SELECT query_id, id, round(sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS s FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY ALL),
+b AS (SELECT query_id, content, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) - 1 AS rank FROM w JOIN m USING (id) WHERE s > 0 QUALIFY rank < 3),
+u AS (SELECT query_id, content, rank, 0 AS l FROM v UNION ALL SELECT query_id, content, rank, 1 FROM b), f AS (SELECT query_id, content, sum(0.5 / (61 + rank)) AS s, min(l) AS l, min_by(rank, l) AS r, max(l) AS h FROM u GROUP BY ALL),
+g AS (SELECT *, CASE WHEN min(l) OVER (PARTITION BY query_id) = 0 AND max(h) OVER (PARTITION BY query_id) = 1 THEN round(s, 9) END AS rrf FROM f), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, l, r, content) AS place FROM g QUALIFY place <= 3),
+x AS (SELECT query_id, m.id, content, m.conv_id AS doc_id, place, round(coalesce(rrf, 0) * (0.5 + (m.conv_id % 11) / 10.0) * greatest(0.1, pow(2, -(m.conv_id % 60) / 30.0)) * (1 + least(0.3, 0.1 * log2(1 + m.conv_id % 9))) * CASE WHEN m.conv_id = q.conv_id THEN 1.2 ELSE 1 END, 9) AS score FROM t JOIN m USING (content) JOIN q USING (query_id))
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS rank FROM x"""
+
+
+def remembered(s, d):
+    t = table(s, d, "conversations")
+    held = t.where("role = 'assistant'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), C("text").alias("content"), hashed_embedding(C("text")).alias("embedding"), F.lit("auto_qa").alias("source_type"), C("conv_id").alias("doc_id"), ((C("conv_id") % 11) / 10.0).alias("importance"), (C("conv_id") % 9).alias("hit_count"))
+    held = held.withColumns({"created_at": now() - F.make_interval(days=(C("doc_id") % 60).cast("int")), "last_hit_at": F.lit(None).cast("timestamp")})
+    q = t.where("role = 'user' and conv_id % 20 = 0").select((C("conv_id") * 100 + C("turn")).alias("query_id"), C("text").alias("query"), hashed_embedding(C("text")).alias("vector"), C("conv_id").alias("doc_id"))
+    return M.retrieve(q, held, now())
+
+
+@add("memory_retrieve", f"SELECT query_id, id, doc_id, score, rank::INTEGER AS rank FROM ({REMEMBERED})")
+def _(s, d):
+    return remembered(s, d).select("query_id", "id", "doc_id", "score", "rank")
+
+
+@add("memory_context", f"SELECT query_id, md5('用户历史记忆：' || chr(10) || string_agg('- [auto_qa] ' || content, chr(10) ORDER BY rank)) AS context FROM ({REMEMBERED}) GROUP BY query_id")
+def _(s, d):
+    return M.memory_context(remembered(s, d)).withColumn("context", F.md5("context"))
+
+
 @add("memory_trim", f"SELECT id FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id, importance < 1 ORDER BY created_at, id) AS age FROM ({MEMORIES})) WHERE NOT (importance < 1 AND age <= n - 50)")
 def _(s, d):
     return M.trimmed(memories(s, d)).select("id")

@@ -52,21 +52,26 @@ def _(s, d):
     return table(s, d, "customer").join(table(s, d, "orders").where("o_totalprice > 200000"), C("c_custkey") == C("o_custkey"), "left_semi").select("c_custkey")
 
 
-@add("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@add("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')")
 def _(s, d):
-    return table(s, d, "customer").join(table(s, d, "orders"), C("c_custkey") == C("o_custkey"), "left_anti").select("c_custkey")
+    return table(s, d, "customer").join(table(s, d, "orders").where("o_orderpriority like '1%'"), C("c_custkey") == C("o_custkey"), "left_anti").select("c_custkey")
 
 
 @add("join_theta_contains", "SELECT item_id, count(*) AS n FROM documents JOIN benchmark ON contains(documents.text, benchmark.text) GROUP BY item_id")
 def _(s, d):
-    return table(s, d, "documents").join(F.broadcast(table(s, d, "benchmark").select("item_id", C("text").alias("passage"))), F.contains("text", "passage")).groupBy("item_id").agg(F.count("*").alias("n"))
+    passages = table(s, d, "benchmark").select("item_id", C("text").alias("passage"))
+    return L.containing(passages, table(s, d, "documents").select("doc_id", "text")).groupBy("item_id").agg(F.count("*").alias("n"))
 
 
 @add("join_range", "SELECT a.event_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'purchase' GROUP BY a.event_id")
 def _(s, d):
-    e = table(s, d, "events")
-    b = e.select("user_id", C("ts").alias("later"))
-    return e.where("event_type = 'purchase'").join(b, "user_id").where((C("later") > C("ts")) & (C("later") <= C("ts") + F.expr("INTERVAL 6 HOURS"))).groupBy("event_id").agg(F.count("*").alias("n"))
+    # what lies within six hours lies in the same or the next piece of six hours, so a user's events need not meet in one task
+    e = table(s, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(C("ts").cast("timestamp")).alias("at"))
+    width = 6 * 3_600_000_000
+    piece = F.floor(C("at") / width)
+    a = e.where("event_type = 'purchase'").select("event_id", "user_id", "at", F.explode(F.array(piece, piece + 1)).alias("piece"))
+    b = e.select("user_id", C("at").alias("later"), piece.alias("piece"))
+    return a.join(b, ["user_id", "piece"]).where((C("later") > C("at")) & (C("later") <= C("at") + width)).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
 @add("join_asof", "SELECT p.event_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts > v.ts")
@@ -130,8 +135,7 @@ RELEVANT = f"SELECT item_id AS query_id, rank, contains(documents.text, benchmar
 round(sum(CASE WHEN rel THEN 1.0 / log2(rank + 1) ELSE 0 END) / list_sum(list_transform(range(1, greatest(least(any_value(n), 10), 1) + 1), lambda i: 1.0 / log2(i + 1))), 6) AS ndcg_10 FROM ({RELEVANT}) GROUP BY query_id""")
 def _(s, d):
     docs, q = table(s, d, "documents").select("doc_id", "text"), table(s, d, "benchmark").select("item_id", "text")
-    passages = q.select("item_id", C("text").alias("passage"))
-    held = docs.join(F.broadcast(passages), F.contains("text", "passage")).select("item_id", "doc_id")
+    held = L.containing(q.select("item_id", C("text").alias("passage")), docs)
     n = held.groupBy("item_id").agg(F.count("*").alias("n_relevant"))
     h = L.bm25_topk(q, docs).join(held.withColumn("relevant", F.lit(True)), ["item_id", "doc_id"], "left").join(n, "item_id", "left")
     return E.ranking_metrics(h.select(C("item_id").alias("query_id"), "rank", F.coalesce("relevant", F.lit(False)).alias("relevant"), F.coalesce("n_relevant", F.lit(0)).alias("n_relevant")))
@@ -173,7 +177,28 @@ def _(s, d):
     return X.run_available(s, X.counts_by_window(live, "1 day"), "complete").withColumn("start", C("start").cast("timestamp_ntz"))
 
 
-@add("stream_buffer", None)
+#: A stream's buffer as a fold over its pieces: what is held, and what is handed on at each piece.  The fifth piece ends a stream.
+BUFFERED = """WITH RECURSIVE c AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, text AS t, turn % 3 = 2 AS r FROM conversations),
+f(conv_id, i, c, r, out_c, out_r, ends) AS (SELECT conv_id, 0, '', '', NULL::VARCHAR, NULL::VARCHAR, false FROM (SELECT DISTINCT conv_id FROM c) UNION ALL
+ SELECT conv_id, i, CASE WHEN full_ THEN '' ELSE hc END, CASE WHEN full_ THEN '' ELSE hr END, CASE WHEN full_ THEN hc END, CASE WHEN full_ THEN hr END, ends FROM (SELECT *, ends OR length(hc) >= 700 OR length(hr) >= 700 AS full_ FROM (
+ SELECT f.conv_id, c.i, c.i = 5 AS ends, f.c || CASE WHEN c.r OR c.i = 5 THEN '' ELSE c.t END AS hc, f.r || CASE WHEN c.r AND c.i <> 5 THEN c.t ELSE '' END AS hr FROM f JOIN c ON c.conv_id = f.conv_id AND c.i = f.i + 1 WHERE NOT f.ends))),
+o AS (SELECT conv_id, i * 2 AS k, out_c AS c, out_r AS r FROM f WHERE out_c IS NOT NULL AND (out_c <> '' OR out_r <> '') UNION ALL SELECT f.conv_id, f.i * 2 + 1, CASE WHEN c.r THEN '' ELSE c.t END, CASE WHEN c.r THEN c.t ELSE '' END FROM f JOIN c USING (conv_id, i) WHERE f.ends UNION ALL
+ SELECT conv_id, 1000000, c, r FROM f JOIN (SELECT conv_id, max(i) AS i FROM f GROUP BY conv_id) USING (conv_id, i) WHERE NOT ends AND (c <> '' OR r <> ''))
+SELECT conv_id::VARCHAR AS stream_id, (row_number() OVER (PARTITION BY conv_id ORDER BY k) - 1)::BIGINT AS seq, md5(c) AS content, md5(r) AS reasoning FROM o"""
+
+
+@add("stream_buffer", BUFFERED)
+def _(s, d):
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(s, d, "conversations").withColumn("i", F.row_number().over(order)).withColumn("r", C("turn") % 3 == 2)
+    part = lambda on: F.when(on, C("text")).otherwise("")
+    t = t.select(C("conv_id").cast("string").alias("stream_id"), C("turn").alias("seq"), part(~C("r")).alias("content"), part(C("r")).alias("reasoning_content"), (C("i") == 5).alias("done"), F.lit(None).cast("string").alias("error"))
+    return X.buffer_streams(t, 700).select("stream_id", "seq", F.md5("content").alias("content"), F.md5("reasoning_content").alias("reasoning"))
+
+
+@add("watermarked_counts", "SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL")
 def _(s, d):
-    t = table(s, d, "conversations").select(C("conv_id").cast("string").alias("stream_id"), C("turn").alias("seq"), C("text").alias("content"), F.lit("").alias("reasoning_content"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("error"))
-    return X.buffer_streams(t, 500).select("stream_id", "seq", F.length("content").alias("n"))
+    # in append mode a window is given once the watermark has passed it: those of the last day are not
+    e = table(s, d, "events")
+    live = s.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", C("ts").cast("timestamp"))
+    return X.run_available(s, X.counts_by_window(live, "1 day"), "append").withColumn("start", C("start").cast("timestamp_ntz"))

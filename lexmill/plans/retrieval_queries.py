@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
@@ -10,6 +11,7 @@ from lexmill.operators import fusion as U
 from lexmill.operators import groups as G
 from lexmill.operators import lexical as L
 from lexmill.operators import vector as V
+from lexmill.plans.text_queries import BODY, HOST, SENTENCES, TITLE
 from lexmill.plans.text_queries import Q as TEXT
 from lexmill.sources.tables import table
 
@@ -26,11 +28,11 @@ def add(name, sql):
 
 
 UNIT = "list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
-KNN = f"SELECT q.vec_id AS query_id, v.vec_id, round({UNIT}, 6) AS score FROM embeddings q JOIN embeddings v ON true WHERE q.vec_id % 25 = 0"
+KNN = f"SELECT q.vec_id AS query_id, v.vec_id, round({UNIT}, 6) AS score FROM embeddings q JOIN embeddings v ON true WHERE q.vec_id % 20 = 0"
 
 
 def asked(s, d):
-    return table(s, d, "embeddings").where("vec_id % 25 = 0")
+    return table(s, d, "embeddings").where("vec_id % 20 = 0")
 
 
 @add("knn_cosine_topk", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({KNN})) WHERE rank <= 10")
@@ -38,7 +40,7 @@ def _(s, d):
     return V.knn(table(s, d, "embeddings"), asked(s, d), 10)
 
 
-@add("knn_l2_topk", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(pow(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 2), 4) AS score FROM embeddings q JOIN embeddings v ON true WHERE q.vec_id % 25 = 0)) WHERE rank <= 10")
+@add("knn_l2_topk", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(pow(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 2), 4) AS score FROM embeddings q JOIN embeddings v ON true WHERE q.vec_id % 20 = 0)) WHERE rank <= 10")
 def _(s, d):
     return V.knn(table(s, d, "embeddings"), asked(s, d), 10, "l2", places=4)
 
@@ -66,14 +68,12 @@ def _(s, d):
 
 
 def lists(s, d):
-    """Two ranked lists of documents for the benchmark passages: BM25, and shared distinct terms."""
+    """Two ranked lists of documents for the benchmark passages: BM25, and shared distinct terms.  One pass over the documents gives both."""
     docs, queries = table(s, d, "documents"), table(s, d, "benchmark")
-    bm = L.bm25_topk(queries.select("item_id", "text"), docs.select("doc_id", "text"), 20).select(C("item_id").alias("query_id"), C("doc_id").cast("string").alias("chunk"), (C("rank") - 1).alias("rank"))
-    q = queries.select("item_id", F.explode(F.array_distinct(T.tokens(C("text")))).alias("term"))
-    t = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(C("text")))).alias("term"))
-    n = t.join(q, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
-    top = L.top_k(n, 20, ["item_id"], [C("score").desc(), "doc_id"]).select(C("item_id").alias("query_id"), C("doc_id").cast("string").alias("chunk"), (C("rank") - 1).alias("rank"))
-    return bm, top
+    pairs = L.term_hits(queries.select("item_id", "text"), docs.select("doc_id", "text"))
+    named = lambda t: t.select(C("item_id").alias("query_id"), C("doc_id").cast("string").alias("chunk"), (C("rank") - 1).alias("rank"))
+    best = pairs.withColumn("score", F.round("score", 6)).where("score > 0")
+    return named(L.top_k(best, 20, ["item_id"], [C("score").desc(), "doc_id"])), named(L.top_k(pairs, 20, ["item_id"], [C("terms").desc(), "doc_id"]))
 
 
 TOKENS = "list_filter(regexp_extract_all(lower(text), '[一-鿿]+|[a-z0-9]+'), lambda t: length(t) > 1)"
@@ -102,7 +102,15 @@ def hits(s, d):
     return h.select(C("item_id").alias("query_id"), "doc_id", "query", "chunk", (1 / (1 + F.exp(-C("score") / 50))).alias("similarity"), "score", "rank")
 
 
-@add("phrase_boost", None)
+TERMS = "list_filter(regexp_split_to_array(q, '[\\s,;，。；、]+'), lambda t: length(t) > 1)"
+COVER = "len(list_filter(terms, lambda t: contains(c, t))) / greatest(len(terms), 1)"
+
+
+@add("phrase_boost", f"""WITH f AS ({TEXT['table_fragment_flags'][1]}), r AS ({TEXT['reference_like_flags'][1]}),
+h AS (SELECT item_id, doc_id, 1 / (1 + exp(-score / 50)) AS s, trim(lower(b.text)) AS q, lower(d.text) AS c, fragment, reference_like, length(d.text) AS n FROM ({TEXT['bm25_topk'][1]}) JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) JOIN f USING (doc_id) JOIN r USING (doc_id)),
+t AS (SELECT *, {TERMS} AS terms FROM h), v AS (SELECT *, {COVER} AS cover FROM t)
+SELECT item_id AS query_id, doc_id, round(CASE WHEN length(q) < 2 OR n = 0 THEN s WHEN fragment THEN s * 0.5 WHEN reference_like AND NOT {TEXT['reference_query'][1].split('turn, ')[1].split(' AS about')[0].replace('lower(text)', 'q')} THEN s * 0.65
+ WHEN contains(c, q) THEN least(1.0, s * 1.2) WHEN len(terms) > 0 AND cover >= 0.8 THEN least(1.0, s * (1 + 0.2 * cover * 0.5)) ELSE s END, 6) AS adjusted FROM v""")
 def _(s, d):
     return U.phrase_boost(hits(s, d)).select("query_id", "doc_id", "adjusted")
 
@@ -112,7 +120,7 @@ def _(s, d):
     return U.mmr(hits(s, d)).select("query_id", "place", F.md5("chunk").alias("chunk"))
 
 
-@add("rerank_normalize", f"SELECT item_id AS query_id, doc_id, round(CASE WHEN hi > lo THEN 40 + (score - lo) / (hi - lo) * 59 ELSE 99 END, 2) AS percent FROM (SELECT *, min(score) OVER (PARTITION BY item_id) AS lo, max(score) OVER (PARTITION BY item_id) AS hi FROM ({TEXT['bm25_topk'][1]}))")
+@add("rerank_normalize", f"SELECT item_id AS query_id, doc_id, round(40 + (score - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END * 59, 2) AS percent FROM (SELECT *, min(score) OVER (PARTITION BY item_id) AS lo, max(score) OVER (PARTITION BY item_id) AS hi FROM ({TEXT['bm25_topk'][1]}))")
 def _(s, d):
     h = L.bm25_topk(table(s, d, "benchmark").select("item_id", "text"), table(s, d, "documents").select("doc_id", "text"), 10)
     return U.rerank_normalised(h.withColumnRenamed("item_id", "query_id")).select("query_id", "doc_id", "percent")
@@ -124,23 +132,68 @@ def _(s, d):
     return U.adaptive_filter(h.withColumnRenamed("item_id", "query_id")).select("query_id", "doc_id")
 
 
-TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+def _relevance_tokens(x: str) -> str:
+    runs = f"regexp_extract_all(lower({x}), '[一-鿿]{{2,}}')"
+    pairs = f"flatten(list_transform({runs}, lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))"
+    return f"list_distinct(list_concat(regexp_extract_all(lower({x}), '[a-z0-9]{{2,}}'), {runs}, {pairs}))"
+
+
+def _any(x: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+#: The pages as web results of every passage: title, the first 300 characters of the body, URL.
+WEB = f"""SELECT item_id, page_id, {TITLE} AS title, substr({BODY}, 1, 300) AS snippet, url, text AS query FROM pages, (SELECT item_id, text FROM benchmark)"""
+RELEVANCE = f"""SELECT *, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE (0.65 * len(list_intersect(q, {_relevance_tokens('title')})) / greatest(len(q), 1) + 0.35 * len(list_intersect(q, {_relevance_tokens("title || ' ' || snippet")})) / greatest(len(q), 1)
+ + CASE WHEN query <> '' AND contains(lower(title || ' ' || snippet), lower(query)) THEN 0.2 ELSE 0 END) * CASE WHEN regexp_matches(query, '[一-鿿]') AND regexp_matches(title || snippet, '[぀-ヿ]') THEN 0.45 ELSE 1 END
+ * CASE WHEN {_any('lower(query)', U.TECHNICAL_WORDS)} AND ({' OR '.join(f"{HOST} = '{h}' OR ends_with({HOST}, '.{h}')" for h in U.NOISY_HOSTS)}) THEN 0.5 ELSE 1 END END, 12) AS score FROM (SELECT *, {_relevance_tokens('query')} AS q FROM ({WEB}))"""
+
+
+def web(s, d):
+    """The pages as results (query_id, rank, title, url, snippet) of every benchmark passage."""
+    pages = table(s, d, "pages").select(C("page_id").alias("rank"), T.html_title(C("html")).alias("title"), F.substring(T.html_text(C("html")), 1, 300).alias("snippet"), "url")
+    return pages.join(F.broadcast(table(s, d, "benchmark").select(C("item_id").alias("query_id"))))
+
+
+def passages(s, d):
+    return table(s, d, "benchmark").select(C("item_id").alias("query_id"), C("text").alias("query"))
+
+
+@add("lexical_relevance", f"SELECT item_id, page_id, score FROM ({RELEVANCE})")
+def _(s, d):
+    scored = U.lexical_relevance(web(s, d).join(F.broadcast(passages(s, d)), "query_id"))
+    return scored.select(C("query_id").alias("item_id"), C("rank").alias("page_id"), "score")
+
+
+WEB_BEST = f"""WITH u AS (SELECT * FROM ({RELEVANCE}) WHERE (trim(title) <> '' OR trim(url) <> '') AND NOT ({HOST} = 'example.net' OR ends_with({HOST}, '.example.net')) QUALIFY row_number() OVER (PARTITION BY item_id, lower(trim(title)), lower(trim(url)) ORDER BY page_id) = 1),
+k AS (SELECT * FROM u QUALIFY max(score) OVER (PARTITION BY item_id) > 0.02 AND score >= greatest(0.08, 0.35 * max(score) OVER (PARTITION BY item_id)))
+SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, page_id) AS place FROM k QUALIFY place <= 5"""
+
 
+def best_web(s, d):
+    return U.web_results(passages(s, d), web(s, d), s.createDataFrame([("example.net",)], "b string"))
 
-@add("lexical_relevance", f"""SELECT page_id, round(0.65 * len(list_intersect(q, list_distinct({TOKENS.replace('(text)', '(title)')}))) / greatest(len(q), 1) + 0.35 * len(list_intersect(q, list_distinct({TOKENS.replace('(text)', '(url)')}))) / greatest(len(q), 1) + CASE WHEN contains(lower(title || ' ' || url), lower(text)) THEN 0.2 ELSE 0 END, 6) AS score
-FROM (SELECT page_id, url, {TITLE} AS title, text, list_distinct({TOKENS}) AS q FROM pages, (SELECT text FROM benchmark WHERE item_id = 0))""")
+
+@add("web_results", f"SELECT item_id, page_id, place::INTEGER AS place, score FROM ({WEB_BEST})")
 def _(s, d):
-    q = table(s, d, "benchmark").where("item_id = 0").select(C("text").alias("query"))
-    pages = table(s, d, "pages").select("page_id", T.html_title(C("html")).alias("title"), C("url").alias("body"))
-    return U.lexical_overlap(pages.join(F.broadcast(q))).select("page_id", "score")
+    return best_web(s, d).select(C("query_id").alias("item_id"), C("rank").alias("page_id"), "place", "score")
 
 
-@add("lexical_relevance_all", f"""SELECT item_id, page_id, round(0.65 * len(list_intersect(q, list_distinct({TOKENS.replace('(text)', '(title)')}))) / greatest(len(q), 1) + 0.35 * len(list_intersect(q, list_distinct({TOKENS.replace('(text)', '(url)')}))) / greatest(len(q), 1) + CASE WHEN contains(lower(title || ' ' || url), lower(text)) THEN 0.2 ELSE 0 END, 6) AS score
-FROM (SELECT item_id, page_id, url, {TITLE} AS title, text, list_distinct({TOKENS}) AS q FROM pages, (SELECT item_id, text FROM benchmark))""")
+@add("web_context", f"SELECT item_id AS query_id, md5(string_agg('[' || place || '] ' || trim(title) || CASE WHEN url <> '' THEN ' - ' || trim(url) ELSE '' END || CASE WHEN trim(snippet) <> '' THEN chr(10) || trim(snippet) ELSE '' END, chr(10) || chr(10) ORDER BY place)) AS context FROM ({WEB_BEST}) GROUP BY item_id")
 def _(s, d):
-    q = table(s, d, "benchmark").select("item_id", C("text").alias("query"))
-    pages = table(s, d, "pages").select("page_id", T.html_title(C("html")).alias("title"), C("url").alias("body"))
-    return U.lexical_overlap(pages.join(F.broadcast(q))).select("item_id", "page_id", "score")
+    return U.formatted_results(best_web(s, d)).withColumn("context", F.md5("context"))
+
+
+@add("semantic_web_rerank", f"""WITH c AS (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY v.vec_id) AS place, round({UNIT}, 9) AS cos FROM embeddings q JOIN embeddings v ON v.label = q.label AND v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+t AS (SELECT *, max(cos) OVER (PARTITION BY query_id) AS best, count(*) OVER (PARTITION BY query_id) AS n FROM c WHERE place <= 12),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n = 1 OR best < 0.05 THEN 0 ELSE -cos END, place) AS new FROM t)
+SELECT query_id, vec_id, new::INTEGER AS place FROM r WHERE (n = 1 OR best < 0.05 OR new = 1 OR cos >= greatest(0.2, 0.5 * best)) AND new <= 5""")
+def _(s, d):
+    v = table(s, d, "embeddings")
+    q = asked(s, d).select(C("vec_id").alias("query_id"), C("embedding").alias("vector"), "label")
+    near = v.join(q, "label").where("vec_id <> query_id")
+    order = Window.partitionBy("query_id").orderBy("vec_id")
+    return U.semantic_rerank(near.withColumn("place", F.row_number().over(order)).where("place <= 12")).select("query_id", "vec_id", "place")
 
 
 def chunks(s, d):
@@ -162,42 +215,77 @@ def _(s, d):
     return K.neighbours(chunks(s, d)).select("doc_id", "chunk_idx", F.md5("expanded").alias("expanded"))
 
 
-@add("parent_child", None)
+#: Parents as a fold over a document's chunks.
+PARENTS = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT doc_id, chunk_idx, length(chunk) AS n FROM ({CHUNKS})),
+f(doc_id, chunk_idx, parent, used) AS (SELECT doc_id, chunk_idx, 0, n + 2 FROM c WHERE chunk_idx = 0 UNION ALL
+ SELECT c.doc_id, c.chunk_idx, CASE WHEN f.used > 0 AND f.used + c.n + 2 > 3600 THEN f.parent + 1 ELSE f.parent END, CASE WHEN f.used > 0 AND f.used + c.n + 2 > 3600 THEN 0 ELSE f.used END + c.n + 2 FROM f JOIN c ON c.doc_id = f.doc_id AND c.chunk_idx = f.chunk_idx + 1)
+SELECT doc_id, chunk_idx::INTEGER AS chunk_idx, parent::INTEGER AS parent_idx FROM f"""
+
+
+@add("parent_child", PARENTS)
 def _(s, d):
     return K.parents(chunks(s, d)).select("doc_id", "chunk_idx", "parent_idx")
 
 
+@add("parent_expansion", f"SELECT query_id, doc_id, chunk_idx::INTEGER AS chunk_idx, parent_idx FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, parent_idx ORDER BY rank) AS r FROM (SELECT (chunk_idx % 3)::INTEGER AS query_id, doc_id, chunk_idx, parent_idx, row_number() OVER (PARTITION BY chunk_idx % 3 ORDER BY chunk_idx DESC, doc_id) AS rank FROM ({PARENTS}))) WHERE r = 1")
+def _(s, d):
+    placed = K.parents(chunks(s, d)).select("doc_id", "chunk_idx", "parent_idx")
+    order = Window.partitionBy("query_id").orderBy(C("chunk_idx").desc(), "doc_id")
+    found = placed.select((C("chunk_idx") % 3).cast("int").alias("query_id"), "doc_id", "chunk_idx").withColumn("rank", F.row_number().over(order))
+    return K.expand_to_parents(found, placed).select("query_id", "doc_id", "chunk_idx", "parent_idx")
+
+
 @add("structure_split", None)
 def _(s, d):
     return K.structure_split(table(s, d, "documents")).select("doc_id", "chunk_idx", F.length("chunk").alias("n"), "heading")
 
 
-@add("pseudo_pages", None)
+#: The documents have no blank lines: line ends stand for them here, so that paragraphs are packed.
+PAGES = """WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, i, g[i] AS t, len(g) AS n FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS g, unnest(range(1, len(g) + 1)) AS i FROM documents)),
+f(doc_id, i, page, held, closed) AS (SELECT doc_id, i, 1, t || chr(10) || chr(10), NULL::VARCHAR FROM p WHERE i = 1 UNION ALL
+ SELECT p.doc_id, p.i, CASE WHEN length(f.held) + length(p.t) > 500 AND f.held <> '' THEN f.page + 1 ELSE f.page END, CASE WHEN length(f.held) + length(p.t) > 500 AND f.held <> '' THEN '' ELSE f.held END || p.t || chr(10) || chr(10), CASE WHEN length(f.held) + length(p.t) > 500 AND f.held <> '' THEN f.held END FROM f JOIN p ON p.doc_id = f.doc_id AND p.i = f.i + 1),
+g AS (SELECT doc_id, page - 1 AS page, closed AS content FROM f WHERE closed IS NOT NULL UNION ALL SELECT doc_id, page, held FROM f JOIN (SELECT doc_id, max(i) AS i FROM p GROUP BY doc_id) USING (doc_id, i) WHERE regexp_matches(held, '\\S') OR page = 1)
+SELECT doc_id, page::INTEGER AS page, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS content FROM g"""
+
+
+def paged(s, d):
+    return K.pseudo_pages(table(s, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")), 500)
+
+
+@add("pseudo_pages", f"SELECT doc_id, page, md5(content) AS content FROM ({PAGES})")
 def _(s, d):
-    return K.pseudo_pages(table(s, d, "documents")).select("doc_id", "page", F.length("content").alias("n"))
+    return paged(s, d).select("doc_id", "page", F.md5("content").alias("content"))
 
 
-@add("sentence_windows", None)
+@add("sentence_windows", f"""WITH w AS (SELECT doc_id, l, unnest(range(0, len(l))) AS idx FROM (SELECT doc_id, {SENTENCES} AS l FROM documents))
+SELECT doc_id, idx::INTEGER AS idx, md5(l[idx + 1]) AS sentence, md5(array_to_string(l[greatest(1, idx - 2):idx + 4], ' ')) AS "window" FROM w WHERE length(l[idx + 1]) >= 5""")
 def _(s, d):
     return K.sentence_windows(table(s, d, "documents")).select("doc_id", "idx", F.md5("sentence").alias("sentence"), F.md5("window").alias("window"))
 
 
-@add("page_of_chunk", None)
+@add("page_of_chunk", f"""WITH pg AS ({PAGES}),
+w AS (SELECT doc_id, page, i, substr(content, i + 1, 80) AS k FROM (SELECT doc_id, page, content, unnest(range(0, greatest(1, length(content) - 79), 40)) AS i FROM pg WHERE content <> '')),
+c AS (SELECT doc_id, chunk_idx, substr(chunk, 1, 80) AS a, lower(substr(chunk, 1, 60)) AS b FROM ({CHUNKS}))
+SELECT doc_id, chunk_idx::INTEGER AS chunk_idx, coalesce((SELECT min(page) FROM w WHERE w.doc_id = c.doc_id AND w.k = a), (SELECT min(page) FROM w WHERE w.doc_id = c.doc_id AND contains(lower(w.k), b)),
+ (SELECT min(page) FROM pg WHERE pg.doc_id = c.doc_id AND content <> '' AND (contains(content, a) OR contains(lower(content), b))), (SELECT min(page) FROM pg WHERE pg.doc_id = c.doc_id), 1)::INTEGER AS page FROM c""")
 def _(s, d):
-    docs = table(s, d, "documents").select("doc_id", "text")
-    return K.page_of_chunk(chunks(s, d).drop("page"), K.pseudo_pages(docs)).select("doc_id", "chunk_idx", "page")
+    return K.page_of_chunk(chunks(s, d).drop("page"), paged(s, d)).select("doc_id", "chunk_idx", "page")
 
 
-@add("chunk_params", "SELECT nation.n_nationkey AS k, least(1200, floor(m * 0.6))::INT AS size, least(200, floor(least(1200, floor(m * 0.6)) / 4))::INT AS overlap FROM (SELECT n_nationkey, 128 + n_nationkey * 128 AS m FROM nation) AS nation")
+@add("chunk_params", """SELECT k, size, least(greatest(200, floor(size * 0.15)), floor(size * 0.25))::INTEGER AS overlap FROM (SELECT k, CASE WHEN m = 0 THEN 1200 ELSE least(greatest(least(1000, greatest(200, floor(m * 0.2))), least(1200, greatest(128, floor(m * 0.6)), 2500)), greatest(128, floor(m * 0.6))) END::INTEGER AS size
+FROM (SELECT n_nationkey AS k, n_nationkey * n_nationkey * 32 AS m FROM nation))""")
 def _(s, d):
-    size, overlap = K.chunk_params(128 + C("n_nationkey") * 128)
+    size, overlap = K.chunk_params(C("n_nationkey") * C("n_nationkey") * 32)
     return table(s, d, "nation").select(C("n_nationkey").alias("k"), size.alias("size"), overlap.alias("overlap"))
 
 
-LINE = "trim(string_split(chunk, chr(10))[1])"
+LINE = "regexp_replace(string_split(chunk, chr(10))[1], '^\\s+|\\s+$', '', 'g')"
+LETTERS = f"regexp_replace({LINE}, '[^a-zA-Z]', '', 'g')"
+STARTS = f"(regexp_matches({LINE}, '{G.BLOCK_START}') OR (length({LETTERS}) >= 2 AND upper({LETTERS}) = {LETTERS}))"
+BOUNDARIES = f"SELECT doc_id, chunk_idx, chunk, page, coalesce(lag(page) OVER w <> page OR (lag(chunk_idx) OVER w IS NOT NULL AND {STARTS}), false) AS boundary FROM ({CHUNKS}) WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_idx)"
 
 
-@add("group_boundaries", rf"SELECT doc_id, chunk_idx, coalesce(lag(page) OVER w <> page OR (lag(chunk_idx) OVER w IS NOT NULL AND (regexp_matches({LINE}, '^#{{1,6}}\s|^[0-9]+(\.[0-9]+)*[.)]?\s+[A-Z]|^\||^```|^(def|class|import)\s') OR (upper({LINE}) = {LINE} AND lower({LINE}) <> {LINE} AND length({LINE}) < 100))), false) AS boundary FROM ({CHUNKS}) WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_idx)")
+@add("group_boundaries", f"SELECT doc_id, chunk_idx, boundary FROM ({BOUNDARIES})")
 def _(s, d):
     return G.boundaries(chunks(s, d)).select("doc_id", "chunk_idx", "boundary")
 
@@ -206,11 +294,63 @@ def grouped(s, d):
     return G.digests(G.aggregate_chunks(chunks(s, d)))
 
 
-@add("semantic_groups", None)
+#: Groups as a fold over a document's chunks.
+GROUPS = f"""WITH RECURSIVE b AS MATERIALIZED (SELECT * FROM ({BOUNDARIES})),
+f(doc_id, chunk_idx, g, used) AS (SELECT doc_id, chunk_idx, 0, length(chunk) FROM b WHERE chunk_idx = 0 UNION ALL
+ SELECT b.doc_id, b.chunk_idx, CASE WHEN b.boundary OR f.used + length(b.chunk) > 6000 OR f.used >= 5000 THEN f.g + 1 ELSE f.g END, CASE WHEN b.boundary OR f.used + length(b.chunk) > 6000 OR f.used >= 5000 THEN 0 ELSE f.used END + length(b.chunk) FROM f JOIN b ON b.doc_id = f.doc_id AND b.chunk_idx = f.chunk_idx + 1)
+SELECT doc_id, g AS group_no, list(chunk_idx ORDER BY chunk_idx) AS members, string_agg(chunk, chr(10) ORDER BY chunk_idx) AS full_text, min(page) AS page_start, max(page) AS page_end FROM f JOIN b USING (doc_id, chunk_idx) GROUP BY ALL"""
+
+
+@add("semantic_groups", f"SELECT doc_id, group_no::INTEGER AS group_no, len(members)::INTEGER AS n_chunks, length(full_text)::INTEGER AS char_count, page_start::INTEGER AS page_start, page_end::INTEGER AS page_end, CASE WHEN length(full_text) > 80 THEN 'failed' ELSE 'ok' END AS summary_status, md5(substr(full_text, 1, 1000)) AS digest FROM ({GROUPS})")
 def _(s, d):
     return grouped(s, d).select("doc_id", "group_no", F.size("chunk_indices").alias("n_chunks"), "char_count", "page_start", "page_end", "summary_status", F.md5("digest").alias("digest"))
 
 
+def ranked_groups(s, d):
+    """Every document as a query whose groups are ranked by number."""
+    g = grouped(s, d)
+    kind = T.by_key(C("doc_id") % 4, {0: "overview", 1: "extraction", 2: "analytical"}, "specific")
+    return g.select(C("doc_id").alias("query_id"), C("group_no").alias("rank"), kind.alias("query_type"), "char_count", "full_text", "digest", "summary")
+
+
+def _budget(wanted: str, where: str, budget: int) -> str:
+    """The downgrading fold over each query's groups; ``wanted`` numbers the granularity: 0 full, 1 digest, 2 summary."""
+    size = lambda x: f"ceil(length({x}) / 4.0)::BIGINT"
+    fit = "CASE WHEN g.w <= 0 AND u + g.s0 <= B THEN 0 WHEN g.w <= 1 AND u + g.s1 <= B THEN 1 WHEN u + g.s2 <= B THEN 2 END".replace("B", str(budget))
+    took = lambda u: fit.replace("u + ", f"{u} + ")
+    cost = lambda c: f"CASE {c} WHEN 0 THEN g.s0 WHEN 1 THEN g.s1 ELSE g.s2 END"
+    return f"""WITH RECURSIVE g AS MATERIALIZED (SELECT doc_id AS q, group_no AS r, {wanted} AS w, {size('full_text')} AS s0, {size('substr(full_text, 1, 1000)')} AS s1, {size('substr(full_text, 1, 80)')} AS s2 FROM (SELECT *, length(full_text) AS n, doc_id % 4 AS k, group_no AS i FROM ({GROUPS})) WHERE {where}),
+    f(q, r, c, u, t) AS (SELECT q, r, c, {cost('c')}, {cost('c')} FROM (SELECT *, {took('0')} AS c FROM g WHERE r = 0) g WHERE c IS NOT NULL UNION ALL SELECT q, r, c, before + {cost('c')}, {cost('c')} FROM (SELECT g.*, f.u AS before, {took('f.u')} AS c FROM f JOIN g ON g.q = f.q AND g.r = f.r + 1) g WHERE c IS NOT NULL)
+    SELECT q AS query_id, r::INTEGER AS rank, ['full', 'digest', 'summary'][c + 1] AS granularity, t AS tokens FROM f"""
+
+
+@add("budget_downgrade", _budget("CASE WHEN i = 0 THEN 0 WHEN i <= 2 THEN 1 ELSE 2 END", "true", 2000))
+def _(s, d):
+    return G.fit_within_budget(G.granularity_mixed(ranked_groups(s, d)), 2000)
+
+
+@add("granularity_dynamic", _budget("CASE WHEN n < 500 THEN 2 WHEN i = 0 THEN CASE WHEN k = 0 THEN 1 ELSE 0 END WHEN i < 3 THEN CASE k WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END ELSE 2 END", "i < CASE k WHEN 0 THEN 10 WHEN 1 THEN 3 ELSE 5 END", 900))
+def _(s, d):
+    return G.granularity_dynamic(ranked_groups(s, d), 900)
+
+
+@add("dynamic_budget", "SELECT n_nationkey AS k, greatest(floor(n_nationkey * 1024 * 0.4) - 1500, 2000)::BIGINT AS budget FROM nation")
+def _(s, d):
+    return table(s, d, "nation").select(C("n_nationkey").alias("k"), G.dynamic_budget(C("n_nationkey") * 1024, 0.4).alias("budget"))
+
+
+@add("document_map", f"SELECT doc_id, group_no::INTEGER AS group_no, length(full_text)::INTEGER AS char_count, md5(substr(full_text, 1, 80)) AS summary, page_start::INTEGER AS page_start, page_end::INTEGER AS page_end FROM ({GROUPS}) WHERE group_no < 2")
+def _(s, d):
+    g = grouped(s, d).withColumn("keywords", F.array().cast("array<string>"))
+    return G.document_map(g, 2).drop("keywords").withColumn("summary", F.md5("summary"))
+
+
+@add("fetch_group", f"SELECT doc_id, group_no::INTEGER AS group_no, md5(CASE doc_id % 3 WHEN 0 THEN full_text WHEN 1 THEN substr(full_text, 1, 1000) ELSE substr(full_text, 1, 80) END[:8000]) AS text FROM ({GROUPS}) WHERE full_text <> ''")
+def _(s, d):
+    asked_for = T.by_key(C("doc_id") % 3, {0: "full", 1: "digest"}, "summary")
+    return grouped(s, d).where("full_text <> ''").select("doc_id", "group_no", F.md5(G.fetched(asked_for)).alias("text"))
+
+
 @add("granularity_mixed", f"SELECT item_id AS query_id, doc_id, CASE WHEN rank = 1 THEN 'full' WHEN rank <= 3 THEN 'digest' ELSE 'summary' END AS granularity FROM ({TEXT['bm25_topk'][1]})")
 def _(s, d):
     h = hits(s, d).withColumn("rank", C("rank") - 1)
@@ -231,14 +371,12 @@ def _(s, d):
     return G.budget_prefix(docs, 6500, "source", ["n_chars", "doc_id"], T.estimate_tokens(C("text"))).select("source", "doc_id", "used")
 
 
-@add("budget_downgrade", None)
-def _(s, d):
-    g = grouped(s, d)
-    ranked = g.select(C("doc_id").alias("query_id"), C("group_no").alias("rank"), "full_text", "digest", "summary")
-    return G.fit_within_budget(G.granularity_mixed(ranked), 2000)
-
-
-@add("group_fusion", None)
+@add("group_fusion", f"""WITH {LISTS}, m AS (SELECT doc_id::VARCHAR AS chunk, source AS group_id FROM documents),
+g AS (SELECT query_id, group_id, row_number() OVER (PARTITION BY query_id ORDER BY r, group_id) - 1 AS rank FROM (SELECT query_id, group_id, min(rank) AS r FROM ov JOIN m USING (chunk) GROUP BY ALL) QUALIFY rank < 5),
+p AS (SELECT query_id, chunk, rank, 0 AS l FROM bm UNION ALL SELECT query_id, chunk, rank, 1 FROM g JOIN m USING (group_id)),
+f AS (SELECT query_id, chunk, round(sum(1.0 / (60 + rank + 1)), 9) AS rrf_score, min(l) AS l, min_by(rank, l) AS r FROM p GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, l, r, chunk) AS n FROM f), k AS (SELECT * FROM o JOIN m USING (chunk) QUALIFY row_number() OVER (PARTITION BY query_id, group_id ORDER BY n) <= 2)
+SELECT query_id, chunk, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk) AS rank FROM k QUALIFY rank <= 10""")
 def _(s, d):
     bm, ov = lists(s, d)
     members = table(s, d, "documents").select(C("source").alias("group_id"), C("doc_id").cast("string").alias("chunk"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators import fusion as U
 from lexmill.operators import lexical as L
 from lexmill.sources.tables import table
 
@@ -84,9 +85,13 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.length(T.clean_text(C("text"))).cast("long").alias("n"))
 
 
-@add("garbage_lines", None)
+# The documents hold no damaged lines: two frequent letters are damaged, so that lines of either kind occur.
+@add("garbage_lines", rf"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(translate(text, 'ea', chr(1) || chr(65533)), chr(10))) AS t FROM documents)
+WHERE length(t) >= 2 AND NOT ({" OR ".join(f"regexp_matches(t, '{w}')" for w in T.WHITELIST)})
+AND (len(regexp_extract_all(t, '[\x00-\x08\x0B\x0C\x0E-\x1F]')) + len(regexp_extract_all(t, '[\x{{FFFD}}\x{{E000}}-\x{{F8FF}}]')) + len(regexp_extract_all(t, '\x00'))) / length(t) > 0.3 GROUP BY doc_id""")
 def _(s, d):
-    lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    damaged = F.translate("text", "ea", "\x01\ufffd")
+    lines = table(s, d, "documents").select("doc_id", F.explode(F.split(damaged, "\n")).alias("t"))
     return lines.where(T.is_garbage_line(C("t"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
@@ -100,8 +105,9 @@ SCORE = r"""greatest(0.0, least(100.0, 100.0 - 50 * (1.0 - (length(text) - lengt
 
 @add("page_quality", f"SELECT doc_id, round({SCORE}, 1) AS score, {SCORE} < 60 AS needs_ocr, CASE WHEN {SCORE} >= 80 THEN 'good' WHEN {SCORE} >= 60 THEN 'acceptable' ELSE 'poor_quality' END AS reason FROM documents")
 def _(s, d):
-    score = T.page_score(C("text"), F.lit(1))
-    return table(s, d, "documents").select("doc_id", F.round(score, 1).alias("score"), (score < 60).alias("needs_ocr"), T.page_reason(score).alias("reason"))
+    # the score is a column of its own first, so that it is made once
+    rows = table(s, d, "documents").select("doc_id", T.page_score(C("text"), F.lit(1)).alias("s"))
+    return rows.select("doc_id", F.round("s", 1).alias("score"), (C("s") < 60).alias("needs_ocr"), T.page_reason(C("s")).alias("reason"))
 
 
 @add("quality_rollup", f"SELECT source, round(avg(s), 4) AS mean, CASE WHEN avg(s) >= 80 THEN 'good' WHEN avg(s) >= 60 THEN 'acceptable' ELSE 'poor' END AS verdict, count(*) FILTER (s < 60) AS n_ocr FROM (SELECT source, {SCORE} AS s FROM documents) GROUP BY source")
@@ -118,8 +124,8 @@ def _(s, d):
 
 
 @add("table_flags", r"""
-SELECT doc_id, length(text) - length(replace(text, '|', '')) >= 4 OR length(text) - length(replace(text, chr(9), '')) >= 4 OR (len(l) >= 3 AND len(list_filter(l, lambda x: regexp_matches(x, '[0-9]'))) / len(l) >= 0.5) AS likely_table
-FROM (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)""")
+SELECT doc_id, len(l) >= 2 AND (length(text) - length(replace(text, '|', '')) >= 4 OR length(text) - length(replace(text, chr(9), '')) >= 4 OR (len(l) >= 3 AND len(list_filter(l, lambda x: len(regexp_extract_all(x, '[0-9]')) >= 3)) >= 0.5 * len(l))) AS likely_table
+FROM (SELECT doc_id, text, string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)) AS l FROM documents)""")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", T.is_likely_table(C("text")).alias("likely_table"))
 
@@ -178,23 +184,67 @@ def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", F.array_join(T.auto_tags(C("text")), ",").alias("tags"))
 
 
-@add("grep_hits", None)
+def _offsets(pattern: str) -> str:
+    """doc_id, text, and of a pattern's matches the texts and the offsets: what lies between them adds up."""
+    return f"""SELECT doc_id, text, m, list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT) AS o
+    FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS g FROM documents) WHERE len(m) > 0"""
+
+
+def _snapped(context: int) -> str:
+    """From (text, m, o): the context of a hit, widened to stops within 100 characters."""
+    stops = "('。', chr(10), '.', '！', '？', '!', '?', '；', ';')"
+    a, b = f"greatest(0, o - {context})", f"least(length(text), o + length(m) + {context})"
+    back = f"coalesce(list_max(list_filter(range(greatest(0, {a} - 100) + 1, {a} + 1), lambda i: substr(text, i + 1, 1) IN {stops})) + 1, {a})"
+    on = f"coalesce(list_min(list_filter(range({b}, least(length(text), {b} + 100)), lambda i: substr(text, i + 1, 1) IN {stops})) + 1, {b})"
+    return f"substr(text, {back} + 1, {on} - {back})"
+
+
+@add("grep_hits", f"""
+WITH f AS ({_offsets('(?i)tion|ment')}),
+k AS (SELECT doc_id, text, m, o, list_reduce(list_transform(o, lambda x: [x]), lambda acc, x: CASE WHEN len(acc) < 20 AND x[1] - acc[-1] >= 10 THEN list_concat(acc, x) ELSE acc END) AS kept FROM f)
+SELECT doc_id, hit, m AS match, o AS "offset", md5({_snapped(40)}) AS context FROM (SELECT doc_id, text, unnest(range(0, len(kept)))::INTEGER AS hit, unnest(list_transform(kept, lambda x: m[list_position(o, x)])) AS m, unnest(kept) AS o FROM k)""")
 def _(s, d):
-    return L.grep(table(s, d, "documents"), "tion|ment")
+    return L.grep(table(s, d, "documents"), "tion| ment |", 40).withColumn("context", F.md5("context"))
 
 
-@add("regex_hits", r"SELECT doc_id, (unnest(generate_series(1, least(20, len(m)))) - 1)::INT AS hit, unnest(m[1:20]) AS match FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '(?i)[0-9]+[.][0-9]+'), lambda x: x <> '') AS m FROM documents) WHERE len(m) > 0")
+@add("regex_hits", f"""SELECT doc_id, hit, m AS match, o AS "offset", md5(substr(text, greatest(0, o - 200) + 1, o + length(m) + 200 - greatest(0, o - 200))) AS context
+FROM (SELECT doc_id, text, unnest(range(0, least(20, len(m))))::INTEGER AS hit, unnest(m[1:20]) AS m, unnest(o[1:20]) AS o FROM ({_offsets('(?im)[0-9]+[.][0-9]+|^[a-z]{2,3} ')}))""")
+def _(s, d):
+    return L.regex_hits(table(s, d, "documents"), r"[0-9]+[.][0-9]+|^[a-z]{2,3} ").withColumn("context", F.md5("context"))
+
+
+def _boolean(must: list[str], should: list[str], excluded: list[str], window: int) -> str:
+    """Anchors of the first term, the nearest place of every other, spans once each by the first anchor, the best 20 a document."""
+    terms = [*must, *should, *excluded]
+    names = {t: f"p{i}" for i, t in enumerate(terms)}
+    # no term can overlap itself: what lies between its occurrences adds up
+    between = ", ".join(f"list_transform(string_split(t, '{x}'), lambda g: length(g)) AS g{names[x]}" for x in terms)
+    places = ", ".join(f"list_transform(range(1, len(g{names[x]})), lambda i: list_sum(g{names[x]}[1:i])::BIGINT + (i - 1) * {len(x)}) AS {names[x]}" for x in terms)
+    near = lambda x: f"list_sort(list_transform(list_filter({names[x]}, lambda p: abs(p - a) <= {window}), lambda p: [abs(p - a), p]))[1][2]"
+    (anchor, *rest), extra = (must, should) if must else (should[:1], should[1:])
+    found = ", ".join(f"{near(x)} AS n{names[x]}" for x in [*rest, *extra, *excluded])
+    score = " + ".join([f"{1.0 + len(rest)}", *(f"CASE WHEN n{names[x]} IS NULL THEN 0 ELSE 0.5 END" for x in extra)])
+    low = ", ".join(["a", *(f"n{names[x]}" for x in [*rest, *extra])])
+    high = ", ".join([f"a + {len(anchor)}", *(f"n{names[x]} + {len(x)}" for x in [*rest, *extra])])
+    fits = " AND ".join(["true", *(f"n{names[x]} IS NOT NULL" for x in rest), *(f"n{names[x]} IS NULL" for x in excluded)])
+    return f"""WITH p AS (SELECT doc_id, text, {places} FROM (SELECT doc_id, text, {between} FROM (SELECT doc_id, text, lower(text) AS t FROM documents))), a AS (SELECT *, unnest({names[anchor]}) AS a FROM p), n AS (SELECT *, {found} FROM a),
+    h AS (SELECT doc_id, text, a, least({low}) AS x, greatest({high}) AS y, {score} AS score FROM n WHERE {fits}),
+    u AS (SELECT doc_id, any_value(text) AS text, x, y, min_by(score, a)::DOUBLE AS score, min(a) AS a FROM h GROUP BY doc_id, x, y), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, a) - 1 AS hit FROM u)
+    SELECT doc_id, hit::INTEGER AS hit, x AS "offset", md5(substr(text, x + 1, y - x)) AS match, md5(substr(text, greatest(0, x - 200) + 1, y + 200 - greatest(0, x - 200))) AS context, score FROM r WHERE hit < 20"""
+
+
+def _digests(rows):
+    return rows.withColumns({"match": F.md5("match"), "context": F.md5("context")})
+
+
+@add("boolean_search", _boolean(["thing", "and the"], ["with"], ["ble ing"], 100))
 def _(s, d):
-    return L.regex_hits(table(s, d, "documents"), r"[0-9]+[.][0-9]+")
+    return _digests(L.boolean_search(table(s, d, "documents"), "thing AND and the OR with NOT ble ing", 100))
 
 
-@add("boolean_window", f"""
-WITH p AS (SELECT doc_id, lower(text) AS t FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'thing')),
-a AS ({_places('the')}), m AS ({_places('thing')}), sh AS ({_places('and')}), x AS ({_places('with')})
-SELECT doc_id, i - 1 AS start, 2.0 + CASE WHEN EXISTS (SELECT 1 FROM sh WHERE sh.doc_id = a.doc_id AND abs(sh.i - a.i) <= 100) THEN 0.5 ELSE 0 END AS score FROM a
-WHERE EXISTS (SELECT 1 FROM m WHERE m.doc_id = a.doc_id AND abs(m.i - a.i) <= 100) AND NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = a.doc_id AND abs(x.i - a.i) <= 100)""")
+@add("boolean_should_only", _boolean([], ["tionth", "of the"], ["shthe"], 500))
 def _(s, d):
-    return L.boolean_window(table(s, d, "documents"), "the AND thing OR and NOT with", 100)
+    return _digests(L.boolean_search(table(s, d, "documents"), "OR tionth OR of the NOT shthe"))
 
 
 @add("nearest_position", f"""
@@ -204,8 +254,12 @@ def _(s, d):
     return L.nearest_position(table(s, d, "documents"), "ing", "for")
 
 
-@add("html_strip_title", r"""SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
- '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g'))) AS body FROM pages""")
+BODY = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+ '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g'))"""
+TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+
+
+@add("html_strip_title", f"SELECT page_id, {TITLE} AS title, md5({BODY}) AS body FROM pages")
 def _(s, d):
     return table(s, d, "pages").select("page_id", T.html_title(C("html")).alias("title"), F.md5(T.html_text(C("html"))).alias("body"))
 
@@ -213,19 +267,27 @@ def _(s, d):
 BLOCKED = ["example.net", "ththre.example.com"]
 
 
-@add("url_domain_filter", r"SELECT page_id, d AS domain FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') AS d FROM pages) WHERE NOT (" + " OR ".join(f"d = '{b}' OR ends_with(d, '.{b}')" for b in BLOCKED) + ")")
+HOST = "lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)', 1))"
+
+
+@add("url_domain_filter", f"SELECT page_id, d AS domain FROM (SELECT page_id, {HOST} AS d FROM pages) WHERE NOT (" + " OR ".join(f"d = '{b}' OR ends_with(d, '.{b}')" for b in BLOCKED) + ")")
 def _(s, d):
     pages = table(s, d, "pages").select("page_id", T.domain(C("url")).alias("domain"))
     blocked = s.createDataFrame([(b,) for b in BLOCKED], "b string")
-    return pages.join(F.broadcast(blocked), (C("domain") == C("b")) | C("domain").endswith(F.concat(F.lit("."), C("b"))), "left_anti")
+    return pages.join(F.broadcast(blocked), T.is_blocked(C("domain"), C("b")), "left_anti")
 
 
-@add("dedup_first", "SELECT doc_id, md5(text) AS h FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+@add("dedup_first", f"SELECT page_id, title, url FROM (SELECT *, row_number() OVER (PARTITION BY lower(title), lower(url) ORDER BY page_id) AS r FROM (SELECT page_id, trim({TITLE}) AS title, trim(regexp_replace(url, '[0-9]', '', 'g')) AS url FROM pages) WHERE title <> '' OR url <> '') WHERE r = 1")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", F.md5("text").alias("h")).groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    # numbers are left out of the URLs, so that some are equal
+    rows = table(s, d, "pages").select(F.lit(0).alias("query_id"), C("page_id").alias("rank"), T.html_title(C("html")).alias("title"), F.regexp_replace("url", "[0-9]", "").alias("url"), F.lit("").alias("snippet"))
+    return U.distinct_results(rows).select(C("rank").alias("page_id"), "title", "url")
+
+
+SENTENCES = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?。！？]|\n)', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
 
 
-@add("sentence_counts", None)
+@add("sentence_counts", f"SELECT doc_id, len({SENTENCES})::INTEGER AS n FROM documents")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", F.size(T.sentences(C("text"))).alias("n"))
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import io
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.operators.rows import per_row
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,6 +39,41 @@ def write_feedback(events: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("date").json(path)
 
 
+#: File endings that have a loader.
+SUPPORTED = (".docx", ".xlsx", ".xls", ".txt", ".md", ".markdown", ".csv")
+
+
+def is_supported(name: Column) -> Column:
+    ending = F.lower(F.regexp_extract(name, r"[^/\\.](\.[^./\\]*)$", 1))
+    return ending.isin(*SUPPORTED)
+
+
+def csv_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): each CSV file as one Markdown table, its first row the header, a rule after it.
+
+    A file is one row, read whole, as its rows make one text; cells are trimmed.  Quoted cells may hold commas.
+    """
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return per_row(rows, ["path"], ["value"], "text string", lambda t: [(markdown_table([[c.strip() for c in r] for r in csv.reader(io.StringIO(t))]),)])
+
+
+def markdown_table(rows: list[list[str]]) -> str:
+    if not rows:
+        return ""
+    lines = ["| " + " | ".join(r) + " |" for r in rows]
+    return "\n".join([lines[0], "| " + " | ".join(["---"] * max(lines[0].count("|") - 1, 1)) + " |", *lines[1:]])
+
+
+def write_log(entries: DataFrame, path: str, day: str = "day", text: str = "entry") -> None:
+    """Append text entries, one folder a day."""
+    entries.select(day, F.col(text).alias("value")).write.mode("append").partitionBy(day).text(path)
+
+
+def versioned(df: DataFrame, version: int) -> DataFrame:
+    """Rows of the current schema version; older ones count as absent."""
+    return df.where(F.col("schema_version") == version)
+
+
 def write_table(df: DataFrame, path: str, *partitions: str, mode: str = "overwrite") -> None:
     writer = df.write.mode(mode)
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
@@ -56,3 +96,10 @@ def delete_rows(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def changed_rows(new: DataFrame, indexed: DataFrame, key: str, content: str) -> DataFrame:
     """Rows that are new or whose content's md5 differs from the indexed one (key, hash)."""
     return new.withColumn("hash", F.md5(content)).join(indexed.select(key, "hash"), [key, "hash"], "left_anti")
+
+
+def task_states(log: DataFrame, key: list[str]) -> DataFrame:
+    """(key, status) of tasks by a log of status and failed: failed once they failed, else as far as they have come."""
+    step = F.array_position(F.array(*map(F.lit, ("pending", "processing", "completed"))), F.col("status"))
+    far = log.groupBy(*key).agg(F.max("failed").alias("failed"), F.max(step).alias("n"))
+    return far.select(*key, F.when(F.col("failed"), "failed").when(F.col("n") == 3, "completed").when(F.col("n") == 2, "processing").otherwise("pending").alias("status"))

@@ -15,65 +15,72 @@ from pyspark.sql import functions as F
 BUFFER = "stream_id string, seq long, content string, reasoning_content string, done boolean, error string"
 
 
+class Buffer:
+    """What a stream has not handed on yet.  Both the batch and the streaming form go through it."""
+
+    def __init__(self, size: int, content: str = "", reasoning: str = "", over: bool = False) -> None:
+        self.size, self.content, self.reasoning, self.over = size, [content], [reasoning], over
+        self.lengths = [len(content), len(reasoning)]
+
+    def flushed(self) -> list[dict]:
+        content, reasoning = "".join(self.content), "".join(self.reasoning)
+        self.content, self.reasoning, self.lengths = [], [], [0, 0]
+        return [{"content": content, "reasoning_content": reasoning, "done": False, "error": None}] if content or reasoning else []
+
+    def feed(self, chunk: dict) -> list[dict]:
+        """What is handed on: a done or failed chunk as it came, behind what was held, after which the stream is over."""
+        ends = bool(chunk.get("done")) or bool(chunk.get("error"))
+        if self.over:
+            return []
+        if ends or self.size <= 0:
+            self.over = ends
+            return [*self.flushed(), chunk]
+        for held, i, text in ((self.content, 0, chunk.get("content") or ""), (self.reasoning, 1, chunk.get("reasoning_content") or "")):
+            held.append(text)
+            self.lengths[i] += len(text)
+        return self.flushed() if max(self.lengths) >= self.size else []
+
+
 def buffered(chunks: list[dict], size: int) -> list[dict]:
-    """Pieces joined until either kind of content has ``size`` characters; done and errors flush first; 0 passes all through."""
-    if size <= 0:
-        return chunks
-    out, content, reasoning = [], "", ""
-
-    def flush() -> None:
-        nonlocal content, reasoning
-        if content or reasoning:
-            out.append({"content": content, "reasoning_content": reasoning, "done": False, "error": None})
-        content = reasoning = ""
-
-    for c in chunks:
-        if c.get("done") or c.get("error"):
-            content += c.get("content") or ""
-            reasoning += c.get("reasoning_content") or ""
-            flush()
-            out.append({"content": "", "reasoning_content": "", "done": bool(c.get("done")), "error": c.get("error")})
-            continue
-        content += c.get("content") or ""
-        reasoning += c.get("reasoning_content") or ""
-        if len(content) >= size or len(reasoning) >= size:
-            flush()
-    flush()
-    return out
+    """Pieces joined until either kind of content has ``size`` characters; done and errors end the stream; 0 passes all through."""
+    buffer = Buffer(size)
+    return [*(out for c in chunks for out in buffer.feed(c)), *buffer.flushed()]
+
+
+def _numbered(stream: str, seq: int, rows: list[dict]) -> pd.DataFrame:
+    out = [(stream, seq + i, r["content"] or "", r["reasoning_content"] or "", bool(r["done"]), r["error"]) for i, r in enumerate(rows)]
+    return pd.DataFrame(out, columns=[c.split()[0] for c in BUFFER.split(", ")])
+
+
+def _in_order(pdf: pd.DataFrame) -> list[dict]:
+    return pdf.astype(object).where(pdf.notna(), None).sort_values("seq").to_dict("records")
 
 
 def buffer_streams(chunks: DataFrame, size: int) -> DataFrame:
     """The batch form over whole streams (stream_id, seq, content, reasoning_content, done, error)."""
+    return chunks.groupBy("stream_id").applyInPandas(lambda key, pdf: _numbered(key[0], 0, buffered(_in_order(pdf), size)), BUFFER)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = buffered(pdf.sort_values("seq").to_dict("records"), size)
-        return pd.DataFrame([(key[0], i, r["content"], r["reasoning_content"], bool(r["done"]), r["error"]) for i, r in enumerate(rows)], columns=[c.split()[0] for c in BUFFER.split(", ")])
-
-    return chunks.groupBy("stream_id").applyInPandas(run, BUFFER)
 
+def buffer_live(chunks: DataFrame, size: int, idle_ms: int = 60_000) -> DataFrame:
+    """The streaming form: the state of a stream is what has not been flushed yet, the next number, and whether it is over.
 
-def buffer_live(chunks: DataFrame, size: int) -> DataFrame:
-    """The streaming form: the state of a stream is what has not been flushed yet and the next number."""
-    state = "content string, reasoning string, seq long"
+    What is left of a stream that says neither done nor error is handed on once nothing has come for ``idle_ms``.
+    """
+    state = "content string, reasoning string, seq long, over boolean"
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        content, reasoning, seq = held.get if held.exists else ("", "", 0)
-        out = []
-        for pdf in batches:
-            for c in pdf.sort_values("seq").to_dict("records"):
-                content += c["content"] or ""
-                reasoning += c["reasoning_content"] or ""
-                ends = bool(c["done"]) or bool(c["error"])
-                if (content or reasoning) and (ends or len(content) >= max(size, 1) or len(reasoning) >= max(size, 1)):
-                    out.append((key[0], seq, content, reasoning, False, None))
-                    content, reasoning, seq = "", "", seq + 1
-                if ends:
-                    out.append((key[0], seq, "", "", bool(c["done"]), c["error"]))
-                    seq += 1
-        held.update((content, reasoning, seq))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in BUFFER.split(", ")])
-
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, BUFFER, state, "append", "NoTimeout")
+        content, reasoning, seq, over = held.get if held.exists else ("", "", 0, False)
+        buffer = Buffer(size, content, reasoning, over)
+        if held.hasTimedOut:
+            yield _numbered(key[0], seq, buffer.flushed())
+            held.remove()
+            return
+        rows = [out for pdf in batches for c in _in_order(pdf) for out in buffer.feed(c)]
+        held.update(("".join(buffer.content), "".join(buffer.reasoning), seq + len(rows), buffer.over))
+        held.setTimeoutDuration(idle_ms)
+        yield _numbered(key[0], seq, rows)
+
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, BUFFER, state, "append", "ProcessingTimeTimeout")
 
 
 def debounced(events: DataFrame, gap: str = "1.5 seconds", late: str = "1 minute") -> DataFrame:

@@ -25,7 +25,7 @@ def test_buffering_loses_nothing(chunks, size):
     assert out[-1]["done"]
 
 
-@given(st.lists(st.tuples(st.text(alphabet="ab ", min_size=1, max_size=30), st.booleans()), max_size=20), st.integers(5, 60))
+@given(st.lists(st.tuples(st.text(alphabet="ab ", min_size=1, max_size=30).filter(str.strip), st.booleans()), max_size=20), st.integers(5, 60))
 @settings(max_examples=100, deadline=None)
 def test_packing_keeps_every_piece(parts, size):
     chunks = K.packed([(t, p, "") for t, p in parts], size)
@@ -37,12 +37,35 @@ def test_packing_rules():
     two = K.packed([("a" * 8, False, "One"), ("b" * 8, False, "Two")], 10)
     assert two == [("a" * 8, "Two"), ("b" * 8, "Two")]  # the heading of the piece that closed it
     assert len(K.packed([("a" * 5, False, ""), ("b" * 5, False, "")], 12, 5)) == 1
+    # a protected piece that is too long is closed at once and does not take the next piece's heading
+    assert K.packed([("| x |" * 9, True, ""), ("b", False, "Next")], 20) == [("| x |" * 9, ""), ("b", "Next")]
+    # a protected piece adds two to an empty chunk: 6 + 2 + 4 + 2 is beyond 13
+    assert K.packed([("p" * 6, True, ""), ("b" * 4, False, "")], 13) == [("p" * 6, ""), ("b" * 4, "")]
+    assert K.packed([("p" * 6, False, ""), ("b" * 4, False, "")], 13) == [("p" * 6 + "\n\n" + "b" * 4, "")]
+    # overlap takes the last piece whatever its length
+    assert K.packed([("a" * 8, False, ""), ("b" * 8, False, "")], 10, 5) == [("a" * 8, ""), ("a" * 8 + "\n\n" + "b" * 8, "")]
+    assert K.overlap_tail(["aa", "bbb", "c"], 4) == ["bbb", "c"] and K.overlap_tail(["aa"], 0) == []
+
+
+def test_headings():
+    assert all(map(K.is_heading, ["# Title", "1.2 intro", "3 x", "## " + "long " * 40, "ABSTRACT", "A. B!"]))
+    assert not any(map(K.is_heading, ["#hash", "1.2intro", "", "Plain line", "A", "A" * 120]))
+    text = "lead\n# One\nfirst\n\n2. two\nsecond"
+    assert K.segments(text) == [("lead", False, ""), ("# One\nfirst", False, "# One"), ("2. two\nsecond", False, "2. two")]
+    assert K.segments("one\n\n\ntwo") == [("one", False, ""), ("two", False, "")]
+    # one piece alone is cut at blank lines and unnamed
+    assert K.segments("# Only\n\nbody") == [("# Only", False, ""), ("body", False, "")]
+
+
+def test_pages_are_packed_paragraphs():
+    assert K.pages_of("", 10) == [""]
+    assert K.pages_of("a" * 8 + "\n\n" + "b" * 8 + "\n\nc", 12) == ["a" * 8, "b" * 8 + "\n\nc"]
 
 
 def test_protected_regions():
-    text = "intro\n| a | b |\n| c | d |\nend $$x\ny$$ and \\[z\\]"
+    text = "intro\n| a | b |\n| c | d |\nend $$x\ny$$ and \\[z\\]\na | b\nc | d"
     spans = [text[a:b] for a, b in K.protected_regions(text)]
-    assert spans == ["| a | b |\n| c | d |", "$$x\ny$$", "\\[z\\]"]
+    assert spans == ["| a | b |\n| c | d |\n", "$$x\ny$$", "\\[z\\]"]  # rows without a pipe at both ends are no table
 
 
 def test_cjk_tokens(spark):
@@ -66,7 +89,32 @@ def test_positions_overlap(spark):
 
 
 def test_boolean_parser():
-    assert L.parse_boolean("one two OR three NOT four five") == (["one", "two", "five"], ["three"], ["four"])
+    assert L.parse_boolean("machine learning AND graph theory NOT image data OR x ANDY") == (["machine learning", "graph theory"], ["x ANDY"], ["image data"])
+    assert L.parse_boolean("OR one NOT two") == ([], ["one"], ["two"])
+
+
+def test_boolean_hits():
+    text = "alpha beta gamma alpha " + "x" * 600 + " alpha delta"
+    hits = L.boolean_hits(text, ["alpha", "beta"], ["gamma"], ["delta"], 500, 20, 5)
+    assert [(o, s) for _, o, s in [(m, o, s) for m, o, _, s in hits]] == [(0, 2.5), (6, 2.5)] and hits[0][0] == "alpha beta gamma"
+    assert [h[1] for h in L.boolean_hits(text, [], ["delta", "none"], [], 500, 20, 5)] == [text.index("delta")]
+    assert L.boolean_hits(text, ["zeta"], [], [], 500, 20, 5) == []
+
+
+def test_grep_hits():
+    text = "One. tion abc tion def tion! end ment"
+    hits = L.grep_hits(text, ["tion", "MENT"], 36, 20)
+    assert [(m, o) for m, o, _ in hits] == [("tion", 5), ("tion", 14), ("tion", 23), ("ment", 33)]  # 9 apart is just far enough
+    assert L.grep_hits(text, ["tion"], 8, 1) == [("tion", 5, text[: text.index("!") + 1])]
+    assert L.widened("a. b c d. e", 5, 6) == (2, 9)
+
+
+def test_highlights():
+    snippet, marks = L.highlighted("The  quick\nbrown fox", "quick brown")
+    assert snippet == "The quick brown fox" and marks == [{"start": 4, "end": 15, "text": "quick brown"}]
+    _, marks = L.highlighted("fox and quick fox", "quick fox jumps")
+    assert [(m["start"], m["text"]) for m in marks] == [(0, "fox"), (8, "quick"), (14, "fox")]
+    assert L.highlighted("x" * 500, "none")[0] == "x" * 200 and L.highlighted("", "q") == ("", [])
 
 
 def test_equal_texts_merge_in_rrf(spark):
@@ -75,10 +123,27 @@ def test_equal_texts_merge_in_rrf(spark):
     assert out["x"] == round(1 / 61 + 1 / 63, 9) and out["y"] == round(2 / 62, 9)
 
 
-def test_mmr_prefers_other_words(spark):
-    rows = [(1, "red green blue", 0.9), (1, "red green blue!", 0.89), (1, "cat dog", 0.6)]
-    out = U.mmr(spark.createDataFrame(rows, "query_id int, chunk string, similarity double"), 2).orderBy("place").collect()
-    assert [r["chunk"] for r in out] == ["red green blue", "cat dog"] or out[1]["chunk"] == "red green blue!"
+def plain_mmr(rows, k):
+    """(chunk, similarity) lists, by the rule as it is told."""
+    if len(rows) <= k:
+        return [c for c, _ in rows]
+    left, out = list(rows), [rows[0]]
+    left.remove(rows[0])
+    while left and len(out) < k:
+        words = lambda c: set(c[:600].split())
+        like = lambda c: max(len(words(c) & words(o)) / max(len(words(c) | words(o)), 1) for o, _ in out)
+        best = max(left, key=lambda r: 0.5 * r[1] - 0.5 * like(r[0]))
+        out.append(best)
+        left.remove(best)
+    return [c for c, _ in out]
+
+
+def test_mmr(spark):
+    lists = {1: [("red green blue", 0.9), ("red green Blue", 0.89), ("red green blue", 0.88), ("cat dog", 0.6)], 2: [("b", 0.2), ("a", 0.9)], 3: [("x y", 0.5), ("y x", 0.5), ("z", 0.1), ("", 0.05), ("x z w", 0.45)]}
+    rows = [(q, c, s, i) for q, some in lists.items() for i, (c, s) in enumerate(some)]
+    out = U.mmr(spark.createDataFrame(rows, "query_id int, chunk string, similarity double, rank int"), 3).orderBy("query_id", "place").collect()
+    for q, some in lists.items():
+        assert [r["chunk"] for r in out if r["query_id"] == q] == plain_mmr(some, 3)
 
 
 def test_groups_against_a_loop(spark):
@@ -100,18 +165,24 @@ def test_components(spark):
 
 
 def test_extraction_records(spark):
-    text = '("entity"<|>"Ada"<|>"person"<|>"a woman")##("relationship"<|>"Ada"<|>"Bob"<|>"knows"<|>"x")##("relationship"<|>"Ada"<|>"Bob"<|>"knows"<|>2)<|COMPLETE|>'
+    text = '("entity"<|>"Ada &lt;"<|>"person"<|>"a woman")##("relationship"<|>"Ada"<|>"Bob"<|>"knows"<|>"x")##("relationship"<|>"Ada"<|>"Bob"<|>"knows"<|>2)##(entity<|>x<|>y<|>z)<|COMPLETE|>'
     e, r = G.parse_records(spark.createDataFrame([("c1", text)], "chunk_id string, output string"))
-    assert e.first().asDict() == {"chunk_id": "c1", "name": "ADA", "type": "PERSON", "description": "a woman"}
+    assert [x.asDict() for x in e.collect()] == [{"chunk_id": "c1", "name": '"ADA <"', "type": '"PERSON"', "description": '"a woman"'}]
     assert sorted(x["weight"] for x in r.collect()) == [1.0, 2.0]
 
 
+def test_buffer_ends_with_done():
+    out = X.buffered([{"content": "ab"}, {"content": "last", "done": True}, {"content": "late"}], 10)
+    assert [c.get("content") for c in out] == ["ab", "last"] and out[-1]["done"]
+    assert X.buffered([{"content": "a"}, {"content": "", "error": "e"}, {"content": "b"}], 0)[-1]["error"] == "e"
+
+
 def test_streams_buffer_live(spark, tmp_path):
     rows = [("s", i, f"p{i}", "", i == 9, None) for i in range(10)]
     spark.createDataFrame(rows, X.BUFFER).coalesce(1).write.parquet(str(tmp_path / "in"))
     live = spark.readStream.schema(X.BUFFER).parquet(str(tmp_path / "in"))
     out = X.run_available(spark, X.buffer_live(live, 6)).orderBy("seq").toPandas()
-    assert "".join(out["content"]) == "".join(r[2] for r in rows) and bool(out["done"].iloc[-1])
+    assert "".join(out["content"]) == "".join(r[2] for r in rows) and bool(out["done"].iloc[-1]) and out["content"].iloc[-1] == "p9"
 
 
 def test_incremental_index(spark, tmp_path):
