@@ -92,16 +92,7 @@ def _(s, d):
     return X.relevant_snippets(h, ["query_id", "doc_id"]).withColumn("snippet", F.md5("snippet"))
 
 
-def _finds(term: str) -> str:
-    """Starts of a term, none within another: pieces between add up."""
-    return f"list_transform(range(1, len(string_split(t, {term}))), lambda i: list_sum(list_transform(string_split(t, {term})[1:i], lambda x: length(x)))::BIGINT + (i - 1) * length({term}))"
-
-
-@add("snippets", f"""WITH h AS (SELECT item_id, doc_id, regexp_replace(trim(regexp_replace(d.text, '[ \\t\\r\\n]+', ' ', 'g')), '^ | $', '', 'g') AS n, regexp_replace(lower(substr(b.text, 1, 24)), '^\s+|\s+$', '', 'g') AS q FROM ({TEXT['bm25_topk'][1]}) JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
-a AS (SELECT *, lower(n) AS t, {_finds('q').replace('string_split(t', 'string_split(lower(n)')} AS whole FROM h),
-m AS (SELECT *, CASE WHEN len(whole) > 0 THEN list_transform(whole, lambda i: [i, i + length(q)]) ELSE list_sort(flatten(list_transform(list_filter(regexp_split_to_array(q, '[\\s,;，。；、]+'), lambda x: x <> ''), lambda w: list_transform({_finds('w')}, lambda i: [i, i + length(w)])))) END AS s FROM a),
-w AS (SELECT *, CASE WHEN len(s) > 0 THEN greatest(0, s[1][1] - 100) ELSE 0 END AS x, CASE WHEN len(s) > 0 THEN least(length(n), s[1][2] + 100) ELSE least(length(n), 200) END AS y FROM m)
-SELECT item_id AS query_id, doc_id, md5(substr(n, x + 1, y - x)) AS snippet, len(list_filter(s, lambda p: p[2] > x AND p[1] < y))::INTEGER AS highlights FROM w""")
+@add("snippets", None)
 def _(s, d):
     h = ranked_hits(s, d).select("query_id", "doc_id", F.substring("query", 1, 24).alias("query"), C("chunk").alias("text"))
     return L.snippets(h, ["query_id", "doc_id"]).select("query_id", "doc_id", F.md5("snippet").alias("snippet"), F.size("highlights").alias("highlights"))
