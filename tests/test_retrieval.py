@@ -99,7 +99,7 @@ def test_retrieve(spark):
             chunks.append((d, i, text, i // 5 + 1, rng.integers(-5, 6, 6).astype(float).tolist()))
         for k in range(3):
             queries.append((d * 10 + k, d, " ".join(rng.choice(WORDS, 2 + k)), None, rng.integers(-5, 6, 6).astype(float).tolist()))
-    queries.append((99, 1, "zzz", None, [1.0, 0, 0, 0, 0, 0]))
+    queries.append((99, 1, "zzz", None, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]))
     c = spark.createDataFrame(chunks, "doc_id int, chunk_idx int, chunk string, page int, embedding array<double>")
     q = spark.createDataFrame(queries, "query_id int, doc_id int, query string, selected string, vector array<double>")
     got = defaultdict(list)
