@@ -61,26 +61,28 @@ def buffer_streams(chunks: DataFrame, size: int) -> DataFrame:
     return chunks.groupBy("stream_id").applyInPandas(lambda key, pdf: _numbered(key[0], 0, buffered(_in_order(pdf), size)), BUFFER)
 
 
-def buffer_live(chunks: DataFrame, size: int, idle_ms: int = 60_000) -> DataFrame:
+def buffer_live(chunks: DataFrame, size: int, idle_ms: int | None = None) -> DataFrame:
     """The streaming form: the state of a stream is what has not been flushed yet, the next number, and whether it is over.
 
-    What is left of a stream that says neither done nor error is handed on once nothing has come for ``idle_ms``.
+    With ``idle_ms`` what is left of a stream that says neither done nor error is handed on once nothing has come for so
+    long.  That is for queries that run on: one that is only to drain what is there would wait for it without end.
     """
     state = "content string, reasoning string, seq long, over boolean"
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         content, reasoning, seq, over = held.get if held.exists else ("", "", 0, False)
         buffer = Buffer(size, content, reasoning, over)
-        if held.hasTimedOut:
+        if idle_ms is not None and held.hasTimedOut:
             yield _numbered(key[0], seq, buffer.flushed())
             held.remove()
             return
         rows = [out for pdf in batches for c in _in_order(pdf) for out in buffer.feed(c)]
         held.update(("".join(buffer.content), "".join(buffer.reasoning), seq + len(rows), buffer.over))
-        held.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            held.setTimeoutDuration(idle_ms)
         yield _numbered(key[0], seq, rows)
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, BUFFER, state, "append", "ProcessingTimeTimeout")
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, BUFFER, state, "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")
 
 
 def debounced(events: DataFrame, gap: str = "1.5 seconds", late: str = "1 minute") -> DataFrame:
