@@ -9,9 +9,9 @@ documents is kept; a hash of the id decides.
 Targets are the margins' token shares to a power below one, times the budget.  A value that does not hold its
 target is taken whole, and what it lacks is shared out among the others.
 
-A document's topic is one of eight, by a hash of its most frequent term of five letters or more (the least of equals).
+A document's topic is told by the form of its whole text: table, formula, listing or prose.
 
-Contract: null values of a margin are the value ''; null and empty texts have no tokens, no topic (``none``) and the
+Contract: null values of a margin are the value ''; null and empty texts have no tokens and the
 probability of their cell; explicit targets may be given as token shares, and a value without one, or with one of 0,
 gets rate 0; targets of values that do not occur are shared out among the others; rows that repeat a doc_id are drawn
 alike.  A budget beyond what there is keeps everything of positive target.  All columns are kept; those added win over
