@@ -31,7 +31,7 @@ from .common import binary_values, cut, slices, text_batches
 #: Bits that tell frequent words or pairs: so many for each, between two bounds (8 KB and 32 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 28
 #: Bytes of pieces that a task holds before it passes their sums on, and words whose n-grams are summed at once.
-HELD_BYTES, HELD_WORDS = 32 << 20, 1 << 20
+HELD_BYTES, HELD_WORDS = 32 << 20, 2 << 20
 #: Memory of DuckDB in a bucket's task; beyond it sums go to the task's own temporary folder, which it deletes.
 BUCKET_MEMORY = "192MB"
 COUNTED = "lang string, phrase binary, m long"
@@ -85,11 +85,13 @@ class _Held:
     def __init__(self) -> None:
         self.numbers, self.words, self.lengths, self.weights = _Numbers(), [], [], []
 
-    def add(self, piece: bytes, weight: int) -> None:
-        words = piece.split(b" ")
-        self.words.extend(map(self.numbers.__getitem__, words))
-        self.lengths.append(len(words))
-        self.weights.append(weight)
+    def add(self, pieces: pa.Array, weights: np.ndarray) -> None:
+        import pyarrow.compute as pc
+
+        # all pieces of a batch are cut into words at once; the number of blanks tells them apart
+        self.lengths.append(pc.count_substring(pieces, b" ").to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        self.words.extend(map(self.numbers.__getitem__, b" ".join(pieces.to_pylist()).split(b" ")))
+        self.weights.append(weights)
 
 
 def places(keys: list[bytes], lang: str, bits: int) -> np.ndarray:
@@ -108,8 +110,8 @@ def _known(keys: list[bytes], lang: str, bits: np.ndarray) -> np.ndarray:
 def sums(held: _Held, lang: str, step: int, bits: np.ndarray | None) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """Phrases and weights of held pieces: all words and, as the empty phrase, their number (step 1), pairs of known words (2), phrases of 3 to 5 words of known pairs (3)."""
     words = list(held.numbers)
-    w, lengths = np.array(held.words, np.int64), np.array(held.lengths, np.int64)
-    weight = np.repeat(np.array(held.weights, np.float64), lengths)
+    w, lengths = np.array(held.words, np.int64), np.concatenate(held.lengths)
+    weight = np.repeat(np.concatenate(held.weights).astype(np.float64), lengths)
     total = lambda group, some: np.bincount(group, weight[some]).astype(np.int64)  # noqa: E731  whole numbers below 2 ** 53
     if step == 1:
         yield [*words, b""], np.append(total(w, slice(None)), int(weight.sum()))
@@ -154,12 +156,15 @@ def counts(rows: DataFrame, step: int, bits: Broadcast | None, least: int) -> Da
                     some = phrases[at : at + _ROWS]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()), pa.array(m[at : at + _ROWS])], schema=SCHEMA)
 
-        for batch in batches:
-            for lang, piece, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                held.setdefault(lang, _Held()).add(piece, m)
-                if len(held[lang].words) >= HELD_WORDS:
-                    yield from given(lang)
-            while sum(len(h.words) for h in held.values()) > 2 * HELD_WORDS:  # of many languages
+        for batch in slices(batches, column="phrase"):
+            langs = batch.column(0).dictionary_encode()
+            number = langs.indices.to_numpy()
+            weights = batch.column(2).to_numpy()
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
+                if lang not in held:
+                    held[lang] = _Held()
+                held[lang].add(batch.column(1).filter(pa.array(number == i)), weights[number == i])
+            while sum(len(h.words) for h in held.values()) > HELD_WORDS:
                 yield from given(max(held, key=lambda x: len(held[x].words)))
         for lang in list(held):
             yield from given(lang)
