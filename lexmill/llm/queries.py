@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention_lm, bpe_trie, gam_quality, imatch, mixing, neardup, orc_tokens, phrases, pivot_search, trie_counts, warc
+from . import attention_lm, bisection_search, bpe_trie, chat_trees, gam_quality, imatch, mixing, neardup, orc_tokens, phrases, pivot_search, trie_counts, warc
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -61,6 +61,14 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digests(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_trees.digests(table(spark, sf_dir, "conversations"))
+
+
+def op12_bisection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisection_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=50)
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -77,9 +85,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_trie_counts": op8_trie_counts,
         "op9_warc": op9_warc,
         "op10_bpe_codec": op10_bpe_codec,
+        "op11_reply_trees": op11_reply_trees,
+        "op12_bisection_search": op12_bisection_search,
         "op13_phrases": op13_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.oracle(), "op7_pivot_topk": pivot_search.ORACLE, "op9_warc": warc.ORACLE, "op13_phrases": phrases.ORACLE}
+    return {"op6_mixing": mixing.oracle(), "op7_pivot_topk": pivot_search.ORACLE, "op9_warc": warc.ORACLE, "op11_reply_trees": chat_trees.ORACLE, "op12_bisection_search": bisection_search.ORACLE, "op13_phrases": phrases.ORACLE}
