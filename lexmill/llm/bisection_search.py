@@ -34,7 +34,7 @@ from .common import binary_values, cut, slices, text_batches
 SAMPLE, FEATURES, LEVELS = 4096, 8192, 6
 SWAPS = 12
 #: Most documents and postings of a block; one document may have more postings.
-BLOCK_DOCS, BLOCK_POSTINGS = 2048, 1_000_000
+BLOCK_DOCS, BLOCK_POSTINGS = 1024, 300_000
 #: Most (item, term) pairs that are sent to all executors at once; more items are searched in turns.
 MOST_PAIRS = 500_000
 #: Blocks of the first round, and how many times more each later round takes.
@@ -162,12 +162,15 @@ def placed_terms(documents: DataFrame, tree: tuple[np.ndarray, np.ndarray]) -> D
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PLACED)
 
 
-def block_of(ids: list[int], lengths: list[int], terms: list[list[bytes]], tfs: list[np.ndarray], total: int, length: int) -> dict:
-    """Postings of a block: for every term, in order, its places in the block and their impacts."""
+def block_of(ids: list[int], lengths: list[int], terms: list[bytes], tfs: list[bytes], total: int, length: int) -> dict:
+    """Postings of a block: for every term, in order, its places in the block and their impacts.
+
+    Terms stay packed until here, and are numbered document by document, as single objects they take ten times the room.
+    """
     numbers: dict[bytes, int] = {}
-    flat = np.fromiter((numbers.setdefault(t, len(numbers)) for doc in terms for t in doc), np.int64, sum(map(len, terms)))
-    sizes = [len(t) for t in terms]
-    tf = np.concatenate(tfs).astype(np.int64)
+    sizes = [len(x) // 4 for x in tfs]
+    flat = np.fromiter((numbers.setdefault(t, len(numbers)) for doc in terms for t in _unpacked(doc)), np.int32, sum(sizes))
+    tf = np.frombuffer(b"".join(tfs), np.uint32).astype(np.int64)
     m = 50 + (50 * np.array(lengths, np.int64) * total) // length
     impact = (1_000_000_000 * tf) // (1000 * tf + 20 * np.repeat(m, sizes))
     names = sorted(numbers)
@@ -199,14 +202,14 @@ def index(documents: DataFrame) -> tuple[DataFrame, int, int]:
             values = {"block": block} | made
             return pa.RecordBatch.from_arrays([pa.array([values["block"]], pa.int64()), pa.array([values["docs"]], pa.int32()), *[pa.array([values[c]], pa.binary()) for c in ("ids", "terms", "df", "top", "places", "impacts")]], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
-        for batch in batches:
+        for batch in slices(batches, 256, 2 << 20, "terms"):
             for key, n, c, _, terms, tf in zip(*[x.to_pylist() for x in batch.columns]):
-                words = _unpacked(terms)
-                if held and (c != cluster or len(held) >= BLOCK_DOCS or postings + len(words) > BLOCK_POSTINGS):
+                size = len(tf) // 4
+                if held and (c != cluster or len(held) >= BLOCK_DOCS or postings + size > BLOCK_POSTINGS):
                     yield done()
                     block, held, postings = block + 1, [], 0
-                held.append((key, n, words, np.frombuffer(tf, np.uint32)))
-                postings, cluster = postings + len(words), c
+                held.append((key, n, terms, tf))
+                postings, cluster = postings + size, c
         if held:
             yield done()
 
