@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.questions import stripped
 from lexmill.operators.lexical import STOPS
 from lexmill.operators.rows import per_row
+from lexmill.stage import cut
 
 #: What a reference list is told by.
 _REFERENCES = {name: re.compile(p) for name, p in {"marker": r"\[[0-9]{1,3}\]", "year": r"\b(?:19|20)\d{2}\b", "id": r"\b(?:doi|arxiv)\b", "author": r"\b[A-Z][a-z]+,\s*(?:[A-Z]\.|[A-Z][a-z]+)"}.items()}
@@ -182,6 +182,60 @@ def final_answer(reply: Column) -> Column:
     return F.when(at == 0, reply).when(again > 0, F.regexp_replace(F.substring(rest, F.lit(1), again - 1), r"\s+$", "")).otherwise(rest)
 
 
+class Runs:
+    """All substrings of a phrase as an automaton; a text is read once to find the longest run that both share.
+
+    Its states are classes of substrings with the same ends, twice as many as the phrase is long at most.
+    """
+
+    def __init__(self, phrase: str) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length, self.first = [-1], [0], [0]
+        last = 0
+        for i, c in enumerate(phrase):
+            state = self._state({}, self.length[last] + 1, i + 1)
+            at = last
+            while at >= 0 and c not in self.next[at]:
+                self.next[at][c] = state
+                at = self.link[at]
+            if at < 0:
+                self.link[state] = 0
+            else:
+                to = self.next[at][c]
+                if self.length[at] + 1 == self.length[to]:
+                    self.link[state] = to
+                else:
+                    twin = self._state(dict(self.next[to]), self.length[at] + 1, self.first[to])
+                    self.link[twin] = self.link[to]
+                    while at >= 0 and self.next[at].get(c) == to:
+                        self.next[at][c] = twin
+                        at = self.link[at]
+                    self.link[to] = self.link[state] = twin
+            last = state
+
+    def _state(self, steps: dict[str, int], length: int, first: int) -> int:
+        self.next.append(steps)
+        self.link.append(-1)
+        self.length.append(length)
+        self.first.append(first)
+        return len(self.next) - 1
+
+    def longest(self, text: str) -> tuple[int, int, int]:
+        """(place in the phrase, place in the text, length) of the longest run; of equals the first in the phrase, then in the text."""
+        best = (0, 0, 0)
+        state = n = 0
+        for end, c in enumerate(text, 1):
+            while state and c not in self.next[state]:
+                state = self.link[state]
+                n = self.length[state]
+            if c in self.next[state]:
+                state = self.next[state][c]
+                n += 1
+            if n and (n > -best[0] or n == -best[0] and self.first[state] - n < best[1]):
+                best = (-n, self.first[state] - n, end - n)
+        return best[1], best[2], -best[0]
+
+
 def phrase_span(start: str | None, end: str | None, source: str, share: float = 0.35, least: int = 5, most: int = 300) -> tuple[int, int, int] | None:
     """(begin, end, matched) of the two phrases in a source: from the first matched character to the last, ``most`` at most.
 
@@ -190,9 +244,9 @@ def phrase_span(start: str | None, end: str | None, source: str, share: float =
     source = source.lower().replace("\n", " ")
     found = []
     for phrase in filter(None, ((start or "").lower(), (end or "").lower())):
-        m = SequenceMatcher(None, phrase, source, autojunk=False).find_longest_match()
-        if m.size > max(len(phrase) * share, least):
-            found.append((m.b, m.b + m.size))
+        _, at, n = Runs(phrase).longest(source)
+        if n > max(len(phrase) * share, least):
+            found.append((at, at + n))
     if not found:
         return None
     a, b = min(x for x, _ in found), max(y for _, y in found)
@@ -202,23 +256,25 @@ def phrase_span(start: str | None, end: str | None, source: str, share: float =
 def match_citations(cited: DataFrame, segments: DataFrame, chunks: DataFrame, key: str = "answer_id") -> DataFrame:
     """``cited`` (key, place, ref, start_phrase, end_phrase) with highlight, page and group_id of the passage that each quotes.
 
-    First the segment (key, ref, text, page, group_id) of the same number is tried, then all segments of the answer,
-    then its chunks (key, chunk_idx, text, page, group_id); the longest match counts, the first of equals.
-    Citations without a phrase are left out.  An answer has few segments and chunks, so these joins stay small.
+    First the segment (key, ref, text, page, group_id) of the same number is tried, then, for what that leaves, all segments
+    of the answer, then its chunks (key, chunk_idx, text, page, group_id); the longest match counts, the first of equals.
+    Citations without a phrase are left out.
     """
-    some = cited.where((F.coalesce("start_phrase", F.lit("")) != "") | (F.coalesce("end_phrase", F.lit("")) != ""))
+    some = cut(cited.where((F.coalesce("start_phrase", F.lit("")) != "") | (F.coalesce("end_phrase", F.lit("")) != "")), "cited")
     seg = segments.where("ref is not null and text <> ''").select(key, F.col("ref").alias("n"), "text", "page", "group_id")
-    tried = some.join(seg, key).withColumn("tier", F.when(F.col("n") == F.col("ref"), 0).otherwise(1))
-    more = some.join(chunks.where("text <> ''").select(key, F.col("chunk_idx").alias("n"), "text", "page", "group_id"), key).withColumn("tier", F.lit(2))
+    parts = chunks.where("text <> ''").select(key, F.col("chunk_idx").alias("n"), "text", "page", "group_id")
 
     def make(start: str, end: str, text: str) -> list[tuple[str, int]]:
         span = phrase_span(start, end, text)
         return [(text.replace("\n", " ")[span[0] : span[1]], span[2])] if span else []
 
-    every = tried.unionByName(more)
-    spans = per_row(every, [key, "place", "tier", "n", "page", "group_id"], ["start_phrase", "end_phrase", "text"], "highlight string, matched int", make)
-    best = spans.groupBy(key, "place").agg(F.min(F.struct("tier", (-F.col("matched")).alias("shorter"), "n", "highlight", "page", "group_id")).alias("b"))
-    return some.join(best, [key, "place"], "left").select(*some.columns, "b.highlight", "b.page", "b.group_id")
+    found, left = None, some
+    for pairs in (lambda x: x.join(seg, key).where(F.col("n") == F.col("ref")), lambda x: x.join(seg, key), lambda x: x.join(parts, key)):
+        spans = per_row(pairs(left), [key, "place", "n", "page", "group_id"], ["start_phrase", "end_phrase", "text"], "highlight string, matched int", make)
+        best = cut(spans.groupBy(key, "place").agg(F.min(F.struct((-F.col("matched")).alias("shorter"), "n", "highlight", "page", "group_id")).alias("b")), "matched")
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best, [key, "place"], "left_anti")
+    return some.join(found, [key, "place"], "left").select(*some.columns, "b.highlight", "b.page", "b.group_id")
 
 
 def trace_meta(assigned: DataFrame, hits: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,44 +36,15 @@ def citation_support(answers: DataFrame, citations: DataFrame, least: float = 0.
     return rows.groupBy("answer_id", "idx").agg(F.round(F.max(share), 6).alias("overlap")).withColumn("supported", F.col("overlap") >= least)
 
 
-def fuzzy_spans(pairs: DataFrame, key: str, least: float = 0.35, most: int = 300) -> DataFrame:
-    """(key, start, length): the longest common run of ``phrase`` and ``source`` where it exceeds max(least * phrase, 5)."""
-    kind = pairs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, phrase, source in zip(pdf[key], pdf["phrase"], pdf["source"]):
-                m = difflib.SequenceMatcher(None, source, phrase, autojunk=False).find_longest_match()
-                if m.size > max(least * len(phrase), 5):
-                    out.append((k, m.a, min(m.size, most)))
-            yield pd.DataFrame(out, columns=[key, "start", "length"])
-
-    return pairs.select(key, "phrase", "source").mapInPandas(run, f"{key} {kind}, start int, length int")
-
-
-def build_context(selected: DataFrame) -> DataFrame:
-    """(query_id, context) of (query_id, rank from 0, group_id, granularity, page_start, page_end, keywords, text)."""
-    head = F.format_string("[%d]【%s - %s | 页码: %d-%d】", F.col("rank") + 1, "group_id", "granularity", "page_start", "page_end")
-    block = F.concat_ws("\n", head, F.concat(F.lit("关键词: "), F.array_join("keywords", ", ")), "text")
-    return selected.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("b")).select("query_id", F.array_join(F.col("b.block"), "\n\n").alias("context"))
-
-
 def lost_in_middle(ranked: DataFrame) -> DataFrame:
     """``place``: the best at both ends (1, 3, 5 ... 6, 4, 2)."""
     n = F.count("*").over(Window.partitionBy("query_id"))
     return ranked.withColumn("place", F.when(F.col("rank") % 2 == 0, F.col("rank") / 2 + 1).otherwise(n - (F.col("rank") - 1) / 2).cast("int"))
 
 
-def low_relevance(hits: DataFrame, least: float = 0.3) -> DataFrame:
-    return hits.groupBy("query_id").agg(F.max("similarity").alias("best")).select("query_id", (F.col("best") < least).alias("low"))
-
-
 def merged_intervals(spans: DataFrame, by: str) -> DataFrame:
     """Overlapping or touching [start, stop) spans of each group merged: islands where a span starts beyond all before it."""
     order = Window.partitionBy(by).orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") > reach, 1).otherwise(0)).over(order)
     return spans.withColumn("reach", reach).withColumn("island", island).groupBy(by, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
-
-

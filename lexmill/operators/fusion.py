@@ -16,8 +16,6 @@ from lexmill.functions import text as T
 from lexmill.operators.lexical import top_k
 
 K = 60
-#: Most blocked domains, which are sent to all executors.
-MOST_BLOCKED = 100_000
 
 
 def rrf(lists: list[DataFrame], weights: list[Column | float] | None = None, top: int | None = None, k: int = K) -> DataFrame:
@@ -70,17 +68,17 @@ def phrase_boost(hits: DataFrame, boost: float = 1.2) -> DataFrame:
     return hits.withColumn("adjusted", F.round(adjusted, 6))
 
 
-def mmr(hits: DataFrame, k: int = 5, weight: float = 0.5, most: int = 600) -> DataFrame:
+def mmr(hits: DataFrame, k: int = 5, weight: float = 0.5, most: int = 600, text: str = "chunk") -> DataFrame:
     """(query_id, place, chunk, similarity): greedy diversity over (query_id, chunk, similarity, rank), relevance less likeness to what is chosen.
 
     Likeness is the Jaccard similarity of white-space words in the first ``most`` characters.  The first of the
     ranked list comes first, the earlier of equals next; a list of at most ``k`` stays as it is.  Candidates of a
-    query are a ranked list cut to a few dozen, so a group is small.
+    query are a ranked list cut to a few dozen, so a group is small.  ``text`` names the column of the words.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("rank").to_dict("records")
-        words = [set(r["chunk"][:most].split()) for r in rows]
+        words = [set(r[text][:most].split()) for r in rows]
         like, left, chosen = [0.0] * len(rows), list(range(len(rows))), []
         while left and len(chosen) < k:
             best = max(left, key=lambda i: (weight * rows[i]["similarity"] - (1 - weight) * like[i], -i)) if chosen else left[0]
@@ -91,8 +89,8 @@ def mmr(hits: DataFrame, k: int = 5, weight: float = 0.5, most: int = 600) -> Da
         chosen = chosen if len(rows) > k else list(range(len(rows)))
         return pd.DataFrame({"query_id": [key[0]] * len(chosen), "place": range(1, len(chosen) + 1), "chunk": [rows[i]["chunk"] for i in chosen], "similarity": [rows[i]["similarity"] for i in chosen]})
 
-    kind = hits.schema["query_id"].dataType.simpleString()
-    return hits.select("query_id", "chunk", "similarity", "rank").groupBy("query_id").applyInPandas(run, f"query_id {kind}, place int, chunk string, similarity double")
+    kind = {c: hits.schema[c].dataType.simpleString() for c in ("query_id", "chunk")}
+    return hits.select(*dict.fromkeys(["query_id", "chunk", text, "similarity", "rank"])).groupBy("query_id").applyInPandas(run, f"query_id {kind['query_id']}, place int, chunk {kind['chunk']}, similarity double")
 
 
 def rerank_normalised(hits: DataFrame) -> DataFrame:
@@ -168,11 +166,23 @@ def distinct_results(results: DataFrame) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
+def unblocked(results: DataFrame, blocked: DataFrame) -> DataFrame:
+    """The results whose host is neither a blocked domain (b) nor below one.
+
+    A host is looked up by each of its ends at a dot, an equality, so that any number of domains may be blocked.
+    """
+    parts = F.split(T.domain(F.coalesce("url", F.lit(""))), r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    rows = results.withColumn("__row", F.struct("query_id", "rank", "url"))
+    out = rows.select("__row", F.explode(ends).alias("__end")).join(blocked.select(F.col("b").alias("__end")).where("__end <> ''").distinct(), "__end").select("__row").distinct()
+    return rows.join(out, "__row", "left_anti").drop("__row")
+
+
 def web_results(queries: DataFrame, results: DataFrame, blocked: DataFrame | None = None, top: int = 5) -> DataFrame:
     """What is left of (query_id, rank, title, url, snippet) for (query_id, query): distinct, not blocked (b), relevant enough, best first."""
     rows = distinct_results(results)
     if blocked is not None:
-        rows = rows.withColumn("__h", T.domain(F.col("url"))).join(F.broadcast(blocked.limit(MOST_BLOCKED)), T.is_blocked(F.col("__h"), F.col("b")), "left_anti").drop("__h")
+        rows = unblocked(rows, blocked)
     scored = adaptive_filter(lexical_relevance(rows.join(queries, "query_id")))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rank")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)

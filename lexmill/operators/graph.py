@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.stage import cut
 
 SEP = "<SEP>"
 #: What parts records, and fields.
@@ -77,17 +80,16 @@ def edge_degrees(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(name, component): the least name reachable.  Labels spread along edges and jump to their label's label.
 
-    Each round is checkpointed reliably where a checkpoint folder is set, so lineage stays short.  It is an error
-    if the labels have not settled after ``rounds`` rounds.
+    Each round is written as a stage, so lineage stays short.  It is an error if the labels have not settled after
+    ``rounds`` rounds.
     """
-    both = edges.select(F.col("src").alias("name"), F.col("tgt").alias("other")).union(edges.select("tgt", "src")).distinct()
+    both = cut(edges.select(F.col("src").alias("name"), F.col("tgt").alias("other")).union(edges.select("tgt", "src")).distinct(), "links")
     labels = both.groupBy("name").agg(F.least(F.min("other"), F.min("name")).alias("component"))
-    reliable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     for _ in range(rounds):
         least = both.join(labels.select(F.col("name").alias("other"), "component"), "other").groupBy("name").agg(F.min("component").alias("near"))
         jump = labels.select(F.col("name").alias("component"), F.col("component").alias("far"))
         new = labels.join(least, "name").join(jump, "component", "left").select("name", F.least("component", "near", F.coalesce("far", "component")).alias("new"), "component")
-        new = new.checkpoint() if reliable else new.cache()
+        new = cut(new, "labels")
         changed = new.where("new <> component").count()
         labels = new.select("name", F.col("new").alias("component"))
         if not changed:
@@ -102,12 +104,6 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(best), "component").select("name", T.unescaped(F.trim(F.upper("name"))).alias("node"))
 
 
-def _settled(labels: DataFrame) -> DataFrame:
-    """Labels with their lineage cut: checkpointed where a folder is set, else kept by Spark."""
-    reliable = labels.sparkSession.sparkContext.getCheckpointDir() is not None
-    return labels.checkpoint() if reliable else labels.cache()
-
-
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(name, cluster) by deterministic label propagation: the heaviest label among neighbours, the least of equals.  This is not Leiden."""
     both = edges.select(F.col("src").alias("name"), F.col("tgt").alias("other"), "weight").union(edges.select("tgt", "src", "weight"))
@@ -115,7 +111,7 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     for _ in range(rounds):
         votes = both.join(labels.select(F.col("name").alias("other"), "cluster"), "other").groupBy("name", "cluster").agg(F.sum("weight").alias("w"))
         votes = votes.groupBy("name").agg(F.min(F.struct(-F.round("w", 6), F.col("cluster").alias("cluster"))).alias("v"))
-        labels = _settled(votes.select("name", F.col("v.cluster").alias("cluster")))
+        labels = cut(votes.select("name", F.col("v.cluster").alias("cluster")), "labels")
     return labels
 
 
@@ -134,7 +130,7 @@ def community_levels(edges: DataFrame, most: int = 10, depth: int = 3, rounds: i
         split = communities(kept, 1).join(inner.withColumnRenamed("cluster", "parent"), "name")
         parts = split.select("parent", "cluster").distinct().groupBy("parent").agg(F.count("*").alias("n")).where("n > 1")
         named = split.join(parts.select("parent"), "parent", "left_semi")
-        level = _settled(named.select("name", F.lit(k).alias("level"), F.concat_ws("/", "parent", "cluster").alias("cluster")))
+        level = cut(named.select("name", F.lit(k).alias("level"), F.concat_ws("/", "parent", "cluster").alias("cluster")), "level")
         out = out.union(level)
     return out
 
@@ -327,3 +323,36 @@ def report_fallback(schema: DataFrame, most: int = 20) -> DataFrame:
     """(level, cluster, report): where no model writes one, a community's title and its first members by name."""
     names = F.array_join(F.slice("nodes", 1, most), ", ")
     return schema.select("level", "cluster", F.concat(F.lit("# Cluster "), "cluster", F.lit("\n\n"), names).alias("report"))
+
+
+def report_text(reply: Column) -> Column:
+    """Markdown of a model's report (JSON of title, summary and findings, these texts or pairs of summary and explanation); null where it does not parse."""
+    outer = F.from_json(reply, "title string, summary string, findings array<string>")
+    finding = lambda f: F.from_json(f, "summary string, explanation string")
+    told = lambda f: F.when(F.startswith(F.ltrim(f), F.lit("{")), F.concat(F.lit("## "), F.coalesce(finding(f)["summary"], F.lit("")), F.lit("\n\n"), F.coalesce(finding(f)["explanation"], F.lit("")))).otherwise(F.concat(F.lit("## "), f, F.lit("\n\n")))
+    findings = F.array_join(F.transform(F.coalesce(outer["findings"], F.array().cast("array<string>")), told), "\n\n")
+    return F.when(outer.isNotNull(), F.concat(F.lit("# "), F.coalesce(outer["title"], F.lit("Report")), F.lit("\n\n"), F.coalesce(outer["summary"], F.lit("")), F.lit("\n\n"), findings))
+
+
+def community_reports(clusters: DataFrame, nodes: DataFrame, edges: DataFrame, write: Callable[[DataFrame], DataFrame] | None = None, budget: int = 12_000) -> DataFrame:
+    """(level, cluster, description, report, rating): reports level by level from the deepest, each level told with the reports of the communities below it.
+
+    ``write`` gives (level, cluster, description) a ``report`` and a ``rating``, as from a model; without it a report is a
+    title and the first names.  ``clusters`` has name, level, cluster; levels are few, and each is written as a stage.
+    """
+    schema = cut(community_schema(clusters, nodes, edges), "schema")
+    below = cut(sub_communities(schema), "below")
+    out = told = None
+    for level in sorted((r["level"] for r in schema.select("level").distinct().collect()), reverse=True):
+        reports = None
+        if told is not None:
+            pairs = below.where(F.col("level") == level)
+            reports = pairs.join(told.select(F.col("cluster").alias("child"), "report", "rating", "occurrence", "names"), "child").select("level", "cluster", "child", "report", "rating", "occurrence", "names")
+        packed = packed_communities(clusters.where(F.col("level") == level), nodes, edges, reports, budget)
+        if write is None:
+            made = packed.join(report_fallback(schema), ["level", "cluster"]).withColumn("rating", F.lit(None).cast("double"))
+        else:
+            made = write(packed)
+        told = cut(made.select("level", "cluster", "description", "report", "rating").join(schema.select("level", "cluster", "occurrence", F.col("nodes").alias("names")), ["level", "cluster"]), "reports")
+        out = told if out is None else out.unionByName(told)
+    return out.drop("occurrence", "names") if out is not None else clusters.sparkSession.createDataFrame([], "level int, cluster string, description string, report string, rating double")

@@ -36,7 +36,7 @@ def document_frequency(corpus: DataFrame, key: str = "doc_id", text: str = "text
     return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
-def term_hits(queries: DataFrame, corpus: DataFrame, query_key: str = "item_id", key: str = "doc_id", within: str | None = None) -> DataFrame:
+def term_hits(queries: DataFrame, corpus: DataFrame, query_key: str = "item_id", key: str = "doc_id", within: str | None = None, toks: str | None = None) -> DataFrame:
     """(query, document, terms, score): of all pairs that share a term how many they share, and their BM25 score.
 
     Query terms count as often as they occur.  The corpus is tokenised once, where every row keeps just its terms that some
@@ -48,8 +48,8 @@ def term_hits(queries: DataFrame, corpus: DataFrame, query_key: str = "item_id",
     terms = asked.select("term").distinct()
     # counted up to the bound only, so that a large table of queries is not scanned for it
     terms = F.broadcast(terms) if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS else terms
-    rows = corpus.select(key, *group, T.tokens(F.col("text")).alias("toks")).select(key, *group, "toks", F.size("toks").alias("dl"))
-    counted = corpus.select(*group, T.token_count(F.col("text")).alias("dl"))
+    rows = corpus.select(key, *group, (F.col(toks) if toks else T.tokens(F.col("text"))).alias("toks")).select(key, *group, "toks", F.size("toks").alias("dl"))
+    counted = corpus.select(*group, (F.size(toks) if toks else T.token_count(F.col("text"))).alias("dl"))
     stats = counted.groupBy(*group).agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
     tf = rows.select(key, *group, "dl", F.explode("toks").alias("term")).join(terms, "term", "left_semi").groupBy("term", key, *group, "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term", *group).agg(F.count("*").alias("df"))

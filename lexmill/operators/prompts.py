@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,23 +40,46 @@ class Health:
                 self.status = "degraded"
 
 
-def health(log: DataFrame, key: str = "prompt_id") -> DataFrame:
-    """(key, status, ...) after a log (key, at timestamp, event_id, success boolean, seconds double).
+def health(log: DataFrame, key: str = "prompt_id", now: float | None = None) -> DataFrame:
+    """(key, status, ...) after a log (key, at timestamp, event_id, success boolean, seconds double), and after a look at the clock at ``now`` (seconds) if that is given.
 
-    The clock is looked at before each request.  A prompt's log is folded in order of time; it is one group, sorted by
-    Spark's shuffle and read once.
+    The clock is looked at before each request.  The fold is windows over runs of failures.  Within a run a prompt has
+    failed once or more often since it last came back; a failure after a long pause takes more often back to once,
+    every other one gives more often, so how the pauses since the last short one alternate tells which.
     """
-    kind = log.schema[key].dataType.simpleString()
-
-    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        h = Health()
-        for now, success, seconds in pdf.sort_values(["now", "event_id"])[["now", "success", "seconds"]].itertuples(index=False):
-            h.at(now)
-            h.used(now, bool(success), float(seconds))
-        return pd.DataFrame([(group[0], h.status, h.total, h.good, h.bad, h.row, h.average)], columns=[key, *(f.split()[0] for f in HEALTH.split(", "))])
-
-    rows = log.select(key, F.unix_micros("at").alias("now"), "event_id", "success", F.coalesce("seconds", F.lit(0.0)).alias("seconds")).withColumn("now", F.col("now") / 1e6)
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, {HEALTH}")
+    order = Window.partitionBy(key).orderBy("now", "event_id")
+    rows = log.select(key, (F.unix_micros("at") / 1e6).alias("now"), "event_id", F.coalesce("success", F.lit(False)).alias("ok"), F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
+    rows = rows.withColumns({"i": F.row_number().over(order), "before": F.lag("now").over(order)})
+    rows = rows.withColumn("run", F.sum(F.col("ok").cast("int")).over(Window.partitionBy(key).orderBy("i")))
+    # the row that a run of failures follows has its number too
+    run = Window.partitionBy(key, "run", "ok").orderBy("i")
+    rows = rows.withColumn("nth", F.row_number().over(run)).withColumn("paused", (F.col("nth") > 1) & (F.col("now") - F.col("before") >= RETURN_AFTER))
+    short = F.max(F.when(~F.col("paused"), F.col("i"))).over(run)
+    rows = rows.withColumns({"short": short, "pauses": F.sum(F.col("paused").cast("int")).over(run)})
+    since = F.col("pauses") - F.first("pauses").over(Window.partitionBy(key, "run", "ok", "short").orderBy("i"))
+    # the run's first failure is a first one, a later one after a short pause is a further one
+    start = F.when(F.first("nth").over(Window.partitionBy(key, "run", "ok", "short").orderBy("i")) == 1, 1).otherwise(2)
+    # a pause counts only for what has failed more than once, so a run that begins with one goes to more often first
+    rows = rows.withColumn("often", (start + since) % 2 == 0)
+    once = F.max(F.when(~F.col("often"), F.col("i"))).over(run)
+    rows = rows.withColumn("row", F.when(F.col("ok"), 0).otherwise(F.col("i") - once + 1))
+    recent = Window.partitionBy(key).orderBy("i").rowsBetween(-(REMEMBERED - 1), 0)
+    good = F.when(F.col("ok") & (F.col("seconds") > 0), F.col("seconds"))
+    rows = rows.withColumn("mean", F.when(good.isNotNull(), F.avg(good).over(recent)))
+    last = lambda c: F.max_by(c, "i")
+    out = rows.groupBy(key).agg(
+        F.count("*").alias("total_requests"), F.count_if("ok").alias("success_count"), F.count_if(~F.col("ok")).alias("failure_count"), last("row").alias("row"), last("ok").alias("ok"), F.max("now").alias("end"),
+        F.max_by("row", F.when(~F.col("ok"), F.col("i"))).alias("failed_row"), F.max(F.when(~F.col("ok"), F.col("now"))).alias("out_at"), F.max_by("mean", F.when(F.col("mean").isNotNull(), F.col("i"))).alias("mean"),
+    )
+    out = out.withColumn("out", F.coalesce(F.col("failed_row") >= MOST_FAILURES, F.lit(False)))
+    status = F.when(F.col("ok"), F.when(F.col("out") & (F.col("end") - F.col("out_at") < RETURN_AFTER), "deactivated").otherwise("healthy")).otherwise(F.when(F.col("out"), "deactivated").otherwise("degraded"))
+    row = F.col("row")
+    out = out.withColumn("status", status)
+    if now is not None:
+        back = (F.col("status") == "deactivated") & (F.lit(now) - F.col("out_at") >= RETURN_AFTER)
+        out, row = out.withColumn("back", back), F.when(F.col("back"), 0).otherwise(F.col("row"))
+        out = out.withColumn("status", F.when(F.col("back"), "degraded").otherwise(F.col("status")))
+    return out.select(key, "status", "total_requests", "success_count", "failure_count", row.cast("long").alias("consecutive_failures"), F.coalesce("mean", F.lit(0.0)).alias("average_response_time"))
 
 
 def selected(prompts: DataFrame, by: str = "user_id") -> DataFrame:

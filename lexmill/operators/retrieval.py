@@ -1,7 +1,7 @@
 """Retrieval as one operator: candidates by vectors and words, fusion, phrases, diversity, groups, tables, context.
 
-All queries of a table run in one job, each within its own document.  Hits are told apart by their text, as in
-``fusion``; a ranked list has query_id, chunk, rank (from 0) and similarity.
+All queries of a table run together, each within its own document.  Hits are told apart by their text, as in
+``fusion``; a ranked list has query_id, chunk (the key of a text in its document), rank (from 0) and similarity.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from lexmill.operators import context as X
 from lexmill.operators import fusion as U
 from lexmill.operators import groups as G
 from lexmill.operators import lexical as L
+from lexmill.stage import cut
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,7 @@ class Settings:
     phrases: int = 5
     phrase_similarity: float = 0.95
     table_similarity: float = 0.45
+    neighbours: int = 1
 
 
 def prepared(queries: DataFrame, s: Settings) -> DataFrame:
@@ -43,101 +45,149 @@ def prepared(queries: DataFrame, s: Settings) -> DataFrame:
     return rows.withColumn("candidates", pool)
 
 
-def vector_list(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def pooled(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """The chunks of documents that are asked about, each tokenised once, and told apart by text.
+
+    ``key`` is the document and the first chunk of it with the same text; ranked lists carry it in place of the text, as
+    ``chunk``.  Columns: doc_id, chunk_idx, key, text, page, e (unit vector), toks.
+    """
+    same = Window.partitionBy("doc_id", "chunk")
+    rows = chunks.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("first", F.min("chunk_idx").over(same))
+    return rows.select("doc_id", "chunk_idx", F.struct("doc_id", F.col("first").alias("at")).alias("key"), F.col("chunk").alias("text"), "page", T.normalised(F.col("embedding")).alias("e"), T.tokens(F.col("chunk")).alias("toks"))
+
+
+def _firsts(pool: DataFrame) -> DataFrame:
+    return pool.where(F.col("chunk_idx") == F.col("key.at"))
+
+
+def vector_list(asked: DataFrame, pool: DataFrame) -> DataFrame:
     """Each query's nearest chunks of its document by cosine, similarity (cos + 1) / 2, the lower chunk first among equals."""
-    unit = chunks.select("doc_id", "chunk_idx", "chunk", "page", T.normalised(F.col("embedding")).alias("e"))
-    asked = queries.select("query_id", "doc_id", "candidates", T.normalised(F.col("vector")).alias("v"))
-    scored = unit.join(asked, "doc_id").withColumn("similarity", F.round(T.similarity_of(T.dot(F.col("v"), F.col("e")), "ip"), 9)).drop("e", "v")
+    near = asked.select("query_id", "doc_id", "candidates", T.normalised(F.col("vector")).alias("v"))
+    scored = pool.select("doc_id", "chunk_idx", F.col("key").alias("chunk"), "e").join(near, "doc_id").withColumn("similarity", F.round(T.similarity_of(T.dot(F.col("v"), F.col("e")), "ip"), 9)).drop("e", "v")
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_idx")
     return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < F.col("candidates")).select("query_id", "chunk", "similarity", "rank")
 
 
-def inject_phrases(hits: DataFrame, queries: DataFrame, chunks: DataFrame, s: Settings) -> DataFrame:
+def word_list(asked: DataFrame, pool: DataFrame) -> DataFrame:
+    """Each query's best chunks of its document by BM25, among the document's chunks alone."""
+    rows = pool.select(F.struct("chunk_idx", "key").alias("row"), "doc_id", "toks")
+    scored = L.term_hits(asked.select("query_id", "doc_id", F.col("query").alias("text")), rows, "query_id", "row", "doc_id", "toks")
+    scored = scored.join(asked.select("query_id", "candidates"), "query_id").withColumn("score", F.round("score", 6)).where("score > 0")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "row.chunk_idx")
+    return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < F.col("candidates")).select("query_id", F.col("row.key").alias("chunk"), "rank")
+
+
+def inject_phrases(hits: DataFrame, asked: DataFrame, pool: DataFrame, s: Settings) -> DataFrame:
     """Hits and behind them up to five chunks that hold a query of several words as it stands and are no hits."""
     phrase = F.lower(F.regexp_replace("query", r"^\s+|\s+$", ""))
-    asked = queries.select("query_id", "doc_id", phrase.alias("phrase")).where((F.length("phrase") > 3) & F.contains("phrase", F.lit(" ")))
-    found = chunks.select("doc_id", "chunk_idx", "chunk").join(asked, "doc_id").where(F.contains(F.lower("chunk"), "phrase"))
-    found = found.join(hits.select("query_id", "chunk"), ["query_id", "chunk"], "left_anti").groupBy("query_id", "chunk").agg(F.min("chunk_idx").alias("chunk_idx"))
-    order = Window.partitionBy("query_id").orderBy("chunk_idx")
+    some = asked.select("query_id", "doc_id", phrase.alias("phrase")).where((F.length("phrase") > 3) & F.contains("phrase", F.lit(" ")))
+    found = _firsts(pool).select("doc_id", F.col("key").alias("chunk"), "text").join(some, "doc_id").where(F.contains(F.lower("text"), "phrase")).select("query_id", "chunk")
+    found = found.join(hits.select("query_id", "chunk"), ["query_id", "chunk"], "left_anti")
+    order = Window.partitionBy("query_id").orderBy("chunk")
     some = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= s.phrases)
     last = hits.groupBy("query_id").agg(F.max("rank").alias("last"))
     more = some.join(last, "query_id", "left").select("query_id", "chunk", F.lit(s.phrase_similarity).alias("similarity"), (F.coalesce("last", F.lit(-1)) + F.col("n")).alias("rank"))
     return hits.unionByName(more)
 
 
-def boosted(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """Similarities adjusted for phrases, tables and references, and the list in their order."""
-    rows = U.phrase_boost(hits.join(queries.select("query_id", "query"), "query_id"))
+def boosted(hits: DataFrame, asked: DataFrame, pool: DataFrame) -> DataFrame:
+    """(query_id, chunk, text, similarity, rank): similarities adjusted for phrases, tables and references, and the list in their order."""
+    texts = _firsts(pool).select(F.col("key").alias("key"), "text")
+    rows = hits.join(asked.select("query_id", "query"), "query_id").withColumnRenamed("chunk", "key").join(texts, "key")
+    rows = U.phrase_boost(rows.withColumnRenamed("text", "chunk"))
     order = Window.partitionBy("query_id").orderBy(F.col("adjusted").desc(), "rank")
-    return rows.select("query_id", "chunk", F.col("adjusted").alias("similarity"), (F.row_number().over(order) - 1).alias("rank"))
+    return rows.select("query_id", F.col("key").alias("chunk"), F.col("chunk").alias("text"), F.col("adjusted").alias("similarity"), (F.row_number().over(order) - 1).alias("rank"))
 
 
 def diverse(hits: DataFrame, top: int) -> DataFrame:
     """Lists of more than ``top`` cut to three times that by diversity."""
-    return U.mmr(hits, top * 3).select("query_id", "chunk", "similarity", (F.col("place") - 1).alias("rank"))
+    return U.mmr(hits, top * 3, text="text").select("query_id", "chunk", "similarity", (F.col("place") - 1).alias("rank"))
 
 
-def with_groups(hits: DataFrame, queries: DataFrame, chunks: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
+def with_groups(hits: DataFrame, asked: DataFrame, pool: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
     """Hits fused with the groups nearest to the query by the distance of digests, where a document has ten chunks or more and groups.
 
     ``groups`` has doc_id, group_no, chunk_indices, embedding.  Queries of other documents keep their hits.
     """
-    large = chunks.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= s.least_chunks).select("doc_id")
-    asked = queries.join(large, "doc_id").select("query_id", "doc_id", T.normalised(F.col("vector")).alias("v"))
-    near = groups.select("doc_id", "group_no", F.col("embedding").alias("e")).join(asked, "doc_id")
+    large = pool.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= s.least_chunks).select("doc_id")
+    some = asked.join(large, "doc_id").select("query_id", "doc_id", T.normalised(F.col("vector")).alias("v"))
+    near = groups.select("doc_id", "group_no", F.col("embedding").alias("e")).join(some, "doc_id")
     far = F.aggregate(F.zip_with("v", "e", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
     order = Window.partitionBy("query_id").orderBy("far", "group_no")
     found = near.withColumn("far", F.round(far, 9)).withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < 2 * s.top)
-    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("group_no").cast("string"))
-    members = groups.select("doc_id", name.alias("group_id"), F.explode("chunk_indices").alias("chunk_idx")).join(chunks.select("doc_id", "chunk_idx", "chunk"), ["doc_id", "chunk_idx"]).select("group_id", "chunk")
-    grouped = found.select("query_id", name.alias("group_id"), "rank")
+    name = F.struct("doc_id", "group_no")
+    members = groups.select("doc_id", name.alias("group_id"), F.explode("chunk_indices").alias("chunk_idx")).join(pool.select("doc_id", "chunk_idx", F.col("key").alias("chunk")), ["doc_id", "chunk_idx"]).select("group_id", "chunk").distinct()
+    grouped = cut(found.select("query_id", name.alias("group_id"), "rank"), "grouped")
     ids = grouped.select("query_id").distinct()
-    fused = U.group_fusion(hits.join(ids, "query_id", "left_semi"), grouped, members, s.top, s.per_group)
+    fused = U.group_fusion(hits.join(ids, "query_id", "left_semi"), grouped, cut(members, "members"), s.top, s.per_group)
     kept = fused.join(hits.select("query_id", "chunk", F.col("similarity").alias("own")), ["query_id", "chunk"], "left")
     kept = kept.select("query_id", "chunk", F.coalesce("own", F.lit(0.5)).alias("similarity"), (F.col("rank") - 1).alias("rank"))
     return kept.unionByName(hits.join(ids, "query_id", "left_anti").select("query_id", "chunk", "similarity", "rank"))
 
 
-def add_tables(hits: DataFrame, queries: DataFrame, chunks: DataFrame, s: Settings) -> DataFrame:
-    """Hits and behind them up to three chunks that look like tables, stand on a page of a hit and are no hits.
+def widened(hits: DataFrame, pool: DataFrame, n: int) -> DataFrame:
+    """``hits`` with ``expanded``: each hit's chunk between up to ``n`` before and after it, joined by line feeds.
+
+    Null where there is none to add, and where an earlier hit of the query has the same stretch.
+    """
+    if n <= 0:
+        return hits.withColumn("expanded", F.lit(None).cast("string"))
+    at = F.col("chunk.at")
+    wide = hits.select("query_id", "rank", F.col("chunk.doc_id").alias("doc_id"), F.explode(F.sequence(at - n, at + n)).alias("chunk_idx"))
+    near = wide.join(pool.select("doc_id", "chunk_idx", "text"), ["doc_id", "chunk_idx"])
+    made = near.groupBy("query_id", "rank", "doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))).alias("c"))
+    again = Window.partitionBy("query_id", "doc_id", F.col("c")[0]["chunk_idx"], F.element_at("c", -1)["chunk_idx"]).orderBy("rank")
+    text = F.when((F.size("c") > 1) & (F.row_number().over(again) == 1), F.array_join("c.text", "\n"))
+    return hits.join(made.select("query_id", "rank", text.alias("expanded")), ["query_id", "rank"], "left")
+
+
+def add_tables(hits: DataFrame, asked: DataFrame, pool: DataFrame, s: Settings) -> DataFrame:
+    """(query_id, query, doc_id, chunk, similarity, rank, page, table_augmented, expanded): hits, by text again, and behind them up to three chunks that look like tables, stand on a page of a hit and are no hits.
 
     Hits get the page of the first chunk of their text.
     """
-    paged = chunks.groupBy("doc_id", "chunk").agg(F.min(F.struct("chunk_idx", "page")).alias("f")).select("doc_id", "chunk", "f.page")
-    rows = hits.join(queries.select("query_id", "doc_id"), "query_id").join(paged, ["doc_id", "chunk"], "left")
-    looks = chunks.where(T.is_likely_table(F.col("chunk"))).select("doc_id", "page", "chunk_idx", "chunk")
+    first = _firsts(pool)
+    fields = ["query_id", "doc_id", "chunk", "text", "similarity", "rank", "page", "table_augmented", "expanded"]
+    rows = hits.join(first.select(F.col("key").alias("chunk"), "doc_id", "text", "page"), "chunk", "left").withColumn("table_augmented", F.lit(False)).select(*fields)
+    looks = first.where(T.is_likely_table(F.col("text"))).select("doc_id", "page", F.col("key").alias("chunk"), "text")
     near = looks.join(rows.select("query_id", "doc_id", "page").distinct(), ["doc_id", "page"]).join(hits.select("query_id", "chunk"), ["query_id", "chunk"], "left_anti")
-    order = Window.partitionBy("query_id").orderBy("chunk_idx")
+    order = Window.partitionBy("query_id").orderBy("chunk")
     some = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= s.tables)
     last = hits.groupBy("query_id").agg(F.max("rank").alias("last"))
-    more = some.join(last, "query_id").select("doc_id", "chunk", "query_id", F.lit(s.table_similarity).alias("similarity"), (F.col("last") + F.col("n")).alias("rank"), "page")
-    return rows.select("query_id", "doc_id", "chunk", "similarity", "rank", "page", F.lit(False).alias("table_augmented")).unionByName(more.select("query_id", "doc_id", "chunk", "similarity", "rank", "page", F.lit(True).alias("table_augmented")))
+    more = some.join(last, "query_id").withColumns({"similarity": F.lit(s.table_similarity), "rank": F.col("last") + F.col("n"), "table_augmented": F.lit(True), "expanded": F.lit(None).cast("string")}).select(*fields)
+    out = rows.unionByName(more).drop("chunk").withColumnRenamed("text", "chunk")
+    return out.join(asked.select("query_id", "query"), "query_id")
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, groups: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
-    """(query_id, doc_id, chunk, similarity, rank, page, table_augmented) for (query_id, doc_id, query, selected, vector).
+    """(query_id, doc_id, chunk, similarity, rank, page, table_augmented, expanded, snippet, highlights) for (query_id, doc_id, query, selected, vector).
 
     ``chunks`` has doc_id, chunk_idx, chunk, page and embedding.  The vector list takes up phrases, is boosted and made
-    diverse, and is fused with BM25; a reranker orders what is left; groups and tables come last.
+    diverse, and is fused with BM25; a reranker orders what is left; groups, neighbours and tables come last.  Each of
+    these lists is a stage: it is written once and read by the later ones, with keys of chunks in place of their texts.
     """
     s = settings
-    asked = prepared(queries, s)
-    hits = boosted(inject_phrases(vector_list(asked, chunks), asked, chunks, s), asked)
-    hits = hits if s.rerank else diverse(hits, s.top)
-    distinct = chunks.withColumn("row", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_idx").cast("string")))
-    words = L.term_hits(asked.select("query_id", "doc_id", F.col("query").alias("text")), distinct.select("row", "doc_id", F.col("chunk").alias("text")), "query_id", "row", "doc_id")
-    words = words.join(distinct.select("row", "chunk_idx", "chunk"), "row").join(asked.select("query_id", "candidates"), "query_id").withColumn("score", F.round("score", 6)).where("score > 0")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_idx")
-    words = words.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < F.col("candidates")).select("query_id", "chunk", "rank")
+    asked = cut(prepared(queries, s), "asked")
+    pool = cut(pooled(chunks, asked), "pool")
+    hits = cut(vector_list(asked, pool), "vectors")
+    hits = boosted(inject_phrases(hits, asked, pool, s), asked, pool)
+    hits = cut(hits.drop("text") if s.rerank else diverse(hits, s.top), "hits")
+    words = cut(word_list(asked, pool), "words")
     fused = U.hybrid_merge(hits, words, asked, s.top)
-    fused = fused.join(hits.select("query_id", "chunk", "similarity"), ["query_id", "chunk"], "left")
-    out = fused.select("query_id", "chunk", F.coalesce("similarity", F.lit(0.5)).alias("similarity"), (F.col("rank") - 1).alias("rank"))
+    own = hits.groupBy("query_id", "chunk").agg(F.min_by("similarity", "rank").alias("similarity"))
+    out = fused.join(own, ["query_id", "chunk"], "left").select("query_id", "chunk", F.coalesce("similarity", F.lit(0.5)).alias("similarity"), (F.col("rank") - 1).alias("rank"))
     if s.rerank:
-        scored = U.rerank_normalised(s.rerank(out.join(asked.select("query_id", "query"), "query_id")))
+        texts = _firsts(pool).select(F.col("key").alias("chunk"), "text")
+        shown = out.join(asked.select("query_id", "query"), "query_id").join(texts, "chunk").withColumnRenamed("chunk", "key").withColumnRenamed("text", "chunk")
+        scored = U.rerank_normalised(s.rerank(shown))
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rank")
-        out = boosted(scored.select("query_id", "chunk", F.bround(F.col("percent") / 100, 4).alias("similarity"), (F.row_number().over(best) - 1).alias("rank")), asked)
-    out = with_groups(out, asked, chunks, groups, s) if groups is not None else out
-    return add_tables(out, asked, chunks, s)
+        out = boosted(scored.select("query_id", F.col("key").alias("chunk"), F.bround(F.col("percent") / 100, 4).alias("similarity"), (F.row_number().over(best) - 1).alias("rank")), asked, pool).drop("text")
+    out = cut(out, "fused")
+    if groups is not None:
+        out = cut(with_groups(out, asked, pool, groups, s), "grouped-hits")
+    out = cut(add_tables(widened(out, pool, s.neighbours), asked, pool, s), "retrieved")
+    keys = [c for c in out.columns if c != "query"]
+    return L.snippets(out.withColumn("text", F.col("chunk")), keys)
 
 
 def group_members(groups: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -159,7 +209,7 @@ def contexts(hits: DataFrame, queries: DataFrame, chunks: DataFrame, groups: Dat
     order = Window.partitionBy("query_id").orderBy("rank", "group_id")
     ranked = ranked.withColumn("rank", F.row_number().over(order) - 1).join(kinds, "query_id").where(F.col("rank") < most)
     named = groups.withColumn("group_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("group_no").cast("string"))).drop("doc_id", "group_no")
-    chosen = G.granularity_mixed(ranked.join(named, "group_id"))
+    chosen = cut(G.granularity_mixed(ranked.join(named, "group_id")), "chosen")
     fitted = G.fit_within_budget(chosen, budget)
     used = chosen.drop("granularity").join(fitted.select("query_id", "rank", "granularity"), ["query_id", "rank"])
     text: Column = T.by_key(F.col("granularity"), {"full": F.col("full_text"), "digest": F.col("digest")}, F.col("summary"))

@@ -21,6 +21,7 @@ from lexmill.plans.retrieval_queries import hits as ranked_hits
 from lexmill.plans.text_queries import Q as TEXT
 from lexmill.sources import tables as S
 from lexmill.sources.tables import table
+from lexmill.stage import cut
 
 C = F.col
 Q: dict = {}
@@ -56,7 +57,8 @@ def groups(s, d):
 
 @add("retrieve", None)
 def _(s, d):
-    return R.retrieve(questions(s, d), corpus(s, d), groups(s, d), PARAMS).select("query_id", "doc_id", F.md5("chunk").alias("chunk"), F.round("similarity", 6).alias("similarity"), "rank", "page", "table_augmented")
+    found = R.retrieve(questions(s, d), corpus(s, d), cut(groups(s, d), "groups"), PARAMS)
+    return found.select("query_id", "doc_id", F.md5("chunk").alias("chunk"), F.round("similarity", 6).alias("similarity"), "rank", "page", "table_augmented", F.md5("expanded").alias("expanded"), F.md5("snippet").alias("snippet"), F.size("highlights").alias("highlights"))
 
 
 @add("retrieve_reranked", None)
@@ -67,7 +69,7 @@ def _(s, d):
 
 @add("relevant_context", None)
 def _(s, d):
-    q, c, g = questions(s, d), corpus(s, d), groups(s, d)
+    q, c, g = cut(questions(s, d), "questions"), cut(corpus(s, d), "corpus"), cut(groups(s, d), "groups")
     made, trace = R.contexts(R.retrieve(q, c, g, PARAMS), q, c, g, 2000)
     return made.join(trace, "query_id").select("query_id", F.md5("context").alias("context"), F.size("citations").alias("n"), "granularities", "token_used", "fallback")
 
@@ -145,7 +147,7 @@ def _(s, d):
     return X.locate_selection(table(s, d, "documents").select(C("doc_id").alias("selection_id"), "doc_id", text.alias("selected")), pages)
 
 
-@add("selected_context", """SELECT conv_id, turn, md5(text || chr(10) || chr(10) || '[1]用户选中的文本' || CASE WHEN turn % 3 = 0 THEN '（页码: 4）' ELSE '（页码: 4-' || 4 + turn % 3 || '）' END || CASE WHEN turn % 2 = 0 THEN chr(10) || chr(10) || chr(10) || '相关文档片段：' || chr(10) || chr(10) || role ELSE '' END) AS context, CASE WHEN length(trim(text)) >= 30 THEN md5(trim(substr(text, 1, 200))) END AS citation FROM conversations""")
+@add("selected_context", """SELECT conv_id, turn, md5(text || chr(10) || chr(10) || '[1]用户选中的文本' || CASE WHEN turn % 3 = 0 THEN '（页码: 4）' ELSE '（页码: 4-' || 4 + turn % 3 || '）' END || CASE WHEN turn % 2 = 0 THEN chr(10) || chr(10) || chr(10) || '相关文档片段：' || chr(10) || chr(10) || role ELSE '' END) AS context, CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 30 THEN md5(regexp_replace(substr(text, 1, 200), '^\\s+|\\s+$', '', 'g')) END AS citation FROM conversations""")
 def _(s, d):
     first, last = F.lit(4), 4 + (C("turn") % 3)
     made = X.selected_block(C("text"), F.when(C("turn") % 2 == 0, C("role")), first, last, 1)
@@ -174,10 +176,21 @@ def _(s, d):
     return H.matches(table(s, d, "documents"), glossary(s)).select("doc_id", "term", "translation")
 
 
-@add("glossary_instruction", f"SELECT doc_id, count(*) AS terms FROM ({GLOSSED}) GROUP BY doc_id")
+def _placed(term: str, case: bool, whole: bool) -> str:
+    """Where a text first holds a term, from 0."""
+    edge = "[^\\p{L}\\p{N}_]"
+    before = f"(?:^|{edge})" if whole else ""
+    after = f"(?:$|{edge})" if whole else ""
+    shape = f"{'' if case else '(?i)'}^((?s:.*?){before}){term}{after}"
+    return f"length(regexp_extract(text, '{shape}', 1))"
+
+
+PLACED = "SELECT doc_id, term, translation, at, case_ FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS term, '{x}' AS translation, {_placed(t, c, w)} AS at, {int(not c)} AS case_ FROM documents WHERE {_found(t, c, w)}" for t, x, c, w in TERMS[:4]) + ")"
+
+
+@add("glossary_instruction", f"""SELECT doc_id, md5('{H.INSTRUCTION[0].replace(chr(10), "' || chr(10) || '")}' || string_agg('- ' || term || ' → ' || translation, chr(10) ORDER BY at, case_, length(term)) || '{H.INSTRUCTION[1].replace(chr(10), "' || chr(10) || '")}') AS instruction FROM ({PLACED}) GROUP BY doc_id""")
 def _(s, d):
-    made = H.instruction(H.matches(table(s, d, "documents"), glossary(s)))
-    return made.select("doc_id", F.regexp_count("instruction", F.lit("(?m)^- ")).cast("long").alias("terms"))
+    return H.instruction(H.matches(table(s, d, "documents"), glossary(s))).withColumn("instruction", F.md5("instruction"))
 
 
 def uses(s, d):
@@ -325,8 +338,7 @@ def _(s, d):
 
 @add("glossary_has_any", f"SELECT DISTINCT doc_id FROM ({GLOSSED})")
 def _(s, d):
-    docs = table(s, d, "documents")
-    return docs.join(H.matches(docs, glossary(s)).select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id")
+    return H.holds_any(table(s, d, "documents"), glossary(s))
 
 
 @add("dedup_by_prefix", "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY substr(text, 1, 100) ORDER BY doc_id) = 1")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import graph as G
+from lexmill.operators import leiden as N
 from lexmill.sources.tables import table
+from lexmill.stage import cut
 
 C = F.col
 Q: dict = {}
@@ -280,3 +282,28 @@ def extracted(s, d):
     weight = F.when(C("turn") % 2 == 0, C("turn").cast("string")).otherwise("strong")
     parts = [F.lit('("entity"<|>"'), C("role"), F.lit(' &amp; co"<|>"role"<|>"a speaker")##(entity<|>"x"<|>"y"<|>"z")##("relationship"<|>"'), C("role"), F.lit('"<|>"turn"<|>"speaks"<|>'), weight, F.lit(')##("entity"<|>"short")<|COMPLETE|>')]
     return table(s, d, "conversations").select(F.concat(F.lit("c"), C("conv_id").cast("string"), F.lit(":"), C("turn").cast("string")).alias("chunk_id"), F.concat(*parts).alias("output"))
+
+
+@add("document_leiden", None)
+def _(s, d):
+    return N.hierarchy(cooccurrence(s, d), 10)
+
+
+def leiden_levels(s, d):
+    """The passages' words in communities of at most ten, where they come apart so far."""
+    return cut(N.hierarchy(G.merge_edges(triples(s, d)[1]).select("src", "tgt", "weight"), 10), "levels")
+
+
+@add("leiden_reports", None)
+def _(s, d):
+    e, r = triples(s, d)
+    # a model's stand-in: what it was told, cut short, and its length as a rating
+    write = lambda packed: packed.withColumns({"report": F.concat(F.lit("# "), "cluster", F.lit("\n\n"), F.substring("description", 1, 400)), "rating": (F.length("description") % 10).cast("double")})
+    made = G.community_reports(leiden_levels(s, d), cut(G.merge_entities(e), "nodes"), cut(G.merge_edges(r), "edges"), write, 2000)
+    return made.select("level", "cluster", F.md5("description").alias("description"), F.contains("description", F.lit("importance")).alias("from_below"), F.md5("report").alias("report"), "rating")
+
+
+@add("report_text", """SELECT conv_id, turn, md5('# ' || role || chr(10) || chr(10) || text || chr(10) || chr(10) || '## ' || role || chr(10) || chr(10) || text || chr(10) || chr(10) || '## ' || text || chr(10) || chr(10)) AS report FROM conversations""")
+def _(s, d):
+    text = F.to_json(F.struct(C("role").alias("title"), C("text").alias("summary"), F.array(F.to_json(F.struct(C("role").alias("summary"), C("text").alias("explanation"))), C("text")).alias("findings")))
+    return table(s, d, "conversations").select("conv_id", "turn", F.md5(G.report_text(text)).alias("report"))

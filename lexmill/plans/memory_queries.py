@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import memory as M
+from lexmill.sources import vectors as W
 from lexmill.sources.tables import table
+from lexmill.stage import scratch
 
 C = F.col
 Q: dict = {}
@@ -160,7 +162,9 @@ WIDTH = 16
 
 def hashed_embedding(text):
     place = F.transform(T.tokens(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % WIDTH).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda j: F.size(F.filter(place, lambda p: p == j)).cast("double"))
+    none = F.array_repeat(F.lit(0.0), WIDTH)
+    # one fold over the tokens, as a use of them for each place would make them anew
+    return F.aggregate(place, none, lambda acc, p: F.transform(acc, lambda x, i: x + F.when(i == p, 1.0).otherwise(0.0)))
 
 
 EMBEDDED = f"list_transform(range({WIDTH}), lambda j: len(list_filter({TOKENS}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {WIDTH} = j))::DOUBLE)"
@@ -229,3 +233,12 @@ def _(s, d):
 @add("llm_cache_keys", "SELECT conv_id, turn, md5('model' || chr(31) || role || chr(31) || text) AS cache_key FROM conversations")
 def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", F.md5(F.concat_ws("\x1f", F.lit("model"), "role", "text")).alias("cache_key"))
+
+
+@add("embedding_cache", f"SELECT conv_id, turn, {EMBEDDED} AS embedding FROM conversations")
+def _(s, d):
+    path = scratch(s, "embeddings")
+    texts = table(s, d, "conversations").select("conv_id", "turn", "text")
+    embed = lambda missing: missing.select("hash", hashed_embedding(C("text")).alias("embedding"))
+    W.embedded(texts.where("turn < 2"), path, embed)
+    return W.embedded(texts, path, embed).drop("text")

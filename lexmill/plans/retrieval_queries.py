@@ -13,7 +13,9 @@ from lexmill.operators import lexical as L
 from lexmill.operators import vector as V
 from lexmill.plans.text_queries import BODY, HOST, SENTENCES, TITLE
 from lexmill.plans.text_queries import Q as TEXT
+from lexmill.sources import vectors as W
 from lexmill.sources.tables import table
+from lexmill.stage import scratch
 
 C = F.col
 Q: dict = {}
@@ -382,3 +384,26 @@ def _(s, d):
     members = table(s, d, "documents").select(C("source").alias("group_id"), C("doc_id").cast("string").alias("chunk"))
     groups = L.top_k(ov.join(members, "chunk").groupBy("query_id", "group_id").agg(F.min("rank").alias("r")), 5, ["query_id"], ["r", "group_id"]).select("query_id", "group_id", (C("rank") - 1).alias("rank"))
     return U.group_fusion(bm, groups, members).select("query_id", "chunk", "rrf_score", "rank")
+
+
+STORED = "(SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 11 <> 3)"
+
+
+def store(s, d):
+    """A store of the vectors, part of them upserted, turned round where their id is divisible by 7, and a part deleted."""
+    path = scratch(s, "store")
+    vectors = table(s, d, "embeddings").select("vec_id", "embedding")
+    W.create(vectors.where("vec_id % 5 <> 1"), path)
+    W.upsert(s, path, vectors.where("vec_id % 5 = 1 or vec_id % 7 = 0").withColumn("embedding", F.when(C("vec_id") % 7 == 0, F.reverse("embedding")).otherwise(C("embedding"))))
+    W.delete(s, path, vectors.where("vec_id % 11 = 3"))
+    return path
+
+
+@add("vector_store", f"SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round({UNIT}, 6) AS score FROM embeddings q JOIN {STORED} v ON true WHERE q.vec_id % 20 = 0)) WHERE rank <= 10")
+def _(s, d):
+    return W.search(s, store(s, d), asked(s, d), 10, probes=16)
+
+
+@add("vector_store_probed", None)
+def _(s, d):
+    return W.search(s, store(s, d), asked(s, d), 10, probes=14)

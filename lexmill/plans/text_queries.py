@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.functions.latex import dollars
 from lexmill.operators import fusion as U
 from lexmill.operators import lexical as L
+from lexmill.operators.rows import per_row
 from lexmill.sources.tables import table
 
 C = F.col
@@ -297,3 +299,11 @@ def _(s, d):
     a = table(s, d, "benchmark")
     b = a.select((C("item_id") - 1).alias("item_id"), C("text").alias("t2"))
     return a.join(b, "item_id").select("item_id", (C("item_id") + 1).alias("other"), F.round(T.char_jaccard(C("text"), C("t2")), 6).alias("j"))
+
+
+@add("latex_dollars", "SELECT doc_id, md5(text) AS text FROM documents")
+def _(s, d):
+    # formulas in dollars are put into brackets first, so that they come back as they were
+    bracketed = F.regexp_replace("text", r"(?s)\$\$(.*?)\$\$", r"\\[$1\\]")
+    rows = table(s, d, "documents").select("doc_id", bracketed.alias("text"))
+    return per_row(rows, ["doc_id"], ["text"], "text string", lambda t: [(dollars(t),)]).withColumn("text", F.md5("text"))
