@@ -20,51 +20,44 @@ clashing names.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 
 MARGINS = ("source", "lang", "topic")
 #: Cells that are raked on the driver and sent to all executors (about 100 bytes each); more are raked in DataFrames.
 MOST_CELLS = 200_000
-SWEEPS = 20
+#: Most sweeps; the gap at which they end, as a share of all tokens; and the gap from which there is a warning.
+SWEEPS, CLOSE, TOLD = 60, 1e-13, 1e-4
 #: Exponents that temper the token shares of each margin into its targets.
 TEMPER = {"source": 0.7, "lang": 0.5, "topic": 0.8}
 BUDGET = 0.5
 WORD = "[^\\x20\\x09-\\x0D]+"
-TOPICS, TERM_LENGTH = 8, 5
+#: What the whole text must hold for a topic, the first that fits; else it is prose.
+FORMS = {"table": "|", "formula": "$$", "listing": "# "}
 
 
 def topic_of(text: Column) -> Column:
-    """One of TOPICS, by a hash of the most frequent term of five letters or more; ``none`` without one.
-
-    The terms in order, equal ones stand together, so one pass finds the longest run.
-    """
-    terms = F.array_sort(F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda t: F.length(t) >= TERM_LENGTH))
-    start = F.struct(F.lit("").alias("now"), F.lit(0).alias("k"), F.lit("").alias("best"), F.lit(0).alias("n"))
-
-    def step(acc: Column, t: Column) -> Column:
-        k = F.when(acc["now"] == t, acc["k"] + 1).otherwise(1)
-        return F.struct(t.alias("now"), k.alias("k"), F.when(k > acc["n"], t).otherwise(acc["best"]).alias("best"), F.greatest(k, acc["n"]).alias("n"))
-
-    best = F.aggregate(terms, start, step, lambda a: a["best"])
-    number = F.conv(F.substring(F.md5(best), 1, 8), 16, 10).cast("long") % TOPICS
-    return F.when(best == "", "none").otherwise(F.concat(F.lit("topic-"), number.cast("string")))
+    """The form of a text: table, formula, listing or prose."""
+    out = F.lit("prose")
+    for topic, mark in reversed(FORMS.items()):
+        out = F.when(F.contains(text, F.lit(mark)), topic).otherwise(out)
+    return out
 
 
-def _prepared(documents: DataFrame) -> DataFrame:
+def _margins(documents: DataFrame) -> list[Column]:
     text = F.coalesce(documents["text"], F.lit(""))
-    margin = {f"__{m}": F.coalesce(documents[m].cast("string"), F.lit("")) for m in ("source", "lang")}
-    return documents.withColumns(margin | {"__topic": topic_of(text)})
+    return [*[F.coalesce(documents[m].cast("string"), F.lit("")) for m in ("source", "lang")], topic_of(text)]
 
 
 def cells(documents: DataFrame) -> DataFrame:
     """Tokens (words) of each (source, lang, topic)."""
-    rows = _prepared(documents).select(*[F.col(f"__{m}").alias(m) for m in MARGINS], F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("n"))
+    rows = documents.select(*[c.alias(m) for m, c in zip(MARGINS, _margins(documents))], F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("n"))
     return rows.groupBy(*MARGINS).agg(F.sum("n").cast("double").alias("tokens"))
 
 
@@ -102,11 +95,20 @@ def shared_goals(sums: np.ndarray, shares: np.ndarray, budget: float) -> np.ndar
 
 
 def rake(tokens: np.ndarray, margins: list[np.ndarray], goals: list[np.ndarray], sweeps: int = SWEEPS) -> np.ndarray:
-    """Rates of cells such that their tokens times min(1, rate) sum to the goals of each margin's groups; ``margins`` number these."""
+    """Rates of cells such that their tokens times min(1, rate) sum to the goals of each margin's groups; ``margins`` number these.
+
+    Sweeps end once all margins are met to CLOSE; where that is not reached there is a warning with the gaps.
+    """
     rates = np.ones(len(tokens))
     for _ in range(sweeps):
         for group, goal in zip(margins, goals):
             rates = filled(group, tokens, rates, goal)
+        if max(gaps(tokens, margins, goals, rates), default=0.0) <= CLOSE:
+            break
+    else:
+        unmet = dict(zip(MARGINS, gaps(tokens, margins, goals, rates)))
+        if sweeps and max(unmet.values(), default=0.0) > TOLD:
+            warnings.warn(f"margins are not met after {sweeps} sweeps; the greatest gaps as shares of all tokens are {unmet}", stacklevel=2)
     return rates
 
 
@@ -130,35 +132,46 @@ def _filled_in_frames(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("u", new).drop("held", "rest", "at")
 
 
-def _calibrated_in_frames(table: DataFrame, temper: Mapping[str, float], budget: float, sweeps: int) -> DataFrame:
+def _calibrated_in_frames(table: DataFrame, temper: Mapping[str, float], budget: float, sweeps: int, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:
     """What ``calibrated`` gives, for any number of cells: every step is windows over a margin's values."""
     total = table.agg(F.sum("tokens")).first()[0] or 0.0
     goals = {}
     for m in MARGINS:
         sums = table.groupBy(m).agg(F.sum("tokens").alias("tokens"))
-        u = F.when(F.col("tokens") > 0, F.pow("tokens", F.lit(temper[m] - 1))).otherwise(0.0)
+        if m in targets:
+            shares = table.sparkSession.createDataFrame([(str(v), float(x)) for v, x in targets[m].items()], f"{m} string, share double")
+            sums = sums.join(shares, m, "left").withColumn("u", F.when(F.col("tokens") > 0, F.coalesce("share", F.lit(0.0)) / F.col("tokens")).otherwise(0.0)).drop("share")
+        else:
+            sums = sums.withColumn("u", F.when(F.col("tokens") > 0, F.pow("tokens", F.lit(temper[m] - 1))).otherwise(0.0))
         others = {x: F.lit("") for x in MARGINS if x != m}
-        rows = _filled_in_frames(sums.withColumns({"u": u, "goal": F.lit(budget * total), "all": F.lit(0)} | others), "all")
+        rows = _filled_in_frames(sums.withColumns({"goal": F.lit(budget * total), "all": F.lit(0)} | others), "all")
         goals[m] = cut(rows.select(m, (F.col("tokens") * F.least(F.lit(1.0), "u")).alias("goal")), "targets")
     table = table.withColumn("u", F.lit(1.0))
+    gap = 0.0
     for _ in range(sweeps):
         for m in MARGINS:
             table = _filled_in_frames(table.join(goals[m], m), m).drop("goal")
         table = cut(table, "raked")
+        gap = 0.0
+        for m in MARGINS:
+            held = table.groupBy(m).agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), "u")).alias("held")).join(goals[m], m)
+            gap = max(gap, (held.agg(F.max(F.abs(F.col("held") - F.col("goal")))).first()[0] or 0.0) / max(budget * total, 1e-300))
+        if gap <= CLOSE:
+            break
+    if gap > TOLD:
+        warnings.warn(f"margins are not met after {sweeps} sweeps; the greatest gap as a share of all tokens is {gap}", stacklevel=2)
     return table.select(*MARGINS, F.col("u").alias("weight"), F.least(F.lit(1.0), "u").alias("probability"))
 
 
 def calibrated(documents: DataFrame, temper: Mapping[str, float] = TEMPER, budget: float = BUDGET, sweeps: int = SWEEPS, most_cells: int = MOST_CELLS, targets: Mapping[str, Mapping[str, float]] | None = None) -> tuple[DataFrame, bool]:
     """weight (the raked rate) and probability of each cell, and whether the table is bounded by ``most_cells``.
 
-    ``targets`` has explicit shares by margin and value, in place of the tempered ones; these need a bounded table.
+    ``targets`` has explicit shares by margin and value, in place of the tempered ones.
     """
     spark = documents.sparkSession
     table = cut(cells(documents), "cells")
     if table.count() > most_cells:
-        if targets:
-            raise ValueError(f"explicit targets take at most {most_cells} cells")
-        return cut(_calibrated_in_frames(table, temper, budget, sweeps), "calibrated"), False
+        return cut(_calibrated_in_frames(table, temper, budget, sweeps, targets or {}), "calibrated"), False
     rows = sorted(table.collect(), key=lambda r: tuple(r[m] for m in MARGINS))
     tokens = np.array([r["tokens"] for r in rows], float)
     groups, goals = [], []
@@ -182,22 +195,29 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), doc_id.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+def _joined(documents: DataFrame, names: dict[str, str], **options) -> DataFrame:
+    """``documents`` and, under the given names, the topic, weight and probability of their cells, and whether they are drawn."""
+    table, bounded = calibrated(documents, **options)
+    keys = {m: names[m] if m == "topic" else unused(documents, f"of_{m}") for m in MARGINS}
+    table = table.select(*[F.col(m).alias(keys[m]) for m in MARGINS], F.col("weight").alias(names["weight"]), F.col("probability").alias(names["probability"]))
+    rows = documents.withColumns({keys[m]: c for m, c in zip(MARGINS, _margins(documents))})
+    rows = rows.join(F.broadcast(table) if bounded else table, list(keys.values()))
+    p = F.col(names["probability"])
+    return rows.withColumn(names["kept"], F.coalesce(draw(F.col("doc_id")) < p, p >= 1)).drop(*[keys[m] for m in ("source", "lang")])
+
+
+_ADDED = ("topic", "weight", "probability", "kept")
+
+
 def with_probabilities(documents: DataFrame, **options) -> DataFrame:
     """All columns, and topic, weight, probability and kept."""
-    table, bounded = calibrated(documents, **options)
-    table = table.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("weight").alias("__w"), F.col("probability").alias("__p"))
-    rows = _prepared(documents.drop("weight", "probability", "kept", "topic"))
-    rows = rows.join(F.broadcast(table) if bounded else table, [f"__{m}" for m in MARGINS])
-    kept = F.coalesce(draw(F.col("doc_id")) < F.col("__p"), F.col("__p") >= 1)
-    return rows.withColumns({"topic": F.col("__topic"), "weight": F.col("__w"), "probability": F.col("__p"), "kept": kept}).drop(*[f"__{m}" for m in MARGINS], "__w", "__p")
+    return _joined(documents.drop(*_ADDED), {c: c for c in _ADDED}, **options)
 
 
 def sample(documents: DataFrame, **options) -> DataFrame:
     """The documents drawn, with the columns they came with."""
-    names = documents.columns
-    clash = {c: f"__own_{c}" for c in ("topic", "weight", "probability", "kept") if c in names}
-    rows = with_probabilities(documents.withColumnsRenamed(clash), **options).where("kept").drop("topic", "weight", "probability", "kept")
-    return rows.withColumnsRenamed({v: k for k, v in clash.items()}).select(*names)
+    names = {c: unused(documents, f"mix_{c}") for c in _ADDED}
+    return _joined(documents, names, **options).where(F.col(names["kept"])).select(*documents.columns)
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -206,8 +226,8 @@ def report(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "source", "lang", "topic", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"), F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
 
 
-def oracle(documents: str = "documents") -> str:
-    """DuckDB SQL for ``report``: two common table expressions for each raking step."""
+def oracle(documents: str = "documents", steps: int = 20) -> str:
+    """DuckDB SQL for ``report``: two common table expressions for each raking step of as many sweeps."""
     before, on = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING", "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
 
     def fill(source: str, keys: str, by: str, goal: str, out: str) -> list[str]:
@@ -219,19 +239,18 @@ def oracle(documents: str = "documents") -> str:
             f"""{out} AS MATERIALIZED (SELECT * EXCLUDE (u, goal, held, rest, place, k), CASE WHEN k IS NOT NULL THEN u * greatest(0, max(CASE WHEN place = k THEN (goal - held) / rest END) OVER ({part})) WHEN goal > 0 AND u > 0 THEN greatest(u, 1) ELSE 0 END AS u FROM {out}b)""",
         ]
 
-    ctes = [f"""w AS (SELECT doc_id, t FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+')) AS t FROM (SELECT DISTINCT doc_id, text FROM {documents})) WHERE length(t) >= {TERM_LENGTH})""",
-      "b AS (SELECT doc_id, t FROM w GROUP BY doc_id, t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, t) = 1)",
-      f"""d AS (SELECT d.doc_id, source, lang, coalesce(source, '') AS s, coalesce(lang, '') AS l, CASE WHEN t IS NULL THEN 'none' ELSE 'topic-' || ('0x' || substr(md5(t), 1, 8))::BIGINT % {TOPICS} END AS topic,
-      len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM {documents} d LEFT JOIN b ON b.doc_id = d.doc_id)""",
+    form = " ".join(f"WHEN contains(text, '{mark}') THEN '{topic}'" for topic, mark in FORMS.items())
+    ctes = [f"""d AS (SELECT doc_id, source, lang, coalesce(source, '') AS s, coalesce(lang, '') AS l, CASE {form} ELSE 'prose' END AS topic,
+      len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM {documents})""",
       f"c AS MATERIALIZED (SELECT s, l, topic AS t, sum(n_tokens)::DOUBLE AS n, {BUDGET} * sum(sum(n_tokens)) OVER () AS budget FROM d GROUP BY s, l, topic)"]
     for key, m in zip("slt", MARGINS):
         ctes.append(f"m{key} AS (SELECT {key}, sum(n) AS n, any_value(budget) AS budget, CASE WHEN sum(n) > 0 THEN pow(sum(n), {TEMPER[m] - 1}) ELSE 0 END AS u FROM c GROUP BY {key})")
         ctes += fill(f"m{key}", key, "", "budget", f"g{key}")
     ctes.append("w0 AS MATERIALIZED (SELECT s, l, t, c.n, gs.n * least(1, gs.u) AS ts, gl.n * least(1, gl.u) AS tl, gt.n * least(1, gt.u) AS tt, 1.0::DOUBLE AS u FROM c JOIN gs USING (s) JOIN gl USING (l) JOIN gt USING (t))")
-    for step in range(3 * SWEEPS):
+    for step in range(3 * steps):
         key = "slt"[step % 3]
         ctes += fill(f"w{step}", "s, l, t", key, f"t{key}", f"w{step + 1}")
     return f"""WITH {", ".join(ctes)}
     SELECT doc_id, source, lang, topic, n_tokens, round(u, 6) AS weight, round(least(1, u), 6) AS probability,
       coalesce(('0x' || substr(md5('mix:' || doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < least(1, u), u >= 1) AS kept
-    FROM d JOIN w{3 * SWEEPS} p ON d.s = p.s AND d.l = p.l AND d.topic = p.t"""
+    FROM d JOIN w{3 * steps} p ON d.s = p.s AND d.l = p.l AND d.topic = p.t"""
