@@ -120,7 +120,7 @@ def group_fusion(chunk_hits: DataFrame, group_hits: DataFrame, members: DataFram
     inherited = group_hits.join(members, "group_id").select("query_id", "chunk", "rank")
     fused = rrf([chunk_hits.select("query_id", "chunk", "rank"), inherited], None, None, k)
     own = members.groupBy("chunk").agg(F.min("group_id").alias("group_id"))
-    order = Window.partitionBy("query_id", F.coalesce("group_id", F.concat(F.lit("chunk:"), F.col("chunk")))).orderBy("rank")
+    order = Window.partitionBy("query_id", "group_id", F.when(F.col("group_id").isNull(), F.col("chunk"))).orderBy("rank")
     kept = fused.join(own, "chunk", "left").withColumn("in_group", F.row_number().over(order)).where(F.col("in_group") <= per_group)
     return top_k(kept.drop("rank", "in_group"), top, ["query_id"], [F.col("rrf_score").desc(), "chunk"])
 

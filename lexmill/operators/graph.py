@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,37 +106,6 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(best), "component").select("name", T.unescaped(F.trim(F.upper("name"))).alias("node"))
 
 
-def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(name, cluster) by deterministic label propagation: the heaviest label among neighbours, the least of equals.  This is not Leiden."""
-    both = edges.select(F.col("src").alias("name"), F.col("tgt").alias("other"), "weight").union(edges.select("tgt", "src", "weight"))
-    labels = both.select("name").distinct().withColumn("cluster", F.col("name"))
-    for _ in range(rounds):
-        votes = both.join(labels.select(F.col("name").alias("other"), "cluster"), "other").groupBy("name", "cluster").agg(F.sum("weight").alias("w"))
-        votes = votes.groupBy("name").agg(F.min(F.struct(-F.round("w", 6), F.col("cluster").alias("cluster"))).alias("v"))
-        labels = cut(votes.select("name", F.col("v.cluster").alias("cluster")), "labels")
-    return labels
-
-
-def community_levels(edges: DataFrame, most: int = 10, depth: int = 3, rounds: int = 5) -> DataFrame:
-    """(name, level, cluster): communities, and those of more than ``most`` nodes taken apart again, on their inner edges, level by level.
-
-    A community that propagation does not take apart stays whole and ends there.
-    """
-    found = communities(edges, rounds)
-    out = level = found.withColumn("level", F.lit(0)).select("name", "level", "cluster")
-    for k in range(1, depth):
-        large = level.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > most).select("cluster")
-        inner = level.join(large, "cluster", "left_semi").select("name", "cluster")
-        one, two = inner.select(F.col("name").alias("src"), F.col("cluster").alias("c")), inner.select(F.col("name").alias("tgt"), F.col("cluster").alias("d"))
-        kept = edges.join(one, "src").join(two, "tgt").where("c = d").select("src", "tgt", "weight")
-        split = communities(kept, 1).join(inner.withColumnRenamed("cluster", "parent"), "name")
-        parts = split.select("parent", "cluster").distinct().groupBy("parent").agg(F.count("*").alias("n")).where("n > 1")
-        named = split.join(parts.select("parent"), "parent", "left_semi")
-        level = cut(named.select("name", F.lit(k).alias("level"), F.concat_ws("/", "parent", "cluster").alias("cluster")), "level")
-        out = out.union(level)
-    return out
-
-
 def community_schema(clusters: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per (level, cluster): sorted nodes, incident edges, chunks, and occurrence: its chunks over the most chunks of any."""
     members = clusters.join(nodes.select("name", "source_id"), "name")
@@ -272,19 +243,63 @@ def hybrid_context(local: DataFrame, world: Column) -> DataFrame:
     return local.withColumn("context", F.concat_ws("\n\n", "context", world))
 
 
+#: Entities of a block, and queries of a block; a task holds one of each.
+ENTITIES, ASKED = 2048, 512
+
+
+def _shared_letters(names: list[str], asked: list[str]) -> np.ndarray:
+    """Jaccard similarity of the characters of each question (rows) and name (columns), half a point more where one holds the other."""
+    number: dict[str, int] = {}
+    sets = [[number.setdefault(c, len(number)) for c in set(t)] for t in (*asked, *names)]
+    held = np.zeros((len(sets), max(len(number), 1)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, s] = 1
+    q, n = held[: len(asked)], held[len(asked) :]
+    both = q @ n.T
+    sizes_q, sizes_n = q.sum(axis=1)[:, None], n.sum(axis=1)
+    either = sizes_q + sizes_n - both
+    out = np.divide(both, either, out=np.zeros(both.shape), where=either > 0)
+    # what holds another has all its characters
+    for i, j in zip(*np.nonzero((both == sizes_q) | (both == sizes_n))):
+        if names[j] in asked[i] or asked[i] in names[j]:
+            out[i, j] += 0.5
+    return out
+
+
 def entity_search(queries: DataFrame, mentions: DataFrame, top: int = 5, least: float = 0.1) -> DataFrame:
     """(query_id, entity, mentions, score, rank) for (query_id, query): entities by the likeness of their letters to the query's, half a point more if one holds the other.
 
     ``mentions`` has one row (entity, place) for each mention; letter case is ignored and the first spelling stands.
-    Entities are told apart by a bounded alphabet, so a query meets each once.
+    Blocks of queries meet blocks of entities, and each pair of blocks passes on the best of its queries alone.
     """
     key = F.lower(F.trim("entity"))
     known = mentions.where(key != "").groupBy(key.alias("key")).agg(F.count("*").alias("mentions"), F.min_by(F.trim("entity"), "place").alias("entity"))
-    pairs = known.join(F.broadcast(queries.select("query_id", F.lower("query").alias("q"))))
-    inside = F.contains("q", F.col("key")) | F.contains("key", F.col("q"))
-    scored = pairs.withColumn("score", F.round(T.char_jaccard(F.col("q"), F.col("key")) + F.when(inside, 0.5).otherwise(0.0), 6)).where(F.col("score") >= least)
+    asked = cut(queries.select("query_id", F.lower("query").alias("q")).where("q is not null"), "asked")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    parts = max(1, -(-asked.count() // ASKED))
+    blocks = asked.groupBy(F.pmod(F.xxhash64("query_id", "q"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
+    names = cut(known, "entities")
+    count = max(1, -(-names.count() // ENTITIES))
+    held = names.groupBy(F.pmod(F.xxhash64("key"), F.lit(count)).alias("block")).agg(F.collect_list("key").alias("keys"))
+    pairs = held.select("keys", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).join(blocks, "part")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for keys, some in zip(pdf["keys"], pdf["asked"]):
+                keys = list(keys)
+                score = _shared_letters(keys, [r["q"] for r in some])
+                rows = []
+                for i, r in enumerate(some):
+                    # scores are rounded later, so what is as good as equal stays
+                    kth = np.partition(score[i], -top)[-top] if len(keys) > top else 0.0
+                    near = np.flatnonzero((score[i] >= least - 1e-6) & (score[i] >= kth - 1e-6))
+                    rows += [(r["query_id"], keys[j], float(score[i, j])) for j in near.tolist()]
+                yield pd.DataFrame(rows, columns=["query_id", "key", "score"])
+
+    scored = pairs.mapInPandas(run, f"query_id {kind}, key string, score double").withColumn("score", F.round("score", 6)).where(F.col("score") >= least)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "entity", "mentions", "score", "rank")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return best.join(names, "key").select("query_id", "entity", "mentions", "score", "rank")
 
 
 def entity_context(found: DataFrame, relations: DataFrame, most: int = 5) -> DataFrame:

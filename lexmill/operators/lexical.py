@@ -11,29 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators.ranking import candidates, counted
 from lexmill.operators.rows import per_row
+from lexmill.stage import cut
 
 K1, B = 1.5, 0.75
 #: Most distinct terms of the queries that are sent to all executors (about 100 bytes each); beyond it a shuffle joins them.
 MOST_TERMS = 200_000
 
 
-def postings(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, dl, term, tf): each text is tokenised once; a row's terms are counted before they are shuffled."""
-    rows = corpus.select(key, T.tokens(F.col(text)).alias("toks")).select(key, F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    return rows.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-
-
-def document_frequency(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, df, cf): documents that hold a term, and its occurrences.
-
-    A row's terms are counted as they come, its distinct ones as documents; one shuffle of partial sums by term takes
-    both.  Each row is one document.
-    """
-    toks = corpus.select(T.tokens(F.col(text)).alias("toks"))
-    each = lambda c, df, cf: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf")))
-    rows = toks.select(F.explode(F.concat(each(F.array_distinct("toks"), 1, 0), each(F.col("toks"), 0, 1))).alias("t")).select("t.*")
-    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+def document_frequency(corpus: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df, cf): documents that hold a term, and its occurrences.  Each row is one document; partial sums of tasks are shuffled by term."""
+    return counted(corpus, text)
 
 
 def term_hits(queries: DataFrame, corpus: DataFrame, query_key: str = "item_id", key: str = "doc_id", within: str | None = None, toks: str | None = None) -> DataFrame:
@@ -91,8 +80,23 @@ def top_k(scores: DataFrame, k: int, by: list[str], order: list, rank: str = "ra
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, query_key: str = "item_id", key: str = "doc_id") -> DataFrame:
     """Each query's ``k`` best documents of positive score, rounded to six places, ties to the smaller key."""
-    scored = bm25_scores(queries, corpus, query_key, key).withColumn("score", F.round("score", 6)).where("score > 0")
-    return top_k(scored, k, [query_key], [F.col("score").desc(), key])
+    found = candidates(queries, corpus, k, query_key, key)
+    scores = bm25_scores(queries, corpus, query_key, key) if found is None else found.select(query_key, key, F.col("value").alias("score"))
+    return top_k(scores.withColumn("score", F.round("score", 6)).where("score > 0"), k, [query_key], [F.col("score").desc(), key])
+
+
+def bm25_and_overlap(queries: DataFrame, corpus: DataFrame, k: int, query_key: str = "item_id", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Each query's ``k`` best documents by BM25, and by the number of terms that they share, from one pass; ties to the smaller key."""
+    found = candidates(queries, corpus, k, query_key, key, True)
+    if found is None:
+        pairs = cut(term_hits(queries, corpus, query_key, key), "pairs")
+        bm, shared = pairs.select(query_key, key, "score"), pairs.select(query_key, key, F.col("terms").alias("shared"))
+    else:
+        found = cut(found, "candidates")
+        bm = found.where("kind = 0").select(query_key, key, F.col("value").alias("score"))
+        shared = found.where("kind = 1").select(query_key, key, F.col("value").cast("long").alias("shared"))
+    best = top_k(bm.withColumn("score", F.round("score", 6)).where("score > 0"), k, [query_key], [F.col("score").desc(), key])
+    return best, top_k(shared, k, [query_key], [F.col("shared").desc(), key])
 
 
 def positions(low: Column, term: str) -> Column:

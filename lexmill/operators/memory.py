@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 from lexmill.operators import fusion as U
 from lexmill.operators import lexical as L
+from lexmill.stage import cut
 
 HALF_LIFE_DAYS = 30
 #: The order of tiers in injected context.
@@ -139,15 +140,14 @@ def retrieve(queries: DataFrame, memories: DataFrame, now: Column, top: int = 3)
     equal content are one hit, told by the least id.  Filters on memories belong before the call.
     """
     keyed = memories.groupBy("content").agg(F.min("id").alias("id"))
-    held = memories.join(keyed, ["content", "id"])
+    held = cut(memories.join(keyed, ["content", "id"]), "memories")
     unit = held.select("content", "id", T.normalised(F.col("embedding")).alias("e"))
     asked = queries.select("query_id", T.normalised(F.col("vector")).alias("v"))
     near = unit.join(F.broadcast(asked)).withColumn("similarity", F.round(T.dot(F.col("v"), F.col("e")), 9))
     by_vector = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
     vectors = near.withColumn("rank", F.row_number().over(by_vector) - 1).where(F.col("rank") < top).select("query_id", F.col("content").alias("chunk"), "rank")
-    words = L.term_hits(queries.select("query_id", F.col("query").alias("text")), held.select("id", F.col("content").alias("text")), "query_id", "id")
-    by_words = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "id")
-    words = words.where(F.round("score", 6) > 0).withColumn("rank", F.row_number().over(by_words) - 1).where(F.col("rank") < top).join(held.select("id", "content"), "id").select("query_id", F.col("content").alias("chunk"), "rank")
+    words = L.bm25_topk(queries.select("query_id", F.col("query").alias("text")), held.select("id", F.col("content").alias("text")), top, "query_id", "id")
+    words = words.join(held.select("id", "content"), "id").select("query_id", F.col("content").alias("chunk"), (F.col("rank") - 1).alias("rank"))
     fused = U.hybrid_merge(vectors, words, queries.select("query_id", F.lit("specific").alias("query_type")), top)
     # a list alone has no fused score: its order stays
     rows = fused.withColumn("rrf", F.coalesce("rrf_score", F.lit(0.0))).select("query_id", F.col("chunk").alias("content"), "rrf", F.col("rank").alias("place"))

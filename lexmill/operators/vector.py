@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,59 +14,91 @@ from lexmill.functions import text as T
 from lexmill.operators.lexical import top_k
 from lexmill.operators.rows import per_row
 
-#: Queries that are sent to all executors at a time (512 kB at 64 components).
-BLOCK = 1024
+#: Vectors of a block, queries of a block, and query blocks that a task holds (10 MB at 64 components).
+ROWS, BLOCK, HELD = 4096, 1024, 20
+PACKED = "dim int, n int, ids binary, matrix binary"
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """Rows whose embedding is there and holds numbers alone."""
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return vectors.where(F.coalesce(fine, F.lit(False)))
+
+
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """Blocks of up to ``size`` vectors (vec_id, embedding) of one length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(lengths).tolist():
+                own = batch.filter(pa.array(lengths == dim))
+                for at in range(0, own.num_rows, size):
+                    part = own.slice(at, size)
+                    matrix = np.asarray(part.column(1).flatten().to_numpy(zero_copy_only=False), np.float64)
+                    values = [dim, part.num_rows, np.asarray(part.column(0).to_numpy(zero_copy_only=False), np.int64).tobytes(), matrix.tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["dim", "n", "ids", "matrix"])
+
+    return rows.mapInArrow(run, PACKED)
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", least: float | None = None, places: int = 6) -> DataFrame:
     """(query_id, vec_id, score, rank): ``cosine`` and ``ip`` rank by the larger product, ``l2`` by the smaller distance.
 
-    Query vectors are taken in bounded blocks; a block is sent to the tasks that scan the vectors, each of
-    which multiplies matrices and keeps its ``k`` best, so only k rows a query and task are shuffled.
+    Blocks of queries meet blocks of vectors, each pair one product of matrices.  A task holds a bounded number of query
+    blocks and passes on the ``k`` best that it has seen for each of their queries; where there are more, the vectors
+    go to several groups of tasks.  Vectors of unequal length are not compared; those that hold nulls or no numbers take
+    no part.
     """
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).where("q is not null")
-    out = None
+    asked = usable(queries).select("vec_id", "embedding")
     n = asked.count()
-    parts = max(1, -(-n // BLOCK))
-    for part in range(parts):
-        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toPandas()
-        found = vectors.where("embedding is not null").select("vec_id", "embedding").mapInPandas(_scan(block, k, metric, least, places), "query_id long, vec_id long, score double")
-        out = found if out is None else out.union(found)
+    parts = max(1, -(-n // (BLOCK * HELD)))
+    blocks = _packed(asked.repartition(max(1, -(-n // BLOCK))), BLOCK).select("dim", F.col("n").alias("asked"), F.col("ids").alias("query_ids"), F.col("matrix").alias("queries"))
+    rows = _packed(usable(vectors).select("vec_id", "embedding"), ROWS)
+    if parts == 1:
+        pairs = rows.join(F.broadcast(blocks), "dim")
+    else:
+        dealt = blocks.withColumn("part", F.pmod(F.xxhash64("query_ids"), F.lit(parts)))
+        pairs = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(dealt, ["part", "dim"])
+    found = pairs.mapInArrow(_scan(k, metric, least, places), "query_id long, vec_id long, score double")
     order = [F.col("score").asc() if metric == "l2" else F.col("score").desc(), "vec_id"]
-    return top_k(out, k, ["query_id"], order)
-
+    return top_k(found, k, ["query_id"], order)
 
-def _scan(block: pd.DataFrame, k: int, metric: str, least: float | None, places: int):
-    ids = block["query_id"].to_numpy()
-    matrix = np.array(block["q"].tolist(), np.float64).reshape(len(block), -1)
 
+def _scan(k: int, metric: str, least: float | None, places: int):
     def unit(m: np.ndarray) -> np.ndarray:
         norm = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = unit(matrix) if metric == "cosine" else matrix
-        best: list[pd.DataFrame] = []
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x = np.array(pdf["embedding"].tolist(), np.float64)
-            x = unit(x) if metric == "cosine" else x
-            s = q @ x.T
-            if metric == "l2":
-                s = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * s
-            s = np.round(s, places) + 0.0
-            v = pdf["vec_id"].to_numpy()
-            for i, query in enumerate(ids):
-                key = s[i] if metric == "l2" else -s[i]
-                own = np.arange(len(v)) if len(v) <= k else np.flatnonzero(key <= np.partition(key, k - 1)[k - 1])
-                own = own[np.lexsort((v[own], key[own]))][:k]
-                if least is not None:
-                    own = own[s[i][own] >= least]
-                best.append(pd.DataFrame({"query_id": query, "vec_id": v[own], "score": s[i][own]}))
-            merged = pd.concat(best)
-            best = [merged.sort_values(["query_id", "score", "vec_id"], ascending=[True, metric == "l2", True]).groupby("query_id").head(k)]
-        yield from best
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        #: of each query the scores and vectors that are its best so far; rows that repeat an id are one query
+        best: dict[tuple[int, bytes], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                at = {c: batch.column(i)[r].as_py() for i, c in enumerate(batch.schema.names)}
+                x, q = (np.frombuffer(at[c]).reshape(at[m], -1) for c, m in (("matrix", "n"), ("queries", "asked")))
+                v, ids = np.frombuffer(at["ids"], np.int64), np.frombuffer(at["query_ids"], np.int64)
+                if metric == "cosine":
+                    x, q = unit(x), unit(q)
+                s = q @ x.T
+                if metric == "l2":
+                    s = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * s
+                s = np.round(s, places) + 0.0
+                for i, query in enumerate(ids.tolist()):
+                    name = query, q[i].tobytes()
+                    key = s[i] if metric == "l2" else -s[i]
+                    own = np.arange(len(v)) if len(v) <= k else np.flatnonzero(key <= np.partition(key, k - 1)[k - 1])
+                    own = own if least is None else own[s[i][own] >= least]
+                    keys, found = key[own], v[own]
+                    if name in best:
+                        keys, found = np.concatenate([best[name][0], keys]), np.concatenate([best[name][1], found])
+                    order = np.lexsort((found, keys))[:k]
+                    best[name] = keys[order], found[order]
+        sizes = [len(v) for _, v in best.values()]
+        keys = np.concatenate([a for a, _ in best.values()]) if best else np.zeros(0)
+        found = np.concatenate([v for _, v in best.values()]) if best else np.zeros(0, np.int64)
+        asked = np.repeat(np.array([q for q, _ in best], np.int64), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(found), pa.array((keys if metric == "l2" else -keys) + 0.0)], names=["query_id", "vec_id", "score"])
 
     return run
 

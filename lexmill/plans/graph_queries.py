@@ -65,15 +65,11 @@ def _(s, d):
     return G.edge_degrees(G.merge_edges(triples(s, d)[1])).select("src", "tgt", "degree")
 
 
-def sparse(s, d):
-    return G.merge_edges(triples(s, d)[1]).where("length(src) > 6 and length(tgt) > 6")
-
-
-@add("components", f"""WITH RECURSIVE {BASE}, sp AS (SELECT src, tgt FROM edges WHERE length(src) > 6 AND length(tgt) > 6), both_ AS (SELECT src, tgt FROM sp UNION SELECT tgt, src FROM sp),
+@add("components", f"""WITH RECURSIVE {BASE}, both_ AS (SELECT src, tgt FROM edges UNION SELECT tgt, src FROM edges),
 reach(name, other) AS (SELECT src, src FROM both_ UNION SELECT reach.name, both_.tgt FROM reach JOIN both_ ON both_.src = reach.other)
 SELECT name, min(other) AS component FROM reach GROUP BY name""")
 def _(s, d):
-    return G.components(sparse(s, d))
+    return G.components(G.merge_edges(triples(s, d)[1]))
 
 
 def cooccurrence(s, d):
@@ -90,14 +86,18 @@ def _(s, d):
     return G.components(cooccurrence(s, d))
 
 
+def flat(edges):
+    return N.leiden(edges.select(F.lit("").alias("part"), "src", "tgt", "weight")).select("name", "cluster")
+
+
 @add("document_communities", None)
 def _(s, d):
-    return G.communities(cooccurrence(s, d))
+    return flat(cooccurrence(s, d))
 
 
 @add("communities", None)
 def _(s, d):
-    return G.communities(G.merge_edges(triples(s, d)[1]))
+    return flat(G.merge_edges(triples(s, d)[1]))
 
 
 def levels(s, d):
@@ -131,8 +131,8 @@ def _(s, d):
     return G.community_vote(hits, levels(s, d), 2, rated)
 
 
-#: Entity hits: the first passage's words by name.
-HITS = "h AS (SELECT 1 AS query_id, name, row_number() OVER (ORDER BY name) - 1 AS place FROM (SELECT DISTINCT name FROM e WHERE chunk_id = 'c0'))"
+#: Entity hits: every passage's words by name.
+HITS = "h AS (SELECT substr(chunk_id, 2)::BIGINT AS query_id, name, row_number() OVER (PARTITION BY chunk_id ORDER BY name) - 1 AS place FROM (SELECT DISTINCT chunk_id, name FROM e))"
 ONE_HOP = f"""bo AS (SELECT src AS name, tgt AS other FROM edges UNION SELECT tgt, src FROM edges), ch AS (SELECT name, unnest(string_split(source_id, '<SEP>')) AS chunk_id FROM nodes),
 w AS (SELECT query_id, chunk_id, min(place) AS "order", min_by(name, place) AS name FROM h JOIN ch USING (name) GROUP BY ALL),
 n AS (SELECT query_id, w.chunk_id, count(*) AS relations FROM w JOIN bo USING (name) JOIN ch c ON c.name = bo.other AND c.chunk_id = w.chunk_id GROUP BY ALL),
@@ -140,8 +140,8 @@ units AS (SELECT query_id, chunk_id, "order", coalesce(relations, 0) AS relation
 
 
 def word_hits(s, d):
-    names = triples(s, d)[0].where("chunk_id = 'c0'").select("name").distinct()
-    return names.select(F.lit(1).alias("query_id"), "name", (F.row_number().over(Window.orderBy("name")) - 1).alias("place"))
+    names = triples(s, d)[0].select(F.substring("chunk_id", 2, 20).cast("long").alias("query_id"), "name").distinct()
+    return names.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("name")) - 1)
 
 
 @add("one_hop_units", f"""WITH {BASE}, {HITS}, {ONE_HOP} SELECT query_id, chunk_id, "order"::INTEGER AS "order", relations, rank::INTEGER AS rank FROM units""")
@@ -167,9 +167,11 @@ LOCAL = f"""WITH {BASE}, {LEVELS}, {HITS}, {ONE_HOP}, {RELATED},
 vo AS (SELECT query_id, cluster, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, ascii(cluster) % 5 DESC, cluster) AS rank FROM (SELECT query_id, cluster, count(*) AS n FROM h JOIN lv USING (name) GROUP BY ALL)),
 vu AS (SELECT *, 'report ' || cluster AS report, sum(length('report ' || cluster)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM vo),
 su AS (SELECT units.*, b.text, sum(length(b.text)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM units JOIN (SELECT 'c' || item_id AS chunk_id, text FROM benchmark) b USING (chunk_id)),
-t AS (SELECT (SELECT 'id,' || chr(9) || 'content' || chr(10) || {_lines('(rank - 1)::VARCHAR, report', 'rank')} FROM vu WHERE used <= 60) AS a, (SELECT concat_ws(',' || chr(9), 'id', 'entity', 'type', 'description', 'rank') || chr(10) || {_lines('place::VARCHAR, name, nodes.type, nodes.description, coalesce(degree, 0)::VARCHAR', 'place')} FROM h JOIN nodes USING (name) LEFT JOIN dg USING (name)) AS b,
- (SELECT concat_ws(',' || chr(9), 'id', 'source', 'target', 'description', 'weight', 'rank') || chr(10) || {_lines("place::VARCHAR, src, tgt, 'beside', weight::DOUBLE::VARCHAR, degree::VARCHAR", 'place')} FROM rel WHERE used <= 400) AS c, (SELECT 'id,' || chr(9) || 'content' || chr(10) || {_lines('(rank - 1)::VARCHAR, text', 'rank')} FROM su WHERE used <= 900) AS d)
-SELECT 1 AS query_id, concat_ws(chr(10), '-----Reports-----' || chr(10) || '```csv' || chr(10) || coalesce(a, '') || chr(10) || '```', '-----Entities-----' || chr(10) || '```csv' || chr(10) || b || chr(10) || '```', '-----Relationships-----' || chr(10) || '```csv' || chr(10) || coalesce(c, '') || chr(10) || '```', '-----Sources-----' || chr(10) || '```csv' || chr(10) || coalesce(d, '') || chr(10) || '```') AS context FROM t"""
+ta AS (SELECT query_id, 'id,' || chr(9) || 'content' || chr(10) || {_lines('(rank - 1)::VARCHAR, report', 'rank')} AS a FROM vu WHERE used <= 60 GROUP BY query_id),
+tb AS (SELECT query_id, concat_ws(',' || chr(9), 'id', 'entity', 'type', 'description', 'rank') || chr(10) || {_lines('place::VARCHAR, name, nodes.type, nodes.description, coalesce(degree, 0)::VARCHAR', 'place')} AS b FROM h JOIN nodes USING (name) LEFT JOIN dg USING (name) GROUP BY query_id),
+tc AS (SELECT query_id, concat_ws(',' || chr(9), 'id', 'source', 'target', 'description', 'weight', 'rank') || chr(10) || {_lines("place::VARCHAR, src, tgt, 'beside', weight::DOUBLE::VARCHAR, degree::VARCHAR", 'place')} AS c FROM rel WHERE used <= 400 GROUP BY query_id),
+td AS (SELECT query_id, 'id,' || chr(9) || 'content' || chr(10) || {_lines('(rank - 1)::VARCHAR, text', 'rank')} AS d FROM su WHERE used <= 900 GROUP BY query_id)
+SELECT query_id, concat_ws(chr(10), '-----Reports-----' || chr(10) || '```csv' || chr(10) || coalesce(a, '') || chr(10) || '```', '-----Entities-----' || chr(10) || '```csv' || chr(10) || b || chr(10) || '```', '-----Relationships-----' || chr(10) || '```csv' || chr(10) || coalesce(c, '') || chr(10) || '```', '-----Sources-----' || chr(10) || '```csv' || chr(10) || coalesce(d, '') || chr(10) || '```') AS context FROM tb LEFT JOIN ta USING (query_id) LEFT JOIN tc USING (query_id) LEFT JOIN td USING (query_id)"""
 
 
 def local(s, d):
@@ -203,7 +205,7 @@ def _(s, d):
 
 @add("document_community_levels", None)
 def _(s, d):
-    return G.community_levels(cooccurrence(s, d), 10, 2, 2)
+    return N.hierarchy(cooccurrence(s, d), 10)
 
 
 @add("largest_component", f"""WITH RECURSIVE {BASE}, bo AS (SELECT src, tgt FROM edges UNION SELECT tgt, src FROM edges), reach(name) AS (SELECT min(name) FROM nodes UNION SELECT bo.tgt FROM reach JOIN bo ON bo.src = reach.name) SELECT name, name AS node FROM reach""")
@@ -284,11 +286,6 @@ def extracted(s, d):
     return table(s, d, "conversations").select(F.concat(F.lit("c"), C("conv_id").cast("string"), F.lit(":"), C("turn").cast("string")).alias("chunk_id"), F.concat(*parts).alias("output"))
 
 
-@add("document_leiden", None)
-def _(s, d):
-    return N.hierarchy(cooccurrence(s, d), 10)
-
-
 def leiden_levels(s, d):
     """The passages' words in communities of at most ten, where they come apart so far."""
     return cut(N.hierarchy(G.merge_edges(triples(s, d)[1]).select("src", "tgt", "weight"), 10), "levels")

@@ -235,10 +235,11 @@ def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", F.md5(F.concat_ws("\x1f", F.lit("model"), "role", "text")).alias("cache_key"))
 
 
-@add("embedding_cache", f"SELECT conv_id, turn, {EMBEDDED} AS embedding FROM conversations")
+@add("embedding_cache", f"SELECT conv_id, turn, array_to_string(list_transform({EMBEDDED}, lambda x: x::INTEGER::VARCHAR), ',') AS embedding FROM conversations")
 def _(s, d):
     path = scratch(s, "embeddings")
     texts = table(s, d, "conversations").select("conv_id", "turn", "text")
     embed = lambda missing: missing.select("hash", hashed_embedding(C("text")).alias("embedding"))
     W.embedded(texts.where("turn < 2"), path, embed)
-    return W.embedded(texts, path, embed).drop("text")
+    made = W.embedded(texts, path, embed)
+    return made.select("conv_id", "turn", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("embedding"))

@@ -39,15 +39,14 @@ def _each(x: str, rules: list[tuple[str, str]]) -> str:
 #: Phrases that the conversations lack are put around their texts, another for each row.
 PHRASES = ["啥意思", "", "讲了啥", "是啥", "为啥要 ", "咋用 ", "怎么用", "这个", "它和那段", "啥", "咋 "]
 #: Questions: half of them with the next turn as a selection.
-ASKED = f"""SELECT conv_id, turn, CASE WHEN k % 2 = 0 THEN p || substr(text, 1, 60) ELSE substr(text, 1, 60) || p END AS query, CASE WHEN k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN '  ' || text ELSE ' ' END AS selected
+ASKED = f"""SELECT conv_id, turn, CASE WHEN k % 2 = 0 THEN p || text ELSE text || p END AS query, CASE WHEN k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN '  ' || text ELSE ' ' END AS selected
 FROM (SELECT *, conv_id + turn AS k, {PHRASES}[(conv_id + turn) % {len(PHRASES)} + 1] AS p FROM conversations)"""
 
 
 def asked(s, d):
     k = C("conv_id") + C("turn")
     rows = table(s, d, "conversations").withColumns({"k": k, "p": F.get(F.array(*map(F.lit, PHRASES)), (k % len(PHRASES)).cast("int"))})
-    begin = F.substring("text", 1, 60)
-    query = F.when(C("k") % 2 == 0, F.concat("p", begin)).otherwise(F.concat(begin, C("p")))
+    query = F.when(C("k") % 2 == 0, F.concat("p", "text")).otherwise(F.concat("text", "p"))
     return rows.select("conv_id", "turn", query.alias("query"), F.when(C("k") % 3 == 1, F.concat(F.lit("  "), "text")).when(C("k") % 3 == 2, " ").alias("selected"))
 
 
@@ -133,10 +132,9 @@ def marked():
     return F.concat(F.lit("# Title "), C("doc_id").cast("string"), F.lit("\n\n> **"), F.substring("text", 1, 40), F.lit("** and `code` with ~~gone~~ <b>tags</b>\n---\n- [link](http://x) ![img](y.png)\n\n\n\n  3. third\n"), C("text"))
 
 
-@add("markdown_text", f"SELECT doc_id, md5({_strip(_each(MARKED, SAFE))}) AS text FROM documents WHERE NOT regexp_matches(text, '[*_]')")
+@add("markdown_text", None)
 def _(s, d):
-    # the SQL's patterns look neither ahead nor behind, which emphasis needs: texts with its marks are left to a test
-    return table(s, d, "documents").where(~C("text").rlike("[*_]")).select("doc_id", F.md5(P.markdown_text(marked())).alias("text"))
+    return table(s, d, "documents").select("doc_id", F.md5(P.markdown_text(marked())).alias("text"))
 
 
 @add("ocr_text", r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[|l]([a-z])', 'I\1', 'g'), '([a-z])[0O]([a-z])', '\1o\2', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '\n[a-zA-Z]\n', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text

@@ -72,10 +72,9 @@ def _(s, d):
 def lists(s, d):
     """Two ranked lists of documents for the benchmark passages: BM25, and shared distinct terms.  One pass over the documents gives both."""
     docs, queries = table(s, d, "documents"), table(s, d, "benchmark")
-    pairs = L.term_hits(queries.select("item_id", "text"), docs.select("doc_id", "text"))
     named = lambda t: t.select(C("item_id").alias("query_id"), C("doc_id").cast("string").alias("chunk"), (C("rank") - 1).alias("rank"))
-    best = pairs.withColumn("score", F.round("score", 6)).where("score > 0")
-    return named(L.top_k(best, 20, ["item_id"], [C("score").desc(), "doc_id"])), named(L.top_k(pairs, 20, ["item_id"], [C("terms").desc(), "doc_id"]))
+    best, shared = L.bm25_and_overlap(queries.select("item_id", "text"), docs.select("doc_id", "text"), 20)
+    return named(best), named(shared)
 
 
 TOKENS = "list_filter(regexp_extract_all(lower(text), '[一-鿿]+|[a-z0-9]+'), lambda t: length(t) > 1)"

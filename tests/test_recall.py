@@ -14,3 +14,11 @@ def test_ivf_recall(sf, spark):
     recall = len(exact & found) / len(exact)
     print(sf, "recall", round(recall, 4))
     assert recall >= 0.9
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_stored_recall(spark, sf):
+    """A store that was changed after it was made finds, with 14 of 16 lists, nearly all that all lists give."""
+    q = registry.queries()
+    exact, found = ({(r["query_id"], r["vec_id"]) for r in q[name](spark, f"/root/testdata/{sf}").collect()} for name in ("vector_store", "vector_store_probed"))
+    assert len(exact & found) / len(exact) >= 0.9
