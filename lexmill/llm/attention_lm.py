@@ -16,8 +16,9 @@ values are the inputs themselves: their matrices are taken in by those of querie
 ``attention_score`` is the log10 probability of a document's ids under this layer.  ``score`` adds a memory of
 the training documents in stretches of two windows, which a passage that occurs elsewhere in the corpus is known by:
 where the eight ids before a stretch stand before one in n other training documents, m of which go on with the very
-same ids, the stretch's probability is n / (n + 1) * m / n + 1 / (n + 1) times that of the layer.  A training
-document's own stretches are left out.  Where nothing else in the corpus agrees, the two scores are the same.
+same ids, the stretch's probability is n / (n + 1) * m / n + 1 / (n + 1) times that of the layer.  Documents are counted,
+not stretches, and never the document itself, so what a document repeats in itself adds nothing.  Where nothing else in
+the corpus agrees, the two scores are the same.
 
 Contract: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and every document ends with one end token; null
 and empty texts are that token alone.  A null doc_id is in no training set and its held_out is null.  Without
@@ -535,11 +536,21 @@ def trained(documents: DataFrame, path: str, counts: np.ndarray, warm_documents:
     return model
 
 
+def _firsts(document: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether a hash comes for the first time in its document."""
+    order = np.lexsort((h, document))
+    d, x = document[order], h[order]
+    out = np.ones(len(h), bool)
+    out[order[1:]] = (d[1:] != d[:-1]) | (x[1:] != x[:-1])
+    return out
+
+
 def _remembered(scored: DataFrame) -> DataFrame:
     """(row, gain): what the memory of training documents adds to the natural log probability of a document."""
-    all_ = scored.where(F.size("stretches") > 0).select("row", F.col("learn").cast("int").alias("own"), F.explode("stretches").alias("w")).select("row", "own", "w.before", "w.whole", "w.p")
-    seen = cut(all_.where("own = 1").groupBy("before", "whole").agg(F.count("*").alias("m")), "stretches")
-    contexts = cut(seen.groupBy("before").agg(F.sum("m").alias("n")), "contexts")
+    all_ = scored.where(F.size("stretches") > 0).select("row", F.col("learn").cast("int").alias("own"), F.explode("stretches").alias("w")).select("row", "own", "w.before", "w.whole", "w.p", "w.new_before", "w.new_whole")
+    # a document counts once, by the first of its stretches that are alike
+    seen = cut(all_.where("own = 1").groupBy("before", "whole").agg(F.count_if("new_whole").alias("m"), F.count_if("new_before").alias("b")), "stretches")
+    contexts = cut(seen.groupBy("before").agg(F.sum("b").alias("n")), "contexts")
     # only where other documents have the context
     met = all_.join(contexts, "before").where(F.col("n") > F.col("own"))
     met = met.join(seen.select("whole", "m"), "whole", "left")
@@ -603,14 +614,16 @@ def scores(documents: DataFrame, path: str, **options: int) -> DataFrame:
             p = summed[stop] - summed[at]
             before, whole = hashes_of.of(at - BEFORE, at), hashes_of.of(at - BEFORE, stop)
             per_document = np.maximum(n - 1, 0)
-            entries = pa.StructArray.from_arrays([pa.array(before), pa.array(whole), pa.array(p)], names=["before", "whole", "p"])
+            document = np.repeat(np.arange(len(n)), n)[later]
+            fresh = [pa.array(_firsts(document, h)) for h in (before, whole)]
+            entries = pa.StructArray.from_arrays([pa.array(before), pa.array(whole), pa.array(p), *fresh], names=["before", "whole", "p", "new_before", "new_whole"])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(per_text + 1), pa.array(sums(known & (c > 0)), pa.int64()), pa.array(base, pa.float64()), pa.array(np.diff(summed[bounds]) / np.log(10)), tails,
                  pa.ListArray.from_arrays(pa.array(lengths_to_bounds(per_document), pa.int32()), entries)],
                 names=["doc_id", "learn", "n_tokens", "known", "base", "attention_score", "tail", "stretches"],
             )
 
-    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, learn boolean, n_tokens long, known long, base double, attention_score double, tail array<long>, stretches array<struct<before: long, whole: long, p: double>>"
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, learn boolean, n_tokens long, known long, base double, attention_score double, tail array<long>, stretches array<struct<before: long, whole: long, p: double, new_before: boolean, new_whole: boolean>>"
     scored = cut(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = words.where(F.col("n") < least)
     tails = scored.where(F.size("tail") > 0).select("row", F.explode("tail").alias("h")).join(rare, "h", "left")
