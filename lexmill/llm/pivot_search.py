@@ -3,8 +3,8 @@
 Vectors get one more component so that all of a block have the same norm; then a larger inner product is a smaller
 distance.  Each block of candidates is packed into one row once, with pivots far from each other and the distances from
 all its vectors to these; the greatest difference between a query's and a candidate's pivot distances bounds their
-distance from below.  A query takes a block's candidates in the order of that bound and stops when the bound passes its
-k-th result, so nothing that could enter is left out.
+distance from below.  A query takes a block's candidates of the best bounds first, and then those that its k-th result does
+not exclude, so nothing that could enter is left out.
 
 A query does not begin a block with nothing: its scores with a bounded sample of all candidates give it a k-th score
 that is already reached, and what cannot come to that is left out of every block.  Blocks of candidates and blocks of
@@ -31,8 +31,8 @@ from .common import cut, text_batches
 #: Rows of a candidate block and of a query block.
 CANDIDATES, QUERIES = 2048, 512
 PIVOTS = 32
-#: Candidates evaluated at a step.
-STEP = 64
+#: Candidates that a query meets before the others are left out by its k-th score.
+LEAD = 64
 #: Candidates of the sample that gives queries a first k-th score.
 SEEDS = 4096
 #: Most queries whose blocks are sent to all executors; more meet the candidates in a shuffle.
@@ -90,37 +90,57 @@ def reached_scores(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.
     return out
 
 
+def _leading(q: np.ndarray, x: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Inner products of each query with its own candidates."""
+    if q.shape[1] * max(np.abs(q).max(initial=0), 1) * max(np.abs(x).max(initial=0), 1) < 2.0**53:
+        return (x[lead] @ q[:, :, None])[:, :, 0].astype(np.int64)
+    return np.stack([_exact(q[i : i + 1], x[row])[0] for i, row in enumerate(lead)])
+
+
 def pivot_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, table: tuple[np.ndarray, np.ndarray] | None = None, reached: np.ndarray | None = None) -> tuple[list[tuple[int, int, int]], int]:
     """(query, candidate, score) of each query's k best among one block's candidates; and how many scores were computed.
 
-    Where ``reached`` says that a query has k scores of at least so much elsewhere, those below are left out.
+    All queries of a block go together: each first meets the LEAD candidates of its best bounds, then, as one product of
+    matrices, those whose bound does not lie under its k-th score by then.  Where ``reached`` says that a query has k
+    scores of at least so much elsewhere, candidates whose bound lies below are left out from the start.
     """
-    out: list[tuple[int, int, int]] = []
+    if not len(q) or not len(x) or k <= 0:
+        return [], 0
     top = (x * x).sum(axis=1).max(initial=0.0)
     pivots, distances = pivot_table(x) if table is None else table
-    q_norms = (q * q).sum(axis=1)
-    q_table = _distances(np.column_stack([q, np.zeros(len(q))]), pivots) if len(pivots) else np.zeros((len(q), 0))
-    computed = 0
+    q_norms = (q * q).sum(axis=1)[:, None]
+    q_table = _distances(np.column_stack([q, np.zeros(len(q))]), pivots)
+    bound, apart = np.zeros((len(q), len(x))), np.empty((len(q), len(x)))
+    for p in range(len(pivots)):
+        np.subtract(distances[:, p], q_table[:, p][:, None], out=apart)
+        np.maximum(bound, np.abs(apart, out=apart), out=bound)
+    # the inner product that a distance of the bound would give, with room for rounding
+    most = (q_norms + top - bound * bound) / 2
+    most += 1e-9 * (q_norms + top) + 1e-6
+    most[ids[None, :] == query_ids[:, None]] = -np.inf
+    if reached is not None:
+        most[most < np.asarray(reached, float)[:, None]] = -np.inf
+    scores, done = np.zeros(most.shape, np.int64), np.zeros(most.shape, bool)
+    rows = np.arange(len(q))[:, None]
+    lead = np.argpartition(-most, min(LEAD, len(x)) - 1, axis=1)[:, :LEAD]
+    scores[rows, lead] = _leading(q, x, lead)
+    done[rows, lead] = most[rows, lead] > -np.inf
+    first = np.where(done, scores.astype(float), -np.inf)
+    kth = np.partition(first, -k, axis=1)[:, -k] if len(x) >= k else np.full(len(q), -np.inf)
+    rest = ~done & (most > -np.inf) & (most >= kth[:, None])
+    if rest.any():
+        some, columns = np.flatnonzero(rest.any(axis=1)), np.flatnonzero(rest.any(axis=0))
+        part = np.ix_(some, columns)
+        scores[part] = np.where(rest[part], _exact(q[some], x[columns]), scores[part])
+        done |= rest
+    out: list[tuple[int, int, int]] = []
     for i, query in enumerate(query_ids.tolist()):
-        bound = np.abs(distances - q_table[i]).max(axis=1, initial=0.0)
-        # the inner product that a distance of the bound would give, with room for rounding
-        most = (q_norms[i] + top - bound * bound) / 2
-        most += 1e-9 * (q_norms[i] + top) + 1e-6
-        floor = -np.inf if reached is None else reached[i]
-        some = np.flatnonzero((most >= floor) & (ids != query))
-        order = some[np.argsort(-most[some], kind="stable")]
-        best_s, best_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at in range(0, len(order), STEP):
-            if len(best_s) == k and most[order[at]] < best_s[-1]:
-                break
-            some = order[at : at + STEP]
-            s = np.concatenate([best_s, _exact(q[i : i + 1], x[some])[0]])
-            v = np.concatenate([best_id, ids[some]])
-            computed += len(some)
-            keep = np.lexsort((v, -s.astype(object) if s.min() == -(1 << 63) else -s))[:k]
-            best_s, best_id = s[keep], v[keep]
-        out += [(query, v, s) for v, s in zip(best_id.tolist(), best_s.tolist())]
-    return out, computed
+        own = np.flatnonzero(done[i])
+        if len(own) > k:
+            own = own[scores[i, own] >= np.partition(scores[i, own], -k)[-k]]
+        own = own[np.lexsort((ids[own], ~scores[i, own]))][:k]
+        out += [(query, v, s) for v, s in zip(ids[own].tolist(), scores[i, own].tolist())]
+    return out, int(done.sum())
 
 
 def _matrix(t: pa.Table) -> np.ndarray:
