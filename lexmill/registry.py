@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import context_queries, graph_queries, memory_queries, question_queries, relational_queries, retrieval_queries, text_queries
+from lexmill.plans import context_queries, graph_queries, memory_queries, question_queries, relational_queries, retrieval_queries, store_queries, text_queries
 
-MODULES = [text_queries, question_queries, memory_queries, retrieval_queries, context_queries, graph_queries, relational_queries]
+MODULES = [text_queries, question_queries, memory_queries, retrieval_queries, context_queries, graph_queries, relational_queries, store_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

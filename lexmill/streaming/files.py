@@ -48,7 +48,7 @@ def commit(spark: SparkSession, folder: str, index: str, version: int, ending: s
     else:
         files = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     settled = F.col("modificationTime") <= F.timestamp_seconds(F.lit((now or time.time()) - quiet))
-    there = files.select("path", settled.alias("settled"), F.sha2("content", 256).alias("hash"), F.decode("content", F.lit("UTF-8")).alias("text") if ending != "*" else F.lit(None).cast("string").alias("text"))
+    there = files.select("path", settled.alias("settled"), F.sha2("content", 256).alias("hash"), F.col("content").cast("string").alias("text"))
     changed = there.where("settled").drop("settled").join(held.select("path", "hash"), ["path", "hash"], "left_anti").withColumn("deleted", F.lit(False))
     gone = held.join(there.select("path"), "path", "left_anti").select("path", "hash", F.lit(None).cast("string").alias("text"), F.lit(True).alias("deleted"))
     rows = cut(changed.select("path", "hash", "text", "deleted").unionByName(gone), "changed")

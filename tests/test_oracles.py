@@ -46,7 +46,7 @@ def test_matches_sql(name, spark, duck):
 WITHOUT_SQL = {
     "communities": "count(*) > 100 and count(cluster) = count(*)", "document_communities": "count(*) > 1000 and count(cluster) = count(*)", "document_community_levels": "count(*) > 1000 and max(level) >= 1",
     "markdown_text": "count(*) = 200 and count(text) = 200", "embedding_batches": "count(*) > 80 and max(batch) > 0", "citation_list": "count(*) > 20 and count(start_phrase) > 20",
-    "leiden_reports": "count(*) > 20 and count(report) = count(*) and max(from_below)", "vector_store_probed": "count(distinct query_id) = 10 and max(rank) = 10", "document_components": "count(*) > 1000 and count(distinct component) < count(*)", "ivf_knn": "max(rank) = 10 and count(*) > 90", "match_citations": "count(highlight) > 10 and min(ref) = 1",
+    "leiden_reports": "count(*) > 20 and count(report) = count(*) and max(from_below)", "vector_store_probed": "count(distinct query_id) >= 10 and max(rank) = 10", "document_components": "count(*) > 1000 and count(distinct component) < count(*)", "ivf_knn": "max(rank) = 10 and count(*) > 90", "match_citations": "count(highlight) > 10 and min(ref) = 1",
     "mmr": "max(place) = 5 and count(*) = 200", "pca_projection": "min(size(projection)) = 2 and count(*) > 100", "relevant_context": "count(*) > 30 and min(n) > 0", "relevant_snippets": "count(snippet) = 400", "snippets": "count(snippet) = 400 and max(highlights) > 0",
     "retrieve": "count(*) > 100 and min(rank) = 0 and max(similarity) <= 1", "retrieve_reranked": "count(*) > 100 and min(rank) = 0", "structure_split": "count(*) > 200 and count(distinct doc_id) > 190",
 }
