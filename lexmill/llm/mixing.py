@@ -226,7 +226,7 @@ def report(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "source", "lang", "topic", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"), F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
 
 
-def oracle(documents: str = "documents", steps: int = 20) -> str:
+def oracle(documents: str = "documents", steps: int = SWEEPS) -> str:
     """DuckDB SQL for ``report``: two common table expressions for each raking step of as many sweeps."""
     before, on = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING", "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
 

@@ -94,16 +94,31 @@ class _Held:
         self.weights.append(weights)
 
 
-def places(keys: list[bytes], lang: str, bits: int) -> np.ndarray:
-    """The bit of each phrase of a language."""
+def word_hashes(words: list[bytes], lang: str) -> np.ndarray:
     import xxhash
 
     start = lang.encode() + b"\0"
-    return np.fromiter((xxhash.xxh3_64_intdigest(start + k) for k in keys), np.uint64, len(keys)) % np.uint64(bits)
+    return np.fromiter((xxhash.xxh3_64_intdigest(start + w) for w in words), np.uint64, len(words))
 
 
-def _known(keys: list[bytes], lang: str, bits: np.ndarray) -> np.ndarray:
-    at = places(keys, lang, 8 * len(bits))
+def joined(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Hashes of pairs by those of their words, so that a pair need not be spelled to be looked up."""
+    x = one * np.uint64(0x9E3779B97F4A7C15) + two
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def phrase_hashes(keys: list[bytes], lang: str) -> np.ndarray:
+    """Hashes of words, or of pairs of words."""
+    parts = [k.split(b" ") for k in keys]
+    first = word_hashes([p[0] for p in parts], lang)
+    if not parts or len(parts[0]) == 1:
+        return first
+    return joined(first, word_hashes([p[1] for p in parts], lang))
+
+
+def _known(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = hashes % np.uint64(8 * len(bits))
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
@@ -119,17 +134,17 @@ def sums(held: _Held, lang: str, step: int, bits: np.ndarray | None) -> Iterator
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(w))  # words from here to the piece's end
     spelled = lambda first, k: [b" ".join([words[x] for x in row]) for row in np.stack([w[first + i] for i in range(k)], axis=1).tolist()]
     if step == 2:
-        known = _known(words, lang, bits)[w]
+        known = _known(word_hashes(words, lang), bits)[w]
         some = np.flatnonzero(left >= 2)
         some = some[known[some] & known[some + 1]]
     else:
         some = np.flatnonzero(left >= 2)
     _, first, group = np.unique(w[some] * len(words) + w[some + 1], return_index=True, return_inverse=True)
-    pairs = spelled(some[first], 2)
     if step == 2:
-        yield pairs, total(group, some)
+        yield spelled(some[first], 2), total(group, some)
         return
-    known = _known(pairs, lang, bits)[group]
+    h = word_hashes(words, lang)
+    known = _known(joined(h[w[some[first]]], h[w[some[first] + 1]]), bits)[group]
     number, good = np.full(len(w), -1, np.int64), np.zeros(len(w) + 5, bool)
     some, group = some[known], group[known]
     number[some], good[some] = group, True
@@ -207,7 +222,7 @@ def marked(rows: DataFrame) -> Broadcast:
             for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(lang, []).append(phrase)
             for lang, keys in by.items():
-                yield pa.RecordBatch.from_arrays([pa.array(places(keys, lang, bits).astype(np.int64))], names=["at"])
+                yield pa.RecordBatch.from_arrays([pa.array((phrase_hashes(keys, lang) % np.uint64(bits)).astype(np.int64))], names=["at"])
 
     # a block of 65536 bits becomes one row of at most so many numbers
     blocks = rows.select("lang", "phrase").mapInArrow(placed, "at long").groupBy(F.shiftright("at", 16).alias("block")).agg(F.collect_set((F.col("at") % 65536).cast("int")).alias("at"))
