@@ -9,9 +9,10 @@ documents is kept; a hash of the id decides.
 Targets are the margins' token shares to a power below one, times the budget.  A value that does not hold its
 target is taken whole, and what it lacks is shared out among the others.
 
-A document's topic is told by the form of its whole text: table, formula, listing or prose.
+A document's topic is one of eight, by a hash of its most frequent term of five letters or more (the least of equals).
+Terms are counted once, in Arrow batches, and written with the rows; raking and drawing read what was written.
 
-Contract: null values of a margin are the value ''; null and empty texts have no tokens and the
+Contract: null values of a margin are the value ''; null and empty texts have no tokens, no topic (``none``) and the
 probability of their cell; explicit targets may be given as token shares, and a value without one, or with one of 0,
 gets rate 0; targets of values that do not occur are shared out among the others; rows that repeat a doc_id are drawn
 alike.  A budget beyond what there is keeps everything of positive target.  All columns are kept; those added win over
@@ -24,10 +25,13 @@ import warnings
 from collections.abc import Mapping
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, unused
+from .common import cut, slices, text_batches, unused
 
 MARGINS = ("source", "lang", "topic")
 #: Cells that are raked on the driver and sent to all executors (about 100 bytes each); more are raked in DataFrames.
@@ -37,28 +41,63 @@ SWEEPS, CLOSE, TOLD = 60, 1e-13, 1e-4
 #: Exponents that temper the token shares of each margin into its targets.
 TEMPER = {"source": 0.7, "lang": 0.5, "topic": 0.8}
 BUDGET = 0.5
-WORD = "[^\\x20\\x09-\\x0D]+"
-#: What the whole text must hold for a topic, the first that fits; else it is prose.
-FORMS = {"table": "|", "formula": "$$", "listing": "# "}
-
-
-def topic_of(text: Column) -> Column:
-    """The form of a text: table, formula, listing or prose."""
-    out = F.lit("prose")
-    for topic, mark in reversed(FORMS.items()):
-        out = F.when(F.contains(text, F.lit(mark)), topic).otherwise(out)
-    return out
-
-
-def _margins(documents: DataFrame) -> list[Column]:
-    text = F.coalesce(documents["text"], F.lit(""))
-    return [*[F.coalesce(documents[m].cast("string"), F.lit("")) for m in ("source", "lang")], topic_of(text)]
+TOPICS, TERM_LENGTH = 8, 5
+
+
+def _counted(texts: pa.RecordBatch) -> pa.StructArray:
+    """The most frequent term of each lower-cased text (the least of equals, null without one), and its number of words."""
+    words = pc.ascii_split_whitespace(texts.column(0).cast(pa.string()))
+    coded = pc.dictionary_encode(words.flatten())
+    terms, codes = coded.dictionary, coded.indices.to_numpy()
+    doc = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy())
+    lengths = pc.utf8_length(terms).to_numpy()
+    n = np.bincount(doc[lengths[codes] > 0], minlength=len(words))
+    chosen = pc.array_filter(terms, pa.array(lengths >= TERM_LENGTH))
+    order = pc.sort_indices(chosen).to_numpy().astype(np.int64)
+    place = np.full(len(terms), -1)
+    place[np.flatnonzero(lengths >= TERM_LENGTH)[order]] = np.arange(len(order))
+    place = place[codes]
+    size = len(order) + 1
+    keys = np.sort((doc * size + place)[place >= 0])
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    of, rank = np.divmod(keys[first], size)
+    begins = np.flatnonzero(np.diff(of, prepend=-1))
+    # the greatest count, of equal ones the least place
+    most = np.maximum.reduceat(np.diff(first, append=len(keys)) * size - rank, begins) if len(begins) else np.zeros(0, np.int64)
+    best = np.full(len(words), -1)
+    best[of[begins]] = order[-most % size]
+    return pa.StructArray.from_arrays([chosen.take(pa.array(best, mask=best < 0)), pa.array(n)], names=["term", "n"])
+
+
+@F.arrow_udf(T.StructType().add("term", T.StringType()).add("n", T.LongType()))
+def _terms(texts: pa.Array) -> pa.Array:
+    whole = pa.RecordBatch.from_arrays([texts], names=["text"])
+    kind = pa.struct([("term", pa.string()), ("n", pa.int64())])
+    return pa.concat_arrays([pa.array([], kind), *[_counted(x) for x in slices([whole], 1024, 4 << 20)]])
+
+
+def counted(documents: DataFrame, topic: str, n: str, *without: str) -> DataFrame:
+    """All columns but those ``without``, and under the given names the topic and words of each text."""
+    text_batches(documents.sparkSession)
+    found = unused(documents, "found")
+    rows = documents.withColumn(found, _terms(F.lower(F.coalesce("text", F.lit(""))))).drop(*without)
+    number = F.conv(F.substring(F.md5(F.col(found)["term"]), 1, 8), 16, 10).cast("long") % TOPICS
+    of = F.coalesce(F.concat(F.lit("topic-"), number.cast("string")), F.lit("none"))
+    return rows.withColumns({topic: of, n: F.col(found)["n"]}).drop(found)
+
+
+def _margins(rows: DataFrame, topic: str) -> dict[str, Column]:
+    return {m: rows[topic] if m == "topic" else F.coalesce(rows[m].cast("string"), F.lit("")) for m in MARGINS}
+
+
+def _cells_of(rows: DataFrame, topic: str, n: str) -> DataFrame:
+    rows = rows.select(*[c.alias(m) for m, c in _margins(rows, topic).items()], F.col(n).alias("n"))
+    return rows.groupBy(*MARGINS).agg(F.sum("n").cast("double").alias("tokens"))
 
 
 def cells(documents: DataFrame) -> DataFrame:
     """Tokens (words) of each (source, lang, topic)."""
-    rows = documents.select(*[c.alias(m) for m, c in zip(MARGINS, _margins(documents))], F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("n"))
-    return rows.groupBy(*MARGINS).agg(F.sum("n").cast("double").alias("tokens"))
+    return _cells_of(counted(documents.select("source", "lang", "text"), "topic", "n"), "topic", "n")
 
 
 def filled(group: np.ndarray, tokens: np.ndarray, rates: np.ndarray, goals: np.ndarray) -> np.ndarray:
@@ -168,8 +207,13 @@ def calibrated(documents: DataFrame, temper: Mapping[str, float] = TEMPER, budge
 
     ``targets`` has explicit shares by margin and value, in place of the tempered ones.
     """
-    spark = documents.sparkSession
-    table = cut(cells(documents), "cells")
+    return _calibrated(cells(documents), temper, budget, sweeps, most_cells, targets)
+
+
+def _calibrated(table: DataFrame, temper: Mapping[str, float] = TEMPER, budget: float = BUDGET, sweeps: int = SWEEPS, most_cells: int = MOST_CELLS, targets: Mapping[str, Mapping[str, float]] | None = None) -> tuple[DataFrame, bool]:
+    """``calibrated`` of the table of cells."""
+    spark = table.sparkSession
+    table = cut(table, "cells")
     if table.count() > most_cells:
         return cut(_calibrated_in_frames(table, temper, budget, sweeps, targets or {}), "calibrated"), False
     rows = sorted(table.collect(), key=lambda r: tuple(r[m] for m in MARGINS))
@@ -195,12 +239,12 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), doc_id.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def _joined(documents: DataFrame, names: dict[str, str], **options) -> DataFrame:
-    """``documents`` and, under the given names, the topic, weight and probability of their cells, and whether they are drawn."""
-    table, bounded = calibrated(documents, **options)
-    keys = {m: names[m] if m == "topic" else unused(documents, f"of_{m}") for m in MARGINS}
+def _joined(rows: DataFrame, names: dict[str, str], n: str, **options) -> DataFrame:
+    """``rows`` with their topics and words, and under the given names the weight and probability of their cells, and whether they are drawn."""
+    table, bounded = _calibrated(_cells_of(rows, names["topic"], n), **options)
+    keys = {m: names[m] if m == "topic" else unused(rows, f"of_{m}") for m in MARGINS}
     table = table.select(*[F.col(m).alias(keys[m]) for m in MARGINS], F.col("weight").alias(names["weight"]), F.col("probability").alias(names["probability"]))
-    rows = documents.withColumns({keys[m]: c for m, c in zip(MARGINS, _margins(documents))})
+    rows = rows.withColumns({keys[m]: c for m, c in _margins(rows, names["topic"]).items()})
     rows = rows.join(F.broadcast(table) if bounded else table, list(keys.values()))
     p = F.col(names["probability"])
     return rows.withColumn(names["kept"], F.coalesce(draw(F.col("doc_id")) < p, p >= 1)).drop(*[keys[m] for m in ("source", "lang")])
@@ -211,19 +255,24 @@ _ADDED = ("topic", "weight", "probability", "kept")
 
 def with_probabilities(documents: DataFrame, **options) -> DataFrame:
     """All columns, and topic, weight, probability and kept."""
-    return _joined(documents.drop(*_ADDED), {c: c for c in _ADDED}, **options)
+    documents = documents.drop(*_ADDED)
+    n = unused(documents, "words")
+    return _joined(cut(counted(documents, "topic", n), "counted"), {c: c for c in _ADDED}, n, **options).drop(n)
 
 
 def sample(documents: DataFrame, **options) -> DataFrame:
     """The documents drawn, with the columns they came with."""
     names = {c: unused(documents, f"mix_{c}") for c in _ADDED}
-    return _joined(documents, names, **options).where(F.col(names["kept"])).select(*documents.columns)
+    n = unused(documents, "words")
+    rows = _joined(cut(counted(documents, names["topic"], n), "counted"), names, n, **options)
+    return rows.where(F.col(names["kept"])).select(*documents.columns)
 
 
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability (six places) and kept of every document."""
-    rows = with_probabilities(documents.select("doc_id", "text", "source", "lang"))
-    return rows.select("doc_id", "source", "lang", "topic", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"), F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
+    rows = cut(counted(documents.select("doc_id", "text", "source", "lang"), "topic", "n_tokens", "text"), "counted")
+    rows = _joined(rows, {c: c for c in _ADDED}, "n_tokens")
+    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
 
 
 def oracle(documents: str = "documents", steps: int = SWEEPS) -> str:
@@ -239,9 +288,10 @@ def oracle(documents: str = "documents", steps: int = SWEEPS) -> str:
             f"""{out} AS MATERIALIZED (SELECT * EXCLUDE (u, goal, held, rest, place, k), CASE WHEN k IS NOT NULL THEN u * greatest(0, max(CASE WHEN place = k THEN (goal - held) / rest END) OVER ({part})) WHEN goal > 0 AND u > 0 THEN greatest(u, 1) ELSE 0 END AS u FROM {out}b)""",
         ]
 
-    form = " ".join(f"WHEN contains(text, '{mark}') THEN '{topic}'" for topic, mark in FORMS.items())
-    ctes = [f"""d AS (SELECT doc_id, source, lang, coalesce(source, '') AS s, coalesce(lang, '') AS l, CASE {form} ELSE 'prose' END AS topic,
-      len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM {documents})""",
+    ctes = [f"""w AS (SELECT doc_id, t FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+')) AS t FROM (SELECT DISTINCT doc_id, text FROM {documents})) WHERE length(t) >= {TERM_LENGTH})""",
+      "b AS (SELECT doc_id, t FROM w GROUP BY doc_id, t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, t) = 1)",
+      f"""d AS (SELECT d.doc_id, source, lang, coalesce(source, '') AS s, coalesce(lang, '') AS l, CASE WHEN t IS NULL THEN 'none' ELSE 'topic-' || ('0x' || substr(md5(t), 1, 8))::BIGINT % {TOPICS} END AS topic,
+      len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM {documents} d LEFT JOIN b ON b.doc_id = d.doc_id)""",
       f"c AS MATERIALIZED (SELECT s, l, topic AS t, sum(n_tokens)::DOUBLE AS n, {BUDGET} * sum(sum(n_tokens)) OVER () AS budget FROM d GROUP BY s, l, topic)"]
     for key, m in zip("slt", MARGINS):
         ctes.append(f"m{key} AS (SELECT {key}, sum(n) AS n, any_value(budget) AS budget, CASE WHEN sum(n) > 0 THEN pow(sum(n), {TEMPER[m] - 1}) ELSE 0 END AS u FROM c GROUP BY {key})")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -297,3 +298,17 @@ def test_pipeline_stages_take_odd_rows(spark, odd, none, tmp_path):
                 assert out.columns == table.columns
                 rows = sorted(map(str, out.collect()))
                 assert set(rows) <= set(map(str, table.collect()))
+
+
+def test_op6_topics_are_of_the_most_frequent_term(spark, docs, odd):
+    """The topic of every document, by a plain count of its whole text's terms."""
+
+    def plain(text):
+        terms = Counter(t for t in re.split("[\x20\x09-\x0d]+", (text or "").lower()) if len(t) >= 5)
+        return f"topic-{int(hashlib.md5(min(terms, key=lambda t: (-terms[t], t.encode())).encode()).hexdigest()[:8], 16) % 8}" if terms else "none"
+
+    for rows in (docs, odd):
+        got = mixing.with_probabilities(rows).select("text", "topic").collect()
+        assert len(got) == rows.count() and all(r["topic"] == plain(r["text"]) for r in got)
+    wanted = {r["doc_id"]: plain(r["text"]) for r in docs.collect()}
+    assert {r["doc_id"]: r["topic"] for r in mixing.report(docs).collect()} == wanted
