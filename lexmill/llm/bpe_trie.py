@@ -24,18 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import binary_values, slices, text_batches
-from .subword import ChunkCache, flat
+from .subword import ChunkCache, byte_alphabet, flat
 
 _FOREVER = 1 << 40
 
 
-def byte_alphabet() -> dict[int, str]:
-    """Byte -> printable character of byte-level vocabularies, built from their rule."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class TrieBpe:
     """A word-end BPE vocabulary (model part of a ``tokenizers`` file) encoded through a trie."""
 

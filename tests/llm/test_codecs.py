@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lexmill.llm import bpe_trie, orc_tokens, pivot_search, trie_counts, warc
+from lexmill.llm import bpe_trie, orc_tokens, pivot_search, subword, trie_counts, warc
 from lexmill.llm.queries import tokenizer_file
 
 PATH = tokenizer_file()
@@ -199,3 +199,16 @@ def test_seeds_leave_candidates_out(spark):
     far = lambda p: pivot_search._distances(p, p)[~np.eye(len(p), dtype=bool)].min()
     spaced = pivot_search._lifted(x, (x * x).sum(1).max())[np.linspace(0, len(x) - 1, len(pivots)).astype(int)]
     assert far(pivots) > far(spaced)
+
+
+def test_pretokens_are_encoded_by_the_model_alone():
+    """op2's words of plain Latin-1 need no normalizing and cutting by the library; its ids are those of the whole texts."""
+    path = tokenizer_file()
+    encoder = subword.LibraryEncoder(path)
+    library, encoder.tokenizer = encoder.tokenizer, None
+    rng = np.random.default_rng(7)
+    letters = [chr(c) for c in range(0x20, 0x100)] + list("aeiourstn  '") * 20
+    texts = ["".join(rng.choice(letters, 80)).replace("<|", "") for _ in range(300)]
+    cache = subword.ChunkCache(encoder.pretokens, encoder.chunks, most_bytes=1 << 18)
+    for some in (texts[:150], texts[150:], texts):
+        assert [x.tolist() for x in cache.encode(pa.array(some))] == [library.encode(x, add_special_tokens=False).ids for x in some]
