@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from lexmill.llm import attention_lm as A
 from lexmill.llm.common import cut
@@ -124,3 +125,14 @@ def test_counts_are_found():
         asked = np.concatenate([h, rng.integers(-(1 << 63), (1 << 63) - 1, 100, dtype=np.int64)])
         want = dict(zip(h.tolist(), numbers.tolist()))
         assert table.of(asked).tolist() == [want.get(x, -1) for x in asked.tolist()]
+
+
+def test_words_are_encoded_by_the_model_alone():
+    """op3's plain Latin-1 words do not go through the library's cutting; ids are the library's all the same."""
+    words = A.WordIds(PATH)
+    library, words.tokenizer = words.tokenizer, None
+    rng = np.random.default_rng(9)
+    letters = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x100)] if not 65 <= c <= 90] + list("aeiourstn,'12") * 20
+    some = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 14, 9000)]
+    ids, _ = words.documents(*words.rows_of(pa.array([" ".join(some)])))
+    assert ids.tolist() == [i for w in some for i in library.encode(" " + w, add_special_tokens=False).ids] + [words.end]
