@@ -1,6 +1,7 @@
 """The language model's score against a plain loop over ids, its independence of partitions, and held-out quality."""
 
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -8,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from lexmill.llm import attention_lm as A
-from lexmill.llm.common import cut
+from lexmill.llm.common import cut, keep_freed_memory
 from lexmill.llm.queries import tokenizer_file
 
 PATH = tokenizer_file("byte_bpe_50k.json")
@@ -136,3 +137,82 @@ def test_words_are_encoded_by_the_model_alone():
     some = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 14, 9000)]
     ids, _ = words.documents(*words.rows_of(pa.array([" ".join(some)])))
     assert ids.tolist() == [i for w in some for i in library.encode(" " + w, add_special_tokens=False).ids] + [words.end]
+
+
+def small_model(rng, vocabulary=3000):
+    model = A.AttentionLm(rng.integers(0, 50, vocabulary) ** 2, rng.random(vocabulary) < 0.5, 7)
+    for n in ("r", "b", "c"):
+        model.w[n] += (rng.standard_normal(model.w[n].shape) * 0.3).astype(np.float32)
+    return model
+
+
+def test_slopes_are_those_of_the_loss():
+    """op3's steps go through blocks with factors in place of biases: slopes are held against differences of the plain loss."""
+    rng = np.random.default_rng(5)
+    model = small_model(rng)
+    bounds = np.cumsum([0, 1, 3, 28, 29, 200, *[56] * 80, 61, 17])  # more windows than a block has, some not whole
+    ids = rng.integers(0, 3000, bounds[-1])
+    at, low, high = A.windows(bounds)
+    assert len(at) > 2 * A.BLOCK
+    g, loss = model.gradients(model.framed(ids), at, low, high)
+    share = model.within[ids]
+    mean = lambda: float(-(model.log_probs_of(ids, bounds) - share).astype(np.float64).mean())
+    assert math.isclose(loss, mean(), rel_tol=1e-5)
+    plain = [plain_log_prob(model, ids[a:b].tolist(), t) for a, b in zip(bounds[:6], bounds[1:7]) for t in range(b - a)]
+    assert np.allclose(plain, model.log_probs_of(ids, bounds)[: len(plain)], atol=1e-4)
+    for n, slope in g.items():
+        held, way = model.w[n], rng.standard_normal(A.SHAPES[n]).astype(np.float32)
+        way += np.sign((slope * way).sum()) * slope / np.abs(slope).max() * 3  # a way on which the loss changes
+        way *= 0.03 / np.abs(way).max()
+        model.w[n] = held + way
+        more = mean()
+        model.w[n] = held - way
+        change, model.w[n] = (more - mean()) / 2, held
+        assert math.isclose(change, float((slope * way).sum()), rel_tol=0.02, abs_tol=2e-5), n
+
+
+def test_large_logits_are_clipped():
+    """Weights that allow powers beyond float32 are told by their rows' lengths."""
+    model = small_model(np.random.default_rng(6))
+    assert not model.prepared()["clip"]
+    model.w["e"] *= 200
+    assert model.prepared()["clip"]
+    out = model.log_probs_of(np.arange(500), np.array([0, 200, 500]))
+    assert np.isfinite(out).all()
+
+
+def test_scoring_an_id_takes_little_time():
+    """op3's layer takes at most 0.3 ms a thousand ids on a machine where a sum of 50,000 numbers takes 1 ms."""
+    rng = np.random.default_rng(8)
+    model, bounds = small_model(rng), np.arange(0, 150_001, 1000)
+    ids = rng.integers(0, 3000, bounds[-1])
+
+    def least(f):
+        times = []
+        for _ in range(7):
+            t = time.thread_time()
+            f()
+            times.append(time.thread_time() - t)
+        return min(times)
+
+    keep_freed_memory()
+    took = least(lambda: model.log_probs_of(ids, bounds)) / len(ids)
+    assert took / (least(lambda: sum(range(50_000))) * 1000) < 0.3e-6
+
+
+def test_packed_ids_are_read_in_place():
+    values = [b"", b"\x01\x00\x02\x00", b"\x03\x00", b""]
+    for column in (pa.array(values, pa.binary()), pa.array([b"\x09\x09", *values, b"\x07\x07"], pa.large_binary()).slice(1, 4)):
+        ids, bounds = A._documents(column, np.dtype("<u2"))
+        assert ids.tolist() == [1, 2, 3] and bounds.tolist() == [0, 0, 2, 3, 3] and not ids.flags.owndata
+    assert A._documents(pa.array([], pa.binary()), np.dtype("<u2"))[1].tolist() == [0]
+
+
+def test_words_are_dropped_after_encoding():
+    """op3's later passes keep the vocabulary alone, and encoding begins anew after them."""
+    words = A.word_ids(PATH)
+    text = pa.array(["some words of a text", None])
+    first = words.documents(*words.rows_of(text))
+    assert A.without_words(PATH) is words and len(words.rows) == 1
+    again = words.documents(*words.rows_of(text))
+    assert all((a == b).all() for a, b in zip(first, again)) and len(words.rows) == 6
