@@ -45,3 +45,10 @@ def test_shared_web_results(spark, monkeypatch):
     assert sorted(map(tuple, U.shared_web_results(queries, results, blocked).select(fields).collect())) == whole
     monkeypatch.setattr(U, "MOST_QUERIES", 2)
     assert sorted(map(tuple, U.shared_web_results(queries, results, blocked).select(fields).collect())) == whole
+
+
+def test_contexts_of_shared_results(spark):
+    queries, results = frames(spark)
+    wanted = U.formatted_results(U.web_results(queries, results.crossJoin(queries.select("query_id")))).collect()
+    got = U.formatted_results(U.shared_web_results(queries, results)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, wanted)) and len(got) > 3
