@@ -13,9 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions import text as T
-from lexmill.operators.lexical import top_k
-from lexmill.operators.vector import ivf_assign
+from lexmill.operators.vector import ivf_assign, knn_by_list, nearest_lists
 from lexmill.stage import cut
 
 
@@ -80,16 +78,13 @@ def delete(spark: SparkSession, path: str, ids: DataFrame) -> None:
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, probes: int = 4) -> DataFrame:
     """(query_id, vec_id, score, rank): the nearest by cosine among the ``probes`` lists nearest to each query (vec_id, embedding).
 
-    The lists asked for meet the table by its partition column, so the scan is pruned to them when the query runs.
+    The lists asked for meet the table by its partition column, so the scan is pruned to them when the query runs; what is
+    read meets the queries of its list block by block.  Rows and queries that hold nulls or no numbers take no part.
     """
     centres = _centres(spark, path)
-    asked = queries.where("embedding is not null").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.posexplode(_by_distance(F.col("embedding"), centres)).alias("nth", "list"))
-    asked = cut(asked.where(F.col("nth") < probes).drop("nth"), "asked")
-    found = load(spark, path).join(asked.where("list >= 0"), "list")
-    norm = lambda c: F.sqrt(T.dot(F.col(c), F.col(c)))
-    size = norm("q") * norm("embedding")
-    scored = found.select("query_id", "vec_id", F.round(F.when(size > 0, T.dot(F.col("q"), F.col("embedding")) / size).otherwise(0.0), 6).alias("score"))
-    return top_k(scored, k, ["query_id"], [F.col("score").desc(), "vec_id"])
+    asked = cut(nearest_lists(queries, centres, probes), "asked")
+    held = load(spark, path).join(asked.where("list >= 0").select("list"), "list", "left_semi")
+    return knn_by_list(held, asked, k)
 
 
 def embedded(texts: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:

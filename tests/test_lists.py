@@ -35,3 +35,15 @@ def test_nearest_lists(spark):
     centres = np.array([[0.0, 0.0], [1.0, 0.0], [0.0, 3.0]])
     asked = spark.createDataFrame([(1, [0.5, 0.0]), (2, [0.0, 2.0]), (3, None), (4, [1.0])], "vec_id long, embedding array<float>")
     assert sorted((r["vec_id"], r["list"]) for r in V.nearest_lists(asked, centres, 2).collect()) == [(1, 0), (1, 1), (2, 0), (2, 2)]
+
+
+def test_store_with_odd_vectors(spark, tmp_path):
+    from lexmill.sources import vectors as S
+
+    path = str(tmp_path / "store")
+    S.create(spark.createDataFrame([r[:2] for r in ROWS if r[0] < 120], "vec_id long, embedding array<double>"), path, lists=3)
+    S.upsert(spark, path, spark.createDataFrame([(200, [0.0] * 5)], "vec_id long, embedding array<double>"))
+    asked = spark.createDataFrame([(7, ROWS[7][1]), (8, [0.0] * 5), (9, None)], "vec_id long, embedding array<double>")
+    got = S.search(spark, path, asked, 3, probes=3).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in got if r["query_id"] == 8} == {(8, 0), (8, 1), (8, 2)} and {r["score"] for r in got if r["query_id"] == 8} == {0.0}
+    assert next(r for r in got if r["query_id"] == 7 and r["rank"] == 1)["score"] == 1.0 and {r["query_id"] for r in got} == {7, 8}
