@@ -47,3 +47,17 @@ def test_store_with_odd_vectors(spark, tmp_path):
     got = S.search(spark, path, asked, 3, probes=3).collect()
     assert {(r["query_id"], r["vec_id"]) for r in got if r["query_id"] == 8} == {(8, 0), (8, 1), (8, 2)} and {r["score"] for r in got if r["query_id"] == 8} == {0.0}
     assert next(r for r in got if r["query_id"] == 7 and r["rank"] == 1)["score"] == 1.0 and {r["query_id"] for r in got} == {7, 8}
+
+
+def test_probed_lists_meet_in_blocks(spark, tmp_path):
+    """Few probes read few lists, and pairs of a query and a vector are not rows of their own."""
+    from lexmill.sources import vectors as S
+
+    path = str(tmp_path / "store")
+    S.create(spark.createDataFrame([r[:2] for r in ROWS if r[0] < 120], "vec_id long, embedding array<double>"), path, lists=6)
+    asked = spark.createDataFrame([(7, ROWS[7][1])], "vec_id long, embedding array<double>")
+    found = S.search(spark, path, asked, 200, probes=2)
+    lists = {r["vec_id"]: r["list"] for r in S.load(spark, path).collect()}
+    assert len({lists[r["vec_id"]] for r in found.collect()}) == 2
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "dynamicpruning" in plan.lower() and "zip_with" not in plan
