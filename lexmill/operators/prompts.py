@@ -82,6 +82,15 @@ def health(log: DataFrame, key: str = "prompt_id", now: float | None = None) ->
     return out.select(key, "status", "total_requests", "success_count", "failure_count", row.cast("long").alias("consecutive_failures"), F.coalesce("mean", F.lit(0.0)).alias("average_response_time"))
 
 
+def running(rows: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``nth``, their place in their group, and ``sum``, the values up to there added up one after the other.
+
+    The last sum of a group does not hang on how rows are partitioned, as a sum of partial sums does.
+    """
+    window = Window.partitionBy(*by).orderBy(*order)
+    return rows.withColumns({"nth": F.row_number().over(window), "sum": F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0))})
+
+
 def selected(prompts: DataFrame, by: str = "user_id") -> DataFrame:
     """(by, prompt_id): of each user's usable prompts (by, prompt_id, place, user_selected, status, total_requests, success_count) the one to take.
 

@@ -212,8 +212,10 @@ def _(s, d):
 k AS (SELECT *, max(chosen::INT) OVER (PARTITION BY user_id) AS any_ FROM u WHERE status <> 'deactivated')
 SELECT user_id, prompt_id FROM k WHERE any_ = 0 OR chosen QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY status = 'healthy' DESC, CASE WHEN status = 'healthy' THEN good / total ELSE good END DESC, place) = 1""")
 def _(s, d):
-    rest = F.sum("value") % 7
-    u = table(s, d, "events").groupBy("user_id", C("event_type").alias("prompt_id")).agg(F.count("*").alias("total_requests"), F.count_if(C("value") >= 30).alias("success_count"), F.min("event_id").alias("place"), F.when(rest < 2, "deactivated").when(rest < 4, "degraded").otherwise("healthy").alias("status"))
+    # sums are made in the order of the events: which side of a bound a sum of floats falls on hangs on that
+    e = P.running(table(s, d, "events"), "value", ["user_id", "event_type"], ["event_id", "ts", "value"])
+    rest = F.max_by("sum", "nth") % 7
+    u = e.groupBy("user_id", C("event_type").alias("prompt_id")).agg(F.count("*").alias("total_requests"), F.count_if(C("value") >= 30).alias("success_count"), F.min("event_id").alias("place"), F.when(rest < 2, "deactivated").when(rest < 4, "degraded").otherwise("healthy").alias("status"))
     return P.selected(u.withColumn("user_selected", (C("user_id") % 3 == 0) & (C("prompt_id") > "m")))
 
 

@@ -178,3 +178,22 @@ def test_office_documents(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[1]: r for r in office.office_documents(spark, str(tmp_path)).collect()}
     assert got["a.docx"]["text"] == DOCX and got["b.xlsx"]["text"] == XLSX and set(got) == {"a.docx", "b.xlsx", "broken.docx", "bad.docx"}
     assert got["broken.docx"]["text"] is None and "BadZipFile" in got["broken.docx"]["error"] and "entities" in got["bad.docx"]["error"]
+
+
+def test_sums_in_the_order_of_events(spark, tmp_path):
+    """Whether a user's prompt is out goes by a sum of floats, which partial sums of files would change."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from lexmill.plans.context_queries import Q
+
+    values = [0.1, 0.7, 0.3, 0.6, 0.2, 0.9, 1.3, 2.1, 0.8, 5.3, 1.1, 0.4]
+    rows = [(u * 100 + i, u, t, values[(i * (u + 1) + u) % len(values)] + u % 7) for u in range(300) for i in range(12) for t in ["click" if i % 3 else "view"]]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' AS ts")
+    # a user's events lie in all of the files
+    events.repartitionByRange(7, (F.col("event_id") * 37) % 101).write.parquet(str(tmp_path / "events.parquet"))
+    duck = duckdb.connect(config={"threads": 1})
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet') ORDER BY event_id")
+    wanted = duck.execute(Q["prompt_selection"][1]).fetchall()
+    got = [(r["user_id"], r["prompt_id"]) for r in Q["prompt_selection"][0](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(wanted) and len(got) > 100
