@@ -40,3 +40,12 @@ def test_memories_by_blocks(spark, monkeypatch):
     assert calls == [3] and {q for q, _ in got} == {1, 2, 3} and len(got) == 9
     # of equal similarities the least ids come first: this query has no length, so all have 0
     assert {got[2, i] for i in (1, 2, 3)} == {"m001", "m002", "m003"}
+
+
+def test_memory_context_of_the_same_hits(spark):
+    asked, held, now = memories(spark)
+    hits = M.retrieve(asked, held.repartition(6), now)
+    wanted = {}
+    for r in sorted(hits.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        wanted[r["query_id"]] = wanted.get(r["query_id"], M.CONTEXT_HEAD) + f"\n- [auto_qa] {r['content']}"
+    assert {r["query_id"]: r["context"] for r in M.memory_context(hits).collect()} == wanted and len(wanted) == 3
